@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.decontam import decontaminate
+from tessera.llm.linededup import drop_repeated_lines
+from tessera.llm.secrets import KINDS, find_secrets
+from tessera.llm.shared import shared_folder
+from tessera.llm.topk import top_k
+from tessera.llm.warc import assemble, read_warc, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,3 +61,75 @@ def digest_decontam(hits: DataFrame) -> DataFrame:
 )
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_decontam(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"]))
+
+
+def digest_secrets(found: DataFrame) -> DataFrame:
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"].isin(*KINDS[:3]))
+    return found.select("doc_id", *[n(k).alias(f"n_{k}") for k in KINDS[:3]], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query("op4_secrets")
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_secrets(find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
+def digest_captures(captures: DataFrame) -> DataFrame:
+    page = F.get(F.col("metadata.fields"), 0)["page-id"].cast("long")
+    pages = captures.select("capture_id", "refers_to", page.alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"), F.col("type").alias("record_type"))
+    target = pages.where("record_type = 'response'").select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("target")).distinct()
+    return pages.join(target, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("target").alias("refers_to"))
+
+
+@query(
+    "op5_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    q AS (SELECT page_id, strlen(html) AS n, sha1(html) AS digest FROM p),
+    r AS (SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS top FROM q)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+           CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+    FROM r
+    """,
+)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return digest_captures(assemble(read_warc(spark, path, payload=False)))
+
+
+@query(
+    "op7_line_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+    w AS (SELECT doc_id, unnest(range(1, len(l) - 1)) AS p, l FROM d WHERE len(l) >= 3),
+    k AS (SELECT doc_id, p, array_to_string(l[p : p + 2], chr(10)) AS g FROM w),
+    r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS n FROM k WHERE regexp_replace(g, '\s+', '', 'g') <> ''),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 3)) AS i FROM r WHERE n > 1),
+    lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM d),
+    kept AS (SELECT doc_id, count(*) AS n_lines, count(g.i) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY s.i) FILTER (g.i IS NULL), '') AS t
+             FROM lines s LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, sha256(t) AS kept_sha256 FROM kept
+    """,
+)
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query(
+    "op8_top_k",
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    t AS (SELECT vec_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM v),
+    s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(sum(a.x * b.x) AS BIGINT) AS score
+          FROM t a JOIN t b ON a.i = b.i AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY 1, 2),
+    r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+    SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 20
+    """,
+)
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
