@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import langid, toxicity
 from tessera.llm.decontam import decontaminate
+from tessera.llm.learn import remainder
 from tessera.llm.linededup import drop_repeated_lines
+from tessera.llm.packing import pack
 from tessera.llm.secrets import KINDS, find_secrets
 from tessera.llm.shared import shared_folder
 from tessera.llm.topk import top_k
@@ -133,3 +136,29 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def language_model(docs: DataFrame) -> langid.Model:
+    """Learns from the rows of documents whose crc32 modulo 4 is not 2."""
+    return langid.fit(docs.where(remainder("doc_id", 4) != 2).select("text", "lang"))
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rated = langid.identify(docs, language_model(docs), keep=["doc_id"])
+    return rated.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    learn = remainder("doc_id", 5) != 0
+    marks = labels.where(learn).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    model = toxicity.fit(docs.where(learn).join(marks, "doc_id", "left"))
+    return toxicity.rate(docs, model, keep=["doc_id"]).select("doc_id", (~learn).alias("held_out"), "score", "predicted")
+
+
+@query("op2_packing")
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))

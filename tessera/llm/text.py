@@ -123,6 +123,25 @@ class Words:
         return mix(out)
 
 
+    def prefixes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length (below BLOCK) the words that are at least so long and the hashes of their first bytes."""
+        out, i = [([], []) for _ in lengths], 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + BLOCK)))
+            block = data[starts[i] : min(starts[j - 1] + max(lengths), len(data))]
+            self.powers.need(len(block))
+            total, rel = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.codes[block] * self.powers.up[: len(block)]))), starts[i:j] - starts[i]
+            size = ends[i:j] - starts[i:j]
+            for (which, value), n in zip(out, lengths, strict=True):
+                some = np.flatnonzero(size >= n)
+                at = rel[some]
+                which.append(some + i)
+                value.append((total[at + n] - total[at]) * self.powers.down[at] + np.uint64(n))
+            i = j
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        return [(np.concatenate(w), mix(np.concatenate(v))) if w else empty for w, v in out]
+
+
 def grams(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k consecutive word hashes, text boundaries ignored."""
     n = len(words) - k + 1
