@@ -43,8 +43,8 @@ class Sparse:
         return Sparse(np.searchsorted(both, np.arange(n + 1) * size), (both % size).astype(np.int32), times.astype(np.float32))
 
 
-def sample_features(rows: DataFrame, label: str, text: str, most: int, total: int, seed: str, count: Callable[[], Callable[[pa.Array], Sparse]]) -> tuple[list, Sparse]:
-    """Labels and features of a sample with at most `most` rows of each label and `total` rows.
+def sample_features(rows: DataFrame, label: str, text: str, most: int | None, total: int, seed: str, count: Callable[[], Callable[[pa.Array], Sparse]]) -> tuple[list, Sparse]:
+    """Labels and features of a sample with at most `total` rows, and of each label `most` if given.
 
     Rows are drawn by a hash of their text, so the sample does not depend on
     how rows are laid out. Texts are counted whole on the executors; the
@@ -54,8 +54,12 @@ def sample_features(rows: DataFrame, label: str, text: str, most: int, total: in
 
     by = F.md5(F.concat(F.lit(seed), F.col(text)).cast("binary"))
     drawn = rows.where(F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"), by.alias("by"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("by"))
-    keys = drawn.select("label", "by").withColumn("r", rank).where(F.col("r") <= most).orderBy("r", "by").limit(total).select("label", "by").distinct()
+    keys = drawn.select("label", "by").distinct()
+    if most:
+        keys = keys.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("by"))).where(F.col("r") <= most).orderBy("r", "by")
+    else:
+        keys = keys.orderBy("by")
+    keys = keys.limit(total).select("label", "by")
     drawn = drawn.join(F.broadcast(keys), ["label", "by"], "left_semi").dropDuplicates(["label", "by"])  # keys: at most `total`
 
     def run(batches):

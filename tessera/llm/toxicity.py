@@ -154,7 +154,8 @@ def fit(rows: DataFrame, *, text: str = "text", label: str = "label", positives:
     kind = F.when(F.col(label) == 1, 1).when(F.col(label) == 0, 0).otherwise(-1)
     marked = rows.select(F.col(text).alias("text"), kind.alias("kind"), (F.when(kind == 1, 1).otherwise(0)).alias("side"))
     prior = marked.agg((F.try_divide(F.sum("side"), F.count_if(F.col("kind") >= 0))).alias("p")).first()["p"] or 0.0
-    sides = [sample_features(marked.where(F.col("side") == s), "kind", "text", n, n, f"toxic{s}", _counter) for s, n in ((1, positives), (0, unlabelled))]
+    # one draw over all texts that aren't confirmed toxic, so that it is mixed as the corpus is
+    sides = [sample_features(marked.where(F.col("side") == s), "kind", "text", None, n, f"toxic{s}", _counter) for s, n in ((1, positives), (0, unlabelled))]
     kinds = np.array([k for names, _ in sides for k in names], int)
     x = Sparse(np.concatenate((sides[0][1].cuts, sides[0][1].cuts[-1] + sides[1][1].cuts[1:])), np.concatenate([s.feature for _, s in sides]), np.concatenate([s.value for _, s in sides]))
     return train(kinds == 1, kinds >= 0, x, min(max(float(prior), 0.001), 0.9), **more)
