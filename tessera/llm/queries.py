@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import langid, toxicity
 from tessera.llm.decontam import decontaminate
+from tessera.llm.jaccard import near_duplicates
 from tessera.llm.learn import remainder
 from tessera.llm.linededup import drop_repeated_lines
 from tessera.llm.packing import pack
@@ -162,3 +163,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_packing")
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
