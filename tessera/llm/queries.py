@@ -15,6 +15,7 @@ from tessera.llm.linededup import drop_repeated_lines
 from tessera.llm.packing import pack
 from tessera.llm.secrets import KINDS, find_secrets
 from tessera.llm.shared import shared_folder
+from tessera.llm.suffix import drop_repeats
 from tessera.llm.topk import top_k
 from tessera.llm.warc import assemble, read_warc, write_warc
 
@@ -168,3 +169,15 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_jaccard_join")
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def digest_repeats(kept: DataFrame) -> DataFrame:
+    return kept.select(
+        "doc_id", (F.length("kept") + F.col("n_removed")).cast("long").alias("n_bytes"), "n_removed",
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_repeats(drop_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"]))
