@@ -97,7 +97,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(langs: list[str], label: np.ndarray, x: Sparse, *, dim: int = DIM, epochs: int = 5, rate: float = 0.5, scale: float = 40.0, held: int = 10, reject_below: float = 0.5, reject_share: float = 0.001, seed: int = 7) -> Model:
+def train(langs: list[str], label: np.ndarray, x: Sparse, *, dim: int = DIM, epochs: int = 5, least_steps: int = 12_000, rate: float = 0.5, scale: float = 40.0, held: int = 10, reject_below: float = 0.5, reject_share: float = 0.001, seed: int = 7) -> Model:
     """Fits by SGD; every held-th row calibrates. scale: step of embeddings against that of the softmax, as averages share a step among many."""
     r = np.random.default_rng(seed)
     c = len(langs)
@@ -106,6 +106,7 @@ def train(langs: list[str], label: np.ndarray, x: Sparse, *, dim: int = DIM, epo
     inner = np.array([i % held != held - 1 for i in range(len(x))])
     embed, out, bias = r.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)), np.zeros((dim, c)), np.zeros(c)
     own = np.flatnonzero(inner)
+    epochs = max(epochs, -(-least_steps // max(1, len(own))))
     steps, step = max(1, epochs * len(own)), 0
     for _ in range(epochs):
         for i in r.permutation(own):

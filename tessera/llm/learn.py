@@ -60,7 +60,11 @@ def sample_features(rows: DataFrame, label: str, text: str, most: int | None, to
     else:
         keys = keys.orderBy("by")
     keys = keys.limit(total).select("label", "by")
-    drawn = drawn.join(F.broadcast(keys), ["label", "by"], "left_semi").dropDuplicates(["label", "by"])  # keys: at most `total`
+    return features(drawn.join(F.broadcast(keys), ["label", "by"], "left_semi").dropDuplicates(["label", "by"]), count)  # keys: at most `total`
+
+
+def features(drawn: DataFrame, count: Callable[[], Callable[[pa.Array], Sparse]]) -> tuple[list, Sparse]:
+    """Labels and features of a bounded sample (label, text, by), in the order of by."""
 
     def run(batches):
         kernel = count()

@@ -156,8 +156,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     learn = remainder("doc_id", 5) != 0
-    marks = labels.where(learn).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    model = toxicity.fit(docs.where(learn).join(marks, "doc_id", "left"))
+    model = toxicity.fit(docs.where(learn), labels.where(learn), label="toxic")
     return toxicity.rate(docs, model, keep=["doc_id"]).select("doc_id", (~learn).alias("held_out"), "score", "predicted")
 
 

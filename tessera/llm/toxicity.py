@@ -20,7 +20,8 @@ text; whole texts are counted on the executors. Scoring reads every whole text
 in one pass without a shuffle.
 
 Nulls and odd input: a null, empty or wordless text gets the score of a text
-without features; rows without a label are unlabelled; without any positive
+without features; rows without a label are unlabelled; rows without an id don't
+train; without any positive
 the score is 0 everywhere; rows of labels that repeat an id count as positive
 if one of them is. Input columns named like results are replaced.
 """
@@ -33,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.learn import Sparse, sample_features, unit
-from tessera.llm.shared import map_texts, others
+from tessera.llm.learn import Sparse, features, unit
+from tessera.llm.shared import map_texts, others, saved
 from tessera.llm.text import ALNUM, Words, rows
 
 BITS, LENGTHS, SMOOTH = 18, (5, 6, 7, 8), 20.0
@@ -149,15 +150,21 @@ def _score(model: Model):
     return run
 
 
-def fit(rows: DataFrame, *, text: str = "text", label: str = "label", positives: int = 2500, unlabelled: int = 5000, **more) -> Model:
-    """Trains on rows whose label is 1, 0 or null."""
-    kind = F.when(F.col(label) == 1, 1).when(F.col(label) == 0, 0).otherwise(-1)
-    marked = rows.select(F.col(text).alias("text"), kind.alias("kind"), (F.when(kind == 1, 1).otherwise(0)).alias("side"))
-    prior = marked.agg((F.try_divide(F.sum("side"), F.count_if(F.col("kind") >= 0))).alias("p")).first()["p"] or 0.0
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "label", positives: int = 2500, unlabelled: int = 5000, **more) -> Model:
+    """Trains on docs, of which those in labels are marked 1 or 0.
+
+    The sample is drawn from ids and labels alone, so no text is shuffled.
+    """
+    marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("kind"))
+    ids = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id")).distinct()
+    marked = saved(ids.join(marks, "id", "left").select("id", F.coalesce("kind", F.lit(-1)).alias("label"), F.md5(F.concat(F.lit("toxic"), F.col("id").cast("string")).cast("binary")).alias("by")))
+    prior = marked.agg(F.try_divide(F.count_if(F.col("label") == 1), F.count_if(F.col("label") >= 0)).alias("p")).first()["p"] or 0.0
     # one draw over all texts that aren't confirmed toxic, so that it is mixed as the corpus is
-    sides = [sample_features(marked.where(F.col("side") == s), "kind", "text", None, n, f"toxic{s}", _counter) for s, n in ((1, positives), (0, unlabelled))]
-    kinds = np.array([k for names, _ in sides for k in names], int)
-    x = Sparse(np.concatenate((sides[0][1].cuts, sides[0][1].cuts[-1] + sides[1][1].cuts[1:])), np.concatenate([s.feature for _, s in sides]), np.concatenate([s.value for _, s in sides]))
+    drawn = [marked.where(side).orderBy("by").limit(n) for side, n in ((F.col("label") == 1, positives), (F.col("label") != 1, unlabelled))]
+    keys = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most positives + unlabelled rows
+    sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null").join(keys, "id").select("label", "text", "by")
+    names, x = features(sample.dropDuplicates(["by"]), _counter)
+    kinds = np.array(names, int)
     return train(kinds == 1, kinds >= 0, x, min(max(float(prior), 0.001), 0.9), **more)
 
 

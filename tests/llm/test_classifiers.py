@@ -54,10 +54,12 @@ def test_toxicity_of_held_out_documents(spark):
 
 
 def test_toxicity_of_odd_texts(spark):
-    marked = spark.createDataFrame([(f"bad{i} awful thing", 1) for i in range(30)] + [(f"nice{i} sweet thing", (0, None)[i % 2]) for i in range(60)] + [(None, 1)], "text string, label int")
-    model = toxicity.fit(marked)
+    texts = [(i, f"bad{i} awful thing") for i in range(30)] + [(100 + i, f"nice{i} sweet thing") for i in range(60)] + [(900, None), (None, "awful")]
+    train = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(0, 0), (900, 1), (None, 1), (101, None)] + [(100 + i, 0) for i in range(0, 60, 2)], "doc_id long, label int")
+    model = toxicity.fit(train, labels)
     odd = spark.createDataFrame([*ODD, (9, "awful"), (9, "sweet")], "doc_id long, text string")
     got = toxicity.rate(odd, model).collect()
     assert len(got) == len(ODD) + 2 and got[-2].score > got[-1].score and all(0 <= r.score <= 1 for r in got)
-    assert {r.score for r in toxicity.rate(odd, toxicity.fit(marked.where("label = 0"))).collect()} == {0.0}
-    assert {r.score for r in toxicity.rate(odd, toxicity.fit(marked.limit(0))).collect()} == {0.0}
+    assert {r.score for r in toxicity.rate(odd, toxicity.fit(train, labels.where("label = 0"))).collect()} == {0.0}
+    assert {r.score for r in toxicity.rate(odd, toxicity.fit(train.limit(0), labels.limit(0))).collect()} == {0.0}
