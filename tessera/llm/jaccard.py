@@ -14,12 +14,14 @@ Prefixes. Two sets of Jaccard t share at least ceil(t * n) shingles for either
 size n, so their prefixes of n - ceil(t * n) + l shingles share at least l.
 Each text picks its own l from {1, 2, 3, ...} by estimated cost: the postings
 that its prefix meets, and the candidates that can share l of them. A pair is
-a candidate if the prefixes share the smaller of the two l.
+a candidate if its prefixes share as many shingles as their two l and sizes
+require: the more, the longer the prefixes and the closer the sizes.
 
 Join. Prefix postings are dealt out by shingle range, in blobs. A first round
 links each posting only with the leader of its size band in its list, which
-is linear in the postings, verifies those pairs on whole sets, and finds
-components. A second round completes the join: it takes every posting list of
+is linear in the postings. Each node is verified on whole sets with the leader
+that it shares most with, then with its other leaders as far as they are still
+in another component. A second round completes the join: it takes every posting list of
 three or more, leaves out lists that lie in one component, and pairs members
 of different components only, so the links within a large group of near
 copies are never written out. Pairs that share enough prefix shingles are
@@ -42,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,7 +76,7 @@ class Shingler:
 
 
 def node_of(tokens: np.ndarray) -> bytes:
-    one = mix(tokens ^ _ODD).sum(dtype=np.uint64) + np.uint64(len(tokens)) * _ODD
+    one = mix(np.append(tokens ^ _ODD, np.uint64(len(tokens)))).sum(dtype=np.uint64)
     two = mix(tokens * _ODD + np.uint64(1)).sum(dtype=np.uint64)
     return np.array([one, two], ">u8").tobytes()
 
@@ -168,7 +170,7 @@ def count_frequent(docs: DataFrame, text: str, k: int, ranges: int, parts: int,
 
     blobs = map_rows(docs.select(text), "r int, blob binary", spread)
     hot = map_rows(blobs.repartition(parts, "r").sortWithinPartitions("r"), "w long, c long", gather)
-    got = hot.orderBy(F.desc("c"), "w").limit(most).toArrow()
+    got = saved(hot.orderBy(F.desc("c"), "w").limit(most)).toArrow()
     return Frequent(np.asarray(got.column("w")).astype(np.uint64), np.asarray(got.column("c")).astype(np.int64))
 
 
@@ -365,6 +367,25 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def must_share(na: str, nb: str, la: str, lb: str, percent: int) -> Column:
+    """How many shingles the prefixes of two sets share if the sets are similar enough.
+
+    They share ceil(percent / (100 + percent) * (na + nb)) in all. Of the two
+    prefixes, take the one that ends first in the global order: what the sets
+    share beyond it lies in that set's rest of ceil(percent / 100 * n) - l.
+    """
+    rest = [F.floor((F.col(n) * percent + 99) / 100) - F.col(x) for n, x in ((na, la), (nb, lb))]
+    return F.greatest(F.lit(1), F.ceil((F.col(na) + F.col(nb)) * percent / (100 + percent)) - F.greatest(*rest)).cast("int")
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose nodes are not in one component."""
+    for side in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    root = {side: F.coalesce(f"root_{side}", side) for side in ("a", "b")}
+    return pairs.where(root["a"] != root["b"]).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, least_frequent: int = 64, most_frequent: int = 2_000_000, range_tokens: int = 4_000_000) -> DataFrame:
     """One row for each row of docs: id, n_shingles and component_id, the smallest id reachable by links."""
     spark = docs.sparkSession
@@ -390,9 +411,17 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     found = saved(map_rows(blobs.repartition(parts, "r").sortWithinPartitions("r"), FOUND, _links(percent)))
     keys = members.where("n_shingles > 0").groupBy("node").agg(F.min("__key").alias("key"))
 
-    first = saved(found.where("kind > 0").select("a", "b").distinct())
-    linked = verify(source, keys, first, text, k, percent, parts)
+    # first round: each node with its best leader, then with the others that are still in another component
+    leads = found.where("kind > 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max(must_share("na", "nb", "la", "lb", percent)).alias("need"))
+    leads = saved(leads.where("2 * c >= need"))  # lists led by others are not counted in c
+    best = saved(leads.groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select("x.a", "b"))
+    linked = verify(source, keys, best, text, k, percent, parts)
     roots = components(linked)
+    rest = saved(apart(leads.select("a", "b").join(best, ["a", "b"], "left_anti"), roots))
+    tried = best.unionByName(rest)
+    if not rest.isEmpty():
+        linked = saved(linked.unionByName(verify(source, keys, rest, text, k, percent, parts)))
+        roots = components(linked)
 
     entry = found.where("kind = 0").select("tok", F.col("a").alias("node"), F.col("na").alias("n"), F.col("la").alias("l")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     entry = saved(entry)
@@ -402,11 +431,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     group = saved(group)
     one, two = (group.select("tok", F.col("root").alias(f"r{i}"), F.col("x").alias(f"x{i}")) for i in (1, 2))
     pair = one.join(two, "tok").where("r1 < r2").select(F.explode("x1").alias("p"), "x2").select("p", F.explode("x2").alias("q"))
-    pair = pair.where((F.least("p.n", "q.n") * 100 >= F.greatest("p.n", "q.n") * percent)).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"), F.least("p.l", "q.l").alias("l"), F.lit(1).alias("c"))
-    short = found.where("kind = 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("la", "lb").alias("l"), "c")
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    enough = pair.unionByName(short).groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("l").alias("l")).where("c >= l").select("a", "b")
-    second = saved(enough.join(tried, ["a", "b"], "left_anti"))
+    pair = pair.where((F.least("p.n", "q.n") * 100 >= F.greatest("p.n", "q.n") * percent)).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"), must_share("p.n", "q.n", "p.l", "q.l", percent).alias("need"), F.lit(1).alias("c"))
+    short = found.where("kind = 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), must_share("na", "nb", "la", "lb", percent).alias("need"), "c")
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    enough = pair.unionByName(short).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
+    second = saved(apart(enough.join(tried, ["a", "b"], "left_anti"), roots))
     if not second.isEmpty():
         roots = components(linked.unionByName(verify(source, keys, second, text, k, percent, parts)))
 

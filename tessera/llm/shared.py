@@ -71,10 +71,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Spark's setting that drops the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: computed once, and not again if executors are lost."""
+    """df as a table in the shared folder: computed once, and not again if executors are lost.
+
+    As the table takes the place of the query, its shuffle files go at once.
+    """
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
