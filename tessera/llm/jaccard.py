@@ -13,19 +13,21 @@ what the join costs and never what it finds).
 Prefixes. Two sets of Jaccard t share at least ceil(t * n) shingles for either
 size n, so their prefixes of n - ceil(t * n) + l shingles share at least l.
 Each text picks its own l from {1, 2, 3, ...} by estimated cost: the postings
-that its prefix meets, and the candidates that can share l of them. A pair is
-a candidate if its prefixes share as many shingles as their two l and sizes
-require: the more, the longer the prefixes and the closer the sizes.
+that its prefix meets, and the candidates that can share l of them. Longer
+prefixes and closer sizes let a pair demand more shared shingles, and demand
+them further to the front: level_of has the rule, and a pair that shares fewer
+is not verified.
 
 Join. Prefix postings are dealt out by shingle range, in blobs. A first round
-links each posting only with the leader of its size band in its list, which
-is linear in the postings. Each node is verified on whole sets with the leader
-that it shares most with, then with its other leaders as far as they are still
-in another component. A second round completes the join: it takes every posting list of
+links each posting only with two leaders of its list, which is linear in the
+postings. Each node is verified on whole sets with the leader that it shares
+most with, then with its other leaders as far as they are still in another
+component. A second round completes the join: it takes every posting list of
 three or more, leaves out lists that lie in one component, and pairs members
 of different components only, so the links within a large group of near
-copies are never written out. Pairs that share enough prefix shingles are
-verified as before. Components are those of both rounds' links.
+copies are never written out; long lists are split into pairs of blocks.
+Candidates are verified as before, the best pair of each two components first.
+Components are those of all links.
 
 Verification sends each needed set once for each leader; leaders of many are
 salted. Components come from repeated minimum and pointer jumping, each
@@ -41,6 +43,7 @@ like results are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -200,14 +203,15 @@ def postings(docs: DataFrame, text: str, k: int, ranges: int, percent: int, freq
         def flush() -> Iterator[dict]:
             sizes = [len(w) for w in state["where"]]
             where, doc = np.concatenate(state["where"]), np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(where)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
             order = np.argsort(where, kind="stable")
-            where, doc = where[order], doc[order]
+            where, doc, place = where[order], doc[order], place[order].astype(np.int32)
             nodes = np.frombuffer(b"".join(state["seen"]), NODE)
             n, level = np.array(state["n"], np.int32), np.array(state["level"], np.int32)
             for r, a, b in _by_range(where):
                 here, own = np.unique(doc[a:b], return_inverse=True)
                 head = np.array([len(here), b - a], np.int32).tobytes()
-                yield {"r": [r], "blob": [head + nodes[here].tobytes() + n[here].tobytes() + level[here].tobytes() + where[a:b].astype(np.uint32).tobytes() + own.astype(np.uint32).tobytes()]}
+                yield {"r": [r], "blob": [head + nodes[here].tobytes() + n[here].tobytes() + level[here].tobytes() + where[a:b].astype(np.uint32).tobytes() + own.astype(np.uint32).tobytes() + place[a:b].tobytes()]}
 
         for column in _texts(batches, text):
             for tokens in shingler.sets(column):
@@ -231,12 +235,12 @@ FOUND = "kind int, tok long, a binary, b binary, na int, nb int, la int, lb int,
 
 
 def _unblob(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Nodes (distinct), sizes, levels, keys and node numbers of entries."""
-    nodes, n, level, key, doc, at = [], [], [], [], [], 0
+    """Nodes (distinct), sizes, levels; and keys, node numbers and places in their prefixes of entries."""
+    nodes, n, level, key, doc, place, at = [], [], [], [], [], [], 0
     for blob in blobs:
         d, e = np.frombuffer(blob, np.int32, 2)
         p = 8
-        for out, kind, m in ((nodes, NODE, d), (n, np.int32, d), (level, np.int32, d), (key, np.uint32, e), (doc, np.uint32, e)):
+        for out, kind, m in ((nodes, NODE, d), (n, np.int32, d), (level, np.int32, d), (key, np.uint32, e), (doc, np.uint32, e), (place, np.int32, e)):
             out.append(np.frombuffer(blob, kind, m, p))
             p += int(m) * kind.itemsize if isinstance(kind, np.dtype) else int(m) * np.dtype(kind).itemsize
         doc[-1] = doc[-1].astype(np.int64) + at
@@ -248,39 +252,65 @@ def _unblob(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
     first = order[new]
-    return all_nodes[first], np.concatenate(n)[first], np.concatenate(level)[first], np.concatenate(key), number[np.concatenate(doc)]
+    return all_nodes[first], np.concatenate(n)[first], np.concatenate(level)[first], np.concatenate(key), number[np.concatenate(doc)], np.concatenate(place)
+
+
+def level_of(na, nb, la, lb, percent: int):
+    """For pairs of sets: how many shared shingles make a candidate, and the least overlap of similar ones.
+
+    Of two sets that share at least `least`, the first `level` shared shingles
+    have places below n - least + level in either order, and level is chosen
+    so that these places lie in both prefixes.
+    """
+    least = -(-percent * (na + nb) // (100 + percent))
+    room = np.minimum(la + least - least_shared(na, percent), lb + least - least_shared(nb, percent))
+    return np.minimum(1 + np.minimum(na, nb) // 10, room), least
+
+
+def _two(nodes, n, level, doc, place, at, percent):
+    """Pairs of lists of two that are near enough in size and place."""
+    a, b = at, at + 1
+    swap = n[doc[a]] > n[doc[b]]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    x, y = doc[a], doc[b]
+    need, least = level_of(n[x].astype(np.int64), n[y].astype(np.int64), level[x], level[y], percent)
+    near = (least_shared(n[y], percent) <= n[x]) & (place[a] < n[x] - least + need) & (place[b] < n[y] - least + need)
+    return x[near], y[near]
 
 
 def _links(percent: int):
-    """From posting lists: pairs of lists of two (kind 2), leader pairs (kind 1) and entries of longer lists (kind 0)."""
+    """From posting lists: pairs of lists of two (kind 2), leader pairs (kind 1) and entries of longer lists (kind 0).
+
+    Each list has two leaders, its first and its last node; as nodes are
+    hashes, they are drawn at random and alike in all lists of a group. Those
+    whose sizes rule a leader out get leaders of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for r, blobs in _groups(batches):
-            nodes, n, level, key, doc = _unblob(blobs)
-            order = np.lexsort((doc, n[doc], key))
-            key, doc = key[order], doc[order]
+            nodes, n, level, key, doc, place = _unblob(blobs)
+            order = np.lexsort((doc, key))
+            key, doc, place = key[order], doc[order], place[order]
             fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
-            key, doc = key[fresh], doc[fresh]  # copies in several blobs
+            key, doc, place = key[fresh], doc[fresh], place[fresh]  # copies in several blobs
             cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.append(cuts, len(key)))
-            two = cuts[size == 2]
-            a, b = doc[two], doc[two + 1]
-            near = least_shared(n[b], percent) <= n[a]
-            pairs = {2: [(a[near], b[near])], 1: []}
-            longer = cuts[size > 2]
+            pairs = {2: [_two(nodes, n, level, doc, place, cuts[size == 2], percent)], 1: []}
             entry = []
-            for lo, m in zip(longer.tolist(), size[size > 2].tolist(), strict=True):
+            for lo, m in zip(cuts[size > 2].tolist(), size[size > 2].tolist(), strict=True):
                 own = doc[lo : lo + m]
                 entry.append(np.arange(lo, lo + m))
-                sizes, i = n[own], 0
-                while i < m - 1:  # a leader and all whose sizes allow a link with it
-                    j = int(np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
-                    if j > i + 1:
-                        pairs[1].append((np.full(j - i - 1, own[i]), own[i + 1 : j]))
-                    i = max(j, i + 1)
+                for some in (own, own[::-1]):
+                    while len(some) > 1:
+                        lead, small, large = some[0], np.minimum(n[some[0]], n[some]), np.maximum(n[some[0]], n[some])
+                        near = least_shared(large, percent) <= small
+                        near[0] = False
+                        if near.any():
+                            pairs[1].append((np.full(int(near.sum()), lead), some[near]))
+                        some = some[1:][~near[1:]]
             for kind, found in pairs.items():
                 if found:
-                    code, c = np.unique(np.concatenate([x * len(nodes) + y for x, y in found]), return_counts=True)
+                    code, c = np.unique(np.concatenate([x.astype(np.int64) * len(nodes) + y for x, y in found]), return_counts=True)
                     x, y = code // len(nodes), code % len(nodes)
                     for lo in range(0, len(code), 50_000):
                         u, v = x[lo : lo + 50_000], y[lo : lo + 50_000]
@@ -290,7 +320,55 @@ def _links(percent: int):
                 for lo in range(0, len(at), 50_000):
                     e = at[lo : lo + 50_000]
                     d, none = doc[e], np.zeros(len(e), np.int32)
-                    yield {"kind": none, "tok": (np.int64(r) << 32) + key[e].astype(np.int64), "a": nodes[d].tolist(), "b": [None] * len(e), "na": n[d], "nb": none, "la": level[d], "lb": none, "c": none}
+                    yield {"kind": none, "tok": (np.int64(r) << 32) + key[e].astype(np.int64), "a": nodes[d].tolist(), "b": [None] * len(e), "na": n[d], "nb": none, "la": level[d], "lb": none, "c": place[e]}
+
+    return run
+
+
+def _numbered(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 16-byte values, and each row's number among them."""
+    flat = np.frombuffer(b"".join(column.to_pylist()), ">u8").reshape(-1, 2)
+    order = np.lexsort((flat[:, 1], flat[:, 0]))
+    new = np.concatenate(([True], (flat[order][1:] != flat[order][:-1]).any(axis=1)))
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return np.frombuffer(flat[order[new]].tobytes(), NODE), number
+
+
+def _across(percent: int):
+    """Counts of shared shingles for pairs of different components, from groups (tok, x, y) of list entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        table = pa.Table.from_batches(list(batches))  # one partition of a bounded number of entries
+        if not len(table):
+            return
+        nodes, doc = _numbered(table.column("node"))
+        root = _numbered(table.column("root"))[1]
+        tok, x, y, own, n, level, place = (np.asarray(table.column(c)).astype(np.int64) for c in ("tok", "x", "y", "own", "n", "l", "place"))
+        order = np.lexsort((n, y, x, tok))
+        doc, root, tok, x, y, own, n, level, place = (v[order] for v in (doc, root, tok, x, y, own, n, level, place))
+        size, high = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
+        size[doc], high[doc] = n, level
+        cuts = np.flatnonzero(np.concatenate(([True], (tok[1:] != tok[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+        # the smaller of a pair has the place of at least one counted shingle below this
+        limit = n - -(-2 * percent * n // (100 + percent)) + 1 + n // 10
+        found: list[np.ndarray] = []
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(tok)], strict=True):
+            within = x[lo] == y[lo]
+            for i in (lo + np.flatnonzero(place[lo:hi] < limit[lo:hi])).tolist():
+                # equal sizes meet once: the later entry is the larger
+                j = np.arange(i + 1, lo + int(np.searchsorted(n[lo:hi], n[i] * 100 // percent, "right")))
+                j = j[(root[j] != root[i]) & (True if within else own[j] != own[i])]
+                if len(j):
+                    need, least = level_of(n[i], n[j], level[i], level[j], percent)
+                    j = j[(place[i] < n[i] - least + need) & (place[j] < n[j] - least + need)]
+                    found.append(np.minimum(doc[i], doc[j]) * len(nodes) + np.maximum(doc[i], doc[j]))
+        if found:
+            code, c = np.unique(np.concatenate(found), return_counts=True)
+            a, b = code // len(nodes), code % len(nodes)
+            for lo in range(0, len(code), 50_000):
+                u, v = a[lo : lo + 50_000], b[lo : lo + 50_000]
+                yield {"a": nodes[u].tolist(), "b": nodes[v].tolist(), "need": level_of(size[u], size[v], high[u], high[v], percent)[0], "c": c[lo : lo + 50_000]}
 
     return run
 
@@ -367,23 +445,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def must_share(na: str, nb: str, la: str, lb: str, percent: int) -> Column:
-    """How many shingles the prefixes of two sets share if the sets are similar enough.
-
-    They share ceil(percent / (100 + percent) * (na + nb)) in all. Of the two
-    prefixes, take the one that ends first in the global order: what the sets
-    share beyond it lies in that set's rest of ceil(percent / 100 * n) - l.
-    """
-    rest = [F.floor((F.col(n) * percent + 99) / 100) - F.col(x) for n, x in ((na, la), (nb, lb))]
-    return F.greatest(F.lit(1), F.ceil((F.col(na) + F.col(nb)) * percent / (100 + percent)) - F.greatest(*rest)).cast("int")
+def level_column(percent: int) -> Column:
+    """level_of for columns na, nb, la, lb."""
+    least = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+    room = [F.col(x) + least - F.floor((F.col(n) * percent + 99) / 100) for n, x in (("na", "la"), ("nb", "lb"))]
+    return F.least(F.floor(F.least("na", "nb") / 10) + 1, *room).cast("int")
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose nodes are not in one component."""
+    """Pairs whose nodes are not in one component, with the roots of both."""
+    pairs = pairs.select(*[c for c in pairs.columns if not c.startswith("root_")])
     for side in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    root = {side: F.coalesce(f"root_{side}", side) for side in ("a", "b")}
-    return pairs.where(root["a"] != root["b"]).select("a", "b")
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    return pairs.where("root_a <> root_b")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, least_frequent: int = 64, most_frequent: int = 2_000_000, range_tokens: int = 4_000_000) -> DataFrame:
@@ -411,33 +485,39 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     found = saved(map_rows(blobs.repartition(parts, "r").sortWithinPartitions("r"), FOUND, _links(percent)))
     keys = members.where("n_shingles > 0").groupBy("node").agg(F.min("__key").alias("key"))
 
+    linked: list[DataFrame] = []
+
+    def link(pairs: DataFrame) -> DataFrame:
+        """Verifies pairs (a, b) and returns the components of all links so far."""
+        linked.append(verify(source, keys, pairs, text, k, percent, parts))
+        return components(reduce(DataFrame.unionByName, linked))
+
     # first round: each node with its best leader, then with the others that are still in another component
-    leads = found.where("kind > 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max(must_share("na", "nb", "la", "lb", percent)).alias("need"))
+    leads = found.where("kind > 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max(level_column(percent)).alias("need"))
     leads = saved(leads.where("2 * c >= need"))  # lists led by others are not counted in c
     best = saved(leads.groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select("x.a", "b"))
-    linked = verify(source, keys, best, text, k, percent, parts)
-    roots = components(linked)
-    rest = saved(apart(leads.select("a", "b").join(best, ["a", "b"], "left_anti"), roots))
-    tried = best.unionByName(rest)
+    roots = link(best)
+    rest = saved(apart(leads.select("a", "b").join(best, ["a", "b"], "left_anti"), roots).select("a", "b"))
     if not rest.isEmpty():
-        linked = saved(linked.unionByName(verify(source, keys, rest, text, k, percent, parts)))
-        roots = components(linked)
-
-    entry = found.where("kind = 0").select("tok", F.col("a").alias("node"), F.col("na").alias("n"), F.col("la").alias("l")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    entry = saved(entry)
-    mixed = entry.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
-    entry = entry.join(mixed, "tok")
-    group = entry.groupBy("tok", "root", F.pmod(F.xxhash64("node"), F.lit(64)).alias("s")).agg(F.collect_list(F.struct("node", "n", "l")).alias("x"))
-    group = saved(group)
-    one, two = (group.select("tok", F.col("root").alias(f"r{i}"), F.col("x").alias(f"x{i}")) for i in (1, 2))
-    pair = one.join(two, "tok").where("r1 < r2").select(F.explode("x1").alias("p"), "x2").select("p", F.explode("x2").alias("q"))
-    pair = pair.where((F.least("p.n", "q.n") * 100 >= F.greatest("p.n", "q.n") * percent)).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"), must_share("p.n", "q.n", "p.l", "q.l", percent).alias("need"), F.lit(1).alias("c"))
-    short = found.where("kind = 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), must_share("na", "nb", "la", "lb", percent).alias("need"), "c")
-    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    enough = pair.unionByName(short).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
+        roots = link(rest)
+
+    # second round: what is left between components, first by the best pair of each two components
+    entry = found.where("kind = 0").select("tok", F.col("a").alias("node"), F.col("na").alias("n"), F.col("la").alias("l"), F.col("c").alias("place"))
+    entry = saved(entry.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    mixed = entry.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / 20_000).cast("int").alias("blocks")).where("lo <> hi").select("tok", "blocks")
+    split = entry.join(mixed, "tok").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("z", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = split.select("tok", F.least("own", "z").alias("x"), F.greatest("own", "z").alias("y"), "own", "node", "root", "n", "l", "place").repartition(parts, "tok", "x", "y")
+    pair = map_rows(dealt, "a binary, b binary, need int, c int", _across(percent))
+    short = found.where("kind = 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), level_column(percent).alias("need"), "c")
+    enough = pair.unionByName(short).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need")
+    tried = best.unionByName(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = saved(apart(enough.join(tried, ["a", "b"], "left_anti"), roots))
     if not second.isEmpty():
-        roots = components(linked.unionByName(verify(source, keys, second, text, k, percent, parts)))
+        top = F.max(F.struct("c", "a", "b")).alias("x")
+        roots = link(saved(second.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(top).select("x.a", "x.b").distinct()))
+        third = saved(apart(second, roots).select("a", "b"))
+        if not third.isEmpty():
+            roots = link(third)
 
     # a group's smallest id, then back to its rows
     nodes = members.where("n_shingles > 0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
