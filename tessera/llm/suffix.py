@@ -9,6 +9,12 @@ Substrings travel in compressed blobs by range of the minimiser. A window that
 one input chunk holds several times is shipped once, for the smallest id; the
 other documents' copies are known to be repeats there and then.
 
+Before that, texts that can't have repeats are thinned out. Whole copies of a
+text with a smaller id are settled by their digest. For the others a first
+pass sends only 32 bits for each minimiser, with a longer gram, to tasks that
+find those of more than one document. They return to their documents, and
+only windows with such a minimiser travel as text.
+
 In a range, windows that occur in more than one document are found by hash.
 Of those, only suffixes at which a repeat can begin are kept: a class of equal
 windows whose occurrences all have the same byte to their left only continues
@@ -40,10 +46,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import map_rows, others, saved
+from tessera.llm.shared import hint, map_rows, others, saved
 from tessera.llm.text import Powers, byte_codes, mix, pieces, rows, sliding_min, spans_of
 
 K = 16
+FILTER_K = 28  # grams of the first pass
 LONGEST = 256  # windows in a substring; longer runs of one minimiser are cut
 CHUNK = 4 << 20
 LAST = np.int64(2**63 - 1)
@@ -61,19 +68,20 @@ def _words(data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def minimisers(data: np.ndarray, span: int) -> np.ndarray:
-    """The smallest hash of the K-byte grams of each window."""
-    n = len(data) - K + 1
-    if n < span - K + 1:
+def minimisers(data: np.ndarray, span: int, k: int = K) -> np.ndarray:
+    """The smallest hash of the k-byte grams of each window, for k from 16 up and divisible by 4."""
+    n = len(data) - k + 1
+    if n < span - k + 1:
         return np.zeros(0, np.uint64)
-    w = _words(data, n + 8)
+    w = _words(data, len(data) - 7)
     g = w[:n] * _ODD
-    g ^= g >> np.uint64(29)
-    g += w[8 : n + 8]
-    g *= _MIX
+    for at in [*range(8, k - 8, 8), k - 8]:
+        g ^= g >> np.uint64(29)
+        g += w[at : n + at]
+        g *= _MIX
     g ^= g >> np.uint64(32)
     g *= _ODD
-    return sliding_min(g, span - K + 1)
+    return sliding_min(g, span - k + 1)
 
 
 def window_hashes(data: np.ndarray, span: int, powers: Powers, codes: np.ndarray) -> np.ndarray:
@@ -95,13 +103,13 @@ _CODES = byte_codes(9)
 _CODES[65:91] = mix(np.arange(1000, 1026, dtype=np.uint64))  # here case matters
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, boundaries, ids and row hashes, offsets in their texts) of some texts."""
+def _chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple]:
+    """(bytes, boundaries, ids and row hashes, offsets in their texts, or with keys those) of some texts."""
     for batch in batches:
         for lo, hi in pieces(batch.column(text), CHUNK):
             data, at = rows(batch.column(text).slice(lo, hi - lo))
             ids = np.array([np.asarray(batch.column(c).slice(lo, hi - lo), dtype=np.int64) for c in ("__id", "__row")])
-            yield data, at, ids, np.zeros(hi - lo, np.int64)
+            yield data, at, ids, batch.column("keys").slice(lo, hi - lo).to_pylist() if "keys" in batch.schema.names else np.zeros(hi - lo, np.int64)
 
 
 def _pieces_of(data: np.ndarray, at: np.ndarray, ids: np.ndarray, base: np.ndarray, span: int) -> Iterator[tuple]:
@@ -113,13 +121,125 @@ def _pieces_of(data: np.ndarray, at: np.ndarray, ids: np.ndarray, base: np.ndarr
         yield part, np.array([0, len(part)]), ids, base + lo
 
 
+def _inside(at: np.ndarray, n: int, span: int) -> np.ndarray:
+    """Whether each of n windows lies in one text."""
+    edge = np.zeros(n + 1, np.int32)
+    a, b = np.minimum(at[:-1], n), np.minimum(np.maximum(at[1:] - span + 1, at[:-1]), n)
+    np.add.at(edge, a, 1)
+    np.add.at(edge, b, -1)
+    return np.cumsum(edge[:n]) > 0
+
+
+def _anchors(span: int, ranges: int, text: str):
+    """First pass: 32 bits of each minimiser of a document, by range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        press = zstandard.ZstdCompressor(level=1)
+        for chunk in _chunks(batches, text):
+            for data, at, ids, _ in _pieces_of(*chunk, span):
+                low = minimisers(data, span, FILTER_K)
+                if not len(low):
+                    continue
+                new = _inside(at, len(low), span)
+                change = np.concatenate(([True], low[1:] != low[:-1]))
+                change[at[at < len(low)]] = True
+                where = np.flatnonzero(new & (change | np.concatenate(([True], ~new[:-1]))))
+                doc = np.searchsorted(at, where, "right") - 1
+                value = low[where] * _ODD
+                r = ((value >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+                order = np.lexsort((doc, r))
+                r, doc, key = r[order], doc[order], (value[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                edge = np.searchsorted(r, np.arange(ranges + 1))
+                for q in np.unique(r).tolist():
+                    a, b = edge[q], edge[q + 1]
+                    here, own = np.unique(doc[a:b], return_inverse=True)
+                    body = np.array([len(here), b - a], np.int32).tobytes() + ids[:, here].tobytes() + np.diff(own, prepend=0).astype(np.int32).tobytes()
+                    yield {"part": [0], "r": [q], "blob": [_pack(press, body, key[a:b])]}
+
+    return run
+
+
+def _pack(press, body: bytes, keys: np.ndarray) -> bytes:
+    """keys are random bits, so only the rest is compressed."""
+    small = press.compress(body)
+    return np.int32(len(small)).tobytes() + small + keys.tobytes()
+
+
+def _shared(buckets: int):
+    """Minimisers of more than one document, sent back to their documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        press, open_ = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        for _, blobs in _groups(batches, packed=False):
+            ids, keys = [], []
+            for blob in blobs:
+                n = int(np.frombuffer(blob, np.int32, 1)[0])
+                body = open_.decompress(blob[4 : 4 + n])
+                d, e = (int(x) for x in np.frombuffer(body, np.int32, 2))
+                own = np.frombuffer(body, np.int64, 2 * d, 8).reshape(2, -1)
+                ids.append(own[:, np.cumsum(np.frombuffer(body, np.int32, e, 8 + 16 * d))])
+                keys.append(np.frombuffer(blob, np.uint32, e, 4 + n))
+            doc, key = np.concatenate(ids, axis=1), np.concatenate(keys)
+            order = np.argsort(key, kind="stable")
+            doc, key = doc[:, order], key[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            many = np.minimum.reduceat(doc[0], first) != np.maximum.reduceat(doc[0], first)
+            keep = np.repeat(many, np.diff(np.append(first, len(key))))
+            doc, key = doc[:, keep], key[keep]
+            bucket = _bucket_of(doc[0], buckets)
+            order = np.argsort(bucket, kind="stable")
+            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for q in np.unique(bucket).tolist():
+                own = order[edge[q] : edge[q + 1]]
+                yield {"part": [0], "r": [q], "blob": [press.compress(doc[:, own].tobytes() + key[own].tobytes())]}
+
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The shared minimisers of each document."""
+    for _, blobs in _groups(batches):
+        docs, keys = [], []
+        for blob in blobs:
+            n = len(blob) // 20
+            docs.append(np.frombuffer(blob, np.int64, 2 * n).reshape(2, -1))
+            keys.append(np.frombuffer(blob, np.uint32, n, 16 * n))
+        doc, key = np.concatenate(docs, axis=1), np.concatenate(keys)
+        order = np.lexsort((key, doc[1], doc[0]))
+        doc, key = doc[:, order], key[order]
+        cut = np.flatnonzero(np.concatenate(([True], (doc[:, 1:] != doc[:, :-1]).any(axis=0))))
+        stop = np.append(cut[1:], len(key))
+        for lo in range(0, len(cut), 2000):
+            a, b = cut[lo : lo + 2000], stop[lo : lo + 2000]
+            yield {"__id": doc[0, a], "__row": doc[1, a], "keys": [key[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]}
+
+
+def _bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return (((ids.astype(np.uint64) * _MIX) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _wanted(data: np.ndarray, at: np.ndarray, keys: list[bytes], span: int) -> np.ndarray:
+    """Whether each window's first-pass minimiser is among its document's keys."""
+    low = minimisers(data, span, FILTER_K)
+    change = np.concatenate(([True], low[1:] != low[:-1]))
+    change[at[at < len(low)]] = True
+    runs = np.flatnonzero(change)
+    doc = np.searchsorted(at, runs, "right") - 1
+    # document number and key as one sorted integer
+    sizes = [len(k) // 4 for k in keys]
+    known = (np.repeat(np.arange(len(keys)), sizes).astype(np.uint64) << np.uint64(32)) | np.frombuffer(b"".join(keys), np.uint32)
+    own = (doc.astype(np.uint64) << np.uint64(32)) | ((low[runs] * _ODD) & np.uint64(0xFFFFFFFF))
+    hit = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own if len(known) else np.zeros(len(own), bool)
+    return np.repeat(hit, np.diff(np.append(runs, len(low))))
+
+
 def _spread(span: int, ranges: int, buckets: int, text: str):
     """Substrings to their ranges (part 0); repeats known in a chunk to their documents (part 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         press, powers = zstandard.ZstdCompressor(level=1), Powers()
-        for chunk in _chunks(batches, text):
-            for data, at, ids, base in _pieces_of(*chunk, span):
+        for *chunk, keys in _chunks(batches, text):
+            for data, at, ids, base in _pieces_of(*chunk, np.zeros(len(keys), np.int64), span):
                 low = minimisers(data, span)
                 if not len(low):
                     continue
@@ -129,9 +249,7 @@ def _spread(span: int, ranges: int, buckets: int, text: str):
                 start[1:] = low[1:] != low[:-1]
                 cut = at[at < n]
                 start[cut] = True
-                ok = np.ones(n, bool)  # windows inside one text
-                for c in at[1:-1].tolist():
-                    ok[max(0, c - span + 1) : c] = False
+                ok = _inside(at, n, span) & _wanted(data, at, keys, span)
                 start[1:] |= ok[1:] != ok[:-1]
                 runs = np.flatnonzero(start)
                 for a, b in zip(runs.tolist(), [*runs[1:].tolist(), n], strict=True) if n > LONGEST else ():
@@ -188,7 +306,7 @@ _OTHER = mix(np.arange(5000, 5256, dtype=np.uint64))
 
 def _to_documents(ids: np.ndarray, start: np.ndarray, size: np.ndarray, buckets: int, press) -> Iterator[dict]:
     """Spans as blobs by bucket of documents (id and row hash)."""
-    bucket = ((ids[0].astype(np.uint64) * _MIX) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    bucket = _bucket_of(ids[0], buckets)
     order = np.lexsort((start, ids[1], ids[0], bucket))
     ids, start, end, bucket = ids[:, order], start[order], (start + size)[order], bucket[order]
     new = np.ones(len(start), bool)
@@ -201,7 +319,7 @@ def _to_documents(ids: np.ndarray, start: np.ndarray, size: np.ndarray, buckets:
         yield {"part": [1], "r": [int(bucket[a])], "blob": [press.compress(np.concatenate((ids[0, a:b], ids[1, a:b], start[a:b], end[a:b])).tobytes())]}
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+def _groups(batches: Iterator[pa.RecordBatch], packed: bool = True) -> Iterator[tuple[int, list[bytes]]]:
     """Blobs by part and range; rows come sorted by both."""
     last, own, open_ = None, [], zstandard.ZstdDecompressor()
     for batch in batches:
@@ -210,7 +328,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes
                 yield last[0], own
                 own = []
             last = (part, r)
-            own.append(open_.decompress(blob.as_py()))
+            own.append(open_.decompress(blob.as_py()) if packed else blob.as_py())
     if own:
         yield last[0], own
 
@@ -322,17 +440,12 @@ def repeats_of(data: np.ndarray, ids: np.ndarray, pos: np.ndarray, size: np.ndar
     return np.concatenate(out[0], axis=1), np.concatenate(out[1]), np.concatenate(out[2])
 
 
-def _bucket(blob: bytes, buckets: int) -> int:
-    one = np.frombuffer(blob, np.int64, 1).astype(np.uint64)
-    return int((((one * _MIX) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32))[0])
-
-
 def _find(span: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         press = zstandard.ZstdCompressor(level=1)
         for part, blobs in _groups(batches):
             if part == 1:  # already known
-                yield {"part": [1] * len(blobs), "r": [_bucket(b, buckets) for b in blobs], "blob": [press.compress(b) for b in blobs]}
+                yield {"part": [1] * len(blobs), "r": [int(_bucket_of(np.frombuffer(b, np.int64, 1), buckets)[0]) for b in blobs], "blob": [press.compress(b) for b in blobs]}
                 continue
             found = repeats_of(*_load(blobs), span)
             if len(found[1]):
@@ -361,11 +474,16 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {"__id": ids[a], "__row": row[a], "spans": [np.concatenate((start[x:y], end[x:y])).tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]}
 
 
-def _cut(column: pa.Array, spans: pa.Array) -> list[pa.Array]:
+def _cut(column: pa.Array, spans: pa.Array, copies: pa.Array) -> list[pa.Array]:
     data, at = rows(column)
     kept, removed, runs = [], [], []
-    for i, blob in enumerate(spans.to_pylist()):
+    for i, (blob, copy) in enumerate(zip(spans.to_pylist(), copies.to_pylist(), strict=True)):
         own = data[at[i] : at[i + 1]]
+        if copy:
+            kept.append(b"")
+            removed.append(len(own))
+            runs.append([{"start": 0, "end": len(own)}])
+            continue
         if blob is None:
             kept.append(own.tobytes())
             removed.append(0)
@@ -383,31 +501,41 @@ def _cut(column: pa.Array, spans: pa.Array) -> list[pa.Array]:
     return [pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
 
 
-def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, span: int = 50, range_bytes: int = 2 << 20, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, span: int = 50, range_bytes: int = 2 << 20, broadcast_bytes: int = 64 << 20, broadcast_rows: int = 500_000) -> DataFrame:
     """Each row of docs with kept (bytes that stay), n_removed and removed (byte spans)."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     tags = [F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))).alias("__id"), F.xxhash64(body).alias("__row"), body.alias("__text")]
-    source = docs.select(*tags)
-    total = source.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    tagged = docs.select(*tags).withColumn("__digest", F.md5(F.col("__text").cast("binary"))).where(F.octet_length("__text") >= span)
+    total = tagged.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    # whole copies: of each text that several ids have, the smallest id
+    same = saved(tagged.groupBy("__digest").agg(F.min("__id").alias("__least"), F.max("__id").alias("__most")).where("__least <> __most").select("__digest", "__least"))
+    same = hint(same, broadcast_rows)
+    source = tagged.join(same, "__digest", "left").where(F.col("__least").isNull() | (F.col("__least") == F.col("__id"))).select("__id", "__row", "__text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(parts, -(-total // range_bytes))
     buckets = max(parts, -(-total // (16 * range_bytes)))
-    far = map_rows(source, SCHEMA, _spread(span, ranges, buckets, "__text")).repartition(parts, "part", "r").sortWithinPartitions("part", "r")
+    first = map_rows(source, SCHEMA, _anchors(span, buckets, "__text")).repartition(parts, "r").sortWithinPartitions("r")
+    back = map_rows(first, SCHEMA, _shared(buckets)).repartition(parts, "r").sortWithinPartitions("r")
+    keys = saved(map_rows(back, "__id long, __row long, keys binary", _gather))
+    weight = keys.agg(F.sum(F.octet_length("keys") + 40)).first()[0] or 0
+    keyed = source.join(F.broadcast(keys) if weight <= broadcast_bytes else keys, ["__id", "__row"])
+    far = map_rows(keyed, SCHEMA, _spread(span, ranges, buckets, "__text")).repartition(parts, "part", "r").sortWithinPartitions("part", "r")
     found = map_rows(far, SCHEMA, _find(span, buckets)).repartition(parts, "r").sortWithinPartitions("part", "r")
     spans = saved(map_rows(found, "__id long, __row long, spans binary", _merge))
     weight = spans.agg(F.sum(F.octet_length("spans") + 40)).first()[0] or 0
     names = ["kept", "n_removed", "removed"]
     keep = others(docs.select(*keep) if keep else docs, names)
-    own = docs.select(*keep, *tags)
-    joined = own.join(F.broadcast(spans) if weight <= broadcast_bytes else spans, ["__id", "__row"], "left")
+    own = docs.select(*keep, *tags).withColumn("__digest", F.md5(F.col("__text").cast("binary")))
+    copy = F.coalesce((F.octet_length("__text") >= span) & (F.col("__least") < F.col("__id")), F.lit(False)).alias("__copy")
+    joined = own.join(same, "__digest", "left").join(F.broadcast(spans) if weight <= broadcast_bytes else spans, ["__id", "__row"], "left")
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("kept", T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for lo, hi in pieces(batch.column("__text")):
                 part = batch.slice(lo, hi - lo)
-                new = _cut(part.column("__text"), part.column("spans"))
+                new = _cut(part.column("__text"), part.column("spans"), part.column("__copy"))
                 yield {c: part.column(c) for c in keep} | dict(zip(names, new, strict=True))
 
-    return map_rows(joined.select(*keep, "__text", "spans"), schema, run)
+    return map_rows(joined.select(*keep, "__text", "spans", copy), schema, run)

@@ -67,6 +67,13 @@ def test_long_texts_go_in_pieces(monkeypatch):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([0] * len(docs)), pa.array([t for _, t in docs])], names=["__id", "__row", "__text"])
+    order = [("part", "ascending"), ("r", "ascending")]
+    typed = pa.schema([("part", pa.int32()), ("r", pa.int32()), ("blob", pa.binary())])
+    table = lambda rows: iter(pa.Table.from_batches([pa.RecordBatch.from_pydict(d).cast(typed) for d in rows]).sort_by(order).to_batches())
+    keys = {}
+    for d in suffix._gather(table(suffix._shared(3)(table(suffix._anchors(50, 3, "__text")(iter([batch])))))):
+        keys |= dict(zip((int(i) for i in d["__id"]), d["keys"], strict=True))
+    batch = batch.append_column("keys", pa.array([keys.get(i, b"") for i, _ in docs], pa.binary()))
     sent = [pa.RecordBatch.from_pydict(d) for d in suffix._spread(50, 4, 2, "__text")(iter([batch]))]
     table = pa.Table.from_batches([b.cast(pa.schema([("part", pa.int32()), ("r", pa.int32()), ("blob", pa.binary())])) for b in sent]).sort_by([("part", "ascending"), ("r", "ascending")])
     found = pa.Table.from_batches([pa.RecordBatch.from_pydict(d) for d in suffix._find(50, 2)(iter(table.to_batches()))]).sort_by([("part", "ascending"), ("r", "ascending")])
