@@ -97,7 +97,7 @@ def test_overrides_and_statistics(spark):
     m = spark.createDataFrame([(1, 0, 1, "a", "a", 1, 20, 300, 90, 1), (1, 0, 2, "a b", "a b", 2, 20, 700, 80, 2), (1, 4, 1, "c", "c", 3, 1600, 1900, 5, 3)], "job_id long, word_index int, span int, matched_text string, entry string, line_no int, start int, end int, score int, match_rank int")
     none = spark.createDataFrame([], "job_id long, action string, word_index int, text string, start int, end int")
     o = rs.apply_corrections(none, m, spark.createDataFrame([(1, 0), (1, 0), (1, 77)], "job_id long, word_index int"), spark.createDataFrame([(1, "x", 5, 9)], "job_id long, text string, start int, end int"))
-    assert sorted((r.action, r.word_index, r.text) for r in o.collect() if r.action == "skip") == [("skip", 0, "a b"), ("skip", 77, None)] or sorted(((r.word_index, r.text) for r in o.where("action = 'skip'").collect())) == [(0, "a b"), (77, None)]
+    assert sorted(((r.word_index, r.text) for r in o.where("action = 'skip'").collect())) == [(0, "a b"), (77, None)]
     log = rs.redaction_log(m, o, 50).orderBy("log_rank").collect()
     assert [(r.source, r.padded_start, r.padded_end) for r in log] == [("review_add", 0, 59), ("matched", 1550, 1950)]
     assert rs.redaction_log(m, none, 50).count() == 3
