@@ -298,15 +298,16 @@ def _links(percent: int):
             pairs = {2: [_two(nodes, n, level, doc, place, cuts[size == 2], percent)], 1: []}
             entry = []
             for lo, m in zip(cuts[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                own = doc[lo : lo + m]
                 entry.append(np.arange(lo, lo + m))
-                for some in (own, own[::-1]):
+                for some in (entry[-1], entry[-1][::-1]):
                     while len(some) > 1:
-                        lead, small, large = some[0], np.minimum(n[some[0]], n[some]), np.maximum(n[some[0]], n[some])
-                        near = least_shared(large, percent) <= small
-                        near[0] = False
-                        if near.any():
-                            pairs[1].append((np.full(int(near.sum()), lead), some[near]))
+                        own, size_ = doc[some], n[doc[some]].astype(np.int64)
+                        near = least_shared(np.maximum(size_[0], size_), percent) <= np.minimum(size_[0], size_)
+                        need, least = level_of(size_[0], size_, level[own[0]], level[own], percent)
+                        counts = near & (place[some[0]] < size_[0] - least + need) & (place[some] < size_ - least + need)
+                        counts[0] = False
+                        if counts.any():
+                            pairs[1].append((np.full(int(counts.sum()), own[0]), own[counts]))
                         some = some[1:][~near[1:]]
             for kind, found in pairs.items():
                 if found:
@@ -460,7 +461,7 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("root_a <> root_b")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, least_frequent: int = 64, most_frequent: int = 2_000_000, range_tokens: int = 4_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, least_frequent: int = 16, most_frequent: int = 2_000_000, range_tokens: int = 4_000_000) -> DataFrame:
     """One row for each row of docs: id, n_shingles and component_id, the smallest id reachable by links."""
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias(doc_id), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("__key"), F.col(text).alias(text))
