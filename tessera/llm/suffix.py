@@ -52,7 +52,7 @@ from tessera.llm.text import Powers, byte_codes, mix, pieces, rows, sliding_min,
 K = 16
 FILTER_K = 28  # grams of the first pass
 LONGEST = 256  # windows in a substring; longer runs of one minimiser are cut
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 LAST = np.int64(2**63 - 1)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -501,7 +501,7 @@ def _cut(column: pa.Array, spans: pa.Array, copies: pa.Array) -> list[pa.Array]:
     return [pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
 
 
-def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, span: int = 50, range_bytes: int = 2 << 20, broadcast_bytes: int = 64 << 20, broadcast_rows: int = 500_000) -> DataFrame:
+def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, span: int = 50, range_bytes: int = 1 << 20, broadcast_bytes: int = 16 << 20, broadcast_rows: int = 500_000) -> DataFrame:
     """Each row of docs with kept (bytes that stay), n_removed and removed (byte spans)."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
@@ -514,7 +514,7 @@ def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     source = tagged.join(same, "__digest", "left").where(F.col("__least").isNull() | (F.col("__least") == F.col("__id"))).select("__id", "__row", "__text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(parts, -(-total // range_bytes))
-    buckets = max(parts, -(-total // (16 * range_bytes)))
+    buckets = max(parts, -(-total // (16 * range_bytes)))  # of 16 MB of text unless ranges are set otherwise
     first = map_rows(source, SCHEMA, _anchors(span, buckets, "__text")).repartition(parts, "r").sortWithinPartitions("r")
     back = map_rows(first, SCHEMA, _shared(buckets)).repartition(parts, "r").sortWithinPartitions("r")
     keys = saved(map_rows(back, "__id long, __row long, keys binary", _gather))
