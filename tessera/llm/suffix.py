@@ -361,7 +361,7 @@ def maximal_repeats(data: bytes, suffixes: np.ndarray, ends: np.ndarray, before:
     text = [data[a:b] for a, b in zip(suffixes.tolist(), ends.tolist(), strict=True)]
     order = sorted(range(len(text)), key=text.__getitem__)
     text = [text[i] for i in order]
-    order = np.array(order)
+    order = np.array(order, np.int64)
     left = before[order].tolist()
     stack: list[list] = []  # [common prefix, first suffix, left byte of all or None where they differ]
     for i in range(1, len(text) + 1):
@@ -401,43 +401,67 @@ def repeats_of(data: np.ndarray, ids: np.ndarray, pos: np.ndarray, size: np.ndar
     edge[starts[:-1]] += 1
     edge[starts[1:] - span + 1] -= 1
     ok = np.cumsum(edge[: len(h)], dtype=np.int8) > 0  # windows inside one substring
-    where = np.flatnonzero(ok)
-    h = h[where]
-    order = np.argsort(h, kind="stable")
-    h, where = h[order], where[order]
-    new = np.concatenate(([True], h[1:] != h[:-1]))
-    first = np.flatnonzero(new)
-    many = np.repeat(np.diff(np.append(first, len(h))) > 1, np.diff(np.append(first, len(h))))
-    where, h = where[many], h[many]
-    if not len(where):
-        return ids[:, :0], pos[:0], pos[:0]
-    own = np.searchsorted(starts, where, "right") - 1
-    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    width = np.diff(np.append(first, len(h)))
-    doc = ids[0][own]
+    entry = np.repeat(np.arange(len(size)), size)[: len(h)]
+
+    # equal substrings (as in periodic texts) are one from here on: 128 bits of their windows in order
+    turn = 2 * (np.arange(len(h)) - starts[entry]).astype(np.uint64) + np.uint64(1)
+    sums = [np.add.reduceat(np.where(ok, x * turn, np.uint64(0)), starts[:-1]) for x in (h, mix(h ^ _ODD))]
+    order = np.lexsort((ids[0], sums[1], sums[0], size))
+    new = np.ones(len(order), bool)
+    new[1:] = (size[order][1:] != size[order][:-1]) | (sums[0][order][1:] != sums[0][order][:-1]) | (sums[1][order][1:] != sums[1][order][:-1])
+    head = np.flatnonzero(new)
+    count = np.diff(np.append(head, len(order)))
+    kind = np.empty(len(order), np.int64)  # of each substring
+    kind[order] = np.cumsum(new) - 1
+    first = order[head]  # the substring of each kind that has the smallest id
+    least, most = ids[0][first], ids[0][order[head + count - 1]]
+
+    # a substring that documents share is a repeat as a whole
+    whole = np.flatnonzero(ids[0] > least[kind])
+    out = [(whole, np.zeros(len(whole), np.int64), size[whole])]
+
+    chosen = np.zeros(len(size), bool)
+    chosen[first] = True
+    where = np.flatnonzero(ok & chosen[entry])
+    by = np.argsort(h[where], kind="stable")
+    where = where[by]
+    own, value = entry[where], h[where]
+    group = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+    width = np.diff(np.append(group, len(where)))
     at_start = where == starts[own]
     # without a known byte to the left an occurrence differs from all others
-    byte = np.where(at_start, before[own].astype(np.int64), data[np.maximum(where - 1, 0)].astype(np.int64))
-    byte = np.where(byte < 0, -1 - np.arange(len(where)), byte)
-    several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+    byte = np.where(at_start, -1 - np.arange(len(where)), data[np.maximum(where - 1, 0)].astype(np.int64))
+    several = np.minimum.reduceat(least[kind[own]], group) != np.maximum.reduceat(most[kind[own]], group)
     # a substring's first window may begin in the middle of a repeat whose earlier windows went elsewhere
-    diverse = (np.minimum.reduceat(byte, first) != np.maximum.reduceat(byte, first)) | np.logical_or.reduceat(at_start, first)
-    keep = np.repeat(several & diverse, width)
-    where, own = where[keep], own[keep]
-    byte = np.where(at_start[keep], -1 - np.arange(len(where)), byte[keep])
-    out: list[list[np.ndarray]] = [[], [], []]
-    raw = data.tobytes()
-    for depth, some in maximal_repeats(raw, where, starts[own + 1], byte, span):
-        d = ids[0][own[some]]
-        later = some[d > d.min()]
+    diverse = (np.minimum.reduceat(byte, group) != np.maximum.reduceat(byte, group)) | np.logical_or.reduceat(at_start, group)
+    keep = np.repeat(several & diverse & (width > 1), width)
+    where, own, byte = where[keep], own[keep], byte[keep]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for depth, some in maximal_repeats(data.tobytes(), where, starts[own + 1], byte, span):
+        small = least[kind[own[some]]]
+        later = some[small > small.min()]
         if len(later):
-            s = own[later]
-            out[0].append(ids[:, s])
-            out[1].append(pos[s] + where[later] - starts[s])
-            out[2].append(np.full(len(later), depth))
-    if not out[0]:
-        return ids[:, :0], pos[:0], pos[:0]
-    return np.concatenate(out[0], axis=1), np.concatenate(out[1]), np.concatenate(out[2])
+            found.append((kind[own[later]], where[later] - starts[own[later]], np.full(len(later), depth)))
+    if found:
+        of, start, length = (np.concatenate(x) for x in zip(*found, strict=True))
+        of, start, end = _union(of, start, start + length)
+        times = count[of]
+        each = order[np.repeat(head[of], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        out.append((each, np.repeat(start, times), np.repeat(end - start, times)))
+    each, start, length = (np.concatenate(x) for x in zip(*out, strict=True))
+    return ids[:, each], pos[each] + start, length
+
+
+def _union(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each group, merged where they meet."""
+    order = np.lexsort((start, group))
+    group, start, end = group[order], start[order], end[order]
+    wide = int(end.max()) + 1  # all groups on one line, each shifted by more than the longest reach
+    number = np.cumsum(np.concatenate(([0], group[1:] != group[:-1])))
+    reach = np.maximum.accumulate(end + number * wide)
+    first = np.flatnonzero(np.concatenate(([True], (start + number * wide)[1:] > reach[:-1])))
+    last = np.append(first[1:], len(group)) - 1
+    return group[first], start[first], reach[last] - number[first] * wide
 
 
 def _find(span: int, buckets: int):
