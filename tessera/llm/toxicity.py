@@ -13,7 +13,9 @@ lower case, weighted by their share of the text's words; the share is smoothed
 by `smooth` words, so that a very short text needs more than one of them. The
 optimiser is Adam in numpy over mini-batches. A fifth of the sample is set
 aside to place the decision: a slope and an offset are fitted on it by
-logistic regression, so 0.5 is where both classes are equally likely.
+logistic regression, so 0.5 is where both classes are equally likely. Each
+labelled row counts there by how many of all labelled rows of its class it
+stands for, so the bounds on the sample don't move the decision.
 
 Training sees at most `positives` and `unlabelled` rows, drawn by a hash of the
 text; whole texts are counted on the executors. Scoring reads every whole text
@@ -78,8 +80,8 @@ def _gather(x: Sparse, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.repeat(np.arange(len(some)), sizes), x.feature[at], x.value[at]
 
 
-def train(positive: np.ndarray, confirmed: np.ndarray, x: Sparse, prior: float, *, epochs: int = 40, batch: int = 512, rate: float = 0.1, decay: float = 1e-3, least_rows: int = 20, held: int = 5, seed: int = 11) -> Model:
-    """positive: marked toxic; confirmed: labelled 0 or 1, used only to place the decision. Features in fewer than least_rows rows (or a hundredth of a small sample) don't count."""
+def train(positive: np.ndarray, confirmed: np.ndarray, x: Sparse, prior: float, weight: np.ndarray | None = None, *, epochs: int = 40, batch: int = 512, rate: float = 0.1, decay: float = 1e-3, least_rows: int = 20, held: int = 5, seed: int = 11) -> Model:
+    """positive: marked toxic; confirmed: labelled 0 or 1, used only to place the decision; weight: how many rows each stands for in that. Features in fewer than least_rows rows (or a hundredth of a small sample) don't count."""
     r, size = np.random.default_rng(seed), 1 << BITS
     common = np.bincount(x.feature, minlength=size) >= max(1, min(least_rows, len(x) // 100))
     x = Sparse(x.cuts, x.feature, x.value * common[x.feature])
@@ -121,12 +123,17 @@ def train(positive: np.ndarray, confirmed: np.ndarray, x: Sparse, prior: float,
     if 10 <= y.sum() <= len(y) - 10:
         z = model.raw(x, test)
         z0, spread = z.mean(), max(z.std(), 1e-9)
+        c = np.ones(len(test)) if weight is None else weight[test] / weight[test].mean()
         z, theta = (z - z0) / spread, np.array([1.0, 0.0])
-        for _ in range(50):  # Newton's method, lightly regularised
+        loss = lambda t: (c * (np.logaddexp(0, t[0] * z + t[1]) - y * (t[0] * z + t[1]))).sum() + 0.05 * t[0] ** 2
+        for _ in range(50):  # Newton's method, lightly regularised; a step that overshoots is halved
             q = unit(theta[0] * z + theta[1])
-            k = q * (1 - q) + 1e-6
+            k = c * q * (1 - q) + 1e-6
             h = np.array([[(k * z * z).sum() + 0.1, (k * z).sum()], [(k * z).sum(), k.sum() + 0.01]])
-            theta -= np.linalg.solve(h, np.array([((q - y) * z).sum() + 0.1 * theta[0], (q - y).sum()]))
+            move, part = np.linalg.solve(h, np.array([(c * (q - y) * z).sum() + 0.1 * theta[0], (c * (q - y)).sum()])), 1.0
+            while part > 1e-6 and loss(theta - part * move) > loss(theta):
+                part /= 2
+            theta = theta - part * move
         if theta[0] > 0:
             model.slope, model.offset = float(theta[0] / spread), float(theta[1] - theta[0] * z0 / spread)
     return model
@@ -158,14 +165,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("kind"))
     ids = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id")).distinct()
     marked = saved(ids.join(marks, "id", "left").select("id", F.coalesce("kind", F.lit(-1)).alias("label"), F.md5(F.concat(F.lit("toxic"), F.col("id").cast("string")).cast("binary")).alias("by")))
-    prior = marked.agg(F.try_divide(F.count_if(F.col("label") == 1), F.count_if(F.col("label") >= 0)).alias("p")).first()["p"] or 0.0
+    known = marked.agg(*(F.count_if(F.col("label") == kind) for kind in (0, 1))).first()
+    prior = known[1] / max(1, sum(known))
     # one draw over all texts that aren't confirmed toxic, so that it is mixed as the corpus is
     drawn = [marked.where(side).orderBy("by").limit(n) for side, n in ((F.col("label") == 1, positives), (F.col("label") != 1, unlabelled))]
     keys = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most positives + unlabelled rows
     sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null").join(keys, "id").select("label", "text", "by")
     names, x = features(sample.dropDuplicates(["by"]), _counter)
     kinds = np.array(names, int)
-    return train(kinds == 1, kinds >= 0, x, min(max(float(prior), 0.001), 0.9), **more)
+    weight = np.ones(len(kinds))
+    for kind, n in enumerate(known):
+        weight[kinds == kind] = n / max(1, (kinds == kind).sum())
+    return train(kinds == 1, kinds >= 0, x, min(max(prior, 0.001), 0.9), weight, **more)
 
 
 def rate(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:

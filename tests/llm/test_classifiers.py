@@ -63,3 +63,14 @@ def test_toxicity_of_odd_texts(spark):
     assert len(got) == len(ODD) + 2 and got[-2].score > got[-1].score and all(0 <= r.score <= 1 for r in got)
     assert {r.score for r in toxicity.rate(odd, toxicity.fit(train, labels.where("label = 0"))).collect()} == {0.0}
     assert {r.score for r in toxicity.rate(odd, toxicity.fit(train.limit(0), labels.limit(0))).collect()} == {0.0}
+
+
+def test_bounds_on_the_toxicity_sample_do_not_move_the_decision(spark):
+    """Of those who say awful 37 in 100 are toxic, whatever the share of toxic rows in the sample."""
+    texts = [(i, 1, "awful thing" if i % 10 < 7 else "sweet thing") for i in range(1000)]
+    texts += [(10_000 + i, 0, "awful thing" if i % 20 < 3 else "sweet thing") for i in range(8000)]
+    rows = spark.createDataFrame(texts, "doc_id long, label int, text string")
+    odd = spark.createDataFrame([("awful thing",), ("sweet thing",)], "text string")
+    for more in ({"positives": 1000, "unlabelled": 8000}, {"positives": 800, "unlabelled": 800}):
+        awful, sweet = toxicity.rate(odd, toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "label"), **more)).collect()
+        assert 0.25 < awful.score < 0.49 and awful.predicted == 0 and sweet.score < 0.1
