@@ -46,7 +46,7 @@ KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0
 NEEDS = {
     "assign": (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey"),
     "access": (b"akia",),
-    "ident": (b"id=", b"id:", b"id =", b"id :", b'id"', b"id'"),
+    "ident": (b"_id", b"-id", b"keyid", b"clientid", b"userid", b"accountid", b"accessid", b"appid", b"applicationid", b"tenantid", b"projectid"),
     "endpoint": (b"://", b".amazonaws.com", b".windows.net", b".googleapis.com"),
 }
 SCHEMA = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("links", T.IntegerType())]))

@@ -3,7 +3,7 @@ import random
 import re
 
 from tessera.llm.queries import digest_secrets
-from tessera.llm.secrets import find_secrets
+from tessera.llm.secrets import base_spans, find_secrets, link
 
 PATTERNS = {
     "assign": (re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 12),
@@ -41,5 +41,16 @@ def test_weak_parts_need_complements(spark):
     assert kinds == {1: [], 2: ["access", "key"], 3: ["access"], 4: [], 5: ["endpoint", "key"], 6: ["ident", "assign", "hex"]}
 
 
+def test_prefilter_loses_no_identifier(spark):
+    """Aligned settings, against a scan without the prefilter."""
+    names = [f"{a}{b}{c}id" for a in "client user account access app application tenant project".split() for b in ("", "_", "-") for c in ("", "key", "key_")]
+    names += [n.upper() for n in names]
+    signs = ["=", "  = ", "   :", '"  =  ', "'     : "]
+    docs = list(enumerate(f"{n}{s}abcdef123\npassword = zzzzYYYY11112222" for n in names for s in signs))
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in find_secrets(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    for i, text in docs:
+        assert got[i] == sorted(link(text, base_spans(text)), key=lambda s: s[1]) and [s[0] for s in got[i]] == ["ident", "assign"], text
+
+
 def test_empty_table(spark):
     assert find_secrets(spark.createDataFrame([], "doc_id long, text string, spans int")).collect() == []
