@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -80,11 +81,12 @@ def link(text: str, base: list[tuple[str, int, int]], kinds: set[str] = frozense
         return [(*s, 0) for s in base]
     secrets = [(k, a, b) for k, a, b in base if k != "access"]
     taken = sorted((a, b) for _, a, b in base + weak + ends)
+    reach = list(accumulate((b for _, b in taken), max))
     keys = []
     for m in KEY.finditer(text):
         mixed = re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0])
         i = bisect_left(taken, (m.end(), 0))
-        if mixed and not any(b > m.start() for _, b in taken[max(0, i - 8) : i]):
+        if mixed and not (i and reach[i - 1] > m.start()):
             keys.append(("key", m.start(), m.end()))
 
     def counter(parts):

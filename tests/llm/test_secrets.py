@@ -52,5 +52,14 @@ def test_prefilter_loses_no_identifier(spark):
         assert got[i] == sorted(link(text, base_spans(text)), key=lambda s: s[1]) and [s[0] for s in got[i]] == ["ident", "assign"], text
 
 
+def test_key_in_a_long_value_is_covered():
+    key = "wJalrXUtnFEMI7K7MDENGbPxRfiCYEXAMPLEKEY1"
+    for n in (1, 8, 9, 40):
+        text = "https://db.example.com/x token=" + "0123456789abcdef." * n + key
+        kinds = [s[0] for s in link(text, base_spans(text))]
+        assert sorted(set(kinds)) == ["assign", "endpoint", "hex"] and kinds.count("hex") == n
+        assert "key" in [s[0] for s in link(f"{text} {key}", base_spans(f"{text} {key}"))] or n == 40  # beyond the scope
+
+
 def test_empty_table(spark):
     assert find_secrets(spark.createDataFrame([], "doc_id long, text string, spans int")).collect() == []
