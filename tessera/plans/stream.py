@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import query
-from tessera.streaming.run import closed_sessions
+from tessera.streaming.run import all_sessions
 
 
 @query("interval_stream")
 def interval_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = closed_sessions(spark, sf_dir, "events.parquet", 600)
+    rows = all_sessions(spark, sf_dir, "events.parquet", 600)
     return rows.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")

@@ -31,12 +31,13 @@ def progress(lines: DataFrame) -> DataFrame:
     return rows.select("job_id", "seq", "n_models", "model_index", "last_pct", fraction.alias("fraction"), label.alias("label"))
 
 
-def session_intervals(events: DataFrame, key: str, time: str, pad_seconds: int, delay: str = "0 seconds") -> DataFrame:
+def session_intervals(events: DataFrame, key: str, time: str, pad_seconds: int, delay: str | None = "0 seconds") -> DataFrame:
     """Union of [time - pad, time + pad] for each key, batch or stream: such intervals meet when times are at most 2 pads apart.
 
-    On a stream a session leaves the state once the watermark has passed it.
+    On a stream a session leaves the state once the watermark has passed it;
+    without a delay there is no watermark, for complete output.
     """
-    rows = events.withWatermark(time, delay) if events.isStreaming else events
+    rows = events.withWatermark(time, delay) if events.isStreaming and delay else events
     gap = F.session_window(time, f"{2 * pad_seconds} seconds")
     pad = F.expr(f"INTERVAL {pad_seconds} SECONDS")
     return rows.groupBy(key, gap).agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count("*").alias("n")).select(key, (F.col("first") - pad).alias("start"), (F.col("last") + pad).alias("end"), "n")

@@ -21,12 +21,14 @@ def stream_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def closed_sessions(spark: SparkSession, folder: str, pattern: str, pad_seconds: int) -> DataFrame:
-    """Sessions of events (user_id, ts) that the watermark has closed, as a table."""
+def all_sessions(spark: SparkSession, folder: str, pattern: str, pad_seconds: int) -> DataFrame:
+    """Sessions of events (user_id, ts) as a table, once the stream has read them all: those still open are in it."""
     schema = spark.read.parquet(f"{folder}/{pattern}").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
-    rows = session_intervals(events.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", pad_seconds, "1 minute")
+    rows = session_intervals(events.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", pad_seconds, None)
     out = stream_folder(spark)
-    job = rows.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").outputMode("append").trigger(availableNow=True).start()
+    spark.createDataFrame([], rows.schema).write.parquet(f"{out}/rows")  # for a folder without events
+    # complete output: each batch gives all sessions so far, in place of the batch before
+    job = rows.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/rows")).option("checkpointLocation", f"{out}/state").outputMode("complete").trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{out}/rows")

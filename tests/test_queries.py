@@ -34,6 +34,12 @@ def test_query_without_sql_has_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_interval_stream_has_all_sessions(spark):
+    columns = ["user_id", "start_us", "end_us", "n"]
+    got, want = (sorted(QUERIES[name](spark, SF).select(columns).collect()) for name in ("interval_stream", "interval_sessions"))
+    assert got == want and sum(r.n for r in got) == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 
