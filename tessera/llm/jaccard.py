@@ -27,7 +27,7 @@ three or more, leaves out lists that lie in one component, and pairs members
 of different components only, so the links within a large group of near
 copies are never written out; long lists are split into pairs of blocks.
 Candidates are verified as before, the best pair of each two components first.
-Components are those of all links.
+Components are those of all links. near_duplicate_links has the links themselves.
 
 Verification sends each needed set once for each leader; leaders of many are
 salted. Components come from repeated minimum and pointer jumping, each
@@ -461,8 +461,8 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("root_a <> root_b")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, least_frequent: int = 16, most_frequent: int = 2_000_000, range_tokens: int = 4_000_000) -> DataFrame:
-    """One row for each row of docs: id, n_shingles and component_id, the smallest id reachable by links."""
+def _prepared(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, least_frequent: int, most_frequent: int, range_tokens: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """Texts with their keys, rows with sizes and nodes, pairs and entries found in posting lists, a key for each node; and the number of partitions."""
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias(doc_id), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("__key"), F.col(text).alias(text))
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType())]
@@ -485,7 +485,24 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     blobs = postings(source, text, k, ranges, percent, shared)
     found = saved(map_rows(blobs.repartition(parts, "r").sortWithinPartitions("r"), FOUND, _links(percent)))
     keys = members.where("n_shingles > 0").groupBy("node").agg(F.min("__key").alias("key"))
+    return source, members, found, keys, parts
 
+
+def _candidates(found: DataFrame, roots: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Pairs (a, b) that share enough of their prefixes to be verified; of lists of three or more only those with different roots."""
+    entry = found.where("kind = 0").select("tok", F.col("a").alias("node"), F.col("na").alias("n"), F.col("la").alias("l"), F.col("c").alias("place"))
+    entry = saved(entry.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    mixed = entry.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / 20_000).cast("int").alias("blocks")).where("lo <> hi").select("tok", "blocks")
+    split = entry.join(mixed, "tok").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("z", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = split.select("tok", F.least("own", "z").alias("x"), F.greatest("own", "z").alias("y"), "own", "node", "root", "n", "l", "place").repartition(parts, "tok", "x", "y")
+    pair = map_rows(dealt, "a binary, b binary, need int, c int", _across(percent))
+    short = found.where("kind = 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), level_column(percent).alias("need"), "c")
+    return pair.unionByName(short).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need")
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, least_frequent: int = 16, most_frequent: int = 2_000_000, range_tokens: int = 4_000_000) -> DataFrame:
+    """One row for each row of docs: id, n_shingles and component_id, the smallest id reachable by links."""
+    source, members, found, keys, parts = _prepared(docs, doc_id, text, k, percent, least_frequent, most_frequent, range_tokens)
     linked: list[DataFrame] = []
 
     def link(pairs: DataFrame) -> DataFrame:
@@ -503,14 +520,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         roots = link(rest)
 
     # second round: what is left between components, first by the best pair of each two components
-    entry = found.where("kind = 0").select("tok", F.col("a").alias("node"), F.col("na").alias("n"), F.col("la").alias("l"), F.col("c").alias("place"))
-    entry = saved(entry.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    mixed = entry.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / 20_000).cast("int").alias("blocks")).where("lo <> hi").select("tok", "blocks")
-    split = entry.join(mixed, "tok").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("z", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = split.select("tok", F.least("own", "z").alias("x"), F.greatest("own", "z").alias("y"), "own", "node", "root", "n", "l", "place").repartition(parts, "tok", "x", "y")
-    pair = map_rows(dealt, "a binary, b binary, need int, c int", _across(percent))
-    short = found.where("kind = 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), level_column(percent).alias("need"), "c")
-    enough = pair.unionByName(short).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need")
+    enough = _candidates(found, roots, percent, parts)
     tried = best.unionByName(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = saved(apart(enough.join(tried, ["a", "b"], "left_anti"), roots))
     if not second.isEmpty():
@@ -525,3 +535,19 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     smallest = nodes.groupBy("root").agg(F.min(doc_id).alias("component_id"))
     grouped = nodes.join(smallest, "root").select(doc_id, "n_shingles", "component_id")
     return grouped.unionByName(members.where("n_shingles = 0").select(doc_id, "n_shingles", F.col(doc_id).alias("component_id")))
+
+
+def near_duplicate_links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, least_frequent: int = 16, most_frequent: int = 2_000_000, range_tokens: int = 4_000_000) -> DataFrame:
+    """All links between different sets, one row each: id_a and id_b, the smallest ids that have the sets, id_a <= id_b (null where no row has an id).
+
+    The second round of near_duplicates with each node a component of its own,
+    so the rows within a group of near copies grow with the square of its size.
+    """
+    source, members, found, keys, parts = _prepared(docs, doc_id, text, k, percent, least_frequent, most_frequent, range_tokens)
+    alone = keys.select("node", F.col("node").alias("root"))
+    links = verify(source, keys, saved(_candidates(found, alone, percent, parts).select("a", "b")), text, k, percent, parts)
+    ids = members.where("n_shingles > 0").groupBy("node").agg(F.min(doc_id).alias("id"))
+    for side in ("a", "b"):
+        links = links.join(ids.select(F.col("node").alias(side), F.col("id").alias(f"id_{side}")), side)
+    both = F.array_sort(F.array("id_a", "id_b"))  # an unknown id comes last
+    return links.select(both[0].alias("id_a"), both[1].alias("id_b"))

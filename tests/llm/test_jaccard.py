@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from tessera.llm.jaccard import near_duplicates
+from tessera.llm.jaccard import near_duplicate_links, near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = {i: i + 32 for i in range(65, 91)}
@@ -73,3 +73,19 @@ def test_empty_table_and_extra_columns(spark):
     df = spark.createDataFrame([(1, "a b", 3), (2, "a b", 4)], "doc_id long, text string, node int")
     assert sorted(tuple(r) for r in near_duplicates(df).collect()) == [(1, 1, 1), (2, 1, 1)]
     assert near_duplicates(df.limit(0)).collect() == []
+
+
+def test_links_match_brute_force(spark):
+    """Every link, also within a large group, where components need only some."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    docs = cases(4) + [(1000 + i, " ".join(edit(r, base, 0.02))) for i in range(80)] + [(2000, None), (2001, ""), (None, "one two"), (2002, "ONE two")]
+    least = {}
+    for d, t in docs:
+        if s := frozenset(shingles(t)):
+            least[s] = min((x for x in (d, least.get(s)) if x is not None), default=None)
+    sets = list(least)
+    want = sorted(tuple(sorted((least[a], least[b]))) for i, a in enumerate(sets) for b in sets[:i] if 100 * len(a & b) >= 75 * len(a | b))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    for more in ({}, {"least_frequent": 3, "most_frequent": 20}):
+        assert sorted(tuple(x) for x in near_duplicate_links(df, **more).collect()) == want and len(want) > 200
