@@ -15,6 +15,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tessera.llm.text import PIECE, pieces
 
 
+#: Spark's bound on the bytes of a batch that goes to Python, the value it has unless set, and the bound used here instead.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_UNSET, BATCH_BYTES = "67108864b", "8388608b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker and Spark hold of a batch at once, unless the session has its own bound."""
+    if spark.conf.get(BATCH, None) == BATCH_UNSET:
+        spark.conf.set(BATCH, BATCH_BYTES)
+
+
 def others(df: DataFrame, out: list[str]) -> list[str]:
     """The columns of df that an operator keeps: those whose names its own results don't take."""
     taken = {c.lower() for c in out}
@@ -27,6 +38,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[T.StructFi
     make() is called once in each task and gives a function from an Arrow
     string array to one Arrow array for each of the new fields.
     """
+    small_batches(df.sparkSession)
     schema = T.StructType([df.schema[c] for c in keep] + fields)
     arrow = to_arrow_schema(schema)
 
@@ -44,6 +56,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[T.StructFi
 
 def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
     """mapInArrow for functions that yield dicts of column name to array-like."""
+    small_batches(df.sparkSession)
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(schema)
@@ -90,6 +103,11 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitions(spark: SparkSession, size: int, each: int = 128 << 20) -> int:
+    """How many tasks an exchange over that many bytes gets: what the session says, and more where a task would get more than `each`."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
 def bounded(df: DataFrame, rows: int) -> bool:
     """Whether df, a computed table, has at most that many rows."""
     return df.limit(rows + 1).count() <= rows

@@ -15,44 +15,54 @@ pass sends only 32 bits for each minimiser, with a longer gram, to tasks that
 find those of more than one document. They return to their documents, and
 only windows with such a minimiser travel as text.
 
-In a range, windows that occur in more than one document are found by hash.
-Of those, only suffixes at which a repeat can begin are kept: a class of equal
-windows whose occurrences all have the same byte to their left only continues
-a longer repeat. The kept suffixes are sorted into a suffix array by their
-bytes, neighbours' common prefixes are measured, and a stack scan builds the
-interval tree: each interval is a string with all its occurrences. Intervals
-of at least `span` bytes whose left bytes differ are the maximal repeats, and
-each covers its occurrences in all documents but the smallest. The union over
-maximal repeats is the union over windows, as each repeated window lies in a
-maximal repeat with the same occurrences.
+In a range, equal substrings are one, known by 128 bits of their bytes, and
+substrings of different minimisers never meet, so those of a few minimisers are
+worked on at a time. Windows that occur in more than one document are found by
+hash. Of those, only suffixes at which a repeat can begin are kept: a class of
+equal windows whose occurrences all have the same byte to their left only
+continues a longer repeat. The kept suffixes are sorted into a suffix array by
+their bytes, eight at a time, with the common prefixes of neighbours, and a
+stack scan builds the interval tree. An interval is a string with all its
+occurrences, held as a range of the sorted suffixes, so nested intervals take no
+more memory than their number. Intervals of at least `span` bytes whose left
+bytes differ are the maximal repeats. Each suffix is covered by the deepest
+maximal repeat that holds it and occurs in a document with a smaller id. The
+union over maximal repeats is the union over windows, as each repeated window
+lies in a maximal repeat with the same occurrences.
 
 Covered spans return to their documents in blobs, are merged and cut out.
 
 Nulls and odd input: a null text is empty; a null id comes after all others;
 rows that repeat an id are never repeats of each other, and each is judged by
-its own text; texts shorter than `span` stay whole. Texts longer
-than a piece are processed in pieces that overlap by span - 1 bytes. Input
-columns named like results are replaced.
+its own text; texts shorter than `span` stay whole; an empty table gives an
+empty result. Texts longer than a piece are processed in pieces that overlap by
+span - 1 bytes. Ids are integers; text that is no number counts as null. Input
+columns named like results are replaced; all others, whatever their names, are
+kept as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import hint, map_rows, others, saved
+from tessera.llm.shared import hint, map_rows, others, partitions, saved
 from tessera.llm.text import Powers, byte_codes, mix, pieces, rows, sliding_min, spans_of
 
 K = 16
 FILTER_K = 28  # grams of the first pass
 LONGEST = 256  # windows in a substring; longer runs of one minimiser are cut
 CHUNK = 2 << 20
+GROUP = 1 << 19  # bytes of distinct substrings that are worked on at a time
 LAST = np.int64(2**63 - 1)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -70,18 +80,22 @@ def _words(data: np.ndarray, n: int) -> np.ndarray:
 
 def minimisers(data: np.ndarray, span: int, k: int = K) -> np.ndarray:
     """The smallest hash of the k-byte grams of each window, for k from 16 up and divisible by 4."""
-    n = len(data) - k + 1
-    if n < span - k + 1:
-        return np.zeros(0, np.uint64)
-    w = _words(data, len(data) - 7)
-    g = w[:n] * _ODD
-    for at in [*range(8, k - 8, 8), k - 8]:
-        g ^= g >> np.uint64(29)
-        g += w[at : n + at]
-        g *= _MIX
-    g ^= g >> np.uint64(32)
-    g *= _ODD
-    return sliding_min(g, span - k + 1)
+    n, step = max(len(data) - span + 1, 0), 1 << 16
+    out = np.empty(n, np.uint64)
+    for lo in range(0, n, step):
+        hi = min(n, lo + step)
+        block = data[lo : hi + span - 1]
+        m = len(block) - k + 1
+        w = _words(block, len(block) - 7)
+        g = w[:m] * _ODD
+        for at in [*range(8, k - 8, 8), k - 8]:
+            g ^= g >> np.uint64(29)
+            g += w[at : m + at]
+            g *= _MIX
+        g ^= g >> np.uint64(32)
+        g *= _ODD
+        out[lo:hi] = sliding_min(g, span - k + 1)
+    return out
 
 
 def window_hashes(data: np.ndarray, span: int, powers: Powers, codes: np.ndarray) -> np.ndarray:
@@ -130,8 +144,12 @@ def _inside(at: np.ndarray, n: int, span: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def _anchors(span: int, ranges: int, text: str):
-    """First pass: 32 bits of each minimiser of a document, by range."""
+def _anchors(span: int, ranges: int, buckets: int, text: str):
+    """First pass: 32 bits of each minimiser by range, from one document of a chunk (part 0).
+
+    What several documents of the chunk have is known to be shared and goes to
+    those documents at once (part 1).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         press = zstandard.ZstdCompressor(level=1)
@@ -144,8 +162,24 @@ def _anchors(span: int, ranges: int, text: str):
                 change = np.concatenate(([True], low[1:] != low[:-1]))
                 change[at[at < len(low)]] = True
                 where = np.flatnonzero(new & (change | np.concatenate(([True], ~new[:-1]))))
+                if not len(where):
+                    continue
                 doc = np.searchsorted(at, where, "right") - 1
                 value = low[where] * _ODD
+                del low, new, change
+                order = np.lexsort((doc, value))
+                doc, value = doc[order], value[order]
+                fresh = np.concatenate(([True], (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])))
+                doc, value = doc[fresh], value[fresh]
+                first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+                many = np.minimum.reduceat(ids[0][doc], first) != np.maximum.reduceat(ids[0][doc], first)
+                known = np.repeat(many, np.diff(np.append(first, len(value))))
+                if known.any():
+                    yield from _keys_to_documents(ids[:, doc[known]], (value[known] & np.uint64(0xFFFFFFFF)).astype(np.uint32), buckets, press)
+                # the others, and of each known key one
+                lone = ~known
+                lone[first] = True
+                doc, value = doc[lone], value[lone]
                 r = ((value >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
                 order = np.lexsort((doc, r))
                 r, doc, key = r[order], doc[order], (value[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -159,6 +193,16 @@ def _anchors(span: int, ranges: int, text: str):
     return run
 
 
+def _keys_to_documents(doc: np.ndarray, key: np.ndarray, buckets: int, press) -> Iterator[dict]:
+    """Keys as blobs by bucket of documents (id and row hash)."""
+    bucket = _bucket_of(doc[0], buckets)
+    order = np.argsort(bucket, kind="stable")
+    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for q in np.unique(bucket).tolist():
+        own = order[edge[q] : edge[q + 1]]
+        yield {"part": [1], "r": [q], "blob": [press.compress(doc[:, own].tobytes() + key[own].tobytes())]}
+
+
 def _pack(press, body: bytes, keys: np.ndarray) -> bytes:
     """keys are random bits, so only the rest is compressed."""
     small = press.compress(body)
@@ -170,7 +214,11 @@ def _shared(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         press, open_ = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-        for _, blobs in _groups(batches, packed=False):
+        for part, r, blobs in _groups(batches):
+            if part == 1:
+                for blob in blobs:  # already known
+                    yield {"part": [1], "r": [r], "blob": [blob]}
+                continue
             ids, keys = [], []
             for blob in blobs:
                 n = int(np.frombuffer(blob, np.int32, 1)[0])
@@ -180,27 +228,26 @@ def _shared(buckets: int):
                 ids.append(own[:, np.cumsum(np.frombuffer(body, np.int32, e, 8 + 16 * d))])
                 keys.append(np.frombuffer(blob, np.uint32, e, 4 + n))
             doc, key = np.concatenate(ids, axis=1), np.concatenate(keys)
+            del ids, keys
             order = np.argsort(key, kind="stable")
-            doc, key = doc[:, order], key[order]
+            key = key[order]
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            many = np.minimum.reduceat(doc[0], first) != np.maximum.reduceat(doc[0], first)
+            own = doc[0][order]
+            many = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
             keep = np.repeat(many, np.diff(np.append(first, len(key))))
-            doc, key = doc[:, keep], key[keep]
-            bucket = _bucket_of(doc[0], buckets)
-            order = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for q in np.unique(bucket).tolist():
-                own = order[edge[q] : edge[q + 1]]
-                yield {"part": [0], "r": [q], "blob": [press.compress(doc[:, own].tobytes() + key[own].tobytes())]}
+            if keep.any():
+                yield from _keys_to_documents(doc[:, order[keep]], key[keep], buckets, press)
 
     return run
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """The shared minimisers of each document."""
-    for _, blobs in _groups(batches):
+    open_ = zstandard.ZstdDecompressor()
+    for _, _, blobs in _groups(batches):
         docs, keys = [], []
         for blob in blobs:
+            blob = open_.decompress(blob)
             n = len(blob) // 20
             docs.append(np.frombuffer(blob, np.int64, 2 * n).reshape(2, -1))
             keys.append(np.frombuffer(blob, np.uint32, n, 16 * n))
@@ -263,11 +310,11 @@ def _spread(span: int, ranges: int, buckets: int, text: str):
                     continue
                 doc = np.searchsorted(at, runs, "right") - 1
                 size = ends - runs + span - 1
-                # runs of equal bytes: by a hash of the bytes (two sums of coded bytes); kept for the smallest id
-                h = _run_hashes(data, runs, size, powers)
-                order = np.lexsort((runs, ids[0][doc], h[1], h[0]))
+                # runs of equal bytes, by 128 bits of them: kept for the smallest id
+                h = _digests(data, runs, size)
+                order = np.lexsort((runs, ids[0][doc], h[:, 1], h[:, 0]))
                 same = np.zeros(len(order), bool)
-                same[1:] = (h[0][order][1:] == h[0][order][:-1]) & (h[1][order][1:] == h[1][order][:-1]) & (size[order][1:] == size[order][:-1])
+                same[1:] = (h[order][1:] == h[order][:-1]).all(axis=1)
                 group = np.cumsum(~same) - 1
                 first = order[np.flatnonzero(~same)][group]
                 known = ids[0][doc[order]] != ids[0][doc[first]]
@@ -283,25 +330,17 @@ def _spread(span: int, ranges: int, buckets: int, text: str):
                     own = order[edge[q] : edge[q + 1]]
                     at_byte = np.repeat(runs[own] - np.concatenate(([0], np.cumsum(size[own])[:-1])), size[own]) + np.arange(size[own].sum())
                     here, local = np.unique(doc[own], return_inverse=True)
-                    before = np.where(runs[own] > at[doc[own]], data[np.maximum(runs[own] - 1, 0)].astype(np.int16), -1)
                     head = np.array([len(here), len(own)], np.int32).tobytes()
-                    body = head + ids[:, here].tobytes() + base[here].tobytes() + np.diff(local, prepend=0).astype(np.int32).tobytes() + (runs[own] - at[doc[own]]).astype(np.int32).tobytes() + size[own].astype(np.int32).tobytes() + before.tobytes() + data[at_byte].tobytes()
+                    body = head + ids[:, here].tobytes() + base[here].tobytes() + np.diff(local, prepend=0).astype(np.int32).tobytes() + (runs[own] - at[doc[own]]).astype(np.int32).tobytes() + size[own].astype(np.int32).tobytes() + data[at_byte].tobytes()
                     yield {"part": [0], "r": [q], "blob": [press.compress(body)]}
 
     return run
 
 
-def _run_hashes(data: np.ndarray, runs: np.ndarray, size: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each run: a polynomial of its coded bytes, taken twice with other codes."""
-    powers.need(len(data) + 1)
-    out = []
-    for salt in (_CODES, _OTHER):
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(salt[data] * powers.up[: len(data)], dtype=np.uint64)))
-        out.append(mix((total[runs + size] - total[runs]) * powers.down[runs]))
-    return out[0], out[1]
-
-
-_OTHER = mix(np.arange(5000, 5256, dtype=np.uint64))
+def _digests(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """128 bits of each run of bytes, as two integers."""
+    raw, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(start.tolist(), (start + size).tolist(), strict=True)]), np.uint64).reshape(-1, 2)
 
 
 def _to_documents(ids: np.ndarray, start: np.ndarray, size: np.ndarray, buckets: int, press) -> Iterator[dict]:
@@ -319,137 +358,251 @@ def _to_documents(ids: np.ndarray, start: np.ndarray, size: np.ndarray, buckets:
         yield {"part": [1], "r": [int(bucket[a])], "blob": [press.compress(np.concatenate((ids[0, a:b], ids[1, a:b], start[a:b], end[a:b])).tobytes())]}
 
 
-def _groups(batches: Iterator[pa.RecordBatch], packed: bool = True) -> Iterator[tuple[int, list[bytes]]]:
-    """Blobs by part and range; rows come sorted by both."""
-    last, own, open_ = None, [], zstandard.ZstdDecompressor()
-    for batch in batches:
-        for part, r, blob in zip(batch.column("part").to_pylist(), batch.column("r").to_pylist(), batch.column("blob"), strict=True):
-            if (part, r) != last and own:
-                yield last[0], own
-                own = []
-            last = (part, r)
-            own.append(open_.decompress(blob.as_py()) if packed else blob.as_py())
-    if own:
-        yield last[0], own
-
-
-def _load(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Bytes of all substrings end to end, and each one's id and row hash, position, size and byte before."""
-    ids, pos, size, before, data = [], [], [], [], []
-    for blob in blobs:
-        d, e = (int(x) for x in np.frombuffer(blob, np.int32, 2))
-        own, base = np.frombuffer(blob, np.int64, 2 * d, 8).reshape(2, -1), np.frombuffer(blob, np.int64, d, 8 + 16 * d)
-        p = 8 + 24 * d
-        local = np.cumsum(np.frombuffer(blob, np.int32, e, p))
-        ids.append(own[:, local])
-        pos.append(base[local] + np.frombuffer(blob, np.int32, e, p + 4 * e))
-        size.append(np.frombuffer(blob, np.int32, e, p + 8 * e).astype(np.int64))
-        before.append(np.frombuffer(blob, np.int16, e, p + 12 * e))
-        data.append(np.frombuffer(blob, np.uint8, -1, p + 14 * e))
-    return np.concatenate(data), np.concatenate(ids, axis=1), *(np.concatenate(x) for x in (pos, size, before))
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, Iterator[bytes]]]:
+    """(part, range, blobs one by one); rows come sorted by both, and each group is read before the next."""
+    stream = ((part, r, blob.as_py()) for batch in batches for part, r, blob in zip(batch.column("part").to_pylist(), batch.column("r").to_pylist(), batch.column("blob"), strict=True))
+    for (part, r), own in groupby(stream, key=lambda x: x[:2]):
+        yield part, r, (x[2] for x in own)
+
+
+class Pool:
+    """The substrings of a range: bytes of each kind of equal ones, and each occurrence's kind, id, row hash and place."""
+
+    def __init__(self, blobs: Iterator[bytes]) -> None:
+        open_, number, data = zstandard.ZstdDecompressor(), {}, bytearray()
+        kind, ids, pos, width = [], [], [], []
+        for blob in blobs:
+            blob = open_.decompress(blob)
+            d, e = (int(x) for x in np.frombuffer(blob, np.int32, 2))
+            own, base = np.frombuffer(blob, np.int64, 2 * d, 8).reshape(2, -1), np.frombuffer(blob, np.int64, d, 8 + 16 * d)
+            p = 8 + 24 * d
+            local = np.cumsum(np.frombuffer(blob, np.int32, e, p))
+            ids.append(own[:, local])
+            pos.append(base[local] + np.frombuffer(blob, np.int32, e, p + 4 * e))
+            size = np.frombuffer(blob, np.int32, e, p + 8 * e).astype(np.int64)
+            body = memoryview(blob)[p + 12 * e :]
+            which, at = np.empty(e, np.int32), 0
+            for i, n in enumerate(size.tolist()):
+                part = body[at : at + n]
+                key = xxhash.xxh3_128_digest(part)
+                at += n
+                if (known := number.get(key)) is None:
+                    known = number[key] = len(number)
+                    data += part
+                    width.append(n)
+                which[i] = known
+            kind.append(which)
+        self.data, self.size = np.frombuffer(bytes(data), np.uint8), np.array(width, np.int64)
+        self.kind, self.ids, self.pos = np.concatenate(kind), np.concatenate(ids, axis=1), np.concatenate(pos)
+        self.start = np.concatenate(([0], np.cumsum(self.size)))
+        self.least = np.full(len(self.size), LAST)
+        np.minimum.at(self.least, self.kind, self.ids[0])
+
+    def groups(self, span: int) -> Iterator[np.ndarray]:
+        """Kinds of a few minimisers at a time, those left out that can't hold a repeat of another document."""
+        n = len(self.size)
+        low = np.empty(n, np.uint64)
+        for lo in range(0, n, 1 << 14):  # all windows of a substring have the minimiser of its first one
+            first = (self.start[lo : min(n, lo + (1 << 14))][:, None] + np.arange(span)).ravel()
+            low[lo : lo + (1 << 14)] = minimisers(self.data[first], span)[::span]
+        order = np.argsort(low, kind="stable")
+        edge = np.flatnonzero(np.concatenate(([True], low[order][1:] != low[order][:-1])))
+        least = self.least[order]
+        some = np.minimum.reduceat(least, edge) != np.maximum.reduceat(least, edge)
+        stop, weight = np.append(edge[1:], n), np.add.reduceat(self.size[order], edge)
+        own, total = [], 0
+        for a, b, w in zip(edge[some].tolist(), stop[some].tolist(), weight[some].tolist(), strict=True):
+            if own and total + w > GROUP:
+                yield np.concatenate(own)
+                own, total = [], 0
+            own.append(order[a:b])
+            total += w
+        if own:
+            yield np.concatenate(own)
+
+
+def suffix_array(data: np.ndarray, suffixes: np.ndarray, ends: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes, each cut at its end, and what each has in common with the one before it.
+
+    They are sorted by eight bytes, and those that are still equal by the next
+    eight. With group, suffixes of different groups are not compared and have
+    nothing in common.
+    """
+    words = _words(np.concatenate((data, np.zeros(8, np.uint8))), len(data) + 1).byteswap()
+    order = np.arange(len(suffixes)) if group is None else np.argsort(group, kind="stable")
+    common, live, done = np.zeros(len(suffixes), np.int64), np.arange(len(suffixes)), 0
+    tie = np.zeros(len(order), np.int64) if group is None else np.cumsum(np.concatenate(([True], group[order][1:] != group[order][:-1])))
+    steps = np.array([1 << (8 * i) for i in range(1, 8)], np.uint64)
+    masks = np.array([(1 << 64) - (1 << (64 - 8 * i)) for i in range(9)], np.uint64)
+    while True:
+        same = tie[1:] == tie[:-1]
+        stay = np.concatenate((same, [False])) | np.concatenate(([False], same))  # not alone in their tie
+        live, tie = live[stay], tie[stay]
+        if not len(live):
+            return order, common
+        own = order[live]
+        at = suffixes[own] + done
+        rest = np.minimum(ends[own] - at, 8)
+        key = words[at] & masks[rest]
+        by = np.lexsort((rest, key, tie))
+        order[live], key, rest = own[by], key[by], rest[by]
+        same = tie[1:] == tie[:-1]
+        equal = same & (key[1:] == key[:-1]) & (rest[1:] == rest[:-1])
+        alike = 7 - np.searchsorted(steps, key[1:] ^ key[:-1], "right")
+        settled = same & (~equal | (rest[1:] < 8))
+        alike = np.minimum(np.where(key[1:] == key[:-1], 8, alike), np.minimum(rest[1:], rest[:-1]))
+        common[live[1:][settled]] = done + alike[settled]
+        tie = np.cumsum(np.concatenate(([True], ~equal | (rest[1:] < 8))))
+        done += 8
+
+
+class Intervals(NamedTuple):
+    """Nodes of an interval tree, by number, and the deepest node (home) of each sorted suffix, -1 for none."""
+
+    depth: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    parent: np.ndarray
+    diverse: np.ndarray
+    least: np.ndarray
+    home: np.ndarray
+
+
+def interval_tree(common: np.ndarray, left: np.ndarray, ids: np.ndarray, span: int) -> Intervals:
+    """The intervals of at least span bytes, by a stack scan over what sorted neighbours have in common.
+
+    left: the byte to the left of each sorted suffix, or a negative number that
+    differs from every other if there is none; ids: its document. diverse: the
+    bytes to the left of an interval's occurrences are not all equal; least: its
+    smallest id.
+    """
+    depth, lo, hi, parent, diverse, least, byte = [], [], [], [], [], [], []
+    home, stack, before = [-1] * len(left), [], 0
+    left, ids = left.tolist(), ids.tolist()
+
+    def add(v: int, some: int, smallest: int, differ: bool) -> None:
+        if smallest < least[v]:
+            least[v] = smallest
+        if differ or byte[v] != some:
+            diverse[v] = True
+
+    for i, now in enumerate([*common[1:].tolist(), 0], 1):
+        now = now if now >= span else 0
+        if not now and not before:
+            continue
+        top, first, child = stack[-1] if stack else -1, i - 1, -1
+        if now <= before:
+            home[i - 1] = top
+            add(top, left[i - 1], ids[i - 1], False)
+        while stack and depth[stack[-1]] > now:
+            child = stack.pop()
+            hi[child], first = i, lo[child]
+            if stack and depth[stack[-1]] >= now:
+                parent[child] = stack[-1]
+                add(stack[-1], byte[child], least[child], diverse[child])
+                child = -1
+        if now and not (stack and depth[stack[-1]] == now):
+            v = len(depth)
+            for column, value in ((depth, now), (lo, first), (hi, -1), (parent, -1), (diverse, False), (least, LAST), (byte, left[first])):
+                column.append(value)
+            stack.append(v)
+            if child >= 0:
+                parent[child] = v
+                add(v, byte[child], least[child], diverse[child])
+        if now > before:
+            home[i - 1] = stack[-1]
+            add(stack[-1], left[i - 1], ids[i - 1], False)
+        before = now
+    return Intervals(*(np.array(x, np.int64) for x in (depth, lo, hi, parent)), np.array(diverse, bool), np.array(least, np.int64), np.array(home, np.int64))
 
 
 def maximal_repeats(data: bytes, suffixes: np.ndarray, ends: np.ndarray, before: np.ndarray, span: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, suffixes) of each maximal repeat of at least span bytes among the given suffixes of data.
+    """(length, suffixes) of each maximal repeat of at least span bytes among the given suffixes of data, with all its occurrences.
 
-    ends: where each suffix's substring ends; before: the byte to its left, or
-    a negative number that differs from every other if there is none. The
-    suffixes are sorted, and a stack scan over common prefixes of neighbours
-    yields the interval tree bottom-up; an interval is reported if the bytes
-    to the left of its occurrences are not all equal.
+    ends: where each suffix's substring ends; before: as left of interval_tree.
+    """
+    order, common = suffix_array(np.frombuffer(data, np.uint8), suffixes, ends)
+    tree = interval_tree(common, before[order], np.zeros(len(order), np.int64), span)
+    for v in np.flatnonzero(tree.diverse).tolist():
+        yield int(tree.depth[v]), order[tree.lo[v] : tree.hi[v]]
+
+
+def deepest_of_others(tree: Intervals, ids: np.ndarray) -> np.ndarray:
+    """For each sorted suffix the deepest maximal repeat that holds it and has a smaller id than its own, -1 for none."""
+    n = len(tree.depth)
+    nearest, lower = [-1] * (n + 1), [-1] * (n + 1)  # of each node: itself or an ancestor that is diverse; the same with a smaller id than its own
+    parent, diverse, least = tree.parent.tolist(), tree.diverse.tolist(), tree.least.tolist()
+    for v in np.argsort(tree.depth, kind="stable").tolist():  # parents are less deep
+        up = nearest[parent[v]]
+        nearest[v] = v if diverse[v] else up
+        lower[v] = up if up < 0 or least[up] < least[v] else lower[up]
+    home = tree.home
+    return np.where(home < 0, -1, np.where(ids > np.append(tree.least, LAST)[home], np.array(nearest)[home], np.array(lower)[home]))
+
+
+def repeats_among(data: np.ndarray, size: np.ndarray, least: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(substring, start, length) of what maximal repeats cover outside their smallest documents.
+
+    data: distinct substrings end to end; least: the smallest id of each.
     """
-    text = [data[a:b] for a, b in zip(suffixes.tolist(), ends.tolist(), strict=True)]
-    order = sorted(range(len(text)), key=text.__getitem__)
-    text = [text[i] for i in order]
-    order = np.array(order, np.int64)
-    left = before[order].tolist()
-    stack: list[list] = []  # [common prefix, first suffix, left byte of all or None where they differ]
-    for i in range(1, len(text) + 1):
-        common = _common(text[i - 1], text[i]) if i < len(text) else 0
-        first, byte = i - 1, left[i - 1]
-        while stack and stack[-1][0] > common:
-            depth, first, own = stack.pop()
-            byte = own if own == byte else None
-            if depth >= span and byte is None:
-                yield depth, order[first:i]
-        if common >= span:
-            if stack and stack[-1][0] == common:
-                stack[-1][2] = stack[-1][2] if stack[-1][2] == byte else None
-            else:
-                stack.append([common, first, byte])
-
-
-def _common(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    lo, hi = 0, n
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        if a[lo:mid] == b[lo:mid]:
-            lo = mid
-        else:
-            hi = mid
-    return lo
-
-
-def repeats_of(data: np.ndarray, ids: np.ndarray, pos: np.ndarray, size: np.ndarray, before: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id and row hash, start, length) of what maximal repeats cover outside their smallest documents."""
-    h = window_hashes(data, span, Powers(), _CODES)
     starts = np.concatenate(([0], np.cumsum(size)))
+    h = window_hashes(data, span, Powers(), _CODES)
     edge = np.zeros(len(data) + 1, np.int8)
     edge[starts[:-1]] += 1
     edge[starts[1:] - span + 1] -= 1
-    ok = np.cumsum(edge[: len(h)], dtype=np.int8) > 0  # windows inside one substring
-    entry = np.repeat(np.arange(len(size)), size)[: len(h)]
-
-    # equal substrings (as in periodic texts) are one from here on: 128 bits of their windows in order
-    turn = 2 * (np.arange(len(h)) - starts[entry]).astype(np.uint64) + np.uint64(1)
-    sums = [np.add.reduceat(np.where(ok, x * turn, np.uint64(0)), starts[:-1]) for x in (h, mix(h ^ _ODD))]
-    order = np.lexsort((ids[0], sums[1], sums[0], size))
-    new = np.ones(len(order), bool)
-    new[1:] = (size[order][1:] != size[order][:-1]) | (sums[0][order][1:] != sums[0][order][:-1]) | (sums[1][order][1:] != sums[1][order][:-1])
-    head = np.flatnonzero(new)
-    count = np.diff(np.append(head, len(order)))
-    kind = np.empty(len(order), np.int64)  # of each substring
-    kind[order] = np.cumsum(new) - 1
-    first = order[head]  # the substring of each kind that has the smallest id
-    least, most = ids[0][first], ids[0][order[head + count - 1]]
-
+    inside = np.flatnonzero(np.cumsum(edge[: len(h)], dtype=np.int8) > 0)  # windows in one substring
+    h, out = h[inside], []
+    parts = -(-len(data) // (2 * GROUP))  # equal windows come into one part
+    which = None if parts == 1 else ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+    for p in range(parts):
+        where, value = (inside, h) if which is None else (inside[which == p], h[which == p])
+        if not len(where):
+            continue
+        by = np.argsort(value, kind="stable")
+        where, value = where[by], value[by]
+        own = np.searchsorted(starts, where, "right") - 1
+        group = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+        width = np.diff(np.append(group, len(where)))
+        at_start = where == starts[own]
+        # without a known byte to the left an occurrence differs from all others
+        byte = np.where(at_start, -1 - np.arange(len(where)), data[np.maximum(where - 1, 0)].astype(np.int64))
+        several = np.minimum.reduceat(least[own], group) != np.maximum.reduceat(least[own], group)
+        # a substring's first window may begin in the middle of a repeat whose earlier windows went elsewhere
+        diverse = (np.minimum.reduceat(byte, group) != np.maximum.reduceat(byte, group)) | np.logical_or.reduceat(at_start, group)
+        keep = np.repeat(several & diverse, width)
+        where, own, byte, value = where[keep], own[keep], byte[keep], value[keep]
+        if not len(where):
+            continue
+        order, common = suffix_array(data, where, starts[own + 1], value)
+        where, own, byte = where[order], own[order], byte[order]
+        tree = interval_tree(common, byte, least[own], span)
+        repeat = deepest_of_others(tree, least[own])
+        later = repeat >= 0
+        out.append((own[later], (where - starts[own])[later], tree.depth[repeat[later]]))
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def repeats_of(pool: Pool, span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(id and row hash, start, length) of what maximal repeats of a range cover outside their smallest documents."""
     # a substring that documents share is a repeat as a whole
-    whole = np.flatnonzero(ids[0] > least[kind])
-    out = [(whole, np.zeros(len(whole), np.int64), size[whole])]
-
-    chosen = np.zeros(len(size), bool)
-    chosen[first] = True
-    where = np.flatnonzero(ok & chosen[entry])
-    by = np.argsort(h[where], kind="stable")
-    where = where[by]
-    own, value = entry[where], h[where]
-    group = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
-    width = np.diff(np.append(group, len(where)))
-    at_start = where == starts[own]
-    # without a known byte to the left an occurrence differs from all others
-    byte = np.where(at_start, -1 - np.arange(len(where)), data[np.maximum(where - 1, 0)].astype(np.int64))
-    several = np.minimum.reduceat(least[kind[own]], group) != np.maximum.reduceat(most[kind[own]], group)
-    # a substring's first window may begin in the middle of a repeat whose earlier windows went elsewhere
-    diverse = (np.minimum.reduceat(byte, group) != np.maximum.reduceat(byte, group)) | np.logical_or.reduceat(at_start, group)
-    keep = np.repeat(several & diverse & (width > 1), width)
-    where, own, byte = where[keep], own[keep], byte[keep]
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for depth, some in maximal_repeats(data.tobytes(), where, starts[own + 1], byte, span):
-        small = least[kind[own[some]]]
-        later = some[small > small.min()]
-        if len(later):
-            found.append((kind[own[later]], where[later] - starts[own[later]], np.full(len(later), depth)))
-    if found:
-        of, start, length = (np.concatenate(x) for x in zip(*found, strict=True))
-        of, start, end = _union(of, start, start + length)
-        times = count[of]
-        each = order[np.repeat(head[of], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-        out.append((each, np.repeat(start, times), np.repeat(end - start, times)))
-    each, start, length = (np.concatenate(x) for x in zip(*out, strict=True))
-    return ids[:, each], pos[each] + start, length
+    whole = np.flatnonzero(pool.ids[0] > pool.least[pool.kind])
+    if len(whole):
+        yield pool.ids[:, whole], pool.pos[whole], pool.size[pool.kind[whole]]
+    # of the others' kinds, what the smallest id has
+    rest = np.flatnonzero(pool.ids[0] == pool.least[pool.kind])
+    rest = rest[np.argsort(pool.kind[rest], kind="stable")]
+    edge = np.searchsorted(pool.kind[rest], np.arange(len(pool.size) + 1))
+    for kinds in pool.groups(span):
+        size = pool.size[kinds]
+        data = pool.data[np.repeat(pool.start[kinds] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
+        own, start, length = repeats_among(data, size, pool.least[kinds], span)
+        if len(own):
+            of, start, end = _union(kinds[own], start, start + length)
+            times = edge[of + 1] - edge[of]
+            each = rest[np.repeat(edge[of], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+            yield pool.ids[:, each], pool.pos[each] + np.repeat(start, times), np.repeat(end - start, times)
 
 
 def _union(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -467,12 +620,12 @@ def _union(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
 def _find(span: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         press = zstandard.ZstdCompressor(level=1)
-        for part, blobs in _groups(batches):
-            if part == 1:  # already known
-                yield {"part": [1] * len(blobs), "r": [int(_bucket_of(np.frombuffer(b, np.int64, 1), buckets)[0]) for b in blobs], "blob": [press.compress(b) for b in blobs]}
+        for part, r, blobs in _groups(batches):
+            if part == 1:
+                for blob in blobs:  # already known
+                    yield {"part": [1], "r": [r], "blob": [blob]}
                 continue
-            found = repeats_of(*_load(blobs), span)
-            if len(found[1]):
+            for found in repeats_of(Pool(blobs), span):
                 yield from _to_documents(*found, buckets, press)
 
     return run
@@ -480,8 +633,9 @@ def _find(span: int, buckets: int):
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Spans of each document, merged."""
-    for _, blobs in _groups(batches):
-        ids, row, start, end = (np.concatenate(x) for x in zip(*(np.frombuffer(b, np.int64).reshape(4, -1) for b in blobs), strict=True))
+    open_ = zstandard.ZstdDecompressor()
+    for _, _, blobs in _groups(batches):
+        ids, row, start, end = np.concatenate([np.frombuffer(open_.decompress(b), np.int64).reshape(4, -1) for b in blobs], axis=1)
         order = np.lexsort((start, row, ids))
         ids, row, start, end = ids[order], row[order], start[order], end[order]
         other = (ids[1:] != ids[:-1]) | (row[1:] != row[:-1])
@@ -529,37 +683,38 @@ def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """Each row of docs with kept (bytes that stay), n_removed and removed (byte spans)."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    tags = [F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))).alias("__id"), F.xxhash64(body).alias("__row"), body.alias("__text")]
+    tags = [F.coalesce(F.col(doc_id).try_cast("long"), F.lit(int(LAST))).alias("__id"), F.xxhash64(body).alias("__row"), body.alias("__text")]
     tagged = docs.select(*tags).withColumn("__digest", F.md5(F.col("__text").cast("binary"))).where(F.octet_length("__text") >= span)
     total = tagged.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     # whole copies: of each text that several ids have, the smallest id
     same = saved(tagged.groupBy("__digest").agg(F.min("__id").alias("__least"), F.max("__id").alias("__most")).where("__least <> __most").select("__digest", "__least"))
     same = hint(same, broadcast_rows)
     source = tagged.join(same, "__digest", "left").where(F.col("__least").isNull() | (F.col("__least") == F.col("__id"))).select("__id", "__row", "__text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(spark, total)
     ranges = max(parts, -(-total // range_bytes))
-    buckets = max(parts, -(-total // (16 * range_bytes)))  # of 16 MB of text unless ranges are set otherwise
-    first = map_rows(source, SCHEMA, _anchors(span, buckets, "__text")).repartition(parts, "r").sortWithinPartitions("r")
-    back = map_rows(first, SCHEMA, _shared(buckets)).repartition(parts, "r").sortWithinPartitions("r")
+    buckets = max(parts, -(-total // (4 * range_bytes)))  # of 4 MB of text unless ranges are set otherwise
+    first = map_rows(source, SCHEMA, _anchors(span, buckets, buckets, "__text")).repartition(parts, "part", "r").sortWithinPartitions("part", "r")
+    back = map_rows(first, SCHEMA, _shared(buckets)).repartition(parts, "r").sortWithinPartitions("part", "r")
     keys = saved(map_rows(back, "__id long, __row long, keys binary", _gather))
     weight = keys.agg(F.sum(F.octet_length("keys") + 40)).first()[0] or 0
     keyed = source.join(F.broadcast(keys) if weight <= broadcast_bytes else keys, ["__id", "__row"])
     far = map_rows(keyed, SCHEMA, _spread(span, ranges, buckets, "__text")).repartition(parts, "part", "r").sortWithinPartitions("part", "r")
-    found = map_rows(far, SCHEMA, _find(span, buckets)).repartition(parts, "r").sortWithinPartitions("part", "r")
-    spans = saved(map_rows(found, "__id long, __row long, spans binary", _merge))
+    found = map_rows(far, SCHEMA, _find(span, buckets)).repartition(parts, "r").sortWithinPartitions("r")
+    spans = saved(map_rows(found.withColumn("part", F.lit(1)), "__id long, __row long, spans binary", _merge))
     weight = spans.agg(F.sum(F.octet_length("spans") + 40)).first()[0] or 0
     names = ["kept", "n_removed", "removed"]
     keep = others(docs.select(*keep) if keep else docs, names)
-    own = docs.select(*keep, *tags).withColumn("__digest", F.md5(F.col("__text").cast("binary")))
+    # the kept columns travel as one, so no name of theirs meets another
+    own = docs.select(F.struct(F.lit(0).alias("none") if not keep else F.col(f"`{keep[0]}`"), *[F.col(f"`{c}`") for c in keep[1:]]).alias("__own"), *tags).withColumn("__digest", F.md5(F.col("__text").cast("binary")))
     copy = F.coalesce((F.octet_length("__text") >= span) & (F.col("__least") < F.col("__id")), F.lit(False)).alias("__copy")
     joined = own.join(same, "__digest", "left").join(F.broadcast(spans) if weight <= broadcast_bytes else spans, ["__id", "__row"], "left")
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("kept", T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
+    schema = T.StructType([own.schema["__own"], T.StructField("kept", T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for lo, hi in pieces(batch.column("__text")):
                 part = batch.slice(lo, hi - lo)
                 new = _cut(part.column("__text"), part.column("spans"), part.column("__copy"))
-                yield {c: part.column(c) for c in keep} | dict(zip(names, new, strict=True))
+                yield {"__own": part.column("__own")} | dict(zip(names, new, strict=True))
 
-    return map_rows(joined.select(*keep, "__text", "spans", copy), schema, run)
+    return map_rows(joined.select("__own", "__text", "spans", copy), schema, run).select(*[F.col("__own")[c].alias(c) for c in keep], *names)

@@ -71,7 +71,7 @@ def test_long_texts_go_in_pieces(monkeypatch):
     typed = pa.schema([("part", pa.int32()), ("r", pa.int32()), ("blob", pa.binary())])
     table = lambda rows: iter(pa.Table.from_batches([pa.RecordBatch.from_pydict(d).cast(typed) for d in rows]).sort_by(order).to_batches())
     keys = {}
-    for d in suffix._gather(table(suffix._shared(3)(table(suffix._anchors(50, 3, "__text")(iter([batch])))))):
+    for d in suffix._gather(table(suffix._shared(3)(table(suffix._anchors(50, 3, 3, "__text")(iter([batch])))))):
         keys |= dict(zip((int(i) for i in d["__id"]), d["keys"], strict=True))
     batch = batch.append_column("keys", pa.array([keys.get(i, b"") for i, _ in docs], pa.binary()))
     sent = [pa.RecordBatch.from_pydict(d) for d in suffix._spread(50, 4, 2, "__text")(iter([batch]))]
@@ -99,3 +99,48 @@ def test_interval_tree_gives_all_maximal_repeats():
                 if len(own) > 1 and len({text[j + n : j + n + 1] for j in own}) > 1 and len({text[j - 1] if j else -1 for j in own}) > 1:
                     want.add((n, own))
         assert got == want
+
+
+def test_deepest_repeat_of_a_smaller_id():
+    r = random.Random(7)
+    for _ in range(60):
+        text = np.frombuffer(bytes(r.choice(b"ab") for _ in range(60)), np.uint8)
+        at, ids = np.arange(60), np.array([r.randrange(4) for _ in range(60)])
+        order, common = suffix.suffix_array(text, at, np.full(60, 60))
+        raw = text.tobytes()
+        assert [raw[i:] for i in order] == sorted(raw[i:] for i in at)
+        left = np.arange(60) % 2 - np.where(np.arange(60) % 3 == 0, 100 + np.arange(60), 0)
+        tree = suffix.interval_tree(common, left, ids[order], 3)
+        best = suffix.deepest_of_others(tree, ids[order])
+        for i in range(60):
+            own = [v for v in range(len(tree.depth)) if tree.lo[v] <= i < tree.hi[v] and len(set(left[tree.lo[v] : tree.hi[v]])) > 1 and ids[order][tree.lo[v] : tree.hi[v]].min() < ids[order[i]]]
+            assert best[i] == (max(own, key=lambda v: tree.depth[v]) if own else -1)
+
+
+@pytest.mark.parametrize("kind", ["shifted", "periodic"])
+def test_memory_of_one_range_is_linear(kind):
+    import tracemalloc
+
+    r = random.Random(3)
+    if kind == "shifted":  # near copies of one passage, cut at other places
+        base = bytes(r.choice(b"abcdefgh ") for _ in range(400))
+        texts = [bytes([r.randrange(97, 123)]) + base[r.randrange(90) :][: r.randrange(60, 300)] + bytes([r.randrange(97, 123)]) for _ in range(10_000)]
+    else:
+        texts = [(b"ab" * 200)[i % 2 :][: 60 + i % 240] + b"%d" % i for i in range(10_000)]
+    data, size = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    tracemalloc.start()
+    of, start, length = suffix.repeats_among(data, size, np.arange(len(texts)), 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 * len(data) and len(of) <= len(data)
+    seen, gone = set(), [np.zeros(n, bool) for n in size[:300]]
+    for i, a, n in zip(of.tolist(), start.tolist(), length.tolist(), strict=True):
+        if i < len(gone):
+            gone[i][a : a + n] = True
+    for t, found in zip(texts, gone, strict=False):
+        want = np.zeros(len(t), bool)
+        windows = [t[p : p + 50] for p in range(len(t) - 49)]
+        for p, w in enumerate(windows):
+            want[p : p + 50] |= w in seen
+        assert (want == found).all()
+        seen |= set(windows)
