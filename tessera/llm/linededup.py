@@ -1,24 +1,28 @@
 """Removal of repeated passages by overlapping three-line windows, in DataFrame functions only.
 
 Lines are what newlines separate. Every run of `lines` consecutive lines of a
-text is a window, known by the MD5 of its lines. Occurrences of a window are
-ordered by document and position; the first one stays and the lines that any
-later one covers go, so overlapping windows remove the union of their lines.
-Windows without any non-space character don't count, and texts of fewer lines
-are left alone.
+text is a window, known by 128 bits: each line is hashed once, and a window's
+hash is that of its lines' hashes. Occurrences of a window are ordered by
+document and position; the first one stays and the lines that any later one
+covers go, so overlapping windows remove the union of their lines. Windows
+without any non-space character don't count, and texts of fewer lines are left
+alone.
 
-A first pass counts windows and finds each first occurrence with partial
-aggregation, so a window that a third of all texts hold is combined before the
-shuffle. Only windows that occur more than once are kept, and are joined back
-to the positions. That join may be skewed, and adaptive execution may split
-it. Flagged positions are few, and are combined for each document before they
-meet the text.
+The windows, some 40 bytes each, are written once. A first pass over them counts
+windows and finds each first occurrence with partial aggregation, so a window
+that a third of all texts hold is combined before the shuffle. Only windows
+that occur more than once are kept, and are joined back to the positions. That
+join may be skewed, and adaptive execution may split it. Flagged positions are
+combined for each document before they meet the text; they are broadcast if
+they take at most `broadcast_bytes`, else Spark shuffles.
 
 Nulls and odd input: a null text stays null and has no lines; an empty text is
-one empty line; rows are told apart by id and text, so rows that repeat an id
-with other text are handled as documents of their own, ordered by text hash,
-and wholly equal rows are one document and get equal results; null ids come
-last. Input columns named like results are replaced.
+one empty line; an empty table gives an empty result; rows are told apart by id
+and text, so rows that repeat an id with other text are handled as documents of
+their own, ordered by text hash, and wholly equal rows are one document and get
+equal results; null ids come last. Ids may be of any type that can be ordered.
+Input columns named like results are replaced; all others, whatever their
+names, are kept as they are.
 """
 
 from __future__ import annotations
@@ -26,40 +30,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import hint, others, saved
+from tessera.llm.shared import others, saved, small
 
 RESULTS = ["n_lines", "n_removed", "removed_lines"]
 
 
-def _row_key(doc_id: str, text: str) -> Column:
+def _row_key(doc_id: Column, text: Column) -> Column:
     """Orders rows: null ids last, then by id, then by text."""
-    return F.struct(F.col(doc_id).isNull().alias("n"), F.coalesce(F.col(doc_id), F.lit(0)).alias("d"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("h"))
+    return F.struct(doc_id.isNull().alias("n"), doc_id.alias("d"), F.xxhash64(text).alias("h"))
+
+
+def _wide_hash(value: Column) -> Column:
+    """128 bits of a value, as two integers."""
+    return F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit(1), value).alias("b"))
 
 
 def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lines: int = 3) -> DataFrame:
     """For each document (key) the sorted start positions of windows that occurred before."""
-    part = F.split(F.col(text), "\n", -1)
-    long = docs.where(F.col(text).isNotNull() & (F.length(text) - F.length(F.translate(text, "\n", "")) >= lines - 1)).select(_row_key(doc_id, text).alias("key"), part.alias("l"))
-    window = F.transform(F.sequence(F.lit(1), F.size("l") - (lines - 1)), lambda i: F.array_join(F.slice("l", i, lines), "\n"))
-    windows = long.select("key", F.posexplode(window).alias("p", "w")).where(F.length(F.regexp_replace("w", r"\s+", "")) > 0)
-    windows = windows.select("key", "p", F.unhex(F.md5(F.col("w").cast("binary"))).alias("w"))
-    seen = windows.groupBy("w").agg(F.min(F.struct("key", "p")).alias("first"), F.count("*").alias("n")).where("n > 1").select("w", "first")
-    later = windows.join(seen, "w").where(F.struct("key", "p") != F.col("first"))
+    rows = docs.select(_row_key(F.col(doc_id), F.col(text)).alias("key"), F.split(F.col(text), "\n", -1).alias("l")).where(F.size("l") >= lines)
+    # each line once: its hash, and whether it has more than spaces
+    hashed = rows.select("key", F.transform("l", lambda x: F.struct(_wide_hash(x).alias("h"), x.rlike(r"\S").alias("full"))).alias("l"))
+    starts = F.sequence(F.lit(1), F.size("l") - (lines - 1))
+    some = F.transform(starts, lambda i: F.struct(_wide_hash(F.slice("l.h", i, lines)).alias("w"), F.array_contains(F.slice("l.full", i, lines), True).alias("full")))
+    windows = hashed.select("key", F.posexplode(some).alias("p", "x")).where("x.full").select("key.*", "p", "x.w.*")
+    windows = saved(windows).select(F.struct("n", "d", "h").alias("key"), "p", "a", "b")
+    seen = windows.groupBy("a", "b").agg(F.min(F.struct("key", "p")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
+    later = windows.join(seen, ["a", "b"]).where(F.struct("key", "p") != F.col("first"))
     return later.groupBy("key").agg(F.array_sort(F.collect_set("p")).alias("at"))
 
 
-def drop_repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lines: int = 3, broadcast_rows: int = 50_000) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lines: int = 3, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """Rows of docs with the text that stays, n_lines, n_removed and removed_lines (positions from 0)."""
-    flagged = hint(saved(repeated_windows(docs, doc_id=doc_id, text=text, lines=lines)), broadcast_rows)
+    flagged = saved(repeated_windows(docs, doc_id=doc_id, text=text, lines=lines))
+    flagged = small(flagged, F.size("at") * 4 + 64, broadcast_bytes)
     keep = others(docs, RESULTS)
-    tagged = docs.select(*keep, _row_key(doc_id, text).alias("__key"))
-    joined = tagged.join(flagged, tagged["__key"] == flagged["key"], "left")
+    # the row travels as one column, so no name of its own meets another
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), _row_key(F.col(doc_id), F.col(text)).alias("own"))
+    joined = tagged.join(flagged, F.col("own") == F.col("key"), "left")
     covered = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (lines - 1)))))
-    gone = F.coalesce(covered, F.array().cast("array<int>"))
-    bare = joined.withColumn("__gone", gone).withColumn("__lines", F.split(F.col(text), "\n", -1))
-    # __lines is used more than once, so Spark splits each text once and not for each line
-    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
-    stays = F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n")
-    out = F.when(F.size("__gone") > 0, stays).otherwise(F.col(text))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")).cast("long")
-    return bare.select(*[out.alias(c) if c == text else F.col(c) for c in keep], n_lines.alias("n_lines"), F.size("__gone").cast("long").alias("n_removed"), F.array_sort("__gone").alias("removed_lines"))
+    bare = joined.select("row", F.coalesce(covered, F.array().cast("array<int>")).alias("gone"), F.split(F.col("row")[text], "\n", -1).alias("lines"))
+    # lines is used more than once, so Spark splits each text once and not for each line
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    stays = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
+    out = F.when(F.size("gone") > 0, stays).otherwise(F.col("row")[text])
+    n_lines = F.when(F.col("row")[text].isNull(), 0).otherwise(F.size("lines")).cast("long")
+    return bare.select(*[(out if c == text else F.col("row")[c]).alias(c) for c in keep], n_lines.alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.array_sort("gone").alias("removed_lines"))

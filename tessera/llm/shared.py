@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -116,3 +116,8 @@ def bounded(df: DataFrame, rows: int) -> bool:
 def hint(df: DataFrame, rows: int) -> DataFrame:
     """df, marked for broadcast if it has at most that many rows; else Spark shuffles it."""
     return F.broadcast(df) if bounded(df, rows) else df
+
+
+def small(df: DataFrame, weight: Column, limit: int) -> DataFrame:
+    """df, a computed table, marked for broadcast if its rows' weights in bytes add up to at most the limit."""
+    return F.broadcast(df) if (df.agg(F.sum(weight)).first()[0] or 0) <= limit else df

@@ -32,7 +32,7 @@ def test_matches_brute_force(spark):
 def test_shuffled_join_gives_the_same(spark):
     docs = [(i, "a\nb\nc\nd" if i % 3 else f"{i}\nb\nc\nd") for i in range(50)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    a, b = drop_repeated_lines(df), drop_repeated_lines(df, broadcast_rows=0)
+    a, b = drop_repeated_lines(df), drop_repeated_lines(df, broadcast_bytes=-1)
     assert sorted(a.collect()) == sorted(b.collect())
 
 
@@ -41,3 +41,10 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
     got = sorted(((r.doc_id, r.text, r.n_lines) for r in drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string, n_lines int")).collect()), key=str)
     assert got == sorted([(1, "a\nb\nc", 3), (1, "a\nb\nc", 3), (2, "q", 4), (None, "", 3)], key=str)
     assert drop_repeated_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_any_column_names_and_text_ids(spark):
+    docs = [("a", "x\ny\nz", 1, 2, 3, 4), ("b", "x\ny\nz\nw", 5, 6, 7, 8)]
+    df = spark.createDataFrame(docs, "doc_id string, text string, at int, key int, `gone` int, `lines` int")
+    got = sorted(tuple(r) for r in drop_repeated_lines(df).collect())
+    assert got == [("a", "x\ny\nz", 1, 2, 3, 4, 3, 0, []), ("b", "w", 5, 6, 7, 8, 4, 3, [0, 1, 2])]
