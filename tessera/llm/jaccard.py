@@ -51,12 +51,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import hint, map_rows, map_texts, saved
+from tessera.llm.shared import hint, map_rows, map_texts, partitions, saved
 from tessera.llm.text import NOT_SPACE, Words, grams, mix, pieces, rows
 
 LEVELS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64])
 VERIFY = 20.0  # cost of a candidate, in postings
-FLUSH = 4_000_000
+FLUSH = 500_000  # entries that a task holds before it sends them
+TEXTS = 1 << 20  # bytes of text that are shingled at once
+SEND = 2 << 20  # bytes of sets that are sent at once
+ENTRIES = 100_000  # entries of posting lists that are paired at once
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 NODE = np.dtype("V16")
 
@@ -98,7 +101,7 @@ def _where(tokens: np.ndarray, ranges: int) -> np.ndarray:
 def _texts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Array]:
     for batch in batches:
         column = batch.column(text)
-        for lo, hi in pieces(column):
+        for lo, hi in pieces(column, TEXTS):
             yield column.slice(lo, hi - lo)
 
 
@@ -148,21 +151,22 @@ def count_frequent(docs: DataFrame, text: str, k: int, ranges: int, parts: int,
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         shingler, wait, waiting = Shingler(k), [], 0
 
-        def flush() -> Iterator[dict]:
+        def flush() -> dict:
             where = np.sort(_where(np.concatenate(wait), ranges))
+            wait.clear()
             low = where.astype(np.uint32)
             found = [(r, low[a:b].tobytes()) for r, a, b in _by_range(where)]
-            yield {"r": [r for r, _ in found], "blob": [b for _, b in found]}
+            return {"r": [r for r, _ in found], "blob": [b for _, b in found]}
 
         for column in _texts(batches, text):
             for tokens in {node_of(s): s for s in shingler.sets(column) if len(s)}.values():
                 wait.append(tokens)
                 waiting += len(tokens)
-            if waiting > FLUSH:
-                yield from flush()
-                wait, waiting = [], 0
+                if waiting > FLUSH:
+                    yield flush()
+                    waiting = 0
         if wait:
-            yield from flush()
+            yield flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for r, blobs in _groups(batches):
@@ -222,9 +226,9 @@ def postings(docs: DataFrame, text: str, k: int, ranges: int, percent: int, freq
                     state["n"].append(len(tokens))
                     state["level"].append(level)
                     state["waiting"] += len(entries)
-            if state["waiting"] > FLUSH:
-                yield from flush()
-                state = {"seen": {}, "where": [], "n": [], "level": [], "waiting": 0}
+                    if state["waiting"] > FLUSH:
+                        yield from flush()
+                        state = {"seen": {}, "where": [], "n": [], "level": [], "waiting": 0}
         if state["waiting"]:
             yield from flush()
 
@@ -340,9 +344,10 @@ def _across(percent: int):
     """Counts of shared shingles for pairs of different components, from groups (tok, x, y) of list entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        table = pa.Table.from_batches(list(batches))  # one partition of a bounded number of entries
-        if not len(table):
-            return
+        for table in _whole_groups(batches):
+            yield from pairs(table)
+
+    def pairs(table: pa.Table) -> Iterator[dict]:
         nodes, doc = _numbered(table.column("node"))
         root = _numbered(table.column("root"))[1]
         tok, x, y, own, n, level, place = (np.asarray(table.column(c)).astype(np.int64) for c in ("tok", "x", "y", "own", "n", "l", "place"))
@@ -374,6 +379,24 @@ def _across(percent: int):
     return run
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by (tok, x, y) in tables of whole groups, each of about ENTRIES rows or of one group."""
+    wait: list[pa.RecordBatch] = []
+    for batch in batches:
+        tok, x, y = (np.asarray(batch.column(c)) for c in ("tok", "x", "y"))
+        cuts = np.flatnonzero((tok[1:] != tok[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+        begins = bool(wait) and any(wait[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in ("tok", "x", "y"))
+        at = 0
+        for cut in [*([0] if begins else []), *cuts.tolist()]:
+            if sum(b.num_rows for b in wait) + cut - at >= ENTRIES:
+                yield pa.Table.from_batches([*wait, batch.slice(at, cut - at)])
+                wait, at = [], cut
+        if batch.num_rows > at:
+            wait.append(batch.slice(at))
+    if wait:
+        yield pa.Table.from_batches(wait)
+
+
 def _send(k: int):
     shingler = None
 
@@ -381,16 +404,18 @@ def _send(k: int):
         nonlocal shingler
         shingler = shingler or Shingler(k)
         for batch in batches:
-            for lo, hi in pieces(batch.column("text")):
+            for lo, hi in pieces(batch.column("text"), TEXTS):
                 part = batch.slice(lo, hi - lo)
-                out = []
+                out, size = [], 0
                 for tokens, node, need in zip(shingler.sets(part.column("text")), part.column("node").to_pylist(), part.column("need").to_pylist(), strict=True):
                     if node_of(tokens) == node:  # an id may come with several texts
                         own = tokens.tobytes()
-                        out += [(x["lead"], x["salt"], x["role"], node, own) for x in need]
-                    if len(out) > 1000:
-                        yield dict(zip(("lead", "salt", "role", "node", "tokens"), zip(*out, strict=True), strict=True))
-                        out = []
+                        for x in need:
+                            out.append((x["lead"], x["salt"], x["role"], node, own))
+                            size += len(own)
+                            if size > SEND:
+                                yield dict(zip(("lead", "salt", "role", "node", "tokens"), zip(*out, strict=True), strict=True))
+                                out, size = [], 0
                 if out:
                     yield dict(zip(("lead", "salt", "role", "node", "tokens"), zip(*out, strict=True), strict=True))
 
@@ -476,9 +501,9 @@ def _prepared(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, lea
 
         return run
 
-    members = saved(map_texts(source, text, [doc_id, "__key"], fields, measure))
+    members = saved(map_texts(source, text, [doc_id, "__key"], fields, measure, TEXTS))
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(spark, 8 * total)
     ranges = max(parts, -(-total // range_tokens))
     frequent = count_frequent(source, text, k, ranges, parts, least_frequent, most_frequent)
     shared = spark.sparkContext.broadcast(frequent)  # at most most_frequent entries
@@ -494,13 +519,13 @@ def _candidates(found: DataFrame, roots: DataFrame, percent: int, parts: int) ->
     entry = saved(entry.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     mixed = entry.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / 20_000).cast("int").alias("blocks")).where("lo <> hi").select("tok", "blocks")
     split = entry.join(mixed, "tok").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("z", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = split.select("tok", F.least("own", "z").alias("x"), F.greatest("own", "z").alias("y"), "own", "node", "root", "n", "l", "place").repartition(parts, "tok", "x", "y")
+    dealt = split.select("tok", F.least("own", "z").alias("x"), F.greatest("own", "z").alias("y"), "own", "node", "root", "n", "l", "place").repartition(parts, "tok", "x", "y").sortWithinPartitions("tok", "x", "y")
     pair = map_rows(dealt, "a binary, b binary, need int, c int", _across(percent))
     short = found.where("kind = 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), level_column(percent).alias("need"), "c")
     return pair.unionByName(short).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, least_frequent: int = 16, most_frequent: int = 2_000_000, range_tokens: int = 4_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, least_frequent: int = 16, most_frequent: int = 2_000_000, range_tokens: int = 1_000_000) -> DataFrame:
     """One row for each row of docs: id, n_shingles and component_id, the smallest id reachable by links."""
     source, members, found, keys, parts = _prepared(docs, doc_id, text, k, percent, least_frequent, most_frequent, range_tokens)
     linked: list[DataFrame] = []
@@ -537,7 +562,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return grouped.unionByName(members.where("n_shingles = 0").select(doc_id, "n_shingles", F.col(doc_id).alias("component_id")))
 
 
-def near_duplicate_links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, least_frequent: int = 16, most_frequent: int = 2_000_000, range_tokens: int = 4_000_000) -> DataFrame:
+def near_duplicate_links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, least_frequent: int = 16, most_frequent: int = 2_000_000, range_tokens: int = 1_000_000) -> DataFrame:
     """All links between different sets, one row each: id_a and id_b, the smallest ids that have the sets, id_a <= id_b (null where no row has an id).
 
     The second round of near_duplicates with each node a component of its own,
