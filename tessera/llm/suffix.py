@@ -117,12 +117,12 @@ _CODES = byte_codes(9)
 _CODES[65:91] = mix(np.arange(1000, 1026, dtype=np.uint64))  # here case matters
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple]:
-    """(bytes, boundaries, ids and row hashes, offsets in their texts, or with keys those) of some texts."""
+def _chunks(batches: Iterator[pa.RecordBatch], text: str, tags: tuple[str, ...] = ("__id", "__row")) -> Iterator[tuple]:
+    """(bytes, boundaries, tags such as ids and row hashes, offsets in their texts, or with keys those) of some texts."""
     for batch in batches:
         for lo, hi in pieces(batch.column(text), CHUNK):
             data, at = rows(batch.column(text).slice(lo, hi - lo))
-            ids = np.array([np.asarray(batch.column(c).slice(lo, hi - lo), dtype=np.int64) for c in ("__id", "__row")])
+            ids = np.array([np.asarray(batch.column(c).slice(lo, hi - lo), dtype=np.int64) for c in tags])
             yield data, at, ids, batch.column("keys").slice(lo, hi - lo).to_pylist() if "keys" in batch.schema.names else np.zeros(hi - lo, np.int64)
 
 
@@ -153,8 +153,8 @@ def _anchors(span: int, ranges: int, buckets: int, text: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         press = zstandard.ZstdCompressor(level=1)
-        for chunk in _chunks(batches, text):
-            for data, at, ids, _ in _pieces_of(*chunk, span):
+        for chunk in _chunks(batches, text, ("__at",)):
+            for data, at, (own_at,), _ in _pieces_of(*chunk, span):
                 low = minimisers(data, span, FILTER_K)
                 if not len(low):
                     continue
@@ -172,10 +172,10 @@ def _anchors(span: int, ranges: int, buckets: int, text: str):
                 fresh = np.concatenate(([True], (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])))
                 doc, value = doc[fresh], value[fresh]
                 first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
-                many = np.minimum.reduceat(ids[0][doc], first) != np.maximum.reduceat(ids[0][doc], first)
+                many = np.minimum.reduceat(own_at[doc], first) != np.maximum.reduceat(own_at[doc], first)
                 known = np.repeat(many, np.diff(np.append(first, len(value))))
                 if known.any():
-                    yield from _keys_to_documents(ids[:, doc[known]], (value[known] & np.uint64(0xFFFFFFFF)).astype(np.uint32), buckets, press)
+                    yield from _keys_to_documents(own_at[doc[known]], (value[known] & np.uint64(0xFFFFFFFF)).astype(np.uint32), buckets, press)
                 # the others, and of each known key one
                 lone = ~known
                 lone[first] = True
@@ -187,20 +187,22 @@ def _anchors(span: int, ranges: int, buckets: int, text: str):
                 for q in np.unique(r).tolist():
                     a, b = edge[q], edge[q + 1]
                     here, own = np.unique(doc[a:b], return_inverse=True)
-                    body = np.array([len(here), b - a], np.int32).tobytes() + ids[:, here].tobytes() + np.diff(own, prepend=0).astype(np.int32).tobytes()
+                    body = np.array([len(here), b - a], np.int32).tobytes() + own_at[here].tobytes() + np.diff(own, prepend=0).astype(np.int32).tobytes()
                     yield {"part": [0], "r": [q], "blob": [_pack(press, body, key[a:b])]}
 
     return run
 
 
 def _keys_to_documents(doc: np.ndarray, key: np.ndarray, buckets: int, press) -> Iterator[dict]:
-    """Keys as blobs by bucket of documents (id and row hash)."""
-    bucket = _bucket_of(doc[0], buckets)
-    order = np.argsort(bucket, kind="stable")
-    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for q in np.unique(bucket).tolist():
-        own = order[edge[q] : edge[q + 1]]
-        yield {"part": [1], "r": [q], "blob": [press.compress(doc[:, own].tobytes() + key[own].tobytes())]}
+    """Keys as blobs by bucket of documents."""
+    bucket = _bucket_of(doc, buckets)
+    order = np.lexsort((doc, bucket))
+    doc, key, bucket = doc[order], key[order], bucket[order]
+    edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(doc)], strict=True):
+        here, own = np.unique(doc[a:b], return_inverse=True)
+        body = np.array([len(here), b - a], np.int32).tobytes() + here.tobytes() + np.diff(own, prepend=0).astype(np.int32).tobytes()
+        yield {"part": [1], "r": [int(bucket[a])], "blob": [_pack(press, body, key[a:b])]}
 
 
 def _pack(press, body: bytes, keys: np.ndarray) -> bytes:
@@ -209,56 +211,54 @@ def _pack(press, body: bytes, keys: np.ndarray) -> bytes:
     return np.int32(len(small)).tobytes() + small + keys.tobytes()
 
 
+def _unpack(blobs: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and their keys."""
+    open_, docs, keys = zstandard.ZstdDecompressor(), [], []
+    for blob in blobs:
+        n = int(np.frombuffer(blob, np.int32, 1)[0])
+        body = open_.decompress(blob[4 : 4 + n])
+        d, e = (int(x) for x in np.frombuffer(body, np.int32, 2))
+        docs.append(np.frombuffer(body, np.int64, d, 8)[np.cumsum(np.frombuffer(body, np.int32, e, 8 + 8 * d))])
+        keys.append(np.frombuffer(blob, np.uint32, e, 4 + n))
+    return np.concatenate(docs), np.concatenate(keys)
+
+
 def _shared(buckets: int):
     """Minimisers of more than one document, sent back to their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        press, open_ = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        press = zstandard.ZstdCompressor(level=1)
         for part, r, blobs in _groups(batches):
             if part == 1:
                 for blob in blobs:  # already known
                     yield {"part": [1], "r": [r], "blob": [blob]}
                 continue
-            ids, keys = [], []
-            for blob in blobs:
-                n = int(np.frombuffer(blob, np.int32, 1)[0])
-                body = open_.decompress(blob[4 : 4 + n])
-                d, e = (int(x) for x in np.frombuffer(body, np.int32, 2))
-                own = np.frombuffer(body, np.int64, 2 * d, 8).reshape(2, -1)
-                ids.append(own[:, np.cumsum(np.frombuffer(body, np.int32, e, 8 + 16 * d))])
-                keys.append(np.frombuffer(blob, np.uint32, e, 4 + n))
-            doc, key = np.concatenate(ids, axis=1), np.concatenate(keys)
-            del ids, keys
+            doc, key = _unpack(blobs)
             order = np.argsort(key, kind="stable")
             key = key[order]
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            own = doc[0][order]
+            own = doc[order]
             many = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
             keep = np.repeat(many, np.diff(np.append(first, len(key))))
             if keep.any():
-                yield from _keys_to_documents(doc[:, order[keep]], key[keep], buckets, press)
+                yield from _keys_to_documents(own[keep], key[keep], buckets, press)
 
     return run
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """The shared minimisers of each document."""
-    open_ = zstandard.ZstdDecompressor()
     for _, _, blobs in _groups(batches):
-        docs, keys = [], []
-        for blob in blobs:
-            blob = open_.decompress(blob)
-            n = len(blob) // 20
-            docs.append(np.frombuffer(blob, np.int64, 2 * n).reshape(2, -1))
-            keys.append(np.frombuffer(blob, np.uint32, n, 16 * n))
-        doc, key = np.concatenate(docs, axis=1), np.concatenate(keys)
-        order = np.lexsort((key, doc[1], doc[0]))
-        doc, key = doc[:, order], key[order]
-        cut = np.flatnonzero(np.concatenate(([True], (doc[:, 1:] != doc[:, :-1]).any(axis=0))))
+        doc, key = _unpack(blobs)
+        order = np.lexsort((key, doc))
+        doc, key = doc[order], key[order]
+        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
+        doc, key = doc[new], key[new]
+        cut = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
         stop = np.append(cut[1:], len(key))
         for lo in range(0, len(cut), 2000):
             a, b = cut[lo : lo + 2000], stop[lo : lo + 2000]
-            yield {"__id": doc[0, a], "__row": doc[1, a], "keys": [key[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]}
+            yield {"__at": doc[a], "keys": [key[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]}
 
 
 def _bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
@@ -679,7 +679,7 @@ def _cut(column: pa.Array, spans: pa.Array, copies: pa.Array) -> list[pa.Array]:
     return [pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
 
 
-def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, span: int = 50, range_bytes: int = 1 << 20, broadcast_bytes: int = 16 << 20, broadcast_rows: int = 500_000) -> DataFrame:
+def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, span: int = 50, range_bytes: int = 4 << 20, broadcast_bytes: int = 8 << 20, broadcast_rows: int = 500_000) -> DataFrame:
     """Each row of docs with kept (bytes that stay), n_removed and removed (byte spans)."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
@@ -689,15 +689,15 @@ def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     # whole copies: of each text that several ids have, the smallest id
     same = saved(tagged.groupBy("__digest").agg(F.min("__id").alias("__least"), F.max("__id").alias("__most")).where("__least <> __most").select("__digest", "__least"))
     same = hint(same, broadcast_rows)
-    source = tagged.join(same, "__digest", "left").where(F.col("__least").isNull() | (F.col("__least") == F.col("__id"))).select("__id", "__row", "__text")
+    source = tagged.join(same, "__digest", "left").where(F.col("__least").isNull() | (F.col("__least") == F.col("__id"))).select("__id", "__row", F.xxhash64("__id", "__row").alias("__at"), "__text")
     parts = partitions(spark, total)
     ranges = max(parts, -(-total // range_bytes))
-    buckets = max(parts, -(-total // (4 * range_bytes)))  # of 4 MB of text unless ranges are set otherwise
+    buckets = max(parts, -(-total // (4 * range_bytes)))  # of 16 MB of text unless ranges are set otherwise
     first = map_rows(source, SCHEMA, _anchors(span, buckets, buckets, "__text")).repartition(parts, "part", "r").sortWithinPartitions("part", "r")
     back = map_rows(first, SCHEMA, _shared(buckets)).repartition(parts, "r").sortWithinPartitions("part", "r")
-    keys = saved(map_rows(back, "__id long, __row long, keys binary", _gather))
+    keys = saved(map_rows(back, "__at long, keys binary", _gather))
     weight = keys.agg(F.sum(F.octet_length("keys") + 40)).first()[0] or 0
-    keyed = source.join(F.broadcast(keys) if weight <= broadcast_bytes else keys, ["__id", "__row"])
+    keyed = source.join(F.broadcast(keys) if weight <= broadcast_bytes else keys, "__at")  # documents that share an address share keys, which adds to the work and not to the result
     far = map_rows(keyed, SCHEMA, _spread(span, ranges, buckets, "__text")).repartition(parts, "part", "r").sortWithinPartitions("part", "r")
     found = map_rows(far, SCHEMA, _find(span, buckets)).repartition(parts, "r").sortWithinPartitions("r")
     spans = saved(map_rows(found.withColumn("part", F.lit(1)), "__id long, __row long, spans binary", _merge))

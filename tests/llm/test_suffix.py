@@ -66,13 +66,13 @@ def test_long_texts_go_in_pieces(monkeypatch):
     docs += [(9, docs[0][1][100:900] + docs[2][1][:1000])]
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([0] * len(docs)), pa.array([t for _, t in docs])], names=["__id", "__row", "__text"])
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([0] * len(docs)), pa.array([i for i, _ in docs]), pa.array([t for _, t in docs])], names=["__id", "__row", "__at", "__text"])
     order = [("part", "ascending"), ("r", "ascending")]
     typed = pa.schema([("part", pa.int32()), ("r", pa.int32()), ("blob", pa.binary())])
     table = lambda rows: iter(pa.Table.from_batches([pa.RecordBatch.from_pydict(d).cast(typed) for d in rows]).sort_by(order).to_batches())
     keys = {}
     for d in suffix._gather(table(suffix._shared(3)(table(suffix._anchors(50, 3, 3, "__text")(iter([batch])))))):
-        keys |= dict(zip((int(i) for i in d["__id"]), d["keys"], strict=True))
+        keys |= dict(zip((int(i) for i in d["__at"]), d["keys"], strict=True))
     batch = batch.append_column("keys", pa.array([keys.get(i, b"") for i, _ in docs], pa.binary()))
     sent = [pa.RecordBatch.from_pydict(d) for d in suffix._spread(50, 4, 2, "__text")(iter([batch]))]
     table = pa.Table.from_batches([b.cast(pa.schema([("part", pa.int32()), ("r", pa.int32()), ("blob", pa.binary())])) for b in sent]).sort_by([("part", "ascending"), ("r", "ascending")])
@@ -144,3 +144,10 @@ def test_memory_of_one_range_is_linear(kind):
             want[p : p + 50] |= w in seen
         assert (want == found).all()
         seen |= set(windows)
+
+
+def test_any_column_names(spark):
+    text = "".join(random.Random(2).choice("abcdefgh ") for _ in range(200))
+    df = spark.createDataFrame([(1, text, 5, 6, 7, 8), (2, "xy" + text, 9, 10, 11, 12)], "doc_id long, text string, __id int, spans int, __text int, kept int")
+    got = sorted(tuple(r) for r in drop_repeats(df).collect())
+    assert got == [(1, text, 5, 6, 7, bytearray(text, "utf8"), 0, []), (2, "xy" + text, 9, 10, 11, bytearray(b"xy"), 200, [(2, 202)])]
