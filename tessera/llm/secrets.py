@@ -12,19 +12,22 @@ are joined where their intervals meet:
 * a bare key is reported only with an identifier or an endpoint in scope,
 * an identifier or an endpoint only with a secret in scope.
 
-The join is a sorted sweep in each text, so its cost grows with the number of
-parts and not with their pairs. Before any pattern runs, byte-level tests over
+The join looks each interval up among the sorted starts and the sorted ends of
+the complementary parts of its text, so its cost grows with the number of parts
+and not with their pairs. Before any pattern runs, byte-level tests over
 whole buffers set aside the texts that hold none of its needed substrings.
 
 Nulls and odd input: a null text is empty and has no spans; positions are code
-points, ends exclusive; repeated rows give repeated results; an input column
-named `spans` is replaced.
+points, ends exclusive; repeated rows give repeated results; an empty table
+gives an empty result; a text of any length is scanned whole; input columns named
+`spans` are replaced and all others kept.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 from itertools import accumulate
 
 import numpy as np
@@ -65,11 +68,10 @@ def base_spans(text: str, kinds: set[str] = frozenset(KINDS)) -> list[tuple[str,
     return found
 
 
-def _near(part: tuple[str, int, int], starts: list[int], longest: int, parts: list[tuple[str, int, int]], scope: int) -> int:
-    """How many of the parts, sorted by start, lie in the scope of this one."""
-    _, a, b = part
-    lo, hi = bisect_left(starts, a - scope - longest), bisect_left(starts, b + scope + 1)
-    return sum(1 for p in parts[lo:hi] if p[2] >= a - scope and p != part)
+def _counter(parts: list[tuple[str, int, int]], scope: int) -> Callable[[tuple[str, int, int]], int]:
+    """Counts the parts whose spans come within the scope of another's: those that begin in time less those that have ended before."""
+    starts, ends = sorted(p[1] for p in parts), sorted(p[2] for p in parts)
+    return lambda p: bisect_right(starts, p[2] + scope) - bisect_left(ends, p[1] - scope)
 
 
 def link(text: str, base: list[tuple[str, int, int]], kinds: set[str] = frozenset(KINDS), scope: int = 240) -> list[tuple[str, int, int, int]]:
@@ -89,12 +91,7 @@ def link(text: str, base: list[tuple[str, int, int]], kinds: set[str] = frozense
         if mixed and not (i and reach[i - 1] > m.start()):
             keys.append(("key", m.start(), m.end()))
 
-    def counter(parts):
-        parts = sorted(parts, key=lambda p: p[1])
-        starts, longest = [p[1] for p in parts], max((p[2] - p[1] for p in parts), default=0)
-        return lambda p: _near(p, starts, longest, parts, scope)
-
-    partners, owners = counter(secrets + keys), counter(idents + weak + ends)
+    partners, owners = _counter(secrets + keys, scope), _counter(idents + weak + ends, scope)
     out = [(*s, owners(s) if s[0] != "access" else partners(s)) for s in base]
     out += [(*s, n) for s in weak + ends if (n := partners(s))]
     return out + [(*s, n) for s in keys if (n := owners(s))]
