@@ -679,7 +679,7 @@ def _cut(column: pa.Array, spans: pa.Array, copies: pa.Array) -> list[pa.Array]:
     return [pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
 
 
-def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, span: int = 50, range_bytes: int = 4 << 20, broadcast_bytes: int = 8 << 20, broadcast_rows: int = 500_000) -> DataFrame:
+def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, span: int = 50, range_bytes: int = 4 << 20, broadcast_bytes: int = 8 << 20, span_bytes: int = 32 << 20, broadcast_rows: int = 500_000) -> DataFrame:
     """Each row of docs with kept (bytes that stay), n_removed and removed (byte spans)."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
@@ -707,7 +707,7 @@ def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     # the kept columns travel as one, so no name of theirs meets another
     own = docs.select(F.struct(F.lit(0).alias("none") if not keep else F.col(f"`{keep[0]}`"), *[F.col(f"`{c}`") for c in keep[1:]]).alias("__own"), *tags).withColumn("__digest", F.md5(F.col("__text").cast("binary")))
     copy = F.coalesce((F.octet_length("__text") >= span) & (F.col("__least") < F.col("__id")), F.lit(False)).alias("__copy")
-    joined = own.join(same, "__digest", "left").join(F.broadcast(spans) if weight <= broadcast_bytes else spans, ["__id", "__row"], "left")
+    joined = own.join(same, "__digest", "left").join(F.broadcast(spans) if weight <= span_bytes else spans, ["__id", "__row"], "left")
     schema = T.StructType([own.schema["__own"], T.StructField("kept", T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

@@ -49,7 +49,7 @@ def run(spark, docs, parts=5, **more):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_matches_brute_force(spark, seed):
     docs = cases(seed)
-    assert run(spark, docs, parts=seed * 2, range_bytes=(1 << 20, 300, 5000)[seed - 1], broadcast_bytes=(1 << 20, 0, 0)[seed - 1]) == brute(docs)
+    assert run(spark, docs, parts=seed * 2, range_bytes=(1 << 20, 300, 5000)[seed - 1], broadcast_bytes=(1 << 20, 0, 0)[seed - 1], span_bytes=(1 << 20, 0, 0)[seed - 1]) == brute(docs)
 
 
 def test_odd_texts_and_repeated_rows(spark):
