@@ -22,12 +22,23 @@ Join. Prefix postings are dealt out by shingle range, in blobs. A first round
 links each posting only with two leaders of its list, which is linear in the
 postings. Each node is verified on whole sets with the leader that it shares
 most with, then with its other leaders as far as they are still in another
-component. A second round completes the join: it takes every posting list of
-three or more, leaves out lists that lie in one component, and pairs members
-of different components only, so the links within a large group of near
-copies are never written out; long lists are split into pairs of blocks.
-Candidates are verified as before, the best pair of each two components first.
-Components are those of all links. near_duplicate_links has the links themselves.
+component. The rounds that follow complete the join on the posting lists that
+hold more than one component; links within a component are never looked for.
+
+Lists of more than HOT postings, as of a large group of near copies that are not
+all similar, would give the square of their size in candidates. They are
+verified where they are: the first shared shingle of two similar sets lies in
+both of their shortest prefixes, so of a hot list only those postings count, and
+whole sets meet in pairs of blocks of bounded bytes. A task multiplies the
+blocks' membership matrices and gives only links that join two components, a
+forest of them, so its output grows with the nodes and not with their pairs.
+
+Other lists give pairs of members of different components, summed over lists. A
+pair is a candidate if it may share enough: what it shares in these lists, and
+what it could share at most in hot ones. Nodes with fewer postings in such lists
+than a pair must share give no pair at all. Candidates are verified as before,
+the best pair of each two components first. Components are those of all links.
+near_duplicate_links has the links themselves.
 
 Verification sends each needed set once for each leader; leaders of many are
 salted. Components come from repeated minimum and pointer jumping, each
@@ -44,6 +55,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +63,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import hint, map_rows, map_texts, partitions, saved
+from tessera.llm.shared import hint, map_rows, map_texts, partitions, saved, small
 from tessera.llm.text import NOT_SPACE, Words, grams, mix, pieces, rows
 
 LEVELS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64])
@@ -59,6 +71,8 @@ VERIFY = 20.0  # cost of a candidate, in postings
 FLUSH = 500_000  # entries that a task holds before it sends them
 TEXTS = 1 << 20  # bytes of text that are shingled at once
 SEND = 2 << 20  # bytes of sets that are sent at once
+HOT = 100  # postings of a list whose pairs are verified in blocks
+BLOCK_BYTES = 1 << 20  # of sets in a block
 ENTRIES = 100_000  # entries of posting lists that are paired at once
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 NODE = np.dtype("V16")
@@ -341,7 +355,7 @@ def _numbered(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _across(percent: int):
-    """Counts of shared shingles for pairs of different components, from groups (tok, x, y) of list entries."""
+    """Counts of shared shingles for pairs of different components, from the entries of lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for table in _whole_groups(batches):
@@ -350,44 +364,44 @@ def _across(percent: int):
     def pairs(table: pa.Table) -> Iterator[dict]:
         nodes, doc = _numbered(table.column("node"))
         root = _numbered(table.column("root"))[1]
-        tok, x, y, own, n, level, place = (np.asarray(table.column(c)).astype(np.int64) for c in ("tok", "x", "y", "own", "n", "l", "place"))
-        order = np.lexsort((n, y, x, tok))
-        doc, root, tok, x, y, own, n, level, place = (v[order] for v in (doc, root, tok, x, y, own, n, level, place))
-        size, high = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
-        size[doc], high[doc] = n, level
-        cuts = np.flatnonzero(np.concatenate(([True], (tok[1:] != tok[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+        tok, n, level, place, k, hot = (np.asarray(table.column(c)).astype(np.int64) for c in ("tok", "n", "l", "place", "k", "hot"))
+        order = np.lexsort((n, tok))
+        doc, root, tok, n, level, place, k, hot = (v[order] for v in (doc, root, tok, n, level, place, k, hot))
+        size, high, other = (np.zeros(len(nodes), np.int64) for _ in range(3))
+        size[doc], high[doc], other[doc] = n, level, hot
+        cuts = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
         # the smaller of a pair has the place of at least one counted shingle below this
         limit = n - -(-2 * percent * n // (100 + percent)) + 1 + n // 10
         found: list[np.ndarray] = []
         for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(tok)], strict=True):
-            within = x[lo] == y[lo]
             for i in (lo + np.flatnonzero(place[lo:hi] < limit[lo:hi])).tolist():
                 # equal sizes meet once: the later entry is the larger
                 j = np.arange(i + 1, lo + int(np.searchsorted(n[lo:hi], n[i] * 100 // percent, "right")))
-                j = j[(root[j] != root[i]) & (True if within else own[j] != own[i])]
+                j = j[root[j] != root[i]]
                 if len(j):
                     need, least = level_of(n[i], n[j], level[i], level[j], percent)
-                    j = j[(place[i] < n[i] - least + need) & (place[j] < n[j] - least + need)]
+                    j = j[(place[i] < n[i] - least + need) & (place[j] < n[j] - least + need) & (np.minimum(k[i], k[j]) >= need)]
                     found.append(np.minimum(doc[i], doc[j]) * len(nodes) + np.maximum(doc[i], doc[j]))
         if found:
             code, c = np.unique(np.concatenate(found), return_counts=True)
             a, b = code // len(nodes), code % len(nodes)
             for lo in range(0, len(code), 50_000):
                 u, v = a[lo : lo + 50_000], b[lo : lo + 50_000]
-                yield {"a": nodes[u].tolist(), "b": nodes[v].tolist(), "need": level_of(size[u], size[v], high[u], high[v], percent)[0], "c": c[lo : lo + 50_000]}
+                yield {"a": nodes[u].tolist(), "b": nodes[v].tolist(), "need": level_of(size[u], size[v], high[u], high[v], percent)[0] - np.minimum(other[u], other[v]), "c": c[lo : lo + 50_000]}
 
     return run
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by (tok, x, y) in tables of whole groups, each of about ENTRIES rows or of one group."""
+    """Rows sorted by tok in tables of whole lists, each of about ENTRIES rows or of one list."""
     wait: list[pa.RecordBatch] = []
     for batch in batches:
-        tok, x, y = (np.asarray(batch.column(c)) for c in ("tok", "x", "y"))
-        cuts = np.flatnonzero((tok[1:] != tok[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
-        begins = bool(wait) and any(wait[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in ("tok", "x", "y"))
+        tok = np.asarray(batch.column("tok"))
+        cuts = (np.flatnonzero(tok[1:] != tok[:-1]) + 1).tolist()
+        if wait and wait[-1].column("tok")[-1].as_py() != tok[0]:
+            cuts.insert(0, 0)
         at = 0
-        for cut in [*([0] if begins else []), *cuts.tolist()]:
+        for cut in cuts:
             if sum(b.num_rows for b in wait) + cut - at >= ENTRIES:
                 yield pa.Table.from_batches([*wait, batch.slice(at, cut - at)])
                 wait, at = [], cut
@@ -397,6 +411,101 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(wait)
 
 
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set of a shares with each of b, by products of membership matrices."""
+    every = np.concatenate([*a, *b])
+    values, count = np.unique(every, return_counts=True)
+    values = values[count > 1]  # others are in one set only
+    rows_a, rows_b = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b))
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    out = np.zeros((len(a), len(b)), np.float32)
+    width = max(64, (8 << 20) // (4 * max(1, len(a) + len(b))))  # columns in 8 MB
+    for lo in range(0, len(values), width):
+        part = values[lo : lo + width]
+        sides = []
+        for flat, row, n in ((flat_a, rows_a, len(a)), (flat_b, rows_b, len(b))):
+            at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            hit = part[at] == flat
+            side = np.zeros((n, len(part)), np.float32)
+            side[row[hit], at[hit]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _blocks(percent: int):
+    """Links that join components, a forest of them, of each pair of blocks (tok, x, y) of a hot list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        stream = ((key, row) for batch in batches for key, row in zip(zip(*(batch.column(c).to_pylist() for c in ("tok", "x", "y")), strict=True), zip(*(batch.column(c) for c in ("own", "node", "root", "tokens")), strict=True), strict=True))
+        for (_, x, y), group in groupby(stream, key=lambda r: r[0]):
+            sides = {x: [], y: []}
+            for _, (own, node, root, tokens) in group:
+                sides[own.as_py()].append((node.as_py(), root.as_py(), np.frombuffer(tokens.as_buffer(), np.uint64)))
+            links = _forest(sides[x], sides[y], percent)
+            if links:
+                yield {"a": [a for a, _ in links], "b": [b for _, b in links]}
+
+    return run
+
+
+def _forest(first: list[tuple], second: list[tuple], percent: int) -> list[tuple[bytes, bytes]]:
+    """Similar pairs of (node, root, tokens) from two blocks, as many as connect their components."""
+    if not first or not second:
+        return []
+    shared = _overlaps([t for _, _, t in first], [t for _, _, t in second])
+    sizes = [np.array([len(t) for _, _, t in side]) for side in (first, second)]
+    close = 100 * shared >= percent * (sizes[0][:, None] + sizes[1] - shared)
+    number: dict[bytes, int] = {}
+    roots = [np.array([number.setdefault(r, len(number)) for _, r, _ in side]) for side in (first, second)]
+    close &= roots[0][:, None] != roots[1]
+    above = list(range(len(number)))
+
+    def find(i: int) -> int:
+        while above[i] != i:
+            above[i] = above[above[i]]
+            i = above[i]
+        return i
+
+    links = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(close)), strict=True):
+        u, v = find(int(roots[0][i])), find(int(roots[1][j]))
+        if u != v:
+            above[u] = v
+            links.append((first[i][0], second[j][0]))
+    return links
+
+
+def node_sets(docs: DataFrame, keys: DataFrame, nodes: DataFrame, text: str, k: int) -> DataFrame:
+    """(node, tokens) of the given nodes, once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        shingler = Shingler(k)
+        for batch in batches:
+            for lo, hi in pieces(batch.column("text"), TEXTS):
+                part = batch.slice(lo, hi - lo)
+                found = [(node, s.tobytes()) for s, node in zip(shingler.sets(part.column("text")), part.column("node").to_pylist(), strict=True) if node_of(s) == node]
+                if found:  # an id may come with several texts
+                    yield dict(zip(("node", "tokens"), zip(*found, strict=True), strict=True))
+
+    wanted = saved(nodes.join(keys, "node").select(F.col("key").alias("__key"), "node"))
+    texts = docs.select(F.col("__key"), F.col(text).alias("text")).join(small(wanted, F.lit(40), 8 << 20), "__key").select("text", "node")
+    return saved(map_rows(texts, "node binary, tokens binary", run).dropDuplicates(["node"]))
+
+
+def hot_links(docs: DataFrame, keys: DataFrame, entry: DataFrame, hot: DataFrame, text: str, k: int, percent: int, parts: int) -> DataFrame:
+    """Links (a, b) between components among the members of hot lists."""
+    least = F.floor((F.col("n") * percent + 99) / 100)
+    near = entry.join(hot.select("tok"), "tok").where(F.col("place") <= F.col("n") - least)
+    lists = near.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("blocks")).where("lo <> hi")
+    member = saved(near.join(lists.select("tok", "blocks"), "tok").select("tok", "blocks", "node", "root"))
+    sets = node_sets(docs, keys, member.select("node").distinct(), text, k)
+    split = member.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("z", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = split.select("tok", F.least("own", "z").alias("x"), F.greatest("own", "z").alias("y"), "own", "node", "root").join(sets, "node")
+    dealt = dealt.repartition(parts, "tok", "x", "y").sortWithinPartitions("tok", "x", "y")
+    return saved(map_rows(dealt.select("tok", "x", "y", "own", "node", "root", "tokens"), "a binary, b binary", _blocks(percent)).distinct())
+
+
 def _send(k: int):
     shingler = None
 
@@ -513,15 +622,26 @@ def _prepared(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, lea
     return source, members, found, keys, parts
 
 
-def _candidates(found: DataFrame, roots: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Pairs (a, b) that share enough of their prefixes to be verified; of lists of three or more only those with different roots."""
+def _entries(found: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries of lists of three or more with their components, and the lists that hold several components."""
     entry = found.where("kind = 0").select("tok", F.col("a").alias("node"), F.col("na").alias("n"), F.col("la").alias("l"), F.col("c").alias("place"))
     entry = saved(entry.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    mixed = entry.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / 20_000).cast("int").alias("blocks")).where("lo <> hi").select("tok", "blocks")
-    split = entry.join(mixed, "tok").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("z", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = split.select("tok", F.least("own", "z").alias("x"), F.greatest("own", "z").alias("y"), "own", "node", "root", "n", "l", "place").repartition(parts, "tok", "x", "y").sortWithinPartitions("tok", "x", "y")
-    pair = map_rows(dealt, "a binary, b binary, need int, c int", _across(percent))
+    mixed = entry.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("tok", "size")
+    return entry, saved(mixed)
+
+
+def _candidates(found: DataFrame, entry: DataFrame, mixed: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Pairs (a, b) that may share enough of their prefixes; of lists of three or more only those with different roots, of hot lists none."""
     short = found.where("kind = 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), level_column(percent).alias("need"), "c")
+    pairs_of = short.select(F.col("a").alias("node"), "c").unionByName(short.select(F.col("b").alias("node"), "c"))
+    own = entry.join(mixed, "tok").select("node", F.lit(1).alias("c"), (F.col("size") > HOT).cast("int").alias("hot"))
+    # how many shared shingles a node's pairs can have at most, and how many of them in hot lists
+    most = saved(own.unionByName(pairs_of.withColumn("hot", F.lit(0))).groupBy("node").agg(F.sum("c").alias("k"), F.sum("hot").alias("hot")))
+    dealt = entry.join(mixed.where(F.col("size") <= HOT).select("tok"), "tok").join(most, "node").select("tok", "node", "root", "n", "l", "place", "k", "hot")
+    pair = map_rows(dealt.repartition(parts, "tok").sortWithinPartitions("tok"), "a binary, b binary, need int, c int", _across(percent))
+    for side in ("a", "b"):
+        short = short.join(most.select(F.col("node").alias(side), F.col("k").alias(f"k_{side}"), F.col("hot").alias(f"hot_{side}")), side)
+    short = short.where(F.least("k_a", "k_b") >= F.col("need")).select("a", "b", (F.col("need") - F.least("hot_a", "hot_b")).cast("int").alias("need"), "c")
     return pair.unionByName(short).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need")
 
 
@@ -544,8 +664,16 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     if not rest.isEmpty():
         roots = link(rest)
 
+    # hot lists: in blocks
+    entry, mixed = _entries(found, roots)
+    hot = mixed.where(F.col("size") > HOT)
+    if not hot.isEmpty():
+        linked.append(hot_links(source, keys, entry, hot, text, k, percent, parts))
+        roots = components(reduce(DataFrame.unionByName, linked))
+        entry, mixed = _entries(found, roots)
+
     # second round: what is left between components, first by the best pair of each two components
-    enough = _candidates(found, roots, percent, parts)
+    enough = _candidates(found, entry, mixed, percent, parts)
     tried = best.unionByName(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = saved(apart(enough.join(tried, ["a", "b"], "left_anti"), roots))
     if not second.isEmpty():
@@ -570,7 +698,9 @@ def near_duplicate_links(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     """
     source, members, found, keys, parts = _prepared(docs, doc_id, text, k, percent, least_frequent, most_frequent, range_tokens)
     alone = keys.select("node", F.col("node").alias("root"))
-    links = verify(source, keys, saved(_candidates(found, alone, percent, parts).select("a", "b")), text, k, percent, parts)
+    entry, lists = _entries(found, alone)
+    lists = lists.withColumn("size", F.lit(0))  # none is hot: their pairs are what is asked for
+    links = verify(source, keys, saved(_candidates(found, entry, lists, percent, parts).select("a", "b")), text, k, percent, parts)
     ids = members.where("n_shingles > 0").groupBy("node").agg(F.min(doc_id).alias("id"))
     for side in ("a", "b"):
         links = links.join(ids.select(F.col("node").alias(side), F.col("id").alias(f"id_{side}")), side)

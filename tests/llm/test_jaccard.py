@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from tessera.llm import jaccard
 from tessera.llm.jaccard import near_duplicate_links, near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -53,7 +54,9 @@ def cases(seed, groups=25):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_components_match_brute_force(spark, seed):
+def test_components_match_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", (100, 3, 8)[seed - 1])
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", (1 << 20, 2000, 9000)[seed - 1])
     docs = cases(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     got = near_duplicates(df, least_frequent=(64, 3, 6)[seed - 1], most_frequent=(10**6, 10**6, 20)[seed - 1])
@@ -69,6 +72,18 @@ def test_odd_texts_repeated_rows_and_one_large_group(spark):
     assert sorted((tuple(x) for x in near_duplicates(df).collect()), key=str) == brute(docs)
 
 
+@pytest.mark.parametrize("rate", [0.02, 0.05, 0.1])
+def test_large_group_of_near_copies(spark, rate, monkeypatch):
+    """Some of them similar, many not quite: their lists are hot."""
+    monkeypatch.setattr(jaccard, "HOT", 20)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 20_000)
+    r = random.Random(int(rate * 100))
+    base = [f"w{i}" for i in range(90)]
+    docs = [(i, " ".join(edit(r, base, rate)[: r.randrange(60, 91)])) for i in range(250)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(x) for x in near_duplicates(df, least_frequent=4).collect()), key=str) == brute(docs)
+
+
 def test_empty_table_and_extra_columns(spark):
     df = spark.createDataFrame([(1, "a b", 3), (2, "a b", 4)], "doc_id long, text string, node int")
     assert sorted(tuple(r) for r in near_duplicates(df).collect()) == [(1, 1, 1), (2, 1, 1)]
