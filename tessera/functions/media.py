@@ -38,7 +38,8 @@ def choose_encoder(codec: Column, profile: Column, bit_rate: Column) -> Column:
 
 
 def channel_layout(reported: Column, channels: Column) -> Column:
-    known = F.when(~reported.isin("", "unknown"), reported)
+    """The reported layout, or where that is unknown (in any case of letters) the usual one for so many channels."""
+    known = F.when(~F.lower(reported).isin("", "unknown"), reported)
     return F.coalesce(known, lookup(LAYOUTS, channels), F.lit("stereo"))
 
 

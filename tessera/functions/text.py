@@ -28,6 +28,11 @@ def _clock(s: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
 
 
+def to_grid(seconds: Column) -> Column:
+    """Seconds rounded to four decimals, as transcripts and logs hold them; whole numbers stay as they are."""
+    return F.round(seconds, 4)
+
+
 def duration(seconds: Column) -> Column:
     """HH:MM:SS of the whole seconds; hours may exceed two digits."""
     return _clock(F.floor(seconds).cast("long"))

@@ -5,10 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import media
+
+
+_HALF = 0.5**0.5
+#: Weights of channels for the left and the right side, by number of channels.
+MIX = {
+    1: ((1.0,), (1.0,)),
+    2: ((1.0, 0.0), (0.0, 1.0)),
+    6: ((1.0, 0.0, _HALF, 0.0, _HALF, 0.0), (0.0, 1.0, _HALF, 0.0, 0.0, _HALF)),
+    8: ((1.0, 0.0, _HALF, 0.0, _HALF, 0.0, _HALF, 0.0), (0.0, 1.0, _HALF, 0.0, 0.0, _HALF, 0.0, _HALF)),
+}
+
 
 def mix(first: DataFrame, second: DataFrame) -> DataFrame:
     """Sample-wise sum (job_id, i, sample) with the length of the first track; no rescaling."""
@@ -27,6 +40,33 @@ def mute_block(samples: Column, start: Column, rate: int, intervals: Column) ->
     return F.transform(samples, lambda s, i: F.when(F.exists(intervals, lambda x: (start * rate + i * 1000 >= x["start"] * rate) & (start * rate + i * 1000 <= x["end"] * rate)), 0).otherwise(s))
 
 
+def concatenate(blocks: DataFrame) -> DataFrame:
+    """Blocks of samples (job_id, segment_index, block, samples) on one track: at is the first sample's number in the job.
+
+    No sample is changed, and no track is held in one row; the window holds only
+    the sizes of a job's blocks.
+    """
+    before = Window.partitionBy("job_id").orderBy("segment_index", "block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = blocks.select("job_id", "segment_index", "block", F.size("samples").alias("n"))
+    at = sizes.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return blocks.join(at, ["job_id", "segment_index", "block"]).select("job_id", "at", "samples")
+
+
+def downmix_block(samples: Column, channels: int) -> Column:
+    """Interleaved 16-bit samples of 1, 2, 6 or 8 channels as interleaved stereo; other layouts are an error.
+
+    One channel goes to both sides and two stay. Of more (front left and right,
+    centre, low, then pairs), the centre and each rear channel count 1/sqrt(2),
+    the low one nothing, and all is scaled so that it can't clip.
+    """
+    if channels not in MIX:
+        raise ValueError(f"no downmix for {channels} channels")
+    sides, frames = MIX[channels], F.sequence(F.lit(0), F.floor(F.size(samples) / channels).cast("int") - 1)
+    scale = max(1.0, *(sum(side) for side in sides))
+    frame = lambda i: F.array(*[F.round(sum((F.get(samples, i * channels + c) * (w / scale) for c, w in enumerate(side) if w), F.lit(0.0))).cast("smallint") for side in sides])
+    return F.when(F.size(samples) < channels, F.array().cast("array<smallint>")).otherwise(F.flatten(F.transform(frames, frame)))
+
+
 def check_method(method: str, n_intervals: int) -> None:
     """Only silence is implemented; another method is an error once there is something to mute."""
     if n_intervals and method != "mute":
@@ -39,6 +79,18 @@ class Separator(Protocol):
     def __call__(self, audio: bytes) -> tuple[bytes, bytes]: ...
 
 
+class Downmixer(Protocol):
+    """Decodes a raw track of so many channels to 44.1 kHz interleaved 16-bit stereo."""
+
+    def __call__(self, audio: bytes, channels: int) -> bytes: ...
+
+
+class Encoder(Protocol):
+    """Encodes 16-bit stereo with a named encoder, bit rate (0: lossless) and channel layout."""
+
+    def __call__(self, audio: bytes, encoder: str, bitrate: int, layout: str) -> bytes: ...
+
+
 class Transcriber(Protocol):
     """Gives the (word, start, end, score) rows of a segment's dialogue."""
 
@@ -57,6 +109,32 @@ def separate(segments: DataFrame, make: Callable[[], Separator]) -> DataFrame:
     return segments.select("job_id", "segment_index", "audio").mapInPandas(run, "job_id long, segment_index int, dialogue binary, background binary")
 
 
+def downmix(tracks: DataFrame, make: Callable[[], Downmixer]) -> DataFrame:
+    """(job_id, stereo) of tracks (job_id, audio, channels); one tool for each task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tool = make()
+        for batch in batches:
+            yield batch[["job_id"]].assign(stereo=[tool(bytes(a), int(c)) for a, c in zip(batch["audio"], batch["channels"], strict=True)])
+
+    return tracks.select("job_id", "audio", "channels").mapInPandas(run, "job_id long, stereo binary")
+
+
+def encode(tracks: DataFrame, make: Callable[[], Encoder]) -> DataFrame:
+    """(job_id, encoder, bitrate, reason, encoded) of tracks (job_id, audio) with what was probed of their source (codec_name, profile, bit_rate, channels, channel_layout)."""
+    choice = media.choose_encoder(F.col("codec_name"), F.col("profile"), F.col("bit_rate"))
+    layout = media.channel_layout(F.col("channel_layout"), F.coalesce(F.nullif("channels", F.lit(0)), F.lit(2)))
+    chosen = tracks.select("job_id", "audio", choice.alias("x"), layout.alias("layout")).select("job_id", "audio", "x.*", "layout")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tool = make()
+        for batch in batches:
+            done = [tool(bytes(a), e, int(b), s) for a, e, b, s in zip(batch["audio"], batch["encoder"], batch["bitrate"], batch["layout"], strict=True)]
+            yield batch[["job_id", "encoder", "bitrate", "reason"]].assign(encoded=done)
+
+    return chosen.mapInPandas(run, "job_id long, encoder string, bitrate long, reason string, encoded binary")
+
+
 def transcribe(segments: DataFrame, make: Callable[[], Transcriber]) -> DataFrame:
     """Word rows (job_id, segment_index, pos, word, start, end, score); empty words are dropped and a segment may have none."""
 
@@ -73,6 +151,22 @@ def enumerate_words(found: list[tuple]) -> list[tuple]:
     return [(i, *w) for i, w in enumerate(w for w in found if w[0])]
 
 
+class PlainDownmixer:
+    """A stand-in for a tool: the audio is 16-bit samples at 44.1 kHz already, and the weights of MIX are applied."""
+
+    def __call__(self, audio: bytes, channels: int) -> bytes:
+        raw = np.frombuffer(audio[: len(audio) // (2 * channels) * 2 * channels], "<i2").reshape(-1, channels)
+        sides = np.array(MIX[channels])
+        return np.round(raw @ (sides / max(1.0, sides.sum(axis=1).max())).T).astype("<i2").tobytes()
+
+
+class PlainEncoder:
+    """A stand-in for a tool: the samples as they are, under a line that names what was asked for."""
+
+    def __call__(self, audio: bytes, encoder: str, bitrate: int, layout: str) -> bytes:
+        return f"{encoder} {bitrate} {layout}\n".encode() + audio
+
+
 class SilentSeparator:
     """A stand-in for a model: everything is dialogue."""
 

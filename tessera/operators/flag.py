@@ -1,18 +1,20 @@
 """Lexicon rules and their matches in word-level transcripts.
 
 Words are rows (job_id, word_index, word, start, end, score) with the position
-in the job as key. Rules are few and held by the driver; words are the large
-side and are scanned once. Single-word rules become one CASE expression, or,
-for a large lexicon, a join on the dictionary of distinct tokens, so that the
-pattern rules never meet every word. Phrase rules look ahead with one window
-for each job.
+in the job as key. Rules are held by the driver; words are the large side and
+are scanned once. Single-word rules become one CASE expression, or, for a large
+lexicon, a join on the dictionary of distinct tokens, in which pattern rules
+meet the prefixes and substrings of their own lengths. Only words that a single
+rule takes or that some phrase holds are shuffled; one window for each job then
+looks ahead, and phrases of any number are found by a join on their lower-case
+text.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip, strip_punctuation
@@ -79,64 +81,95 @@ def first_rule(token: Column, single: list[Rule]) -> Column:
 
 
 def token_dictionary(tokens: DataFrame, single: list[Rule]) -> DataFrame:
-    """(tok, line_no) of the distinct tokens that a rule takes; for lexicons too large for one expression."""
+    """(tok, line_no) of the distinct tokens that a rule takes; for lexicons too large for one expression.
+
+    All joins are on equal text: pattern rules meet the prefixes (starts-with) or
+    substrings (contains) of a token that are as long as some rule.
+    """
     spark = tokens.sparkSession
-    table = F.broadcast(spark.createDataFrame([(r.rank, r.line_no, r.case_sensitive, r.tokens[0], r.tokens[0].lower()) for r in single], "rank int, line_no int, cs boolean, root string, low string"))
-    own = tokens.select("tok").distinct().withColumn("tok_low", F.lower("tok"))
-    hits = own.join(table.where("rank = 1"), F.col("tok_low") == F.col("low")).unionByName(own.join(table.where("rank = 2"), F.col("tok") == F.col("root")))
-    for rank, test in ((3, lambda t, r: t.startswith(r)), (4, lambda t, r: t.contains(r))):
-        some = table.where(f"rank = {rank}")
-        hits = hits.unionByName(own.join(some, (F.col("cs") & test(F.col("tok"), F.col("root"))) | (~F.col("cs") & test(F.col("tok_low"), F.col("low")))))
+    table = spark.createDataFrame([(r.rank, r.line_no, r.case_sensitive, r.tokens[0], r.tokens[0].lower()) for r in single], "rank int, line_no int, cs boolean, root string, low string")
+    own = tokens.select("tok").distinct()
+    low = F.lower("tok")
+    as_key = lambda rank, texts: F.transform(texts, lambda t: F.struct(F.lit(rank).alias("rank"), t.alias("key")))
+    sizes = {rank: sorted({len(r.tokens[0].lower()) for r in single if r.rank == rank}) for rank in (3, 4)}
+    every = [as_key(1, F.array(low)), as_key(2, F.array(low))]
+    every += [F.when(F.length(low) >= n, as_key(3, F.array(F.left(low, F.lit(n))))) for n in sizes[3]]
+    substrings = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n))))
+    every += [F.when(F.length(low) >= n, as_key(4, substrings(n))) for n in sizes[4]]
+    none = F.array().cast("array<struct<rank:int,key:string>>")
+    keys = own.select("tok", F.explode(F.concat(*[F.coalesce(x, none) for x in every])).alias("x")).select("tok", "x.*")
+    exact = F.when(F.col("rank") == 2, F.col("tok") == F.col("root")).when(F.col("rank") == 3, F.col("tok").startswith(F.col("root"))).when(F.col("rank") == 4, F.col("tok").contains(F.col("root")))
+    hits = keys.join(F.broadcast(table.withColumnRenamed("low", "key")), ["rank", "key"]).where(~F.col("cs") | exact)
     return hits.groupBy("tok").agg(F.min(F.struct("rank", "line_no")).alias("m")).select("tok", "m.line_no")
 
 
-def _labels(some: list[Rule]) -> Column:
-    return F.create_map(*[x for r in some for x in (F.lit(r.line_no), F.lit(r.raw))])
+def _names(spark: SparkSession, found: list[Rule]) -> DataFrame:
+    return F.broadcast(spark.createDataFrame([(r.line_no, r.raw) for r in found], "line_no int, entry string"))
+
+
+def _timed(words: DataFrame) -> DataFrame:
+    """Words that can match: timed, with something left of them as tok."""
+    return words.where(F.col("start").isNotNull() & F.col("end").isNotNull()).withColumn("tok", strip_punctuation(F.col("word"))).where("tok <> ''")
+
+
+def _with_rule(timed: DataFrame, single: list[Rule]) -> DataFrame:
+    """timed with the line number of the single-word rule that takes each, null for none."""
+    if len(single) <= EXPRESSION_RULES:
+        return timed.withColumn("line_no", first_rule(F.col("tok"), single))
+    return timed.join(token_dictionary(timed, single), "tok", "left")
 
 
 def single_matches(words: DataFrame, found: list[Rule]) -> DataFrame:
     """One match at most for each timed word."""
     single = [r for r in found if len(r.tokens) == 1]
-    timed = words.where(F.col("start").isNotNull() & F.col("end").isNotNull()).withColumn("tok", strip_punctuation(F.col("word"))).where("tok <> ''")
-    if not single:
-        hit = timed.withColumn("line_no", F.lit(None).cast("int")).where("false").withColumn("entry", F.lit(""))
-    elif len(single) <= EXPRESSION_RULES:
-        hit = timed.withColumn("line_no", first_rule(F.col("tok"), single)).where("line_no is not null").withColumn("entry", F.element_at(_labels(single), F.col("line_no")))
-    else:
-        names = F.broadcast(words.sparkSession.createDataFrame([(r.line_no, r.raw) for r in single], "line_no int, entry string"))
-        hit = timed.join(token_dictionary(timed, single), "tok").join(names, "line_no")
+    hit = _with_rule(_timed(words), single).where("line_no is not null").join(_names(words.sparkSession, single), "line_no")
     return hit.select("job_id", "word_index", F.lit(1).alias("span"), F.col("word").alias("matched_text"), "entry", "line_no", "start", "end", F.coalesce("score", F.lit(0)).alias("score"))
 
 
-def phrase_matches(words: DataFrame, found: list[Rule]) -> DataFrame:
-    """A match for each phrase rule at each place where all its words are timed and equal."""
-    phrases = [r for r in found if len(r.tokens) > 1]
+def _hits(words: DataFrame, found: list[Rule], with_single: bool) -> DataFrame:
+    """Matches of all rules, or of phrases only, from one scan of the words and one exchange of those that can take part."""
+    spark = words.sparkSession
+    single, phrases = [r for r in found if len(r.tokens) == 1 and with_single], [r for r in found if len(r.tokens) > 1]
+    timed, parts = _with_rule(_timed(words), single), sorted({t.lower() for r in phrases for t in r.tokens})
+    in_phrase = F.lit(False)
+    if 0 < len(parts) <= EXPRESSION_RULES:
+        in_phrase = F.lower("tok").isin(parts)
+    elif parts:
+        some = F.broadcast(spark.createDataFrame([(t,) for t in parts], "__part string"))
+        timed, in_phrase = timed.join(some, F.lower("tok") == F.col("__part"), "left"), F.col("__part").isNotNull()
+    rows = timed.where(F.col("line_no").isNotNull() | in_phrase)
+    own = F.struct("word_index", "word", "tok", "end", F.coalesce("score", F.lit(0)).alias("score"))
     by = Window.partitionBy("job_id").orderBy("word_index")
-    tok = strip_punctuation(F.col("word"))
-    own = F.struct("word", F.when(F.col("start").isNotNull() & F.col("end").isNotNull() & (tok != ""), tok).alias("tok"), "end", F.coalesce("score", F.lit(0)).alias("score"))
-    ahead = words.withColumn("w0", own)
-    for j in range(1, max((len(r.tokens) for r in phrases), default=1)):
+    lengths = sorted({len(r.tokens) for r in phrases})
+    ahead = rows.withColumn("w0", own)
+    for j in range(1, max(lengths, default=1)):
         ahead = ahead.withColumn(f"w{j}", F.lead(own, j).over(by))
 
-    def hit(rule: Rule) -> Column:
-        at = [F.col(f"w{j}") for j in range(len(rule.tokens))]
-        same = F.lit(True)
-        for w, t in zip(at, rule.tokens, strict=True):
-            same &= (w["tok"] == t) if rule.case_sensitive else (F.lower(w["tok"]) == t.lower())
-        score = F.least(*[w["score"] for w in at])
-        return F.when(same, F.struct(F.lit(len(at)).alias("span"), F.concat_ws(" ", *[w["word"] for w in at]).alias("matched_text"), F.lit(rule.raw).alias("entry"), F.lit(rule.line_no).alias("line_no"), at[-1]["end"].alias("end"), score.alias("score")))
+    def found_at(n: int) -> Column:
+        """What a phrase of n words here would match; null unless the words follow each other."""
+        at = [F.col(f"w{j}") for j in range(n)]
+        text = F.concat_ws(" ", *[w["tok"] for w in at])
+        what = F.struct(F.lit(n).alias("span"), F.lit(None).cast("int").alias("line_no"), F.concat_ws(" ", *[w["word"] for w in at]).alias("matched_text"), at[-1]["end"].alias("end"), F.least(*[w["score"] for w in at]).alias("score"), text.alias("text"))
+        return F.when(at[-1]["word_index"] == F.col("word_index") + (n - 1), what)
+
+    alone = F.struct(F.lit(1).alias("span"), F.col("line_no"), F.col("word").alias("matched_text"), F.col("end"), F.coalesce("score", F.lit(0)).alias("score"), F.lit(None).cast("string").alias("text"))
+    every = F.array(F.when(F.col("line_no").isNotNull(), alone), *[found_at(n) for n in lengths])
+    hits = ahead.select("job_id", "word_index", "start", F.explode(F.filter(every, lambda x: x.isNotNull())).alias("m")).select("job_id", "word_index", "start", "m.*")
+    rules_ = spark.createDataFrame([(len(r.tokens), " ".join(r.tokens).lower(), " ".join(r.tokens), r.case_sensitive, r.line_no) for r in phrases], "span int, low string, exact string, cs boolean, rule int")
+    hits = hits.withColumn("low", F.lower("text")).join(F.broadcast(rules_), ["span", "low"], "left").where((F.col("span") == 1) | (F.col("rule").isNotNull() & (~F.col("cs") | (F.col("text") == F.col("exact")))))
+    hits = hits.withColumn("line_no", F.coalesce("line_no", "rule")).join(_names(spark, single + phrases), "line_no")
+    return hits.select(*MATCHES)
 
-    if not phrases:
-        return single_matches(words, []).where("false")
-    hits = ahead.select("job_id", "word_index", "start", F.explode(F.filter(F.array(*[hit(r) for r in phrases]), lambda x: x.isNotNull())).alias("m"))
-    return hits.select("job_id", "word_index", "m.span", "m.matched_text", "m.entry", "m.line_no", "start", "m.end", "m.score")
+
+def phrase_matches(words: DataFrame, found: list[Rule]) -> DataFrame:
+    """A match for each phrase rule at each place where all its words are timed and equal."""
+    return _hits(words, found, False)
 
 
 def flag(words: DataFrame, found: list[Rule]) -> DataFrame:
     """All matches: single words first, then phrases in file order, at each index (match_rank is that order in the job)."""
-    both = single_matches(words, found).unionByName(phrase_matches(words, found))
     by = Window.partitionBy("job_id").orderBy("word_index", F.col("span") > 1, "line_no")
-    return both.withColumn("match_rank", F.row_number().over(by))
+    return _hits(words, found, True).withColumn("match_rank", F.row_number().over(by))
 
 
 def term_search(words: DataFrame, query: str) -> DataFrame:

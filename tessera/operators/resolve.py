@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import to_grid
+
 JOB = "job_id"
 
 
@@ -26,13 +28,20 @@ def apply_corrections(overrides: DataFrame, matches: DataFrame, skips: DataFrame
     return overrides.unionByName(new).unionByName(add)
 
 
-def redaction_log(matches: DataFrame, overrides: DataFrame, pad: float) -> DataFrame:
-    """Unmerged log rows with padded bounds; log_rank orders a job's rows by padded start, matches before additions."""
+def padded_rows(matches: DataFrame, overrides: DataFrame, pad: float) -> DataFrame:
+    """Matches that stay and additions, with padded bounds; seq numbers a job's matches and its additions."""
     kept = drop_skipped(matches, overrides).select(JOB, F.lit("matched").alias("source"), F.col("matched_text").alias("word"), "entry", "word_index", "start", "end", "score", F.col("match_rank").alias("seq"))
     adds = overrides.where("action = 'add'").select(JOB, F.lit("review_add").alias("source"), F.col("text").alias("word"), F.lit(None).cast("string").alias("entry"), "word_index", "start", "end")
     adds = adds.withColumn("seq", F.row_number().over(Window.partitionBy(JOB).orderBy("start", "end", "word")))
     rows = kept.unionByName(adds, allowMissingColumns=True)
-    rows = rows.withColumn("padded_start", F.greatest(F.col("start") - pad, F.lit(0))).withColumn("padded_end", F.col("end") + pad)
+    return rows.withColumn("padded_start", F.greatest(F.col("start") - pad, F.lit(0))).withColumn("padded_end", F.col("end") + pad)
+
+
+def redaction_log(matches: DataFrame, overrides: DataFrame, pad: float) -> DataFrame:
+    """Unmerged log rows with times on the grid of four decimals; log_rank orders a job's rows by padded start, matches before additions."""
+    rows = padded_rows(matches, overrides, pad)
+    for c in ("start", "end", "padded_start", "padded_end"):
+        rows = rows.withColumn(c, to_grid(F.col(c)))
     by = Window.partitionBy(JOB).orderBy("padded_start", "source", "seq")
     return rows.withColumn("log_rank", F.row_number().over(by)).drop("seq")
 
@@ -47,12 +56,28 @@ def merge_intervals(intervals: DataFrame, keys: list[str], start: str = "start",
     return island.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__island")
 
 
+def muted_intervals(matches: DataFrame, overrides: DataFrame, pad: float) -> DataFrame:
+    """What is muted in each job: the union of padded bounds, which are not rounded here."""
+    rows = padded_rows(matches, overrides, pad)
+    return merge_intervals(rows.select(JOB, F.col("padded_start").alias("start"), F.col("padded_end").alias("end")), [JOB])
+
+
 def covered_words(words: DataFrame, intervals: DataFrame, width: int) -> DataFrame:
     """Timed words whose start lies in an interval of their job: a range join by bins of `width`."""
+    return _binned(words.where("start is not null"), intervals, width, "left_semi")
+
+
+def mark_covered(words: DataFrame, intervals: DataFrame, width: int) -> DataFrame:
+    """All words, with covered: whether the start lies in one of the job's merged intervals, of which at most one can hold it."""
+    return _binned(words, intervals, width, "left").withColumn("covered", F.col("__hit").isNotNull()).drop("__hit")
+
+
+def _binned(words: DataFrame, intervals: DataFrame, width: int, how: str) -> DataFrame:
     bins = intervals.select(JOB, F.col("start").alias("a"), F.col("end").alias("b")).withColumn("bin", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor(F.col("b") / width))))
-    timed = words.where("start is not null").withColumn("bin", F.floor(F.col("start") / width))
-    hit = (timed[JOB] == bins[JOB]) & (timed["bin"] == bins["bin"]) & timed["start"].between(bins["a"], bins["b"])
-    return timed.join(bins, hit, "left_semi").drop("bin")
+    bins = bins.select(F.col(JOB).alias("__hit"), F.col("bin").alias("__bin"), "a", "b")
+    own = words.withColumn("bin", F.floor(F.col("start") / width))
+    hit = (F.col(JOB) == F.col("__hit")) & (F.col("bin") == F.col("__bin")) & F.col("start").between(F.col("a"), F.col("b"))
+    return own.join(bins, hit, how).drop("bin", "__bin", "a", "b")
 
 
 def statistics(matches: DataFrame, overrides: DataFrame, merged: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ from tessera.functions import config, media
 from tessera.functions import text as tx
 from tessera.operators import audio, jobs
 from tessera.operators import resolve as rs
-from tessera.plans.fixtures import words
+from tessera.plans.fixtures import OVERRIDES, WORDS, words
 from tessera.plans.registry import query, table
-from tessera.plans.transcript import log, merged
+from tessera.plans.transcript import log, merged, turns
+from tessera.sources import readers
 from tessera.streaming.progress import progress, session_intervals
 
 
@@ -24,7 +25,7 @@ def values(rows: list[tuple]) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + ")"
 
 
-STREAMS = [("AAC", "LC", "128000", 2, "stereo"), ("ac3", None, "N/A", 6, None), ("dts", "DTS-HD MA", "900000", 8, "7.1"), ("dts", "DTS", None, 6, "unknown"), ("truehd", "", None, 8, ""), ("mlp", None, "500000", 2, None), ("weird", None, "700000", 4, None), ("flac", None, "9", 1, "mono"), ("pcm_s24le", None, None, 2, None), ("opus", None, "0", 3, None), (None, None, "12.5", 2, "quad"), ("vorbis", None, "80000", 1, "unknown")]
+STREAMS = [("AAC", "LC", "128000", 2, "stereo"), ("ac3", None, "N/A", 6, None), ("dts", "DTS-HD MA", "900000", 8, "7.1"), ("dts", "DTS", None, 6, "unknown"), ("truehd", "", None, 8, ""), ("mlp", None, "500000", 2, None), ("weird", None, "700000", 4, "Unknown"), ("flac", None, "9", 1, "mono"), ("pcm_s24le", None, None, 2, None), ("opus", None, "0", 3, None), (None, None, "12.5", 2, "quad"), ("vorbis", None, "80000", 1, "unknown")]
 _S = f"streams(codec, profile, rate, channels, layout) AS {values(STREAMS)}"
 
 
@@ -48,7 +49,7 @@ def encoder_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams(spark).withColumn("x", media.choose_encoder(F.col("codec"), F.col("profile"), F.col("rate"))).select("codec", "profile", "rate", "x.*")
 
 
-@query("layout_default", f"WITH {_S} SELECT codec, channels, layout, coalesce(CASE WHEN layout NOT IN ('', 'unknown') THEN layout END, CASE channels WHEN 1 THEN 'mono' WHEN 2 THEN 'stereo' WHEN 6 THEN '5.1' WHEN 8 THEN '7.1' END, 'stereo') AS chosen, coalesce({_CASES(media.EXTENSIONS, 'codec')}, '.' || codec) AS extension FROM streams")
+@query("layout_default", f"WITH {_S} SELECT codec, channels, layout, coalesce(CASE WHEN lower(layout) NOT IN ('', 'unknown') THEN layout END, CASE channels WHEN 1 THEN 'mono' WHEN 2 THEN 'stereo' WHEN 6 THEN '5.1' WHEN 8 THEN '7.1' END, 'stereo') AS chosen, coalesce({_CASES(media.EXTENSIONS, 'codec')}, '.' || codec) AS extension FROM streams")
 def layout_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams(spark).select("codec", "channels", "layout", media.channel_layout(F.col("layout"), F.col("channels")).alias("chosen"), media.raw_extension(F.col("codec")).alias("extension"))
 
@@ -58,7 +59,7 @@ def safe_int(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams(spark).select("rate", tx.safe_int(F.col("rate")).alias("n")).distinct()
 
 
-NAMES = ["When Love Is Gone.mkv", "Captain America- Brave New World (2025).1080p.hevc.mkv", "plain", "a.b.c.mp4", "Two (1999) Years (2001).mkv", "x" * 40 + ".avi", "--- odd --- name that is long enough to be cut.mkv", "$dollar (1986) \\ back.mkv", "(12345) none.mkv", "ÉTÉ à la mer.mkv"]
+NAMES = ["The Long Way Down.mkv", "Harbour Lights- A Winter Story (2031).1080p.hevc.mkv", "plain", "a.b.c.mp4", "Two (1999) Years (2001).mkv", "x" * 40 + ".avi", "--- odd --- name that is long enough to be cut.mkv", "$dollar (1986) \\ back.mkv", "(12345) none.mkv", "ÉTÉ à la mer.mkv"]
 _N = f"names(name) AS {values([(n,) for n in NAMES])}"
 _STEM = r"regexp_replace(name, '^(.+)\.[^.]*$', '\1')"
 
@@ -237,28 +238,121 @@ def eta_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("done", media.eta(F.col("done"), F.col("total"), F.col("wall")).alias("remaining"))
 
 
-@query("interval_text")
+@query(
+    "interval_text",
+    f"""WITH {OVERRIDES} SELECT job_id, string_agg(printf('between(t,%.4f,%.4f)', s / 1000, e / 1000), '+' ORDER BY s, e) AS expression FROM merged GROUP BY job_id""",
+)
 def interval_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = merged(log(spark, sf_dir)[2]).select("job_id", (F.col("start") / 1000).alias("start"), (F.col("end") / 1000).alias("end"))
     return m.groupBy("job_id").agg(tx.interval_expression(F.array_sort(F.collect_list(F.struct("start", "end")))).alias("expression"))
 
 
-@query("covered_share")
+@query(
+    "covered_share",
+    f"""WITH {OVERRIDES}, h AS (SELECT w.job_id, w.word_index FROM words w SEMI JOIN merged g ON g.job_id = w.job_id AND w.st BETWEEN g.s AND g.e)
+    SELECT w.job_id, count(*) AS n, count(h.word_index) AS muted FROM words w LEFT JOIN h ON h.job_id = w.job_id AND h.word_index = w.word_index GROUP BY w.job_id""",
+)
 def covered_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = words(spark, sf_dir)
-    hit = rs.covered_words(w, merged(log(spark, sf_dir)[2]), 60_000).groupBy("job_id").agg(F.count("*").alias("muted"))
-    return w.groupBy("job_id").agg(F.count("*").alias("n")).join(hit, "job_id", "left").fillna(0, ["muted"])
+    marked = rs.mark_covered(words(spark, sf_dir), merged(log(spark, sf_dir)[2]), 60_000)
+    return marked.groupBy("job_id").agg(F.count("*").alias("n"), F.count_if("covered").alias("muted"))
 
 
-@query("backend_separate")
-def backend_separate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("job_id"), (F.col("turn") + 1).cast("int").alias("segment_index"), F.col("text").cast("binary").alias("audio"))
+def separated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("job_id"), (F.col("turn") + 1).cast("int").alias("segment_index"), F.coalesce("text", F.lit("")).cast("binary").alias("audio"))
     return audio.separate(s, audio.SilentSeparator)
 
 
-@query("backend_transcribe")
+@query("backend_separate", "SELECT conv_id AS job_id, CAST(turn + 1 AS INTEGER) AS segment_index, sha256(coalesce(text, '')) AS dialogue_sha256, CAST(strlen(coalesce(text, '')) AS BIGINT) AS background_bytes, TRUE AS silent FROM conversations")
+def backend_separate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    silent = F.regexp_replace(F.hex("background"), "0", "") == ""
+    return separated(spark, sf_dir).select("job_id", "segment_index", F.sha2("dialogue", 256).alias("dialogue_sha256"), F.octet_length("background").cast("long").alias("background_bytes"), silent.alias("silent"))
+
+
+@query(
+    "backend_transcribe",
+    r"""WITH t AS (SELECT conv_id AS job_id, CAST(turn + 1 AS INTEGER) AS segment_index, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM conversations),
+    e AS (SELECT job_id, segment_index, w, CAST(unnest(range(len(w))) AS INTEGER) AS pos FROM t)
+    SELECT job_id, segment_index, pos, w[pos + 1] AS word, pos * 0.4::DOUBLE AS "start", pos * 0.4::DOUBLE + 0.3::DOUBLE AS "end", 0.9::DOUBLE AS score FROM e""",
+)
 def backend_transcribe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.transcribe(backend_separate(spark, sf_dir), audio.TextTranscriber)
+    return audio.transcribe(separated(spark, sf_dir), audio.TextTranscriber)
+
+
+_TRACKS = "t AS (SELECT conv_id AS job_id, turn, 3 + (conv_id + turn) % 4 AS n FROM conversations)"
+
+
+@query(
+    "pcm_concat",
+    f"WITH {_TRACKS}, b AS (SELECT *, coalesce(CAST(sum(n) OVER (PARTITION BY job_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS at_ FROM t), s AS (SELECT *, unnest(range(n)) AS i FROM b) SELECT job_id, at_ + i AS i, CAST((turn * 100 + i) % 30000 AS SMALLINT) AS sample FROM s",
+)
+def pcm_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.lit(3) + (F.col("job_id") + F.col("turn")) % 4).cast("int")
+    samples = F.transform(F.sequence(F.lit(0), n - 1), lambda i: ((F.col("turn") * 100 + i) % 30_000).cast("smallint"))
+    blocks = turns(spark, sf_dir).select("job_id", "segment_index", F.lit(0).alias("block"), samples.alias("samples"))
+    return audio.concatenate(blocks).select("job_id", "at", F.posexplode("samples").alias("p", "sample")).select("job_id", (F.col("at") + F.col("p")).alias("i"), "sample")
+
+
+@query(
+    "downmix_samples",
+    """WITH f AS (SELECT range AS i, CAST(range * 37 % 20000 - 10000 AS DOUBLE) AS a, CAST(range * 53 % 20000 - 10000 AS DOUBLE) AS b, CAST(range * 71 % 20000 - 10000 AS DOUBLE) AS c, CAST(range * 89 % 20000 - 10000 AS DOUBLE) AS r, CAST(range * 97 % 20000 - 10000 AS DOUBLE) AS q FROM range(3000)),
+    w AS (SELECT 1 / (1 + 2 * sqrt(0.5::DOUBLE)) AS m, sqrt(0.5::DOUBLE) / (1 + 2 * sqrt(0.5::DOUBLE)) AS h)
+    SELECT i, CAST(round(a * m + c * h + r * h) AS SMALLINT) AS l6, CAST(round(b * m + c * h + q * h) AS SMALLINT) AS r6, CAST(a AS SMALLINT) AS l1, CAST(a AS SMALLINT) AS r1 FROM f, w""",
+)
+def downmix_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wave = lambda i, k: i * k % 20_000 - 10_000
+    blocks = spark.range(30).select((F.col("id") * 100).alias("at"))
+    six = F.flatten(F.transform(F.sequence(F.col("at"), F.col("at") + 99), lambda i: F.array(wave(i, 37), wave(i, 53), wave(i, 71), F.lit(9999), wave(i, 89), wave(i, 97))))
+    one = F.transform(F.sequence(F.col("at"), F.col("at") + 99), lambda i: wave(i, 37))
+    both = blocks.select("at", audio.downmix_block(six, 6).alias("x"), audio.downmix_block(one, 1).alias("y"))
+    side = lambda c, s: F.get(c, F.col("p") * 2 + s)
+    return both.select("at", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("p")).select((F.col("at") + F.col("p")).alias("i"), side("x", 0).alias("l6"), side("x", 1).alias("r6"), side("y", 0).alias("l1"), side("y", 1).alias("r1"))
+
+
+PROBES = ['{"streams":[{"codec_name":"aac","channels":2,"channel_layout":"stereo","duration":"12.5","tags":{"DELAY":"3"}},{"codec_name":"ac3"}],"format":{"duration":"99"}}', '{"streams":[{"codec_name":"dts","channels":6}],"format":{"duration":"7.25"}}', '{"streams":[{"codec_name":"pcm_s16le"}],"format":{}}', '{"streams":[],"format":{"duration":"1"}}']
+
+
+@query(
+    "probe_streams",
+    f"""WITH v(doc) AS {values([(p,) for p in PROBES])} SELECT doc, json_extract_string(doc, '$.streams[0].codec_name') AS codec, CAST(json_extract_string(doc, '$.streams[0].channels') AS INTEGER) AS channels, json_extract_string(doc, '$.streams[0].tags.DELAY') AS delay,
+    CAST(coalesce(json_extract_string(doc, '$.streams[0].duration'), json_extract_string(doc, '$.format.duration')) AS DOUBLE) AS duration_sec FROM v""",
+)
+def probe_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = readers.read_probe(literal(spark, [(p,) for p in PROBES], "doc string"), "doc")
+    return rows.select("doc", F.col("stream.codec_name").alias("codec"), F.col("stream.channels").alias("channels"), F.try_element_at("stream.tags", F.lit("DELAY")).alias("delay"), "duration_sec")
+
+
+_PRESENT = [(j, o) for j in (1, 2, 3) for _, o, _ in jobs.OUTPUTS if not (j == 1 and o in ("dialog.wav", "review.json")) and not (j == 2 and o in ("dialog.wav", "censor_log.json"))]
+
+
+@query("steps_to_run", f"WITH {_E}, s(n, step) AS {_STEPS}, j(job_id) AS (VALUES (1), (2), (3), (4)), k(job_id) AS (VALUES (2)), d AS (SELECT * FROM done WHERE step NOT IN ('1a_extract', '2_separate')) SELECT j.job_id, CAST(s.n AS INTEGER) AS n, s.step FROM j, s WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.job_id = j.job_id AND (d.step = s.step OR (d.step = '3b_merge' AND s.n <= 5)))")
+def steps_to_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two steps of the block are not known to be done; jobs whose block has ended skip them all the same."""
+    known = done_steps(spark).where(~F.col("step").isin("1a_extract", "2_separate"))
+    return jobs.steps_to_run(known, literal(spark, [(1,), (2,), (3,), (4,)], "job_id int"))
+
+
+@query(
+    "missing_outputs",
+    f"""WITH {_E}, o(step, output, until) AS {values(list(jobs.OUTPUTS))}, p(job_id, output) AS {values(_PRESENT)}
+    SELECT d.job_id, d.step, o.output FROM done d JOIN o ON o.step = d.step WHERE NOT EXISTS (SELECT 1 FROM done u WHERE u.job_id = d.job_id AND u.step = o.until) AND NOT EXISTS (SELECT 1 FROM p WHERE p.job_id = d.job_id AND p.output = o.output)""",
+)
+def missing_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.missing_outputs(done_steps(spark), literal(spark, _PRESENT, "job_id int, output string"))
+
+
+@query("reviewed_steps", f"WITH {_E} SELECT * FROM done WHERE job_id <> 3 OR step NOT IN {jobs.CORRECTED} UNION SELECT 3, '4b_review'")
+def reviewed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.reviewed(done_steps(spark), literal(spark, [(3,)], "job_id int"))
+
+
+@query(
+    "encoded_tracks",
+    f"""WITH {_S}, n AS (SELECT row_number() OVER () AS job_id, * FROM streams) SELECT job_id, 'ac3' AS encoder, strlen('ac3 640000 stereo' || chr(10)) + 4 AS n_bytes FROM n WHERE codec = 'weird'""",
+)
+def encoded_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tracks = literal(spark, [(i, bytes(4), *s) for i, s in enumerate(STREAMS, 1)], "job_id long, audio binary, codec_name string, profile string, bit_rate string, channels int, channel_layout string")
+    done = audio.encode(tracks.where("codec_name = 'weird'"), audio.PlainEncoder)
+    return done.select("job_id", "encoder", F.octet_length("encoded").cast("long").alias("n_bytes"))
 
 
 _SESSIONS = """WITH i AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 20 MINUTES THEN 0 ELSE 1 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -276,7 +370,11 @@ def interval_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _micros(session_intervals(e, "user_id", "ts", 600))
 
 
-@query("phrase_context_rule")
+@query(
+    "phrase_context_rule",
+    f"""WITH {WORDS}, n AS (SELECT *, max(CASE WHEN lower(tok) = 'not' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY word_index ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS near FROM words)
+    SELECT job_id, count(*) AS n FROM n WHERE lower(tok) = 'the' AND coalesce(near, 0) = 0 GROUP BY job_id""",
+)
 def phrase_context_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words flagged unless one of the three words before them is `not`-like: an extra rule form."""
     from tessera.functions.text import strip_punctuation

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.registry import query
+from tessera.plans import metadata  # noqa: F401
+from tessera.plans.registry import SQL, query
 from tessera.streaming.run import all_sessions
 
 
-@query("interval_stream")
+@query("interval_stream", SQL["interval_sessions"])
 def interval_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = all_sessions(spark, sf_dir, "events.parquet", 600)
     return rows.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")

@@ -12,19 +12,42 @@ from tessera.operators import review as rv
 from tessera.operators import segments as sg
 from tessera.plans.fixtures import LEXICON, MATCHES, OVERRIDES, PAD_MS, WORDS, lexicon_lines, lexicon_rules, overrides_of, words
 from tessera.plans.registry import query, table
-
+from tessera.sources.tables import saved
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fl.flag(words(spark, sf_dir), lexicon_rules(spark))
 
 
+def kept_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """matches as a table: flagged once, however many consumers read it."""
+    return saved(matches(spark, sf_dir))
+
+
 def log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    m = matches(spark, sf_dir)
+    m = kept_matches(spark, sf_dir)
     o = overrides_of(m)
     return m, o, rs.redaction_log(m, o, PAD_MS)
 
 
+@query(
+    "seconds_log",
+    f"""WITH {OVERRIDES},
+    sec AS (SELECT *, st / 1000 + (word_index % 7) * 0.000013::DOUBLE AS a, en / 1000 + (word_index % 5) * 0.000017::DOUBLE AS b FROM matches m
+        WHERE NOT EXISTS (SELECT 1 FROM skips s WHERE s.job_id = m.job_id AND s.word_index = m.word_index)),
+    r AS (SELECT job_id, 'matched' AS source, entry, word_index, round(a, 4) AS start_s, round(b, 4) AS end_s, round(greatest(a - 0.25::DOUBLE, 0), 4) AS padded_start, round(b + 0.25::DOUBLE, 4) AS padded_end, match_rank AS seq FROM sec
+        UNION ALL SELECT job_id, 'review_add', NULL, NULL, st / 1000, en / 1000, round(greatest(st / 1000 - 0.25::DOUBLE, 0), 4), round(en / 1000 + 0.25::DOUBLE, 4), 1 FROM adds)
+    SELECT * EXCLUDE (seq), CAST(row_number() OVER (PARTITION BY job_id ORDER BY padded_start, source, seq) AS INTEGER) AS log_rank FROM r""",
+)
+def seconds_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of transcripts with fractions of seconds, on the grid of four decimals."""
+    m = kept_matches(spark, sf_dir)
+    o = overrides_of(m).withColumn("start", F.col("start") / 1000).withColumn("end", F.col("end") / 1000)
+    shift = lambda c, k, d: F.col(c) / 1000 + F.col("word_index") % k * F.lit(d)
+    fine = m.withColumn("start", shift("start", 7, 0.000013)).withColumn("end", shift("end", 5, 0.000017))
+    return rs.redaction_log(fine, o, 0.25).select("job_id", "source", "entry", "word_index", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "padded_start", "padded_end", "log_rank")
+
+
 def merged(log_rows: DataFrame) -> DataFrame:
     return rs.merge_intervals(log_rows.select("job_id", F.col("padded_start").alias("start"), F.col("padded_end").alias("end")), ["job_id"])
 
@@ -101,7 +124,7 @@ def lexicon_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("skip_anti", f"WITH {OVERRIDES} SELECT m.job_id, m.word_index, m.line_no FROM matches m ANTI JOIN skips s ON s.job_id = m.job_id AND s.word_index = m.word_index")
 def skip_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = matches(spark, sf_dir)
+    m = kept_matches(spark, sf_dir)
     return rs.drop_skipped(m, overrides_of(m)).select("job_id", "word_index", "line_no")
 
 
@@ -117,7 +140,7 @@ def skip_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT job_id, 'add', NULL, 'again', 5, 9 FROM jobs""",
 )
 def overrides_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = matches(spark, sf_dir)
+    m = kept_matches(spark, sf_dir)
     jobs = m.select("job_id").distinct()
     wanted = m.where("word_index % 3 = 0").select("job_id", "word_index").unionByName(jobs.select("job_id", F.lit(999_999).alias("word_index")))
     adds = jobs.select("job_id", F.lit("again").alias("text"), F.lit(5).alias("start"), F.lit(9).alias("end"))
@@ -170,7 +193,7 @@ def muted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT job_id, word_index, line_no, '"...' || t || '..."' AS context FROM near""",
 )
 def match_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rv.context(matches(spark, sf_dir), words(spark, sf_dir), 3).select("job_id", "word_index", "line_no", "context")
+    return rv.context(kept_matches(spark, sf_dir), words(spark, sf_dir), 3).select("job_id", "word_index", "line_no", "context")
 
 
 @query(
@@ -198,7 +221,7 @@ replay AS (SELECT r.*, CASE WHEN after_s = 1 THEN 'approved' WHEN answer IS NULL
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = matches(spark, sf_dir)
+    m = kept_matches(spark, sf_dir)
     answers = m.select("job_id", "match_rank", F.expr(_ANSWERS).alias("answer")).where("answer is not null")
     return rv.replay(m, answers, 70)
 
@@ -213,7 +236,7 @@ def review_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {REPLAY} SELECT job_id, count(*) AS candidates, count_if(outcome = 'approved') AS approved, count_if(outcome = 'rejected') AS rejected, count_if(outcome = 'auto_approved') AS auto_approved, CAST(CASE WHEN job_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS added FROM replay GROUP BY job_id",
 )
 def review_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = outcomes(spark, sf_dir)
+    o = saved(outcomes(spark, sf_dir))
     return rv.review_statistics(o, o.select("job_id").distinct().where("job_id % 2 = 0"))
 
 
@@ -281,6 +304,39 @@ def transcript_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spoken(spark, sf_dir).select("job_id", "segment_index", F.col("word_index").cast("long"), "word", F.col("start").alias("start_ms"))
 
 
+_TURNS = "s AS (SELECT conv_id AS job_id, CAST(turn + 1 AS INTEGER) AS segment_index, turn * 1800000 AS \"offset\" FROM conversations WHERE conv_id % 3 <> 0 OR turn > 0), t AS (SELECT conv_id AS job_id, CAST(turn + 1 AS INTEGER) AS segment_index, role AS language, strlen(text) AS bytes FROM conversations WHERE conv_id % 4 <> 1 OR turn <> 1)"
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("job_id"), (F.col("turn") + 1).cast("int").alias("segment_index"), "turn", "role", "text")
+
+
+@query(
+    "segment_zip",
+    f"""WITH {_TURNS}, a AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY segment_index) AS n FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY segment_index) AS n FROM t)
+    SELECT a.job_id, a.segment_index, a."offset" AS offset_ms, b.language, b.bytes FROM a JOIN b ON b.job_id = a.job_id AND b.n = a.n""",
+)
+def segment_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments and transcripts by place: some jobs lack a segment, others a transcript."""
+    every = turns(spark, sf_dir)
+    segments = every.where("job_id % 3 <> 0 or turn > 0").select("job_id", "segment_index", (F.col("turn") * 1_800_000).alias("offset_ms"))
+    transcripts = every.where("job_id % 4 <> 1 or turn <> 1").select("job_id", "segment_index", F.col("role").alias("language"), F.octet_length("text").cast("long").alias("bytes"))
+    return sg.zip_segments(segments, transcripts)
+
+
+@query("transcription_totals", "SELECT conv_id AS job_id, CAST(sum(CASE WHEN turn % 2 = 0 THEN strlen(text) ELSE 0 END) AS BIGINT) AS total_words FROM conversations GROUP BY 1")
+def transcription_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = turns(spark, sf_dir).select("job_id", F.when(F.col("turn") % 2 == 0, F.octet_length("text").cast("long")).alias("word_count"))
+    return sg.transcription_totals(counted)
+
+
+@query("total_durations", "SELECT conv_id AS job_id, CASE WHEN conv_id % 3 = 0 THEN 5 ELSE CAST(sum(strlen(text)) AS BIGINT) END AS total FROM conversations GROUP BY 1")
+def total_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = turns(spark, sf_dir)
+    jobs = own.select("job_id").distinct().withColumn("total", F.when(F.col("job_id") % 3 == 0, F.lit(5)).when(F.col("job_id") % 3 == 1, F.lit(0)).cast("long"))
+    return sg.total_durations(own.select("job_id", F.octet_length("text").cast("long").alias("duration")), jobs)
+
+
 @query("transcript_totals", f"WITH {SPOKEN} SELECT job_id, segment_index, count(*) AS n_words FROM spoken GROUP BY ROLLUP (job_id, segment_index) HAVING job_id IS NOT NULL")
 def transcript_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sg.transcript_totals(spoken(spark, sf_dir))

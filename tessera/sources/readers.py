@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import warnings
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
+from pyspark.sql import types as T
 
 WORDS = "array<struct<word:string,start:double,end:double,score:double>>"
 TRANSCRIPT = f"language string, segment_index int, segment_start_offset double, words {WORDS}, segments array<struct<words:{WORDS}>>"
@@ -51,8 +53,15 @@ def read_jobs(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("path", F.input_file_name())
 
 
-def find_job(jobs: DataFrame, job_id: str) -> DataFrame:
-    """The first job document with that id in path order."""
+def corrupt_jobs(jobs: DataFrame) -> DataFrame:
+    """(path, corrupt) of the job documents that can't be parsed."""
+    return jobs.where("corrupt is not null and job_id is null").select("path", "corrupt")
+
+
+def find_job(jobs: DataFrame, job_id: str, warn: bool = True) -> DataFrame:
+    """The first job document with that id in path order; documents that can't be parsed can't match, and the first few are named in a warning."""
+    if warn and (bad := [r.path for r in corrupt_jobs(jobs).orderBy("path").limit(20).collect()]):
+        warnings.warn(f"unreadable job documents were passed over while looking for {job_id}: {', '.join(bad)}", stacklevel=2)
     return jobs.where(F.col("job_id") == job_id).orderBy("path").limit(1)
 
 
@@ -70,24 +79,30 @@ def resolve_lexicon(configured: str | None, default: str | Path) -> str:
     raise FileNotFoundError(f"no word list at {configured!r} or {str(default)!r}")
 
 
-def read_probe(df: DataFrame, column: str) -> DataFrame:
-    """Probe documents in a text column: the first audio stream, and the duration of the stream or else of its container."""
+def read_probe(df: DataFrame, column: str, strict: bool = False) -> DataFrame:
+    """Probe documents in a text column: the first audio stream, and the duration of the stream or else of its container.
+
+    strict: a document without a stream, or without any duration, is an error as
+    soon as that column is used; else it gives null.
+    """
     parsed = F.from_json(column, PROBE)
     stream = F.get(parsed["streams"], F.lit(0))
     length = F.coalesce(stream["duration"].try_cast("double"), parsed["format"]["duration"].try_cast("double"))
+    if strict:
+        stream, length = required(stream, "no audio stream found"), required(length, "the duration can't be determined")
     return df.withColumn("stream", stream).withColumn("duration_sec", length)
 
 
-def required(column: str, message: str):
-    """column, or an error where it is null."""
-    return F.when(F.col(column).isNotNull(), F.col(column)).otherwise(F.raise_error(F.lit(message)))
+def required(value: Column, message: str) -> Column:
+    """value, or an error where it is null."""
+    return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(message)))
 
 
-def _samples(content: bytes) -> np.ndarray:
-    return np.frombuffer(content[: len(content) // 2 * 2], "<i2")
+@F.pandas_udf(T.ArrayType(T.ShortType()))
+def _samples(content: pd.Series) -> pd.Series:
+    return content.map(lambda b: np.frombuffer(b[: len(b) // 2 * 2], "<i2"))
 
 
 def pcm_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, samples) of raw 16-bit little-endian PCM files; the sign is in the second byte of a sample."""
-    decode = F.pandas_udf(lambda content: content.map(_samples), "array<smallint>", PandasUDFType.SCALAR)
-    return spark.read.format("binaryFile").load(path).select("path", decode("content").alias("samples"))
+    return spark.read.format("binaryFile").load(path).select("path", _samples("content").alias("samples"))

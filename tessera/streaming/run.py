@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import shared_folder
 from tessera.streaming.progress import session_intervals
 
 
-def stream_folder(spark: SparkSession) -> str:
-    """A new folder in the place that spark.checkpoint.dir names; a local one only where that is unset and the session is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='tessera-stream-')}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def all_sessions(spark: SparkSession, folder: str, pattern: str, pad_seconds: int) -> DataFrame:
     """Sessions of events (user_id, ts) as a table, once the stream has read them all: those still open are in it."""
     schema = spark.read.parquet(f"{folder}/{pattern}").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
     rows = session_intervals(events.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", pad_seconds, None)
-    out = stream_folder(spark)
+    out = shared_folder(spark)
     spark.createDataFrame([], rows.schema).write.parquet(f"{out}/rows")  # for a folder without events
     # complete output: each batch gives all sessions so far, in place of the batch before
     job = rows.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/rows")).option("checkpointLocation", f"{out}/state").outputMode("complete").trigger(availableNow=True).start()

@@ -122,7 +122,9 @@ def test_readers_and_writers(spark, tmp_path):
         (tmp_path / f"j{i}").mkdir()
         (tmp_path / f"j{i}" / "job.json").write_text(json.dumps(doc) if doc else '{"job_id": ')
     jobs_ = readers.read_jobs(spark, f"{tmp_path}/*/job.json").cache()
-    assert jobs_.where("corrupt is not null").count() == 1 and readers.find_job(jobs_, "x").first().status == "done"
+    assert readers.corrupt_jobs(jobs_).count() == 1
+    with pytest.warns(UserWarning, match="j1/job.json"):
+        assert readers.find_job(jobs_, "x").first().status == "done"
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "transcript.json").write_text(json.dumps({"language": "en", "segment_index": 1, "words": [{"word": "a", "start": 1.5}, {"word": "b", "score": 0.25}]}))
     rows = readers.transcript_words(readers.read_transcripts(spark, f"{tmp_path}/t/transcript.json")).orderBy("word_index").collect()
@@ -138,10 +140,29 @@ def test_readers_and_writers(spark, tmp_path):
         readers.resolve_lexicon("/nowhere", "/nowhere")
     probe = spark.createDataFrame([('{"streams":[{"codec_name":"aac","tags":{"a":"b"}}],"format":{"duration":"2.5"}}',), ('{"streams":[]}',)], "p string")
     assert [(r.stream.codec_name if r.stream else None, r.duration_sec) for r in readers.read_probe(probe, "p").collect()] == [("aac", 2.5), (None, None)]
+    with pytest.raises(Exception, match="no audio stream"):
+        readers.read_probe(probe, "p", strict=True).select("stream").collect()
+    with pytest.raises(Exception, match="duration can't be determined"):
+        readers.read_probe(probe, "p", strict=True).select("duration_sec").collect()
+    for name, text, want in (("c.json", '{"output": {"log_level": "INFO"}}', {"output": {"log_level": "WARN"}}), ("none.json", None, {"output": {"log_level": "WARN"}})):
+        if text:
+            (tmp_path / name).write_text(text)
+        assert config.load(tmp_path / name, {"AC_LOG_LEVEL": "WARN"}) == want
     (tmp_path / "a.pcm").write_bytes(b"\x01\x00\xff\xff\x07")
     assert readers.pcm_files(spark, f"{tmp_path}/a.pcm").first().samples == [1, -1]
     for df in (spark.range(3), spark.range(2)):
         path = writers.write(df, str(tmp_path / "out"), "matches")
+    assert spark.read.parquet(path).count() == 2 == writers.read(spark, str(tmp_path / "out"), "matches").count()
+    assert len(list((tmp_path / "out" / "matches").iterdir())) >= 3
+    writers.clean(spark, str(tmp_path / "out"), "matches")
+    assert writers.read(spark, str(tmp_path / "out"), "matches").count() == 2
+    writers.write(spark.createDataFrame([("a", "en", 1), ("b", "de", 2)], "job_id string, language string, word_index int"), str(tmp_path / "out"), "words")
+    assert sorted(tuple(r) for r in writers.read(spark, str(tmp_path / "out"), "words").select("job_id", "language", "word_index").collect()) == [("a", "en", 1), ("b", "de", 2)]
+    with pytest.raises(FileNotFoundError):
+        writers.read(spark, str(tmp_path / "out"), "intervals")
+    failure = spark.createDataFrame([("x", "5_mute", 1, False, "oh", "trace")], "job_id string, step string, seq int, done boolean, error string, traceback string")
+    for _ in range(2):
+        path = writers.append_failure(failure, str(tmp_path / "out"))
     assert spark.read.parquet(path).count() == 2
     with pytest.raises(ValueError):
         writers.write(spark.range(1), str(tmp_path), "nonsense")
@@ -158,7 +179,7 @@ def test_nested_segments_and_backends(spark):
 
 
 def test_flags_config_and_steps(spark):
-    for bad in ({}, {"input_path": "a", "redo_review": True, "skip": (1,)}, {"input_path": "a", "redo_steps": ("nope",)}, {"input_path": "a", "add": (("x", 2, 1),)}, {"input_path": "a", "interactive": True, "terminal": False}):
+    for bad in ({}, {"input_path": "a", "redo_review": True, "skip": (1,)}, {"input_path": "a", "redo_steps": ("nope",)}, {"input_path": "a", "add": (("x", 2, 1),)}, {"input_path": "a", "interactive": True, "terminal": False}, {"input_path": "a", "interactive": True, "not_interactive": True}, {"input_path": "a", "redo_review": True, "not_interactive": True}):
         with pytest.raises(ValueError):
             jobs.check_flags(**bad)
     jobs.check_flags(input_path="a", skip=(1,))
@@ -170,9 +191,41 @@ def test_flags_config_and_steps(spark):
         jobs.redo(spark.createDataFrame([(1, "a")], "job_id int, step string"), spark.createDataFrame([(1, "1a_extract")], "job_id int, step string")).collect()
 
 
+def test_times_in_seconds_are_rounded(spark):
+    w = spark.createDataFrame([(1, 1, 0, "a", 0.30004, None, 1800.1, 0.5), (1, 2, 0, "b", 12.34567, 12.78, 3600.00001, None)], "job_id int, segment_index int, pos int, word string, start double, end double, offset double, score double")
+    assert [(r.start, r.end) for r in sg.merge_transcripts(w).orderBy("word_index").collect()] == [(1800.4, None), (3612.3457, 3612.78)]
+    m = spark.createDataFrame([(1, 0, 1, "a", "a", 1, 1.00004, 1.50006, 0.9, 1), (1, 9, 1, "b", "b", 2, 1.00001, 1.2, 0.9, 2)], "job_id int, word_index int, span int, matched_text string, entry string, line_no int, start double, end double, score double, match_rank int")
+    o = spark.createDataFrame([(1, "add", None, "x", 0.99996, 2.00004)], "job_id int, action string, word_index int, text string, start double, end double")
+    log = rs.redaction_log(m, o, 0.25).orderBy("log_rank").collect()
+    assert [(r.source, r.word, r.padded_start, r.padded_end) for r in log] == [("matched", "a", 0.75, 1.7501), ("matched", "b", 0.75, 1.45), ("review_add", "x", 0.75, 2.25)]
+    got = rs.muted_intervals(m, o, 0.25).first()
+    assert (got.start, got.end) == (0.99996 - 0.25, 2.00004 + 0.25)
+
+
+def test_downmix_and_encode(spark):
+    import struct
+
+    frame = struct.pack("<6h", 1000, 2000, 300, 9999, 400, -500)
+    rows = spark.createDataFrame([(1, frame * 2, 6), (2, struct.pack("<2h", 5, -6), 1), (3, struct.pack("<2h", 5, -6), 2)], "job_id long, audio binary, channels int")
+    got = {r.job_id: struct.unpack(f"<{len(r.stereo) // 2}h", r.stereo) for r in audio.downmix(rows, audio.PlainDownmixer).collect()}
+    blocks = spark.sql("select array(1000, 2000, 300, 9999, 400, -500, 1000, 2000, 300, 9999, 400, -500) s").select(audio.downmix_block(F.col("s"), 6).alias("x"), audio.downmix_block(F.array(), 2).alias("none")).first()
+    assert got == {1: tuple(blocks.x), 2: (5, 5, -6, -6), 3: (5, -6)} and blocks.none == []
+    with pytest.raises(ValueError):
+        audio.downmix_block(F.col("s"), 5)
+    probed = spark.createDataFrame([(1, b"pcm", "TrueHD", None, None, 8, "Unknown"), (2, b"pcm", "aac", "LC", "128000", 2, "")], "job_id long, audio binary, codec_name string, profile string, bit_rate string, channels int, channel_layout string")
+    assert [(r.encoder, r.bitrate, r.encoded) for r in audio.encode(probed, audio.PlainEncoder).orderBy("job_id").collect()] == [("ac3", 640000, b"ac3 640000 7.1\npcm"), ("aac", 128000, b"aac 128000 stereo\npcm")]
+
+
+def test_phrases_of_a_large_lexicon(spark):
+    found = [fl.Rule(f"w{i} v{i}", (f"w{i}", f"v{i}"), "exact", i % 2 == 0, i) for i in range(300)] + [fl.Rule("W7 v7", ("W7", "v7"), "exact", True, 400)]
+    rows = [(1, 2 * i + j, w, 1, 2, 3) for i in range(0, 300, 7) for j, w in enumerate((f"W{i}.", f"v{i},"))]
+    got = sorted((m.word_index, m.line_no) for m in fl.phrase_matches(spark.createDataFrame(rows, WORDS), found).collect())
+    assert got == sorted([(2 * i, i) for i in range(0, 300, 7) if i % 2] + [(14, 400)])
+
+
 def test_text_examples(spark):
-    row = spark.sql("select 'don\\'t,' w, '--' p, 'İ' u").select(tx.strip_punctuation(F.col("w")), tx.strip_punctuation(F.col("p")), tx.size(F.lit(450 * 1024**2)), tx.duration(F.lit(7389.9)), tx.slug(F.lit("Captain America- Brave New World (2025).1080p.hevc.mkv"))).first()
-    assert tuple(row) == ("don't", "", "450.0 MB", "02:03:09", "captain-america-brave-new-world")
+    row = spark.sql("select 'don\\'t,' w, '--' p, 'İ' u").select(tx.strip_punctuation(F.col("w")), tx.strip_punctuation(F.col("p")), tx.size(F.lit(450 * 1024**2)), tx.duration(F.lit(7389.9)), tx.slug(F.lit("Harbour Lights- A Winter Story (2031).1080p.hevc.mkv"))).first()
+    assert tuple(row) == ("don't", "", "450.0 MB", "02:03:09", "harbour-lights-a-winter-story")
 
 
 def test_sessions_touch(spark):
