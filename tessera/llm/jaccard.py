@@ -73,7 +73,8 @@ TEXTS = 1 << 20  # bytes of text that are shingled at once
 SEND = 2 << 20  # bytes of sets that are sent at once
 HOT = 100  # postings of a list whose pairs are verified in blocks
 BLOCK_BYTES = 1 << 20  # of sets in a block
-ENTRIES = 100_000  # entries of posting lists that are paired at once
+ENTRIES = 50_000  # entries of posting lists that are looked at at once
+PAIRS = 500_000  # pairs that are counted at once
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 NODE = np.dtype("V16")
 
@@ -373,7 +374,19 @@ def _across(percent: int):
         # the smaller of a pair has the place of at least one counted shingle below this
         limit = n - -(-2 * percent * n // (100 + percent)) + 1 + n // 10
         found: list[np.ndarray] = []
+
+        def flush() -> Iterator[dict]:
+            code, c = np.unique(np.concatenate(found), return_counts=True)
+            found.clear()
+            for lo in range(0, len(code), 50_000):
+                u, v = code[lo : lo + 50_000] // len(nodes), code[lo : lo + 50_000] % len(nodes)
+                yield {"a": nodes[u].tolist(), "b": nodes[v].tolist(), "need": level_of(size[u], size[v], high[u], high[v], percent)[0] - np.minimum(other[u], other[v]), "c": c[lo : lo + 50_000]}
+
+        waiting = 0
         for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(tok)], strict=True):
+            if waiting > PAIRS:
+                yield from flush()
+                waiting = 0
             for i in (lo + np.flatnonzero(place[lo:hi] < limit[lo:hi])).tolist():
                 # equal sizes meet once: the later entry is the larger
                 j = np.arange(i + 1, lo + int(np.searchsorted(n[lo:hi], n[i] * 100 // percent, "right")))
@@ -381,13 +394,11 @@ def _across(percent: int):
                 if len(j):
                     need, least = level_of(n[i], n[j], level[i], level[j], percent)
                     j = j[(place[i] < n[i] - least + need) & (place[j] < n[j] - least + need) & (np.minimum(k[i], k[j]) >= need)]
-                    found.append(np.minimum(doc[i], doc[j]) * len(nodes) + np.maximum(doc[i], doc[j]))
+                    if len(j):
+                        found.append(np.minimum(doc[i], doc[j]) * len(nodes) + np.maximum(doc[i], doc[j]))
+                        waiting += len(j)
         if found:
-            code, c = np.unique(np.concatenate(found), return_counts=True)
-            a, b = code // len(nodes), code % len(nodes)
-            for lo in range(0, len(code), 50_000):
-                u, v = a[lo : lo + 50_000], b[lo : lo + 50_000]
-                yield {"a": nodes[u].tolist(), "b": nodes[v].tolist(), "need": level_of(size[u], size[v], high[u], high[v], percent)[0] - np.minimum(other[u], other[v]), "c": c[lo : lo + 50_000]}
+            yield from flush()
 
     return run
 
