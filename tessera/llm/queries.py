@@ -14,7 +14,7 @@ from tessera.llm.learn import remainder
 from tessera.llm.linededup import drop_repeated_lines
 from tessera.llm.packing import pack
 from tessera.llm.secrets import KINDS, find_secrets
-from tessera.llm.shared import shared_folder
+from tessera.llm.shared import saved, shared_folder
 from tessera.llm.suffix import drop_repeats
 from tessera.llm.topk import top_k
 from tessera.llm.warc import assemble, read_warc, write_warc
@@ -83,8 +83,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def digest_captures(captures: DataFrame) -> DataFrame:
     page = F.get(F.col("metadata.fields"), 0)["page-id"].cast("long")
     pages = captures.select("capture_id", "refers_to", page.alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"), F.col("type").alias("record_type"))
-    target = pages.where("record_type = 'response'").select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("target")).distinct()
-    return pages.join(target, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("target").alias("refers_to"))
+    target = pages.where("record_type = 'response'").select(F.col("capture_id").alias("key"), F.col("page_id").alias("target")).distinct()
+    # a row without a reference meets its own capture, so that such rows don't share a key
+    found = pages.withColumn("key", F.coalesce("refers_to", "capture_id")).join(target, "key", "left")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("refers_to").isNotNull(), F.col("target")).alias("refers_to"))
 
 
 @query(
@@ -102,7 +104,7 @@ def digest_captures(captures: DataFrame) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
     write_warc(table(spark, sf_dir, "pages"), path)
-    return digest_captures(assemble(read_warc(spark, path, payload=False)))
+    return digest_captures(assemble(saved(read_warc(spark, path, payload=False))))  # archives are read once
 
 
 @query(

@@ -7,8 +7,9 @@ largest id; the others become revisit records that refer to it.
 
 Spark's text writer makes the files: a record is one value and the line
 separator is the CRLF CRLF that ends a WARC record, so the archives go to any
-store that Spark writes to. Each file is a gzip stream of at most
-`file_records` captures. The reader takes whole files as binary rows, inflates
+store that Spark writes to. Each file is a gzip stream of about `file_bytes`
+bytes of records at most, or of one record, so that whole files fit in a task's
+memory. The reader takes whole files as binary rows, inflates
 them piece by piece and cuts records by their Content-Length, so payloads may
 hold any bytes.
 
@@ -18,7 +19,11 @@ identifiers, given on either side, and yields one nested row for each capture, w
 Nulls and odd input: null html is an empty payload, a null url an empty target,
 a null id an absent one. Line breaks and spaces in a url are percent-encoded.
 Rows that repeat an id and payload are each written as what the id's payload
-is. A capture without a request or metadata has null there.
+is; of rows that tie for the largest id, the revisits refer to the one with the
+last url. A capture without a request has null there, and without metadata an
+empty array. An empty table gives no archive, and a folder without archives no
+records. Pages are read by the three columns named, so others, whatever their
+names, are left out and can't clash.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +71,7 @@ def capture_records(page_id: int | None, url: str, html: bytes, digest: str, ref
     ]
 
 
-def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z", file_records: int = 20_000, broadcast_rows: int = 100_000) -> None:
+def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 128 << 20, broadcast_rows: int = 100_000) -> None:
     """Writes the archives of pages under path."""
     p = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     p = p.withColumn("n", F.octet_length("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
@@ -74,18 +80,24 @@ def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: st
     planned = p.join(hint(same, broadcast_rows), ["digest", "n"], "left").select("page_id", "url", "html", "digest", "r_page", "r_url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        file, filled, out, size = 0, 0, [], 0
         for batch in batches:
-            out = []
             for pid, u, body, digest, r_page, r_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 refers = _urn("capture", r_page, r_url, digest) if r_page is not None and r_page != pid else None
-                out += capture_records(pid, u, body.encode(), digest, refers, r_page, date)
-                if len(out) >= 3000:
-                    yield {"value": pa.array(out, pa.binary()).cast(pa.string())}
-                    out = []
-            yield {"value": pa.array(out, pa.binary()).cast(pa.string())}
-
-    records = map_rows(planned, "value string", run)
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 3 * file_records).text(path)
+                three = capture_records(pid, u, body.encode(), digest, refers, r_page, date)
+                n = sum(map(len, three))
+                if out and (size + n > 4 << 20 or filled + n > file_bytes):
+                    yield {"value": pa.array(out, pa.binary()).cast(pa.string()), "file": np.full(len(out), file, np.int32)}
+                    out, size = [], 0
+                if filled and filled + n > file_bytes:
+                    file, filled = file + 1, 0
+                out += three
+                size, filled = size + n, filled + n
+        if out:
+            yield {"value": pa.array(out, pa.binary()).cast(pa.string()), "file": np.full(len(out), file, np.int32)}
+
+    records = map_rows(planned, "value string, file int", run)
+    records.write.partitionBy("file").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 class _Stream:
@@ -168,7 +180,7 @@ def read_warc(session, path: str, *, payload: bool = True) -> DataFrame:
                 if out:
                     yield dict(zip(NAMES, zip(*out, strict=True), strict=True))
 
-    files = session.read.format("binaryFile").load(path).where(~F.col("path").rlike(r"/[_.][^/]*$")).select("content")
+    files = session.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(~F.col("path").rlike(r"/[_.][^/]*$")).select("content")
     return map_rows(files, RECORDS, run)
 
 

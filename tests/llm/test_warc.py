@@ -45,3 +45,16 @@ def test_empty_null_and_repeated(spark):
     assert captures(spark, [])[0].collect() == []
     got = digest_captures(captures(spark, [(None, "u", "x" * 2000), (None, "v", "x" * 2000), (4, "u", "y"), (4, "u", "y")], payload=False)[0])
     assert sorted(((r.page_id, r.record_type) for r in got.collect()), key=str) == [(4, "response"), (4, "response"), (None, "response"), (None, "response")]
+
+
+def test_files_are_bounded_and_ties_and_other_columns_are_harmless(spark, tmp_path):
+    pages = [(i, f"http://a/{i}", f"{i} " * 2000, 1, 2) for i in range(40)] + [(90, "http://b", "x" * 3000, 1, 2), (90, "http://c", "x" * 3000, 1, 2), (3, "http://d", "x" * 3000, 1, 2), (3, "http://d", "x" * 3000, 1, 2)]
+    path = shared_folder(spark)
+    write_warc(spark.createDataFrame(pages, "page_id long, url string, html string, n int, digest int").coalesce(1), path, file_bytes=50_000)
+    sizes = [len(gzip.decompress(bytes(r.content))) for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("path like '%.gz'").collect()]
+    assert len(sizes) > 4 and max(sizes) < 60_000
+    got = digest_captures(assemble(read_warc(spark, path, payload=False)))
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got.collect() if r.payload_bytes == 3000) == sorted([(90, "response", None), (90, "response", None), (3, "revisit", 90), (3, "revisit", 90)], key=lambda r: (r[0], r[1]))
+    assert got.count() == len(pages)
+    (tmp_path / "none").mkdir()
+    assert read_warc(spark, f"file://{tmp_path}/none").collect() == []
