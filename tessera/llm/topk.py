@@ -10,29 +10,33 @@ block. What blocks have kept is cut to k again in each task, and Spark merges
 the tasks' lists with a ranked window that also ranks before its shuffle.
 
 Queries are the set that the caller states. They are read in batches of
-`batch` vectors, and each batch goes to all tasks and makes one pass over the
-candidates, so neither side is ever held whole.
+`batch` vectors. Each batch goes to all tasks and makes one pass over the
+candidates, whose results are saved before the next batch is read, so neither
+side is ever held whole. In a task the queries are scored TILE at a time.
 
 Nulls and odd input: vectors that are null or hold a null or non-finite
 component, and rows without an id, take no part; vectors of unequal length
 meet in their common terms; ties go to the smaller id; rows with the query's
 own id are not its candidates, so rows that repeat an id never find each
-other, and as queries they count once for each row. Scores are 64-bit
+other, and as queries they count once for each row; an empty table, or one
+without queries, gives an empty result. Vectors are read by the two columns
+named, so others, whatever their names, are left out. Scores are 64-bit
 integers; arithmetic beyond them wraps around.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import map_rows
+from tessera.llm.shared import map_rows, saved
 
-BLOCK = 2048
+BLOCK, TILE = 2048, 512
 RESULT = "q long, query_id long, vec_id long, score long"
 
 
@@ -94,11 +98,14 @@ def _search(query_ids: np.ndarray, queries: np.ndarray, k: int):
         def add(ids: np.ndarray, block: np.ndarray) -> None:
             order = np.argsort(ids, kind="stable")
             ids, block = ids[order], block[order]
-            scores = _scores(queries, block)
+            for at in range(0, len(queries), TILE):
+                rank(ids, _scores(queries[at : at + TILE], block), at)
+
+        def rank(ids: np.ndarray, scores: np.ndarray, at: int) -> None:
             lowest = np.iinfo(scores.dtype).min
-            for q, own in enumerate(query_ids):
+            for q, own in enumerate(query_ids[at : at + TILE], at):
                 lo, hi = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")
-                row, here = scores[q], ids
+                row, here = scores[q - at], ids
                 if hi > lo:
                     row, here = np.delete(row, slice(lo, hi)), np.delete(ids, slice(lo, hi))
                 full = len(kept_scores[q]) >= k
@@ -139,12 +146,15 @@ def top_k(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vecto
     asked = integer_vectors(vectors.where(is_query), vec_id, vector, scale)
     parts = max(1, -(-asked.count() // batch))
     part = F.pmod(F.xxhash64("vec_id"), F.lit(parts))
-    out = None
+    by, done = Window.partitionBy("q", "query_id").orderBy(F.desc("score"), "vec_id"), []
     for p in range(parts):
         got = asked.where(part == p).toArrow()  # about `batch` of the stated queries
         ids, matrix = np.asarray(got.column("vec_id"), dtype=np.int64), _matrix(got.column("w"))
         shared = session.sparkContext.broadcast((ids, matrix))
-        found = map_rows(rows, RESULT, lambda batches, shared=shared: _search(*shared.value, k)(batches)).withColumn("part", F.lit(p))
-        out = found if out is None else out.unionByName(found)
-    by = Window.partitionBy("part", "q", "query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+        found = map_rows(rows, RESULT, lambda batches, shared=shared: _search(*shared.value, k)(batches))
+        best = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+        if parts == 1:
+            return best
+        done.append(saved(best))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, done)
