@@ -14,13 +14,15 @@ on how many pieces each length has. That histogram has at most `max(sizes)`
 rows whatever the corpus, and the plan is made from it on the driver: equal
 bins are one entry with a multiplicity, and a placement splits at most one
 entry. Executors then number the pieces of each length and look up their bins.
-The numbering is dealt out by length and a salt, so that a length that a third
-of all pieces have is still counted by many tasks.
+The numbering is dealt out by length and a salt of as many values as the length
+has `salt_rows` pieces, so a length that a third of all pieces have is still
+numbered by many tasks, each of about so many rows.
 
 Nulls and odd input: null, empty and blank texts have no tokens and yield no
 piece; rows that repeat an id each yield their own pieces, which differ only
-in their bins; a null id is kept. Input columns named like results are
-replaced.
+in their bins; a null id is kept; a text of any length gives as many full pieces
+as it needs; an empty table gives an empty result. Only the id and the text are
+read, so other columns, whatever their names, are left out and can't clash.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import saved
+from tessera.llm.shared import saved, small
 
 SIZES = (512, 1024, 2048, 4096)
 
@@ -138,29 +140,35 @@ def word_tokens(text: str) -> Column:
     return F.regexp_count(text, F.lit(r"\S+"))
 
 
-def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokens: Column | None = None, sizes: Sequence[int] = SIZES, overhead: float = 16.0, salts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokens: Column | None = None, sizes: Sequence[int] = SIZES, overhead: float = 16.0, salt_rows: int = 500_000, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """One row for each piece: id, piece (from 0), first_token, n_tokens, bin_id, bin_offset and bin_size.
 
     tokens: the number of tokens of a row; words of the text unless given.
     """
     most, session = max(sizes), docs.sparkSession
-    counted = saved(docs.select(F.col(doc_id), F.coalesce(tokens if tokens is not None else word_tokens(text), F.lit(0)).cast("long").alias("__n"), F.xxhash64(text).alias("__h")).where("__n > 0"))
+    counted = saved(docs.select(F.col(doc_id).alias("__id"), F.coalesce(tokens if tokens is not None else word_tokens(text), F.lit(0)).cast("long").alias("__n"), F.xxhash64(text).alias("__h")).where("__n > 0"))
     # full pieces are runs of one length; a long text is one row here and as many pieces as it needs below
-    cut = counted.select(doc_id, "__h", "__n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__n") / most) - 1)).alias("piece"))
-    cut = cut.withColumn("n_tokens", F.least(F.lit(most), F.col("__n") - F.col("piece") * most)).withColumn("__salt", F.pmod(F.xxhash64(doc_id, "__h", "piece"), F.lit(salts)))
-    groups = cut.groupBy("n_tokens", "__salt").agg(F.count("*").alias("__c"))  # at most max(sizes) * salts rows
+    cut = counted.select("__id", "__h", "__n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__n") / most) - 1)).alias("piece"))
+    cut = cut.withColumn("n_tokens", F.least(F.lit(most), F.col("__n") - F.col("piece") * most))
+    # at most max(sizes) rows: of long texts the full pieces are counted without being listed
+    rest, full = F.col("__n") % most, F.floor(F.col("__n") / most)
+    counts = {r.n: r.c for r in counted.select(F.explode(F.array(F.struct(rest.alias("n"), F.lit(1).cast("long").alias("c")), F.struct(F.lit(most).cast("long").alias("n"), full.alias("c")))).alias("x")).where("x.n > 0 and x.c > 0").groupBy("x.n").agg(F.sum("x.c").alias("c")).collect()}
+    if not counts:
+        counts = {1: 0}
+    salted = F.broadcast(session.createDataFrame([(n, -(-c // salt_rows) or 1) for n, c in counts.items()], "n_tokens long, __salts long"))
+    cut = cut.join(salted, "n_tokens").withColumn("__salt", F.pmod(F.xxhash64("__id", "__h", "piece"), F.col("__salts"))).drop("__salts")
+    groups = saved(cut.groupBy("n_tokens", "__salt").agg(F.count("*").alias("__c")))
     before = Window.partitionBy("n_tokens").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = F.broadcast(groups.select("n_tokens", "__salt", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__first")))
-    counts = dict(tuple(r) for r in groups.groupBy("n_tokens").agg(F.sum("__c")).collect())  # at most max(sizes) rows
+    offsets = small(groups.select("n_tokens", "__salt", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__first")), F.lit(24), broadcast_bytes)
     by_length: dict[int, list[tuple]] = {}
     for r in sorted(Plan(counts, sizes, overhead).rows()):
         by_length.setdefault(r[0], []).append(r[1:])
     plan = F.broadcast(session.createDataFrame([(n, [dict(zip(("a", "b", "bin", "off", "size"), r, strict=True)) for r in rs]) for n, rs in by_length.items()], "n_tokens long, runs array<struct<a:long,b:long,bin:long,off:long,size:long>>"))
-    own = Window.partitionBy("n_tokens", "__salt").orderBy(doc_id, "piece", "__h")
+    own = Window.partitionBy("n_tokens", "__salt").orderBy("__id", "piece", "__h")
     ranked = cut.withColumn("__r", F.row_number().over(own)).join(offsets, ["n_tokens", "__salt"]).withColumn("__r", F.col("__r") - 1 + F.col("__first"))
     run = F.element_at(F.filter("runs", lambda x: (x["a"] <= F.col("__r")) & (F.col("__r") <= x["b"])), 1)
     placed = ranked.join(plan, "n_tokens").withColumn("__run", run)
     return placed.select(
-        doc_id, F.col("piece").cast("int"), (F.col("piece") * most).cast("long").alias("first_token"), "n_tokens",
+        F.col("__id").alias(doc_id), F.col("piece").cast("int"), (F.col("piece") * most).cast("long").alias("first_token"), "n_tokens",
         (F.col("__run.bin") + F.col("__r") - F.col("__run.a")).alias("bin_id"), F.col("__run.off").alias("bin_offset"), F.col("__run.size").cast("int").alias("bin_size"),
     )
