@@ -13,18 +13,22 @@ their own length as k and w = 1.
 The benchmark is the small side: its fingerprints go to all tasks, and the
 texts are read once and not shuffled. Its size is checked first. Beyond
 `block_bytes` of text the benchmark is dealt out into blocks by item, and each
-block makes its own pass over the texts, carrying along what was hit before.
+block makes its own pass over the texts, of which only the hits are kept, by
+text; the last pass joins them to its rows.
 
 Nulls and odd input: a null or empty text has no words and no hits; a null or
 wordless item has no windows; a null item id counts as the empty string; rows
 that repeat an item id add their windows to that item; repeated rows of texts
-give repeated results; input columns named like results are replaced by them.
+give repeated results; texts of any length are read whole; an empty table of texts
+gives an empty result, and an empty benchmark no hits. Input columns named like
+results are replaced by them; all others, whatever their names, are kept.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import map_texts, others, saved
+from tessera.llm.shared import map_texts, others, saved, small
 from tessera.llm.text import ALNUM, LOWER, Words, grams, rows, sliding_min, spans_of
 
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -161,14 +165,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     block = F.pmod(F.xxhash64("i"), F.lit(blocks))
-    out, done = docs, None
-    for b in range(blocks):
-        # one block of the benchmark, of about block_bytes, whose size was checked above
-        index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.where(block == b).collect()], span, k))
-        here = [*keep, *([text] if text not in keep and b + 1 < blocks else []), *(["hit_spans_0", "hit_items_0"] if b else [])]
-        out = map_texts(out, text, here, FIELDS, lambda index=index: _kernel(index.value))
-        if b:
-            out = out.withColumn("hit_spans", _merge_spans("hit_spans", "hit_spans_0")).withColumn("hit_items", F.array_sort(F.array_union("hit_items", "hit_items_0"))).drop("hit_spans_0", "hit_items_0")
-        if b + 1 < blocks:
-            out = saved(out).withColumnsRenamed({"hit_spans": "hit_spans_0", "hit_items": "hit_items_0"}).drop("n_words")
-    return out.select(*keep, *names)
+    # rows travel as one column, so no name of theirs meets another; a text is known by 128 bits
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    out = docs.select(row.alias("row"), F.col(text).alias("text"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), F.col(text)).alias("b"))
+    index_of = lambda b: Index([tuple(r) for r in items.where(block == b).collect()], span, k)  # noqa: E731 one block, of about block_bytes, whose size was checked above
+    earlier = []
+    for b in range(blocks - 1):
+        # hits alone are kept of a pass, once for each text that has some
+        index = docs.sparkSession.sparkContext.broadcast(index_of(b))
+        hits = map_texts(out.where("text is not null"), "text", ["a", "b"], FIELDS, lambda index=index: _kernel(index.value)).where(F.size("hit_items") > 0)
+        earlier.append(saved(hits.select("a", "b", "hit_spans", "hit_items")))
+        index.destroy()
+    index = docs.sparkSession.sparkContext.broadcast(index_of(blocks - 1))
+    if not earlier:
+        return map_texts(out, "text", ["row"], FIELDS, lambda: _kernel(index.value)).select(*[F.col("row")[c].alias(c) for c in keep], *names)
+    both = reduce(DataFrame.unionByName, earlier).dropDuplicates().groupBy("a", "b").agg(F.flatten(F.collect_list("hit_spans")).alias("s"), F.array_distinct(F.flatten(F.collect_list("hit_items"))).alias("i"))
+    both = small(saved(both), F.size("s") * 16 + F.size("i") * 24 + 32, block_bytes)
+    out = map_texts(out.join(both, ["a", "b"], "left"), "text", ["row", "s", "i"], FIELDS, lambda: _kernel(index.value))
+    none = F.array()
+    spans, items_ = F.coalesce("s", none.cast(T.ArrayType(SPAN))), F.coalesce("i", none.cast("array<string>"))
+    out = out.withColumn("hit_spans", _merge_spans("hit_spans", spans)).withColumn("hit_items", F.array_sort(F.array_union("hit_items", items_)))
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], *names)

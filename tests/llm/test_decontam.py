@@ -52,3 +52,11 @@ def test_empty_tables_and_clashing_columns(spark):
     row = decontaminate(d, b).first()
     assert (row.n_words, row.hit_spans, row.hit_items, row.text) == (2, [], [], "x y")
     assert decontaminate(d.limit(0), b).collect() == []
+
+
+def test_any_column_names_in_several_blocks(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    d = spark.createDataFrame([(1, "x " + text, 7, 8, 9, 10), (2, None, 1, 2, 3, 4)], "doc_id long, text string, hit_spans_0 int, a int, `row` int, s int")
+    b = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(4 * i, 4 * i + 12))) for i in range(7)], "item_id long, text string")
+    got = sorted(tuple(r) for r in decontaminate(d, b, block_bytes=50).drop("text").collect())
+    assert got == [(1, 7, 8, 9, 10, 41, [(1, 37)], [str(i) for i in range(7)]), (2, 1, 2, 3, 4, 0, [], [])]
