@@ -18,17 +18,19 @@ by a hash of the text; their whole texts are counted on the executors. Scoring
 reads every whole text and is one pass without a shuffle: embeddings and
 softmax are multiplied out into one row of logits for each bucket.
 
-Nulls and odd input: a null or empty text is `und`; rows without a label don't
+Nulls and odd input: a null or empty text is `und`; a text whose only letters
+stand alone at its ends may have no subword, and then has the probabilities of
+the bias; rows without a label don't
 train; without any training row every text is `und`; with a single language
 every text with a letter gets it. Input columns named like results are
-replaced.
+replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -180,6 +182,3 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[st
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of logits, whatever the corpus
     return map_texts(docs, text, keep, FIELDS, lambda: _score(shared.value), limit=1 << 20)
 
-
-def training_rows(docs: DataFrame, rest: Column, lang: str = "lang") -> DataFrame:
-    return docs.where(rest & F.col(lang).isNotNull())

@@ -14,6 +14,9 @@ from tessera.llm.shared import map_rows
 from tessera.llm.text import pieces
 
 
+SALTS = 32
+
+
 def remainder(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
@@ -56,7 +59,11 @@ def sample_features(rows: DataFrame, label: str, text: str, most: int | None, to
     drawn = rows.where(F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"), by.alias("by"))
     keys = drawn.select("label", "by").distinct()
     if most:
-        keys = keys.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("by"))).where(F.col("r") <= most).orderBy("r", "by")
+        # ranked in parts first, so that the task of a label gets SALTS * most rows at most
+        keys = keys.withColumn("salt", F.pmod(F.xxhash64("by"), F.lit(SALTS)))
+        for parts in (["label", "salt"], ["label"]):
+            keys = keys.withColumn("r", F.row_number().over(Window.partitionBy(*parts).orderBy("by"))).where(F.col("r") <= most)
+        keys = keys.orderBy("r", "by")
     else:
         keys = keys.orderBy("by")
     keys = keys.limit(total).select("label", "by")
