@@ -6,7 +6,11 @@ risk pi * E_p[l(+)] + max(0, E_u[l(-)] - pi * E_p[l(-)]) is minimised over a
 linear model: the unlabelled texts count as negatives less the share of
 positives that hides among them, and where that difference turns negative the
 step goes the other way, so that the model can't profit from overfitting it
-(the non-negative estimator). The prior is estimated from the labelled rows.
+(the non-negative estimator). The prior is the share of toxic rows among the
+labelled ones. Confirmed positives are not drawn as unlabelled texts, and the
+prior is not lowered for that: the slightly higher one was more accurate on
+held-out labels. Confirmed negatives count as unlabelled in the risk; that they
+are known is used only to place the decision, which is supervised, see below.
 
 Features are hashed whole words and word beginnings of 5 to 8 bytes, in ASCII
 lower case, weighted by their share of the text's words; the share is smoothed
