@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, toxicity
+from tessera.llm import langid, sql, toxicity
 from tessera.llm.decontam import decontaminate
 from tessera.llm.jaccard import near_duplicates
 from tessera.llm.learn import remainder
@@ -24,11 +24,11 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
+        if oracle:
+            SQL[name] = oracle
         return f
 
     return add
@@ -75,7 +75,7 @@ def digest_secrets(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[n(k).alias(f"n_{k}") for k in KINDS[:3]], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-@query("op4_secrets")
+@query("op4_secrets", sql.SECRETS)
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_secrets(find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
@@ -167,7 +167,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-@query("op9_jaccard_join")
+@query("op9_jaccard_join", sql.JACCARD)
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -179,6 +179,6 @@ def digest_repeats(kept: DataFrame) -> DataFrame:
     )
 
 
-@query("op3_suffix_dedup")
+@query("op3_suffix_dedup", sql.SUFFIX)
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_repeats(drop_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"]))
