@@ -58,15 +58,60 @@ def test_no_more_bins_than_one_piece_at_a_time():
         assert sum(b["times"] for b in plan.bins) <= unit_bfd(counts, (64,), 0) + 1
 
 
+def one_at_a_time(counts, sizes, overhead):
+    """Capacity and bins of best fit with sizes to choose from, one piece after another, each opened size the cheapest per token."""
+    pieces = sorted((n for n, c in counts.items() for _ in range(c)), reverse=True)
+    bins = []  # [size, used]
+    for at, n in enumerate(pieces):
+        fits = [b for b in bins if b[0] - b[1] >= n]
+        if fits:
+            min(fits, key=lambda b: b[0] - b[1])[1] += n
+            continue
+        later = pieces[at + 1 :]
+        best = None
+        for size in sizes:
+            if size >= n:
+                room = size - n
+                own = room // n * n if later.count(n) >= room // n else 0
+                fill = max(own, min(room, own + sum(m for m in later if m < n and m <= room - own)))
+                cost = ((size + overhead) / (n + fill), size)
+                best = min(best or cost, cost)
+        bins.append([best[1], n])
+    return sum(min(s for s in sizes if s >= used) for _, used in bins), len(bins)
+
+
+def test_no_more_room_than_one_piece_at_a_time_with_sizes_to_choose():
+    r = random.Random(10)
+    total = [0, 0]
+    for _ in range(60):
+        sizes, overhead = r.choice([(16, 32, 64), (20, 64), (64, 100, 128)]), r.choice([0, 2, 16])
+        counts = {r.randrange(1, max(sizes) + 1): r.randrange(1, 30) for _ in range(r.randrange(1, 15))}
+        rows = Plan(counts, sizes, overhead).rows()
+        own = {first + i: size for _, a, b, first, _, size in rows for i in range(b - a + 1)}
+        room, n = one_at_a_time(counts, sizes, overhead)
+        total = [total[0] + sum(own.values()), total[1] + room]
+        assert sum(own.values()) <= 1.1 * room + max(sizes) and len(own) <= 1.1 * n + 2
+    assert total[0] <= 1.02 * total[1]
+
+
 def test_sizes_are_chosen_for_least_cost():
-    plan = Plan({30: 1000}, (32, 64, 128), 1)
-    assert {r[5] for r in plan.rows()} in ({32}, {64}, {128})
-    plan = Plan({60: 10, 3: 100}, (64, 128), 8)
-    assert {r[5] for r in plan.rows()} <= {64, 128}
+    assert {r[5] for r in Plan({30: 1000}, (32, 64, 128), 1).rows()} == {128}  # 129 / 120 tokens against 33 / 30 and 65 / 60
+    assert {r[5] for r in Plan({30: 1000}, (32, 64, 128), 0).rows()} == {32}  # equal cost: the smallest
+    assert {r[5] for r in Plan({60: 1000}, (64, 100), 0).rows()} == {64}
+    assert {r[5] for r in Plan({60: 1000, 40: 1000}, (64, 100), 0).rows()} == {100}
+    assert {r[5] for r in Plan({60: 10, 3: 100}, (64, 128), 8).rows() if r[0] == 60} == {128}
+    assert {r[5] for r in Plan({20: 1}, (32, 64, 128), 1000).rows()} == {32}  # cut down at the end
     huge = Plan({n: 10**9 + n for n in range(1, 513)}, (512, 1024), 4)
     assert len(huge.rows()) < 200_000
 
 
+def test_many_salts_and_any_column_names(spark):
+    docs = [(i, "w " * (i % 5), 1, 2, 3) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, __n int, bin_id int, __salt int").repartition(3)
+    for more in ({}, {"salt_rows": 7, "broadcast_bytes": 0}):
+        check(pack(df, sizes=(4, 8), overhead=1, **more).collect(), [d[:2] for d in docs], (4, 8))
+
+
 def test_repeated_and_clashing(spark):
     df = spark.createDataFrame([(1, "a b c", 5), (1, "a b c", 5)], "doc_id long, text string, piece int")
     assert sorted(r.n_tokens for r in pack(df).collect()) == [3, 3]
