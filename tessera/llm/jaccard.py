@@ -47,8 +47,11 @@ iteration a table in the shared folder.
 Nulls and odd input: null, empty and blank texts have an empty set and are
 alone; texts of fewer than k words have their whole word sequence as one
 shingle; rows that repeat an id with other text are nodes of their own; null
-ids count as no id when a group's smallest id is taken. Input columns named
-like results are replaced.
+ids count as no id when a group's smallest id is taken; ids are integers, and
+text that is no number counts as a null id; texts of any length are read whole; an
+empty table gives an empty result. Only the id and the text are read, so other
+columns, whatever their names, are left out and can't clash. Intermediate tables
+are deleted as soon as nothing reads them any more.
 """
 
 from __future__ import annotations
@@ -63,7 +66,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import hint, map_rows, map_texts, partitions, saved, small
+from tessera.llm.shared import hint, map_rows, map_texts, partitions, saved, small, spent
 from tessera.llm.text import NOT_SPACE, Words, grams, mix, pieces, rows
 
 LEVELS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64])
@@ -501,7 +504,9 @@ def node_sets(docs: DataFrame, keys: DataFrame, nodes: DataFrame, text: str, k:
 
     wanted = saved(nodes.join(keys, "node").select(F.col("key").alias("__key"), "node"))
     texts = docs.select(F.col("__key"), F.col(text).alias("text")).join(small(wanted, F.lit(40), 8 << 20), "__key").select("text", "node")
-    return saved(map_rows(texts, "node binary, tokens binary", run).dropDuplicates(["node"]))
+    sets = saved(map_rows(texts, "node binary, tokens binary", run).dropDuplicates(["node"]))
+    spent(wanted)
+    return sets
 
 
 def hot_links(docs: DataFrame, keys: DataFrame, entry: DataFrame, hot: DataFrame, text: str, k: int, percent: int, parts: int) -> DataFrame:
@@ -514,7 +519,9 @@ def hot_links(docs: DataFrame, keys: DataFrame, entry: DataFrame, hot: DataFrame
     split = member.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("z", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = split.select("tok", F.least("own", "z").alias("x"), F.greatest("own", "z").alias("y"), "own", "node", "root").join(sets, "node")
     dealt = dealt.repartition(parts, "tok", "x", "y").sortWithinPartitions("tok", "x", "y")
-    return saved(map_rows(dealt.select("tok", "x", "y", "own", "node", "root", "tokens"), "a binary, b binary", _blocks(percent)).distinct())
+    links = saved(map_rows(dealt.select("tok", "x", "y", "own", "node", "root", "tokens"), "a binary, b binary", _blocks(percent)).distinct())
+    spent(member, sets)
+    return links
 
 
 def _send(k: int):
@@ -573,21 +580,25 @@ def verify(docs: DataFrame, keys: DataFrame, pairs: DataFrame, text: str, k: int
     sent = docs.select(F.col("__key"), F.col(text).alias("text")).join(hint(wanted, broadcast_rows), "__key").select("text", "node", "need")
     sets = map_rows(sent, "lead binary, salt int, role int, node binary, tokens binary", _send(k))
     dealt = sets.repartition(parts, "lead", "salt").sortWithinPartitions("lead", "salt", "role")
-    return saved(map_rows(dealt, "a binary, b binary", _compare(percent)).distinct())
+    links = saved(map_rows(dealt, "a binary, b binary", _compare(percent)).distinct())
+    spent(wanted)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges: root is the smallest node it is connected with."""
+    """A saved table with (node, root) for every node of the edges: root is the smallest node it is connected with."""
     both = saved(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).where("node <> other").distinct())
     labels = saved(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))
     while True:
-        reach = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("root").alias("near"))
+        reach = both.join(labels.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("near"))
         lower = labels.join(reach, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         lower = saved(lower)
+        spent(labels)
         jump = lower.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        after = saved(lower.join(jump, "root").select("node", F.col("further").alias("root"), "old"))
-        labels = after.select("node", "root")
-        if after.where("root <> old").isEmpty():
+        labels = saved(lower.join(jump, "root").select("node", F.col("further").alias("root"), (F.col("further") != F.col("old")).alias("moved")))
+        spent(lower)
+        if labels.where("moved").isEmpty():
+            spent(both)
             return labels
 
 
@@ -609,7 +620,8 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def _prepared(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, least_frequent: int, most_frequent: int, range_tokens: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
     """Texts with their keys, rows with sizes and nodes, pairs and entries found in posting lists, a key for each node; and the number of partitions."""
     spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).cast("long").alias(doc_id), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("__key"), F.col(text).alias(text))
+    own = F.col(doc_id).try_cast("long")
+    source = docs.select(own.alias(doc_id), F.coalesce(own, F.lit(-(2**63))).alias("__key"), F.col(text).alias(text))
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType())]
 
     def measure():
@@ -642,7 +654,7 @@ def _entries(found: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _candidates(found: DataFrame, entry: DataFrame, mixed: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Pairs (a, b) that may share enough of their prefixes; of lists of three or more only those with different roots, of hot lists none."""
+    """A saved table of pairs (a, b) that may share enough of their prefixes; of lists of three or more only those with different roots, of hot lists none."""
     short = found.where("kind = 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), level_column(percent).alias("need"), "c")
     pairs_of = short.select(F.col("a").alias("node"), "c").unionByName(short.select(F.col("b").alias("node"), "c"))
     own = entry.join(mixed, "tok").select("node", F.lit(1).alias("c"), (F.col("size") > HOT).cast("int").alias("hot"))
@@ -653,18 +665,26 @@ def _candidates(found: DataFrame, entry: DataFrame, mixed: DataFrame, percent: i
     for side in ("a", "b"):
         short = short.join(most.select(F.col("node").alias(side), F.col("k").alias(f"k_{side}"), F.col("hot").alias(f"hot_{side}")), side)
     short = short.where(F.least("k_a", "k_b") >= F.col("need")).select("a", "b", (F.col("need") - F.least("hot_a", "hot_b")).cast("int").alias("need"), "c")
-    return pair.unionByName(short).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need")
+    both = pair.unionByName(short).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need"))
+    enough = saved(both.where("c >= need"))
+    spent(most)
+    return enough
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, least_frequent: int = 16, most_frequent: int = 2_000_000, range_tokens: int = 1_000_000) -> DataFrame:
     """One row for each row of docs: id, n_shingles and component_id, the smallest id reachable by links."""
     source, members, found, keys, parts = _prepared(docs, doc_id, text, k, percent, least_frequent, most_frequent, range_tokens)
     linked: list[DataFrame] = []
+    known: list[DataFrame] = []  # the components so far
+
+    def join_in(links: DataFrame) -> DataFrame:
+        """Components of all links so far and these."""
+        linked.append(links)
+        known.append(components(reduce(DataFrame.unionByName, linked)))
+        return known[-1].select("node", "root")
 
     def link(pairs: DataFrame) -> DataFrame:
-        """Verifies pairs (a, b) and returns the components of all links so far."""
-        linked.append(verify(source, keys, pairs, text, k, percent, parts))
-        return components(reduce(DataFrame.unionByName, linked))
+        return join_in(verify(source, keys, pairs, text, k, percent, parts))
 
     # first round: each node with its best leader, then with the others that are still in another component
     leads = found.where("kind > 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max(level_column(percent)).alias("need"))
@@ -672,6 +692,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     best = saved(leads.groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select("x.a", "b"))
     roots = link(best)
     rest = saved(apart(leads.select("a", "b").join(best, ["a", "b"], "left_anti"), roots).select("a", "b"))
+    spent(leads)
     if not rest.isEmpty():
         roots = link(rest)
 
@@ -679,20 +700,25 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     entry, mixed = _entries(found, roots)
     hot = mixed.where(F.col("size") > HOT)
     if not hot.isEmpty():
-        linked.append(hot_links(source, keys, entry, hot, text, k, percent, parts))
-        roots = components(reduce(DataFrame.unionByName, linked))
+        roots = join_in(hot_links(source, keys, entry, hot, text, k, percent, parts))
+        spent(entry, mixed)
         entry, mixed = _entries(found, roots)
 
     # second round: what is left between components, first by the best pair of each two components
     enough = _candidates(found, entry, mixed, percent, parts)
+    spent(entry, mixed, found)
     tried = best.unionByName(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = saved(apart(enough.join(tried, ["a", "b"], "left_anti"), roots))
+    spent(enough, best, rest)
     if not second.isEmpty():
         top = F.max(F.struct("c", "a", "b")).alias("x")
-        roots = link(saved(second.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(top).select("x.a", "x.b").distinct()))
+        first = saved(second.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(top).select("x.a", "x.b").distinct())
+        roots = link(first)
         third = saved(apart(second, roots).select("a", "b"))
         if not third.isEmpty():
             roots = link(third)
+        spent(first, third)
+    spent(second, *linked, *known[:-1])
 
     # a group's smallest id, then back to its rows
     nodes = members.where("n_shingles > 0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

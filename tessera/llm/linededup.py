@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import others, saved, small
+from tessera.llm.shared import others, saved, small, spent
 
 RESULTS = ["n_lines", "n_removed", "removed_lines"]
 
@@ -46,22 +46,25 @@ def _wide_hash(value: Column) -> Column:
 
 
 def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lines: int = 3) -> DataFrame:
-    """For each document (key) the sorted start positions of windows that occurred before."""
+    """A saved table: for each document (key) the sorted start positions of windows that occurred before."""
     rows = docs.select(_row_key(F.col(doc_id), F.col(text)).alias("key"), F.split(F.col(text), "\n", -1).alias("l")).where(F.size("l") >= lines)
     # each line once: its hash, and whether it has more than spaces
     hashed = rows.select("key", F.transform("l", lambda x: F.struct(_wide_hash(x).alias("h"), x.rlike(r"\S").alias("full"))).alias("l"))
     starts = F.sequence(F.lit(1), F.size("l") - (lines - 1))
     some = F.transform(starts, lambda i: F.struct(_wide_hash(F.slice("l.h", i, lines)).alias("w"), F.array_contains(F.slice("l.full", i, lines), True).alias("full")))
     windows = hashed.select("key", F.posexplode(some).alias("p", "x")).where("x.full").select("key.*", "p", "x.w.*")
-    windows = saved(windows).select(F.struct("n", "d", "h").alias("key"), "p", "a", "b")
+    table = saved(windows)
+    windows = table.select(F.struct("n", "d", "h").alias("key"), "p", "a", "b")
     seen = windows.groupBy("a", "b").agg(F.min(F.struct("key", "p")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
     later = windows.join(seen, ["a", "b"]).where(F.struct("key", "p") != F.col("first"))
-    return later.groupBy("key").agg(F.array_sort(F.collect_set("p")).alias("at"))
+    flagged = saved(later.groupBy("key").agg(F.array_sort(F.collect_set("p")).alias("at")))
+    spent(table)
+    return flagged
 
 
 def drop_repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lines: int = 3, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """Rows of docs with the text that stays, n_lines, n_removed and removed_lines (positions from 0)."""
-    flagged = saved(repeated_windows(docs, doc_id=doc_id, text=text, lines=lines))
+    flagged = repeated_windows(docs, doc_id=doc_id, text=text, lines=lines)
     flagged = small(flagged, F.size("at") * 4 + 64, broadcast_bytes)
     keep = others(docs, RESULTS)
     # the row travels as one column, so no name of its own meets another

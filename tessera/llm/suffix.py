@@ -55,7 +55,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import hint, map_rows, others, partitions, saved
+from tessera.llm.shared import hint, map_rows, others, partitions, saved, spent
 from tessera.llm.text import Powers, byte_codes, mix, pieces, rows, sliding_min, spans_of
 
 K = 16
@@ -701,6 +701,7 @@ def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     far = map_rows(keyed, SCHEMA, _spread(span, ranges, buckets, "__text")).repartition(parts, "part", "r").sortWithinPartitions("part", "r")
     found = map_rows(far, SCHEMA, _find(span, buckets)).repartition(parts, "r").sortWithinPartitions("r")
     spans = saved(map_rows(found.withColumn("part", F.lit(1)), "__id long, __row long, spans binary", _merge))
+    spent(keys)
     weight = spans.agg(F.sum(F.octet_length("spans") + 40)).first()[0] or 0
     names = ["kept", "n_removed", "removed"]
     keep = others(docs.select(*keep) if keep else docs, names)
