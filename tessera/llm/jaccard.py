@@ -41,8 +41,8 @@ the best pair of each two components first. Components are those of all links.
 near_duplicate_links has the links themselves.
 
 Verification sends each needed set once for each leader; leaders of many are
-salted. Components come from repeated minimum and pointer jumping, each
-iteration a table in the shared folder.
+salted. Components of few links come from one task, those of many from repeated
+minimum and pointer jumping, each iteration a table in the shared folder.
 
 Nulls and odd input: null, empty and blank texts have an empty set and are
 alone; texts of fewer than k words have their whole word sequence as one
@@ -73,6 +73,7 @@ LEVELS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64])
 VERIFY = 20.0  # cost of a candidate, in postings
 FLUSH = 500_000  # entries that a task holds before it sends them
 TEXTS = 1 << 20  # bytes of text that are shingled at once
+FEW = 200_000  # edges whose components one task finds
 SEND = 2 << 20  # bytes of sets that are sent at once
 HOT = 100  # postings of a list whose pairs are verified in blocks
 BLOCK_BYTES = 1 << 20  # of sets in a block
@@ -512,14 +513,15 @@ def node_sets(docs: DataFrame, keys: DataFrame, nodes: DataFrame, text: str, k:
 def hot_links(docs: DataFrame, keys: DataFrame, entry: DataFrame, hot: DataFrame, text: str, k: int, percent: int, parts: int) -> DataFrame:
     """Links (a, b) between components among the members of hot lists."""
     least = F.floor((F.col("n") * percent + 99) / 100)
-    near = entry.join(hot.select("tok"), "tok").where(F.col("place") <= F.col("n") - least)
+    near = entry.join(small(hot.select("tok"), 16), "tok").where(F.col("place") <= F.col("n") - least)
     lists = near.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("blocks")).where("lo <> hi")
+    lists = small(saved(lists), 24)
     member = saved(near.join(lists.select("tok", "blocks"), "tok").select("tok", "blocks", "node", "root"))
     sets = node_sets(docs, keys, member.select("node").distinct(), text, k)
     split = member.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("z", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = split.select("tok", F.least("own", "z").alias("x"), F.greatest("own", "z").alias("y"), "own", "node", "root").join(sets, "node")
     dealt = dealt.repartition(parts, "tok", "x", "y").sortWithinPartitions("tok", "x", "y")
-    links = saved(map_rows(dealt.select("tok", "x", "y", "own", "node", "root", "tokens"), "a binary, b binary", _blocks(percent)).distinct())
+    links = saved(map_rows(dealt.select("tok", "x", "y", "own", "node", "root", "tokens"), "a binary, b binary", _blocks(percent)))
     spent(member, sets)
     return links
 
@@ -571,22 +573,51 @@ def _compare(percent: int):
 
 
 def verify(docs: DataFrame, keys: DataFrame, pairs: DataFrame, text: str, k: int, percent: int, parts: int, group: int = 500, broadcast_rows: int = 100_000) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough. keys: node to the key of a row that has it."""
+    """The pairs (a, b) of nodes whose sets are similar enough; repeated rows may repeat pairs. keys: node to the key of a row that has it."""
+    few = pairs.count() * 48 <= 8 << 20
+    pairs = F.broadcast(pairs) if few else pairs
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / group).cast("int").alias("salts"))
     members = pairs.join(salts, "a").select(F.col("b").alias("node"), F.struct(F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role")).alias("x"))
     leads = salts.select(F.col("a").alias("node"), F.explode(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda s: F.struct(F.col("a").alias("lead"), s.alias("salt"), F.lit(0).alias("role")))).alias("x"))
     need = members.unionByName(leads).groupBy("node").agg(F.collect_list("x").alias("need"))
-    wanted = saved(need.join(keys, "node").select(F.col("key").alias("__key"), "node", "need"))
+    wanted = saved((F.broadcast(need) if few else need).join(keys, "node").select(F.col("key").alias("__key"), "node", "need"))
     sent = docs.select(F.col("__key"), F.col(text).alias("text")).join(hint(wanted, broadcast_rows), "__key").select("text", "node", "need")
     sets = map_rows(sent, "lead binary, salt int, role int, node binary, tokens binary", _send(k))
     dealt = sets.repartition(parts, "lead", "salt").sortWithinPartitions("lead", "salt", "role")
-    links = saved(map_rows(dealt, "a binary, b binary", _compare(percent)).distinct())
+    links = saved(map_rows(dealt, "a binary, b binary", _compare(percent)))
     spent(wanted)
     return links
 
 
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Components of a bounded number of edges."""
+    every = list(batches)
+    if not sum(b.num_rows for b in every):
+        return
+    table = pa.Table.from_batches(every)
+    nodes, number = _numbered(pa.chunked_array([*table.column("a").chunks, *table.column("b").chunks]))
+    root = list(range(len(nodes)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in zip(number[: len(table)].tolist(), number[len(table) :].tolist(), strict=True):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    yield {"node": nodes.tolist(), "root": nodes[[find(i) for i in range(len(nodes))]].tolist()}
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """A saved table with (node, root) for every node of the edges: root is the smallest node it is connected with."""
+    """A saved table with (node, root) for every node of the edges: root is the smallest node it is connected with.
+
+    Up to FEW edges, which one task holds with ease, are joined by union-find;
+    beyond that labels are lowered and pointers followed by joins, round by round.
+    """
+    if edges.count() <= FEW:
+        return saved(map_rows(edges.select("a", "b").coalesce(1), "node binary, root binary", _union))
     both = saved(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).where("node <> other").distinct())
     labels = saved(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))
     while True:
@@ -611,7 +642,7 @@ def level_column(percent: int) -> Column:
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs whose nodes are not in one component, with the roots of both."""
-    pairs = pairs.select(*[c for c in pairs.columns if not c.startswith("root_")])
+    pairs, roots = pairs.select(*[c for c in pairs.columns if not c.startswith("root_")]), small(roots, 64)
     for side in ("a", "b"):
         pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
     return pairs.where("root_a <> root_b")
@@ -641,14 +672,14 @@ def _prepared(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, lea
     shared = spark.sparkContext.broadcast(frequent)  # at most most_frequent entries
     blobs = postings(source, text, k, ranges, percent, shared)
     found = saved(map_rows(blobs.repartition(parts, "r").sortWithinPartitions("r"), FOUND, _links(percent)))
-    keys = members.where("n_shingles > 0").groupBy("node").agg(F.min("__key").alias("key"))
+    keys = saved(members.where("n_shingles > 0").groupBy("node").agg(F.min("__key").alias("key")))
     return source, members, found, keys, parts
 
 
 def _entries(found: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries of lists of three or more with their components, and the lists that hold several components."""
     entry = found.where("kind = 0").select("tok", F.col("a").alias("node"), F.col("na").alias("n"), F.col("la").alias("l"), F.col("c").alias("place"))
-    entry = saved(entry.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    entry = saved(entry.join(small(roots, 64), "node", "left").withColumn("root", F.coalesce("root", "node")))
     mixed = entry.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("tok", "size")
     return entry, saved(mixed)
 
@@ -657,13 +688,15 @@ def _candidates(found: DataFrame, entry: DataFrame, mixed: DataFrame, percent: i
     """A saved table of pairs (a, b) that may share enough of their prefixes; of lists of three or more only those with different roots, of hot lists none."""
     short = found.where("kind = 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), level_column(percent).alias("need"), "c")
     pairs_of = short.select(F.col("a").alias("node"), "c").unionByName(short.select(F.col("b").alias("node"), "c"))
+    mixed = small(mixed, 24)
     own = entry.join(mixed, "tok").select("node", F.lit(1).alias("c"), (F.col("size") > HOT).cast("int").alias("hot"))
     # how many shared shingles a node's pairs can have at most, and how many of them in hot lists
     most = saved(own.unionByName(pairs_of.withColumn("hot", F.lit(0))).groupBy("node").agg(F.sum("c").alias("k"), F.sum("hot").alias("hot")))
-    dealt = entry.join(mixed.where(F.col("size") <= HOT).select("tok"), "tok").join(most, "node").select("tok", "node", "root", "n", "l", "place", "k", "hot")
+    near = small(most, 40)
+    dealt = entry.join(mixed.where(F.col("size") <= HOT).select("tok"), "tok").join(near, "node").select("tok", "node", "root", "n", "l", "place", "k", "hot")
     pair = map_rows(dealt.repartition(parts, "tok").sortWithinPartitions("tok"), "a binary, b binary, need int, c int", _across(percent))
     for side in ("a", "b"):
-        short = short.join(most.select(F.col("node").alias(side), F.col("k").alias(f"k_{side}"), F.col("hot").alias(f"hot_{side}")), side)
+        short = short.join(near.select(F.col("node").alias(side), F.col("k").alias(f"k_{side}"), F.col("hot").alias(f"hot_{side}")), side)
     short = short.where(F.least("k_a", "k_b") >= F.col("need")).select("a", "b", (F.col("need") - F.least("hot_a", "hot_b")).cast("int").alias("need"), "c")
     both = pair.unionByName(short).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need"))
     enough = saved(both.where("c >= need"))
@@ -691,7 +724,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     leads = saved(leads.where("2 * c >= need"))  # lists led by others are not counted in c
     best = saved(leads.groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select("x.a", "b"))
     roots = link(best)
-    rest = saved(apart(leads.select("a", "b").join(best, ["a", "b"], "left_anti"), roots).select("a", "b"))
+    rest = saved(apart(leads.select("a", "b").join(small(best, 48), ["a", "b"], "left_anti"), roots).select("a", "b"))
     spent(leads)
     if not rest.isEmpty():
         roots = link(rest)
@@ -707,8 +740,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # second round: what is left between components, first by the best pair of each two components
     enough = _candidates(found, entry, mixed, percent, parts)
     spent(entry, mixed, found)
-    tried = best.unionByName(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = saved(apart(enough.join(tried, ["a", "b"], "left_anti"), roots))
+    tried = best.unionByName(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = saved(apart(enough.join(small(tried, 48), ["a", "b"], "left_anti"), roots))
     spent(enough, best, rest)
     if not second.isEmpty():
         top = F.max(F.struct("c", "a", "b")).alias("x")
@@ -718,10 +751,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         if not third.isEmpty():
             roots = link(third)
         spent(first, third)
-    spent(second, *linked, *known[:-1])
+    spent(second, keys, *linked, *known[:-1])
 
     # a group's smallest id, then back to its rows
-    nodes = members.where("n_shingles > 0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = members.where("n_shingles > 0").join(small(roots, 64), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = nodes.groupBy("root").agg(F.min(doc_id).alias("component_id"))
     grouped = nodes.join(smallest, "root").select(doc_id, "n_shingles", "component_id")
     return grouped.unionByName(members.where("n_shingles = 0").select(doc_id, "n_shingles", F.col(doc_id).alias("component_id")))
@@ -737,7 +770,7 @@ def near_duplicate_links(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     alone = keys.select("node", F.col("node").alias("root"))
     entry, lists = _entries(found, alone)
     lists = lists.withColumn("size", F.lit(0))  # none is hot: their pairs are what is asked for
-    links = verify(source, keys, saved(_candidates(found, entry, lists, percent, parts).select("a", "b")), text, k, percent, parts)
+    links = verify(source, keys, saved(_candidates(found, entry, lists, percent, parts).select("a", "b")), text, k, percent, parts).distinct()
     ids = members.where("n_shingles > 0").groupBy("node").agg(F.min(doc_id).alias("id"))
     for side in ("a", "b"):
         links = links.join(ids.select(F.col("node").alias(side), F.col("id").alias(f"id_{side}")), side)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import threading
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.llm.text import PIECE, pieces
-
+from tessera.sources.tables import shared_folder
 
 #: Spark's bound on the bytes of a batch that goes to Python, the value it has unless set, and the bound used here instead.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -68,24 +68,26 @@ def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[Iterator
     return df.mapInArrow(run, schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the place that driver and executors share.
-
-    The cluster names that place in spark.checkpoint.dir; only where it is
-    unset, as in tests on one machine, a local folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 #: Spark's setting that drops the shuffle files of a query at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _writers = threading.Lock(), {"n": 0, "before": "false"}
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """CLEANUP is on while any thread is within; the last one out puts back what was set."""
+    with _lock:
+        if not _writers["n"]:
+            _writers["before"] = spark.conf.get(CLEANUP, "false")
+        _writers["n"] += 1
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers["n"] -= 1
+            if not _writers["n"]:
+                spark.conf.set(CLEANUP, _writers["before"])
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -94,12 +96,8 @@ def saved(df: DataFrame) -> DataFrame:
     As the table takes the place of the query, its shuffle files go at once.
     """
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.saved_at = path
     return table
@@ -128,6 +126,7 @@ def hint(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if bounded(df, rows) else df
 
 
-def small(df: DataFrame, weight: Column, limit: int) -> DataFrame:
+def small(df: DataFrame, weight: Column | int, limit: int = 8 << 20) -> DataFrame:
     """df, a computed table, marked for broadcast if its rows' weights in bytes add up to at most the limit."""
-    return F.broadcast(df) if (df.agg(F.sum(weight)).first()[0] or 0) <= limit else df
+    size = df.count() * weight if isinstance(weight, int) else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df

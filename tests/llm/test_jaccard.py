@@ -57,6 +57,7 @@ def cases(seed, groups=25):
 def test_components_match_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard, "HOT", (100, 3, 8)[seed - 1])
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", (1 << 20, 2000, 9000)[seed - 1])
+    monkeypatch.setattr(jaccard, "FEW", (200_000, 0, 5)[seed - 1])
     docs = cases(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     got = near_duplicates(df, least_frequent=(64, 3, 6)[seed - 1], most_frequent=(10**6, 10**6, 20)[seed - 1])
