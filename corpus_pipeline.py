@@ -4,8 +4,13 @@ Each stage takes all that the one before it kept and returns the columns of
 documents, written as Parquet and read again; the last returns one row for
 each piece of a text and the bin that it is packed into.
 
-Rows with a null text are rejected by the first stage. Rows that repeat a
-document whole count as that document and stay or go together.
+Rows with a null or empty text are rejected by the first stage; a later stage
+that meets them keeps them as they are, and packing gives them no piece. Rows
+that repeat a document whole count as that document and stay or go together. A
+row with a null id counts as having no id: it is not removed as a duplicate. Ties
+in the similarity of copies don't matter, as the smallest id of a group stays.
+Columns other than those of documents are left out, whatever their names. Texts
+of any length are read whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
