@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import PUNCTUATION, tokens
 from tessera.operators.flag import Rule, parse_lexicon, rules
 from tessera.plans.registry import table
+from tessera.sources.tables import spread
 
 #: The rules that the queries use, with every notation once.
 LEXICON = ["# comment line", "trash", "clown*", "*tion*", "=The", "=Of", "the", "moron*", "of the", "=And the", "idiot are the", "scum*phrase with star*", "*bad", "=", "damn!"]
@@ -28,7 +29,8 @@ def lexicon_rules(spark: SparkSession) -> list[Rule]:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents; every 37th can't be aligned and has no times, every 41st no score."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.posexplode(tokens(F.col("text"))).alias("word_index", "word"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = docs.select(F.col("doc_id").alias("job_id"), F.posexplode(tokens(F.col("text"))).alias("word_index", "word"))
     both = F.col("job_id") + F.col("word_index")
     timed = both % 37 != 36
     start = F.when(timed, F.col("word_index") * 400)

@@ -29,3 +29,15 @@ def saved(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, most: int = 128 << 20) -> DataFrame:
+    """df, dealt out to all cores if it is a table of at most `most` bytes in fewer files than there are cores.
+
+    A small file often is a single row group, which one core would have to read
+    and process alone. Larger tables are left as they lie.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
