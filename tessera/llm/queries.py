@@ -18,6 +18,7 @@ from tessera.llm.shared import saved, shared_folder
 from tessera.llm.suffix import drop_repeats
 from tessera.llm.topk import top_k
 from tessera.llm.warc import assemble, read_warc, write_warc
+from tessera.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,7 +36,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def digest_decontam(hits: DataFrame) -> DataFrame:
