@@ -35,3 +35,19 @@ def test_repeated_rows_and_few_rows(spark):
     assert run(spark, rows[:0]) == []
     big = [(0, [1e6] * 3), (20, [-1e6] * 3), (3, [1.0] * 3)]
     assert run(spark, big) == brute(big)
+
+
+def test_any_column_names_and_no_queries(spark):
+    rows = [(i, [float(i % 7), 1.0, -0.5], 1, 2, 3, 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, w int, q int, score int, rank int")
+    for more in ({}, {"batch": 2}):
+        assert sorted(tuple(r) for r in top_k(df, F.col("vec_id") % 20 == 0, **more).collect()) == brute([r[:2] for r in rows])
+    assert top_k(df, F.col("vec_id") < 0).collect() == []
+
+
+def test_more_queries_than_a_tile(spark, monkeypatch):
+    from tessera.llm import topk
+
+    monkeypatch.setattr(topk, "TILE", 2)
+    rows = [(i, [float(i % 5), float(i % 3)]) for i in range(200)]
+    assert run(spark, rows) == brute(rows)
