@@ -18,7 +18,9 @@ prefixes and closer sizes let a pair demand more shared shingles, and demand
 them further to the front: level_of has the rule, and a pair that shares fewer
 is not verified.
 
-Join. Prefix postings are dealt out by shingle range, in blobs. A first round
+Join. Prefix postings are dealt out by shingle range, in blobs; a list of more
+than SPLIT postings, known from the counts, is dealt out to several ranges by
+node, so no task reads more than a part of it. A first round
 links each posting only with two leaders of its list, which is linear in the
 postings. Each node is verified on whole sets with the leader that it shares
 most with, then with its other leaders as far as they are still in another
@@ -75,6 +77,8 @@ FLUSH = 500_000  # entries that a task holds before it sends them
 TEXTS = 1 << 20  # bytes of text that are shingled at once
 FEW = 200_000  # edges whose components one task finds
 SEND = 2 << 20  # bytes of sets that are sent at once
+SPLIT = 20_000  # postings of a list that one task reads, about
+SALTED = np.uint64(1 << 62)  # marks keys of lists that are dealt out to several tasks
 HOT = 100  # postings of a list whose pairs are verified in blocks
 BLOCK_BYTES = 1 << 20  # of sets in a block
 ENTRIES = 50_000  # entries of posting lists that are looked at at once
@@ -200,8 +204,8 @@ def count_frequent(docs: DataFrame, text: str, k: int, ranges: int, parts: int,
     return Frequent(np.asarray(got.column("w")).astype(np.uint64), np.asarray(got.column("c")).astype(np.int64))
 
 
-def prefix(tokens: np.ndarray, frequent: Frequent, ranges: int, percent: int) -> tuple[np.ndarray, int]:
-    """Entries of a set's prefix and its l."""
+def prefix(tokens: np.ndarray, frequent: Frequent, ranges: int, percent: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """Entries of a set's prefix, its l, and the counts of the entries."""
     n, where = len(tokens), _where(tokens, ranges)
     count = frequent.counts(where)
     if (count > 1).any():
@@ -209,11 +213,24 @@ def prefix(tokens: np.ndarray, frequent: Frequent, ranges: int, percent: int) ->
         where, count = where[order], count[order]
     one = int(n - least_shared(n, percent) + 1)
     if count[one - 1] == 1:
-        return where[:one], 1
+        return where[:one], 1, count[:one]
     levels = LEVELS[one - 1 + LEVELS <= n]
     met = np.cumsum(count)[one - 2 + levels]
     level = int(levels[np.argmin(met * (1 + VERIFY / levels))])
-    return where[: one - 1 + level], level
+    return where[: one - 1 + level], level, count[: one - 1 + level]
+
+
+def _dealt(where: np.ndarray, count: np.ndarray, node: bytes, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The range that each entry goes to and, as home and salted bit, where its list belongs.
+
+    A list of more than SPLIT postings goes to as many ranges as it needs, by node.
+    """
+    home = where >> np.uint64(32)
+    if not (count > SPLIT).any():
+        return home, home << np.uint64(1)
+    salts = np.maximum(1, -(-count // SPLIT)).astype(np.uint64)
+    salt = np.uint64(int.from_bytes(node[:8], "big")) % salts
+    return (home + salt) % np.uint64(ranges), home << np.uint64(1) | (salts > 1)
 
 
 def postings(docs: DataFrame, text: str, k: int, ranges: int, percent: int, frequent) -> DataFrame:
@@ -221,33 +238,39 @@ def postings(docs: DataFrame, text: str, k: int, ranges: int, percent: int, freq
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         shingler, known = Shingler(k), frequent.value
-        state: dict = {"seen": {}, "where": [], "n": [], "level": [], "waiting": 0}
+        fresh = lambda: {"seen": {}, "where": [], "range": [], "home": [], "n": [], "level": [], "waiting": 0}
+        state: dict = fresh()
 
         def flush() -> Iterator[dict]:
             sizes = [len(w) for w in state["where"]]
-            where, doc = np.concatenate(state["where"]), np.repeat(np.arange(len(sizes)), sizes)
-            place = np.arange(len(where)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
-            order = np.argsort(where, kind="stable")
-            where, doc, place = where[order], doc[order], place[order].astype(np.int32)
+            low, doc = np.concatenate(state["where"]).astype(np.uint32), np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(low)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
+            to, home = np.concatenate(state["range"]), np.concatenate(state["home"])
+            order = np.lexsort((low, home, to))
+            low, doc, place, to, home = low[order], doc[order], place[order].astype(np.int32), to[order], home[order]
             nodes = np.frombuffer(b"".join(state["seen"]), NODE)
             n, level = np.array(state["n"], np.int32), np.array(state["level"], np.int32)
-            for r, a, b in _by_range(where):
+            cuts = np.flatnonzero(np.concatenate(([True], (to[1:] != to[:-1]) | (home[1:] != home[:-1]))))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(to)], strict=True):
                 here, own = np.unique(doc[a:b], return_inverse=True)
-                head = np.array([len(here), b - a], np.int32).tobytes()
-                yield {"r": [r], "blob": [head + nodes[here].tobytes() + n[here].tobytes() + level[here].tobytes() + where[a:b].astype(np.uint32).tobytes() + own.astype(np.uint32).tobytes() + place[a:b].tobytes()]}
+                head = np.array([len(here), b - a, home[a] >> np.uint64(1), home[a] & np.uint64(1)], np.int32).tobytes()
+                yield {"r": [int(to[a])], "blob": [head + nodes[here].tobytes() + n[here].tobytes() + level[here].tobytes() + low[a:b].tobytes() + own.astype(np.uint32).tobytes() + place[a:b].tobytes()]}
 
         for column in _texts(batches, text):
             for tokens in shingler.sets(column):
                 if len(tokens) and (node := node_of(tokens)) not in state["seen"]:
-                    entries, level = prefix(tokens, known, ranges, percent)
+                    entries, level, count = prefix(tokens, known, ranges, percent)
+                    to, home = _dealt(entries, count, node, ranges)
                     state["seen"][node] = None
                     state["where"].append(entries)
+                    state["range"].append(to)
+                    state["home"].append(home)
                     state["n"].append(len(tokens))
                     state["level"].append(level)
                     state["waiting"] += len(entries)
                     if state["waiting"] > FLUSH:
                         yield from flush()
-                        state = {"seen": {}, "where": [], "n": [], "level": [], "waiting": 0}
+                        state = fresh()
         if state["waiting"]:
             yield from flush()
 
@@ -258,15 +281,16 @@ FOUND = "kind int, tok long, a binary, b binary, na int, nb int, la int, lb int,
 
 
 def _unblob(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Nodes (distinct), sizes, levels; and keys, node numbers and places in their prefixes of entries."""
+    """Nodes (distinct), sizes, levels; and keys (of the lists, see SALTED), node numbers and places in their prefixes of entries."""
     nodes, n, level, key, doc, place, at = [], [], [], [], [], [], 0
     for blob in blobs:
-        d, e = np.frombuffer(blob, np.int32, 2)
-        p = 8
+        d, e, home, salted = np.frombuffer(blob, np.int32, 4)
+        p = 16
         for out, kind, m in ((nodes, NODE, d), (n, np.int32, d), (level, np.int32, d), (key, np.uint32, e), (doc, np.uint32, e), (place, np.int32, e)):
             out.append(np.frombuffer(blob, kind, m, p))
             p += int(m) * kind.itemsize if isinstance(kind, np.dtype) else int(m) * np.dtype(kind).itemsize
         doc[-1] = doc[-1].astype(np.int64) + at
+        key[-1] = key[-1].astype(np.uint64) | np.uint64(int(home)) << np.uint64(32) | (SALTED if salted else np.uint64(0))
         at += int(d)
     all_nodes = np.concatenate(nodes)
     pair = np.frombuffer(all_nodes.tobytes(), ">u8").reshape(-1, 2)
@@ -302,15 +326,17 @@ def _two(nodes, n, level, doc, place, at, percent):
 
 
 def _links(percent: int):
-    """From posting lists: pairs of lists of two (kind 2), leader pairs (kind 1) and entries of longer lists (kind 0).
+    """From posting lists: pairs of lists of two (kind 2), leader pairs (kind 1), entries of longer lists (kind 0) and leaders of parts of lists (kind 3).
 
     Each list has two leaders, its first and its last node; as nodes are
     hashes, they are drawn at random and alike in all lists of a group. Those
-    whose sizes rule a leader out get leaders of their own.
+    whose sizes rule a leader out get leaders of their own. Of a list that is
+    dealt out to several tasks each has a part, whose leaders are linked with
+    those of the whole list later on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for r, blobs in _groups(batches):
+        for _, blobs in _groups(batches):
             nodes, n, level, key, doc, place = _unblob(blobs)
             order = np.lexsort((doc, key))
             key, doc, place = key[order], doc[order], place[order]
@@ -318,9 +344,11 @@ def _links(percent: int):
             key, doc, place = key[fresh], doc[fresh], place[fresh]  # copies in several blobs
             cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.append(cuts, len(key)))
-            pairs = {2: [_two(nodes, n, level, doc, place, cuts[size == 2], percent)], 1: []}
-            entry = []
-            for lo, m in zip(cuts[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            part = (key[cuts] & SALTED) > 0
+            pairs = {2: [_two(nodes, n, level, doc, place, cuts[(size == 2) & ~part], percent)], 1: []}
+            entry, heads = [], np.unique(np.concatenate((cuts[part], (cuts + size - 1)[part])))
+            long = (size > 2) | part
+            for lo, m in zip(cuts[long].tolist(), size[long].tolist(), strict=True):
                 entry.append(np.arange(lo, lo + m))
                 for some in (entry[-1], entry[-1][::-1]):
                     while len(some) > 1:
@@ -339,12 +367,11 @@ def _links(percent: int):
                     for lo in range(0, len(code), 50_000):
                         u, v = x[lo : lo + 50_000], y[lo : lo + 50_000]
                         yield {"kind": np.full(len(u), kind), "tok": np.zeros(len(u), np.int64), "a": nodes[u].tolist(), "b": nodes[v].tolist(), "na": n[u], "nb": n[v], "la": level[u], "lb": level[v], "c": c[lo : lo + 50_000]}
-            if entry:
-                at = np.concatenate(entry)
+            for kind, at in ((0, np.concatenate(entry) if entry else heads), (3, heads)):
                 for lo in range(0, len(at), 50_000):
                     e = at[lo : lo + 50_000]
                     d, none = doc[e], np.zeros(len(e), np.int32)
-                    yield {"kind": none, "tok": (np.int64(r) << 32) + key[e].astype(np.int64), "a": nodes[d].tolist(), "b": [None] * len(e), "na": n[d], "nb": none, "la": level[d], "lb": none, "c": place[e]}
+                    yield {"kind": none + kind, "tok": (key[e] & ~SALTED).astype(np.int64), "a": nodes[d].tolist(), "b": [None] * len(e), "na": n[d], "nb": none, "la": level[d], "lb": none, "c": place[e]}
 
     return run
 
@@ -648,8 +675,8 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("root_a <> root_b")
 
 
-def _prepared(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, least_frequent: int, most_frequent: int, range_tokens: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
-    """Texts with their keys, rows with sizes and nodes, pairs and entries found in posting lists, a key for each node; and the number of partitions."""
+def _prepared(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, least_frequent: int, most_frequent: int, range_tokens: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int, bool]:
+    """Texts with their keys, rows with sizes and nodes, pairs and entries found in posting lists, a key for each node; the number of partitions; and whether a list was dealt out to several."""
     spark = docs.sparkSession
     own = F.col(doc_id).try_cast("long")
     source = docs.select(own.alias(doc_id), F.coalesce(own, F.lit(-(2**63))).alias("__key"), F.col(text).alias(text))
@@ -673,7 +700,15 @@ def _prepared(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, lea
     blobs = postings(source, text, k, ranges, percent, shared)
     found = saved(map_rows(blobs.repartition(parts, "r").sortWithinPartitions("r"), FOUND, _links(percent)))
     keys = saved(members.where("n_shingles > 0").groupBy("node").agg(F.min("__key").alias("key")))
-    return source, members, found, keys, parts
+    return source, members, found, keys, parts, bool((frequent.count > SPLIT).any())
+
+
+def _whole_leads(found: DataFrame) -> DataFrame:
+    """Pairs of the leaders of a whole list with those of its parts."""
+    heads = found.where("kind = 3").select("tok", F.struct("a", F.col("na").alias("n"), F.col("la").alias("l")).alias("x"))
+    first = heads.groupBy("tok").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    both = heads.join(first, "tok").select(F.explode(F.array("lo", "hi")).alias("y"), "x").where("x.a <> y.a")
+    return both.select(F.col("y.a").alias("a"), F.col("x.a").alias("b"), F.col("y.n").alias("na"), F.col("x.n").alias("nb"), F.col("y.l").alias("la"), F.col("x.l").alias("lb"), F.lit(1).alias("c"))
 
 
 def _entries(found: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -706,7 +741,7 @@ def _candidates(found: DataFrame, entry: DataFrame, mixed: DataFrame, percent: i
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, least_frequent: int = 16, most_frequent: int = 2_000_000, range_tokens: int = 1_000_000) -> DataFrame:
     """One row for each row of docs: id, n_shingles and component_id, the smallest id reachable by links."""
-    source, members, found, keys, parts = _prepared(docs, doc_id, text, k, percent, least_frequent, most_frequent, range_tokens)
+    source, members, found, keys, parts, split = _prepared(docs, doc_id, text, k, percent, least_frequent, most_frequent, range_tokens)
     linked: list[DataFrame] = []
     known: list[DataFrame] = []  # the components so far
 
@@ -720,7 +755,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         return join_in(verify(source, keys, pairs, text, k, percent, parts))
 
     # first round: each node with its best leader, then with the others that are still in another component
-    leads = found.where("kind > 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max(level_column(percent)).alias("need"))
+    leads = found.where("kind in (1, 2)").select("a", "b", "na", "nb", "la", "lb", "c")
+    if split:
+        leads = leads.unionByName(_whole_leads(found))
+    leads = leads.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max(level_column(percent)).alias("need"))
     leads = saved(leads.where("2 * c >= need"))  # lists led by others are not counted in c
     best = saved(leads.groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select("x.a", "b"))
     roots = link(best)
@@ -766,7 +804,7 @@ def near_duplicate_links(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     The second round of near_duplicates with each node a component of its own,
     so the rows within a group of near copies grow with the square of its size.
     """
-    source, members, found, keys, parts = _prepared(docs, doc_id, text, k, percent, least_frequent, most_frequent, range_tokens)
+    source, members, found, keys, parts, _ = _prepared(docs, doc_id, text, k, percent, least_frequent, most_frequent, range_tokens)
     alone = keys.select("node", F.col("node").alias("root"))
     entry, lists = _entries(found, alone)
     lists = lists.withColumn("size", F.lit(0))  # none is hot: their pairs are what is asked for

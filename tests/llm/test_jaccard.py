@@ -58,6 +58,7 @@ def test_components_match_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard, "HOT", (100, 3, 8)[seed - 1])
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", (1 << 20, 2000, 9000)[seed - 1])
     monkeypatch.setattr(jaccard, "FEW", (200_000, 0, 5)[seed - 1])
+    monkeypatch.setattr(jaccard, "SPLIT", (20_000, 5, 8)[seed - 1])
     docs = cases(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     got = near_duplicates(df, least_frequent=(64, 3, 6)[seed - 1], most_frequent=(10**6, 10**6, 20)[seed - 1])
@@ -78,6 +79,7 @@ def test_large_group_of_near_copies(spark, rate, monkeypatch):
     """Some of them similar, many not quite: their lists are hot."""
     monkeypatch.setattr(jaccard, "HOT", 20)
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(jaccard, "SPLIT", 40)
     r = random.Random(int(rate * 100))
     base = [f"w{i}" for i in range(90)]
     docs = [(i, " ".join(edit(r, base, rate)[: r.randrange(60, 91)])) for i in range(250)]
