@@ -17,7 +17,7 @@ from tessera.sources.tables import shared_folder
 
 #: Spark's bound on the bytes of a batch that goes to Python, the value it has unless set, and the bound used here instead.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_UNSET, BATCH_BYTES = "67108864b", "8388608b"
+BATCH_UNSET, BATCH_BYTES = "67108864b", "4194304b"
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a kernel sees at once (one longer row makes a piece of its own).
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Bytes that one vector operation covers; its operands stay in cache.
 BLOCK = 1 << 17
 
