@@ -7,12 +7,15 @@ to each other that share that minimiser travel as one substring, and all
 occurrences of a string have the same minimiser, so they meet in one task.
 Substrings travel in compressed blobs by range of the minimiser. A window that
 one input chunk holds several times is shipped once, for the smallest id; the
-other documents' copies are known to be repeats there and then.
+other documents' copies are known to be repeats there and then. So are copies of
+what a task has shipped before, as far as it remembers, which keeps a line that
+all documents have from filling one range.
 
 Before that, texts that can't have repeats are thinned out. Whole copies of a
 text with a smaller id are settled by their digest. For the others a first
 pass sends only 32 bits for each minimiser, with a longer gram, to tasks that
-find those of more than one document. They return to their documents, and
+find those of more than one document; what several documents of a chunk have, or
+what a task keeps meeting, is sent once. They return to their documents, and
 only windows with such a minimiser travel as text.
 
 In a range, equal substrings are one, known by 128 bits of their bytes, and
@@ -62,6 +65,7 @@ K = 16
 FILTER_K = 28  # grams of the first pass
 LONGEST = 256  # windows in a substring; longer runs of one minimiser are cut
 CHUNK = 2 << 20
+REMEMBERED = 60_000  # entries of Seen
 GROUP = 1 << 19  # bytes of distinct substrings that are worked on at a time
 LAST = np.int64(2**63 - 1)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -144,15 +148,37 @@ def _inside(at: np.ndarray, n: int, span: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
+class Seen:
+    """What a task has sent of late: the last REMEMBERED entries and up to as many more, the often seen ones for good.
+
+    It only saves sending, so what it forgets is sent again.
+    """
+
+    def __init__(self) -> None:
+        self.young, self.old = {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= REMEMBERED:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 def _anchors(span: int, ranges: int, buckets: int, text: str):
     """First pass: 32 bits of each minimiser by range, from one document of a chunk (part 0).
 
-    What several documents of the chunk have is known to be shared and goes to
-    those documents at once (part 1).
+    What several documents of the chunk have, or a document of the chunk and one
+    whose anchor this task has sent, is known to be shared and goes to those
+    documents at once (part 1).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        press = zstandard.ZstdCompressor(level=1)
+        press, seen = zstandard.ZstdCompressor(level=1), Seen()
         for chunk in _chunks(batches, text, ("__at",)):
             for data, at, (own_at,), _ in _pieces_of(*chunk, span):
                 low = minimisers(data, span, FILTER_K)
@@ -180,6 +206,15 @@ def _anchors(span: int, ranges: int, buckets: int, text: str):
                 lone = ~known
                 lone[first] = True
                 doc, value = doc[lone], value[lone]
+                before = [seen.get(v) for v in value.tolist()]
+                again = np.array([b is not None and b != a for b, a in zip(before, own_at[doc].tolist(), strict=True)], bool)
+                for v, a, b in zip(value.tolist(), own_at[doc].tolist(), before, strict=True):
+                    if b is None:
+                        seen.put(v, a)
+                if again.any():
+                    both = np.concatenate((own_at[doc[again]], np.array([b for b, x in zip(before, again.tolist(), strict=True) if x], np.int64)))
+                    yield from _keys_to_documents(both, np.tile((value[again] & np.uint64(0xFFFFFFFF)).astype(np.uint32), 2), buckets, press)
+                doc, value = doc[~again], value[~again]
                 r = ((value >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
                 order = np.lexsort((doc, r))
                 r, doc, key = r[order], doc[order], (value[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -284,7 +319,7 @@ def _spread(span: int, ranges: int, buckets: int, text: str):
     """Substrings to their ranges (part 0); repeats known in a chunk to their documents (part 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        press, powers = zstandard.ZstdCompressor(level=1), Powers()
+        press, seen = zstandard.ZstdCompressor(level=1), Seen()
         for *chunk, keys in _chunks(batches, text):
             for data, at, ids, base in _pieces_of(*chunk, np.zeros(len(keys), np.int64), span):
                 low = minimisers(data, span)
@@ -317,11 +352,21 @@ def _spread(span: int, ranges: int, buckets: int, text: str):
                 same[1:] = (h[order][1:] == h[order][:-1]).all(axis=1)
                 group = np.cumsum(~same) - 1
                 first = order[np.flatnonzero(~same)][group]
-                known = ids[0][doc[order]] != ids[0][doc[first]]
-                gone = order[same & known]
+                known = same & (ids[0][doc[order]] != ids[0][doc[first]])
+                # the same of runs that this task has sent for a smaller id
+                heads = np.flatnonzero(~same)
+                raw = h.tobytes()
+                for at_, i in zip(heads.tolist(), order[heads].tolist(), strict=True):
+                    key, own = raw[16 * i : 16 * i + 16], int(ids[0][doc[i]])
+                    least = seen.get(key)
+                    if least is not None and least < own:
+                        known[at_] = True
+                    elif least is None or own < least:
+                        seen.put(key, own)
+                gone = order[known]
                 if len(gone):
                     yield from _to_documents(ids[:, doc[gone]], base[doc[gone]] + runs[gone] - at[doc[gone]], size[gone], buckets, press)
-                left = np.sort(order[~(same & known)])
+                left = np.sort(order[~known])
                 runs, size, doc = runs[left], size[left], doc[left]
                 r = (((low[runs] * _ODD) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(r, kind="stable")

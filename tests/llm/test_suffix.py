@@ -151,3 +151,33 @@ def test_any_column_names(spark):
     df = spark.createDataFrame([(1, text, 5, 6, 7, 8), (2, "xy" + text, 9, 10, 11, 12)], "doc_id long, text string, __id int, spans int, __text int, kept int")
     got = sorted(tuple(r) for r in drop_repeats(df).collect())
     assert got == [(1, text, 5, 6, 7, bytearray(text, "utf8"), 0, []), (2, "xy" + text, 9, 10, 11, bytearray(b"xy"), 200, [(2, 202)])]
+
+
+def test_what_a_task_has_sent_is_not_sent_again(spark, monkeypatch):
+    """One line in all documents, in many small chunks of few tasks, with a short memory and a long one."""
+    r = random.Random(11)
+    line = " the same line of words that every document of the corpus has, and which is longer than fifty bytes."
+    docs = [(i, "".join(r.choice("abcdefgh ") for _ in range(r.randrange(5, 60))) + line + (line[:70] if i % 3 else "") + "".join(r.choice("abcdefgh ") for _ in range(9))) for i in range(200)]
+    r.shuffle(docs)
+    monkeypatch.setattr(suffix, "CHUNK", 700)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([0] * len(docs)), pa.array([i for i, _ in docs]), pa.array([t for _, t in docs])], names=["__id", "__row", "__at", "__text"])
+    sent = {}
+    for remembered in (60_000, 3, 0):
+        monkeypatch.setattr(suffix, "REMEMBERED", remembered)
+        typed = pa.schema([("part", pa.int32()), ("r", pa.int32()), ("blob", pa.binary())])
+        table = lambda rows: iter(pa.Table.from_batches([pa.RecordBatch.from_pydict(d).cast(typed) for d in rows]).sort_by([("part", "ascending"), ("r", "ascending")]).to_batches())  # noqa: B023, E731
+        keys = {}
+        for d in suffix._gather(table(suffix._shared(3)(table(suffix._anchors(50, 3, 3, "__text")(iter([batch])))))):
+            keys |= dict(zip((int(i) for i in d["__at"]), d["keys"], strict=True))
+        keyed = batch.append_column("keys", pa.array([keys.get(i, b"") for i, _ in docs], pa.binary()))
+        rows = list(suffix._spread(50, 4, 2, "__text")(iter([keyed])))
+        sent[remembered] = sum(len(b) for d in rows if d["part"] == [0] for b in d["blob"])
+        spans = {}
+        for d in suffix._merge(table(suffix._find(50, 2)(table(rows)))):
+            spans |= {int(i): np.frombuffer(b, np.int64).reshape(2, -1) for i, b in zip(d["__id"], d["spans"], strict=True)}
+        for i, _, removed, n, _ in brute(docs):
+            a = spans.get(i, np.zeros((2, 0), int))
+            assert (int((a[1] - a[0]).sum()), a.shape[1]) == (removed, n)
+    assert sent[60_000] < 0.9 * sent[0]
