@@ -73,7 +73,7 @@ from tessera.llm.text import NOT_SPACE, Words, grams, mix, pieces, rows
 
 LEVELS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64])
 VERIFY = 20.0  # cost of a candidate, in postings
-FLUSH = 500_000  # entries that a task holds before it sends them
+FLUSH = 250_000  # entries that a task holds before it sends them
 TEXTS = 1 << 20  # bytes of text that are shingled at once
 FEW = 200_000  # edges whose components one task finds
 SEND = 2 << 20  # bytes of sets that are sent at once
@@ -699,6 +699,7 @@ def _prepared(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, lea
     shared = spark.sparkContext.broadcast(frequent)  # at most most_frequent entries
     blobs = postings(source, text, k, ranges, percent, shared)
     found = saved(map_rows(blobs.repartition(parts, "r").sortWithinPartitions("r"), FOUND, _links(percent)))
+    shared.destroy()
     keys = saved(members.where("n_shingles > 0").groupBy("node").agg(F.min("__key").alias("key")))
     return source, members, found, keys, parts, bool((frequent.count > SPLIT).any())
 

@@ -180,5 +180,5 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[st
     """Each row of docs with lang_pred, score (calibrated probability) and rejected."""
     keep = others(docs.select(*keep) if keep else docs, [f.name for f in FIELDS])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of logits, whatever the corpus
-    return map_texts(docs, text, keep, FIELDS, lambda: _score(shared.value), limit=1 << 20)
+    return map_texts(docs, text, keep, FIELDS, lambda: _score(shared.value), limit=1 << 18)
 

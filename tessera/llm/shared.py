@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import threading
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,13 @@ def others(df: DataFrame, out: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def give_back() -> None:
+    """Returns memory that a task has freed to the system, as Spark keeps its worker for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], list[pa.Array]]], limit: int = PIECE) -> DataFrame:
     """Adds columns computed from the text column, a bounded piece of a batch at a time.
 
@@ -50,6 +58,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[T.StructFi
                 new = kernel(source.slice(lo, hi - lo))
                 old = [batch.column(c).slice(lo, hi - lo) for c in keep]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip([*old, *new], arrow, strict=True)], schema=arrow)
+        give_back()
 
     return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
@@ -64,6 +73,7 @@ def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[Iterator
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in make(batches):
             yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -187,4 +187,4 @@ def rate(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] |
     """Each row of docs with score and predicted."""
     keep = others(docs.select(*keep) if keep else docs, [f.name for f in FIELDS])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights, whatever the corpus
-    return map_texts(docs, text, keep, FIELDS, lambda: _score(shared.value), limit=1 << 20)
+    return map_texts(docs, text, keep, FIELDS, lambda: _score(shared.value), limit=1 << 18)
