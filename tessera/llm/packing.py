@@ -14,9 +14,9 @@ on how many pieces each length has. That histogram has at most `max(sizes)`
 rows whatever the corpus, and the plan is made from it on the driver: equal
 bins are one entry with a multiplicity, and a placement splits at most one
 entry. Executors then number the pieces of each length and look up their bins.
-The numbering is dealt out by length and a salt of as many values as the length
-has `salt_rows` pieces, so a length that a third of all pieces have is still
-numbered by many tasks, each of about so many rows.
+The numbering is dealt out by length and a salt, of which a length has as many
+as half a task's even share goes into its pieces, or `salt_rows` if that is less;
+so a length that a third of all pieces have is still numbered by many tasks.
 
 Nulls and odd input: null, empty and blank texts have no tokens and yield no
 piece; rows that repeat an id each yield their own pieces, which differ only
@@ -155,7 +155,8 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokens:
     counts = {r.n: r.c for r in counted.select(F.explode(F.array(F.struct(rest.alias("n"), F.lit(1).cast("long").alias("c")), F.struct(F.lit(most).cast("long").alias("n"), full.alias("c")))).alias("x")).where("x.n > 0 and x.c > 0").groupBy("x.n").agg(F.sum("x.c").alias("c")).collect()}
     if not counts:
         counts = {1: 0}
-    salted = F.broadcast(session.createDataFrame([(n, -(-c // salt_rows) or 1) for n, c in counts.items()], "n_tokens long, __salts long"))
+    share = max(1, min(salt_rows, sum(counts.values()) // (2 * int(session.conf.get("spark.sql.shuffle.partitions")))))
+    salted = F.broadcast(session.createDataFrame([(n, -(-c // share) or 1) for n, c in counts.items()], "n_tokens long, __salts long"))
     cut = cut.join(salted, "n_tokens").withColumn("__salt", F.pmod(F.xxhash64("__id", "__h", "piece"), F.col("__salts"))).drop("__salts")
     groups = saved(cut.groupBy("n_tokens", "__salt").agg(F.count("*").alias("__c")))
     before = Window.partitionBy("n_tokens").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
