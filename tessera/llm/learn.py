@@ -10,13 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import map_rows
+from tessera.llm.shared import map_rows, saved
 from tessera.llm.text import pieces
 
 
-SALTS = 32
-
-
 def remainder(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
@@ -59,11 +56,13 @@ def sample_features(rows: DataFrame, label: str, text: str, most: int | None, to
     drawn = rows.where(F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"), by.alias("by"))
     keys = drawn.select("label", "by").distinct()
     if most:
-        # ranked in parts first, so that the task of a label gets SALTS * most rows at most
-        keys = keys.withColumn("salt", F.pmod(F.xxhash64("by"), F.lit(SALTS)))
-        for parts in (["label", "salt"], ["label"]):
-            keys = keys.withColumn("r", F.row_number().over(Window.partitionBy(*parts).orderBy("by"))).where(F.col("r") <= most)
-        keys = keys.orderBy("r", "by")
+        # of a label only the first ranges of the hash that hold `most` rows are ranked, so its task gets few more than those
+        keys = saved(keys.withColumn("part", F.substring("by", 1, 4)))
+        before = Window.partitionBy("label").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = keys.groupBy("label", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        last = parts.where(F.col("before") < most).groupBy("label").agg(F.max("part").alias("last"))  # a row for each label
+        keys = keys.join(F.broadcast(last), "label").where(F.col("part") <= F.col("last"))
+        keys = keys.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("by"))).where(F.col("r") <= most).orderBy("r", "by")
     else:
         keys = keys.orderBy("by")
     keys = keys.limit(total).select("label", "by")
