@@ -794,7 +794,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     # a group's smallest id, then back to its rows
     nodes = members.where("n_shingles > 0").join(small(roots, 64), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = nodes.groupBy("root").agg(F.min(doc_id).alias("component_id"))
+    smallest = small(saved(nodes.groupBy("root").agg(F.min(doc_id).alias("component_id"))), 48)
     grouped = nodes.join(smallest, "root").select(doc_id, "n_shingles", "component_id")
     return grouped.unionByName(members.where("n_shingles = 0").select(doc_id, "n_shingles", F.col(doc_id).alias("component_id")))
 
