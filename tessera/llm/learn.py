@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -57,7 +58,9 @@ def sample_features(rows: DataFrame, label: str, text: str, most: int | None, to
     keys = drawn.select("label", "by").distinct()
     if most:
         # of a label only the first ranges of the hash that hold `most` rows are ranked, so its task gets few more than those
-        keys = saved(keys.withColumn("part", F.substring("by", 1, 4)))
+        keys = saved(keys)
+        digits = max(1, round(math.log(max(1, keys.count()), 16) / 2))  # as many ranges as keys in a range
+        keys = keys.withColumn("part", F.substring("by", 1, digits))
         before = Window.partitionBy("label").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         parts = keys.groupBy("label", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
         last = parts.where(F.col("before") < most).groupBy("label").agg(F.max("part").alias("last"))  # a row for each label
