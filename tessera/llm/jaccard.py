@@ -68,7 +68,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import hint, map_rows, map_texts, partitions, saved, small, spent
+from tessera.llm.shared import give_back, hint, map_rows, map_texts, partitions, saved, small, spent
 from tessera.llm.text import NOT_SPACE, Words, grams, mix, pieces, rows
 
 LEVELS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64])
@@ -201,7 +201,10 @@ def count_frequent(docs: DataFrame, text: str, k: int, ranges: int, parts: int,
     blobs = map_rows(docs.select(text), "r int, blob binary", spread)
     hot = map_rows(blobs.repartition(parts, "r").sortWithinPartitions("r"), "w long, c long", gather)
     got = saved(hot.orderBy(F.desc("c"), "w").limit(most)).toArrow()
-    return Frequent(np.asarray(got.column("w")).astype(np.uint64), np.asarray(got.column("c")).astype(np.int64))
+    frequent = Frequent(np.asarray(got.column("w")).astype(np.uint64), np.asarray(got.column("c")).astype(np.int64))
+    del got
+    give_back()
+    return frequent
 
 
 def prefix(tokens: np.ndarray, frequent: Frequent, ranges: int, percent: int) -> tuple[np.ndarray, int, np.ndarray]:

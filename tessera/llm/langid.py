@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.learn import Sparse, sample_features
-from tessera.llm.shared import map_texts, others
+from tessera.llm.shared import give_back, map_texts, others
 from tessera.llm.text import rows
 
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (2, 3, 4)
@@ -173,7 +173,10 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", per_labe
     names, x = sample_features(labelled.where(F.col(lang).isNotNull()), lang, text, per_label, total, "lang", _counter)
     langs = sorted(set(names))
     number = {name: i for i, name in enumerate(langs)}
-    return train(langs, np.array([number[n] for n in names], int), x, **more)
+    model = train(langs, np.array([number[n] for n in names], int), x, **more)
+    del x
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:

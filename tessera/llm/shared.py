@@ -34,7 +34,7 @@ def others(df: DataFrame, out: list[str]) -> list[str]:
 
 
 def give_back() -> None:
-    """Returns memory that a task has freed to the system, as Spark keeps its worker for later tasks."""
+    """Returns freed memory to the system: of workers, which Spark keeps for later tasks, and of a driver after a large step."""
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # other C libraries have no such call
         ctypes.CDLL(None).malloc_trim(0)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.learn import Sparse, features, unit
-from tessera.llm.shared import map_texts, others, saved
+from tessera.llm.shared import give_back, map_texts, others, saved
 from tessera.llm.text import ALNUM, Words, rows
 
 BITS, LENGTHS, SMOOTH = 18, (5, 6, 7, 8), 20.0
@@ -180,7 +180,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     weight = np.ones(len(kinds))
     for kind, n in enumerate(known):
         weight[kinds == kind] = n / max(1, (kinds == kind).sum())
-    return train(kinds == 1, kinds >= 0, x, min(max(prior, 0.001), 0.9), weight, **more)
+    model = train(kinds == 1, kinds >= 0, x, min(max(prior, 0.001), 0.9), weight, **more)
+    del x
+    give_back()
+    return model
 
 
 def rate(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
