@@ -12,6 +12,7 @@ from tessera.llm.decontam import decontaminate
 from tessera.llm.jaccard import near_duplicates
 from tessera.llm.learn import remainder
 from tessera.llm.linededup import drop_repeated_lines
+from tessera.llm.negatives import hard_negatives
 from tessera.llm.packing import pack
 from tessera.llm.secrets import KINDS, find_secrets
 from tessera.llm.shared import saved, shared_folder
@@ -183,3 +184,24 @@ def digest_repeats(kept: DataFrame) -> DataFrame:
 @query("op3_suffix_dedup", sql.SUFFIX)
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_repeats(drop_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
+@query(
+    "op11_hard_negatives",
+    """
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+               WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    t AS (SELECT vec_id, label, unnest(w) AS x, unnest(range(len(w))) AS i FROM v),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(sum(a.x * b.x) AS BIGINT) AS score
+          FROM t a JOIN t b ON a.i = b.i AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY ALL),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    n AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+                 row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS k
+          FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+    SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 5
+    """,
+)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)

@@ -47,7 +47,7 @@ def integer_vectors(df: DataFrame, vec_id: str, vector: str, scale: int) -> Data
     return df.where(F.col(vector).isNotNull() & F.col(vec_id).isNotNull() & ~bad).select(F.col(vec_id).cast("long").alias("vec_id"), weights.alias("w"))
 
 
-def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
+def integer_matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
     """Rows of a list column as a dense integer matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -122,7 +122,7 @@ def _search(query_ids: np.ndarray, queries: np.ndarray, k: int):
 
         wait_ids, wait_rows, waiting = [], [], 0
         for batch in batches:
-            ids, block = np.asarray(batch.column("vec_id"), dtype=np.int64), _matrix(batch.column("w"), queries.shape[1])
+            ids, block = np.asarray(batch.column("vec_id"), dtype=np.int64), integer_matrix(batch.column("w"), queries.shape[1])
             for lo in range(0, len(ids), BLOCK):
                 wait_ids.append(ids[lo : lo + BLOCK])
                 wait_rows.append(block[lo : lo + BLOCK])
@@ -149,7 +149,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vecto
     by, done = Window.partitionBy("q", "query_id").orderBy(F.desc("score"), "vec_id"), []
     for p in range(parts):
         got = asked.where(part == p).toArrow()  # about `batch` of the stated queries
-        ids, matrix = np.asarray(got.column("vec_id"), dtype=np.int64), _matrix(got.column("w"))
+        ids, matrix = np.asarray(got.column("vec_id"), dtype=np.int64), integer_matrix(got.column("w"))
         shared = session.sparkContext.broadcast((ids, matrix))
         found = map_rows(rows, RESULT, lambda batches, shared=shared: _search(*shared.value, k)(batches))
         best = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
