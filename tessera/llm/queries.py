@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import langid, sql, toxicity
 from tessera.llm.decontam import decontaminate
+from tessera.llm.divergence import source_divergence
 from tessera.llm.jaccard import near_duplicates
 from tessera.llm.learn import remainder
 from tessera.llm.linededup import drop_repeated_lines
@@ -205,3 +206,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+@query("op12_source_divergence", sql.DIVERGENCE)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))

@@ -67,3 +67,23 @@ SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER
     sha256({_JOINED} FILTER (rank < 3), '')) AS base_sha256, {_JOINED} FILTER (kind IS NOT NULL), '') AS spans
 FROM d LEFT JOIN y ON y.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+#: Part pair has all ranks, part term the first ten.
+DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT i) >= 10),
+o AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS c FROM t JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM k GROUP BY lang),
+n AS (SELECT lang, source, CAST(sum(c) AS HUGEINT) AS n FROM o GROUP BY ALL),
+m AS (SELECT lang, CAST(sum(n) AS HUGEINT) AS n FROM n GROUP BY lang),
+s AS (SELECT g.lang, g.source, k.term, coalesce(o.c, 0) AS c, 1 + 1000000000 * (coalesce(o.c, 0) + 2) // (coalesce(n.n, 0) + 2 * v.v) AS p
+      FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+l AS (SELECT lang, term, 1 + 1000000000 * (sum(c) + 2) // (any_value(m.n) + 2 * any_value(v.v)) AS q FROM o JOIN m USING (lang) JOIN v USING (lang) GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS BIGINT) AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s x ON x.lang = a.lang AND x.source = a.source LEFT JOIN s y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+term AS (SELECT s.lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM s JOIN l USING (lang, term) WHERE c > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10
+"""

@@ -163,6 +163,18 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (w - width)], out[w - width :]) if width < w else out
 
 
+def cut_words(data: np.ndarray, is_word: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about size bytes that don't cut words; a longer word makes a longer range."""
+    at = 0
+    while at < len(data):
+        end = at + size
+        while end < len(data) and is_word[data[end - 1]] and is_word[data[end]]:
+            gap = np.flatnonzero(~is_word[data[end : end + BLOCK]])
+            end += int(gap[0]) if len(gap) else BLOCK
+        yield at, min(end, len(data))
+        at = end
+
+
 def spans_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of true."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
@@ -171,5 +183,7 @@ def spans_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 #: Digits, letters and everything from 0x80 up.
 ALNUM = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
+#: Letters and everything from 0x80 up.
+LETTERS = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 #: Everything but space and 0x09 to 0x0D.
 NOT_SPACE = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
