@@ -17,6 +17,9 @@ the complementary parts of its text, so its cost grows with the number of parts
 and not with their pairs. Before any pattern runs, byte-level tests over
 whole buffers set aside the texts that hold none of its needed substrings.
 
+Every pattern takes time in proportion to a text's length, however its runs are
+broken up: host names are found from their ends, and each run is walked once.
+
 Nulls and odd input: a null text is empty and has no spans; positions are code
 points, ends exclusive; repeated rows give repeated results; an empty table
 gives an empty result; a text of any length is scanned whole; input columns named
@@ -27,7 +30,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -44,7 +47,11 @@ ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 IDENT = re.compile(r"""(?ai)\b(?:client|user|account|access|app|application|tenant|project)[_-]?(?:key_?)?id["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{6,})""")
-ENDPOINT = re.compile(r"""(?ai)(?:\b(?:https?|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|amqps?|s3|ftps?|ssh)://[^\s"'<>]+|\b[a-z0-9][a-z0-9.-]*\.(?:amazonaws\.com|windows\.net|googleapis\.com)\b)""")
+URL = re.compile(r"""(?ai)\b(?:https?|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|amqps?|s3|ftps?|ssh)://[^\s"'<>]+""")
+#: A host name is a run of letters, digits, dots and hyphens, from its first word boundary to its last such end.
+HOST_END = re.compile(r"(?ai)\.(?:amazonaws\.com|windows\.net|googleapis\.com)\b")
+HOST_START, HOST_RUN = re.compile(r"(?ai)\b[a-z0-9]"), re.compile(r"(?ai)[a-z0-9.-]*")
+_HOST = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.-")
 KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
 #: Lower-case bytes without which the pattern can't match.
 NEEDS = {
@@ -68,6 +75,32 @@ def base_spans(text: str, kinds: set[str] = frozenset(KINDS)) -> list[tuple[str,
     return found
 
 
+def host_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Cloud host names, one at most in each run of their characters, of which each is looked at a few times only."""
+    found = [(m.start(), m.end()) for m in HOST_END.finditer(text)]
+    right = i = 0
+    while i < len(found):
+        left = found[i][0]
+        while left > right and text[left - 1] in _HOST:
+            left -= 1
+        right = HOST_RUN.match(text, found[i][0]).end()
+        while i + 1 < len(found) and found[i + 1][0] < right:
+            i += 1
+        first = HOST_START.search(text, left, found[i][0])
+        if first:
+            yield first.start(), found[i][1]
+        i += 1
+
+
+def endpoint_spans(text: str) -> list[tuple[int, int]]:
+    """URLs and cloud host names, leftmost and without overlaps; a URL goes on to a space, quote or angle bracket, so it takes in the hosts that it meets."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted([*((m.start(), m.end()) for m in URL.finditer(text)), *host_spans(text)], key=lambda s: (s[0], -s[1])):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    return out
+
+
 def _counter(parts: list[tuple[str, int, int]], scope: int) -> Callable[[tuple[str, int, int]], int]:
     """Counts the parts whose spans come within the scope of another's: those that begin in time less those that have ended before."""
     starts, ends = sorted(p[1] for p in parts), sorted(p[2] for p in parts)
@@ -78,7 +111,7 @@ def link(text: str, base: list[tuple[str, int, int]], kinds: set[str] = frozense
     """Base spans and the weak parts that complementary parts confirm, each with its number of partners."""
     idents = [(k, a, b) for k, a, b in base if k == "access"]
     weak = [("ident", m.start(), m.end()) for m in IDENT.finditer(text)] if "ident" in kinds else []
-    ends = [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)] if "endpoint" in kinds else []
+    ends = [("endpoint", *span) for span in endpoint_spans(text)] if "endpoint" in kinds else []
     if not (idents or weak or ends):
         return [(*s, 0) for s in base]
     secrets = [(k, a, b) for k, a, b in base if k != "access"]

@@ -3,7 +3,7 @@ import random
 import re
 
 from tessera.llm.queries import digest_secrets
-from tessera.llm.secrets import base_spans, find_secrets, link
+from tessera.llm.secrets import base_spans, endpoint_spans, find_secrets, link
 
 PATTERNS = {
     "assign": (re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 12),
@@ -93,3 +93,32 @@ def test_linking_time_is_linear():
         link(text, base)
         took.append(time.process_time() - begun)
     assert took[1] < 10 * took[0] + 0.2
+
+
+#: The definition of endpoints as one pattern, which takes the square of a run's length.
+ENDPOINT = re.compile(r"""(?ai)(?:\b(?:https?|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|amqps?|s3|ftps?|ssh)://[^\s"'<>]+|\b[a-z0-9][a-z0-9.-]*\.(?:amazonaws\.com|windows\.net|googleapis\.com)\b)""")
+
+
+def test_endpoints_match_one_pattern():
+    r = random.Random(21)
+    atoms = ["a", "Z9", ".", "-", "_", " ", "é", "ſ3", ".amazonaws.com", ".AMAZONAWS.com", ".windows.net", ".googleapis.com", "s3", "https", "://", "jdbc:", "jdbc:pg", "ftp://", '"', "<", "\n", ":", "x.amazonaws.com", ".com", "windows.net", "ssh"]
+    for _ in range(30_000):
+        text = "".join(r.choice(atoms) for _ in range(r.randrange(1, 14)))
+        assert endpoint_spans(text) == [(m.start(), m.end()) for m in ENDPOINT.finditer(text)], text
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    for atom in ("a.", "a-", "a.a.amazonaws.com.", "-.", ".amazonaws.com", "jdbc:", "a_", "https:/", "client_id=a-", "token " + " " * 50):
+        for end in ("", "x.amazonaws.com", "_"):
+            text = "https://db.example.com/ " + atom * (1_000_000 // len(atom)) + end
+            begun = time.process_time()
+            link(text, base_spans(text))
+            assert time.process_time() - begun < 2, atom
+
+
+def test_a_long_text_with_boundaries_is_scanned_whole(spark):
+    text = "see https://db.example.com/x " + "a." * 400_000 + " token=0123456789abcdefX " + "b-" * 400_000 + "c.windows.net token=0123456789abcdefX"
+    (row,) = find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [s.kind for s in row.spans] == ["assign", "hex", "endpoint", "assign", "hex"]
