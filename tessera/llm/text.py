@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 PIECE = 1 << 20
 #: Bytes that one vector operation covers; its operands stay in cache.
 BLOCK = 1 << 17
+#: Bytes of a word that polynomial hashes are used for; beyond them different words can be made that have one hash.
+WORD = 256
 
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -109,8 +111,7 @@ class Words:
         out = np.empty(len(starts), np.uint64)
         i = 0
         while i < len(starts):
-            if ends[i] - starts[i] > BLOCK:  # equal words are equally long, so they all come here
-                out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes().translate(LOWER), digest_size=8).digest(), "little")
+            if ends[i] - starts[i] > BLOCK:
                 i += 1
                 continue
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
@@ -120,6 +121,8 @@ class Words:
             value *= self.powers.up[: len(block)]
             out[i:j] = np.add.reduceat(value, rel) * self.powers.down[rel]
             i = j
+        for i in np.flatnonzero(ends - starts > WORD).tolist():  # equal words are equally long, so they all come here
+            out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes().translate(LOWER), digest_size=8).digest(), "little")
         return mix(out)
 
 
