@@ -13,6 +13,7 @@ from tessera.llm.divergence import source_divergence
 from tessera.llm.jaccard import near_duplicates
 from tessera.llm.learn import remainder
 from tessera.llm.linededup import drop_repeated_lines
+from tessera.llm.minhash import near_duplicates_by_sketch
 from tessera.llm.negatives import hard_negatives
 from tessera.llm.packing import pack
 from tessera.llm.secrets import KINDS, find_secrets
@@ -170,7 +171,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-@query("op9_jaccard_join", sql.JACCARD)
+@query("op9_jaccard_join", sql.jaccard(5, 75))
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -211,3 +212,8 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_source_divergence", sql.DIVERGENCE)
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op13_minhash_dedup", sql.jaccard(2, 80, kept=True))
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates_by_sketch(table(spark, sf_dir, "documents"))

@@ -22,21 +22,23 @@ SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAS
 FROM n LEFT JOIN j USING (doc_id)
 """
 
-#: Documents with equal sets are one class; roots spread along links and the smallest stays.
-JACCARD = rf"""
+def jaccard(k: int, percent: int, kept: bool = False) -> str:
+    """Components of documents whose k-word shingles are similar enough. Documents with equal sets are one class; roots spread along links and the smallest stays."""
+    return rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= {k} THEN list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i : i + {k - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
 n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n, md5(array_to_string(list_sort(g), chr(10))) AS k FROM s),
 c AS (SELECT k, any_value(n) AS n, min(doc_id) AS rep FROM n WHERE n > 0 GROUP BY k),
 t AS (SELECT c.rep, c.n, unnest(s.g) AS g FROM c JOIN s ON s.doc_id = c.rep),
-p AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS i FROM t a JOIN t b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY ALL),
-e AS (SELECT a, b FROM p WHERE 100 * i >= 75 * (na + nb - i)),
+p AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS i FROM t a JOIN t b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) GROUP BY ALL),
+e AS (SELECT a, b FROM p WHERE 100 * i >= {percent} * (na + nb - i)),
 l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(rep, root) AS (SELECT rep, rep FROM c UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.rep AND r.root < l.b),
 m AS (SELECT rep, min(root) AS root FROM r GROUP BY rep)
-SELECT n.doc_id, n.n AS n_shingles, coalesce(m.root, n.doc_id) AS component_id FROM n LEFT JOIN c ON c.k = n.k AND n.n > 0 LEFT JOIN m ON m.rep = c.rep
+SELECT n.doc_id, n.n AS n_shingles, coalesce(m.root, n.doc_id) AS component_id{", n.doc_id = coalesce(m.root, n.doc_id) AS kept" if kept else ""} FROM n LEFT JOIN c ON c.k = n.k AND n.n > 0 LEFT JOIN m ON m.rep = c.rep
 """
 
+
 _TAIL = r"""["'']?\x20*[:=]\x20*["'']?"""
 #: Kind, text it is found in (low: A-Z as a-z), pattern; a key is a whole run of its characters, so the pattern takes runs.
 _PATTERNS = (
