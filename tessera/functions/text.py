@@ -16,7 +16,7 @@ def strip(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Runs of non-space characters, in order; empty for blank or null text."""
-    return F.filter(F.split(strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), " "), lambda t: t != "")
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0))
 
 
 def strip_punctuation(word: Column) -> Column:
