@@ -223,20 +223,20 @@ def prefix(tokens: np.ndarray, frequent: Frequent, ranges: int, percent: int) ->
     return where[: one - 1 + level], level, count[: one - 1 + level]
 
 
-def _dealt(where: np.ndarray, count: np.ndarray, node: bytes, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+def _dealt(where: np.ndarray, count: np.ndarray, node: bytes, ranges: int, split: int) -> tuple[np.ndarray, np.ndarray]:
     """The range that each entry goes to and, as home and salted bit, where its list belongs.
 
-    A list of more than SPLIT postings goes to as many ranges as it needs, by node.
+    A list of more than `split` postings goes to as many ranges as it needs, by node.
     """
     home = where >> np.uint64(32)
-    if not (count > SPLIT).any():
+    if not (count > split).any():
         return home, home << np.uint64(1)
-    salts = np.maximum(1, -(-count // SPLIT)).astype(np.uint64)
+    salts = np.maximum(1, -(-count // split)).astype(np.uint64)
     salt = np.uint64(int.from_bytes(node[:8], "big")) % salts
     return (home + salt) % np.uint64(ranges), home << np.uint64(1) | (salts > 1)
 
 
-def postings(docs: DataFrame, text: str, k: int, ranges: int, percent: int, frequent) -> DataFrame:
+def postings(docs: DataFrame, text: str, k: int, ranges: int, percent: int, frequent, split: int) -> DataFrame:
     """Blobs of prefix entries by range: nodes with sizes and levels, then entries."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -263,7 +263,7 @@ def postings(docs: DataFrame, text: str, k: int, ranges: int, percent: int, freq
             for tokens in shingler.sets(column):
                 if len(tokens) and (node := node_of(tokens)) not in state["seen"]:
                     entries, level, count = prefix(tokens, known, ranges, percent)
-                    to, home = _dealt(entries, count, node, ranges)
+                    to, home = _dealt(entries, count, node, ranges, split)
                     state["seen"][node] = None
                     state["where"].append(entries)
                     state["range"].append(to)
@@ -678,11 +678,11 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("root_a <> root_b")
 
 
-def _prepared(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, least_frequent: int, most_frequent: int, range_tokens: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int, bool]:
+def _prepared(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, least_frequent: int, most_frequent: int, range_tokens: int, split: int, carry: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int, bool]:
     """Texts with their keys, rows with sizes and nodes, pairs and entries found in posting lists, a key for each node; the number of partitions; and whether a list was dealt out to several."""
     spark = docs.sparkSession
     own = F.col(doc_id).try_cast("long")
-    source = docs.select(own.alias(doc_id), F.coalesce(own, F.lit(-(2**63))).alias("__key"), F.col(text).alias(text))
+    source = docs.select(own.alias(doc_id), F.coalesce(own, F.lit(-(2**63))).alias("__key"), F.col(text).alias(text), *carry)
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType())]
 
     def measure():
@@ -694,17 +694,17 @@ def _prepared(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, lea
 
         return run
 
-    members = saved(map_texts(source, text, [doc_id, "__key"], fields, measure, TEXTS))
+    members = saved(map_texts(source, text, [doc_id, "__key", *carry], fields, measure, TEXTS))
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
     parts = partitions(spark, 8 * total)
     ranges = max(parts, -(-total // range_tokens))
     frequent = count_frequent(source, text, k, ranges, parts, least_frequent, most_frequent)
     shared = spark.sparkContext.broadcast(frequent)  # at most most_frequent entries
-    blobs = postings(source, text, k, ranges, percent, shared)
+    blobs = postings(source, text, k, ranges, percent, shared, split)
     found = saved(map_rows(blobs.repartition(parts, "r").sortWithinPartitions("r"), FOUND, _links(percent)))
     shared.destroy()
     keys = saved(members.where("n_shingles > 0").groupBy("node").agg(F.min("__key").alias("key")))
-    return source, members, found, keys, parts, bool((frequent.count > SPLIT).any())
+    return source, members, found, keys, parts, bool((frequent.count > split).any())
 
 
 def _whole_leads(found: DataFrame) -> DataFrame:
@@ -743,9 +743,9 @@ def _candidates(found: DataFrame, entry: DataFrame, mixed: DataFrame, percent: i
     return enough
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, least_frequent: int = 16, most_frequent: int = 2_000_000, range_tokens: int = 1_000_000) -> DataFrame:
-    """One row for each row of docs: id, n_shingles and component_id, the smallest id reachable by links."""
-    source, members, found, keys, parts, split = _prepared(docs, doc_id, text, k, percent, least_frequent, most_frequent, range_tokens)
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, least_frequent: int = 16, most_frequent: int = 2_000_000, range_tokens: int = 1_000_000, split: int = SPLIT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of docs: id, n_shingles and component_id, the smallest id reachable by links; and the columns of docs named by carry, which must be no others of these."""
+    source, members, found, keys, parts, dealt_out = _prepared(docs, doc_id, text, k, percent, least_frequent, most_frequent, range_tokens, split, list(carry))
     linked: list[DataFrame] = []
     known: list[DataFrame] = []  # the components so far
 
@@ -760,7 +760,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     # first round: each node with its best leader, then with the others that are still in another component
     leads = found.where("kind in (1, 2)").select("a", "b", "na", "nb", "la", "lb", "c")
-    if split:
+    if dealt_out:
         leads = leads.unionByName(_whole_leads(found))
     leads = leads.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max(level_column(percent)).alias("need"))
     leads = saved(leads.where("2 * c >= need"))  # lists led by others are not counted in c
@@ -798,17 +798,17 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # a group's smallest id, then back to its rows
     nodes = members.where("n_shingles > 0").join(small(roots, 64), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = small(saved(nodes.groupBy("root").agg(F.min(doc_id).alias("component_id"))), 48)
-    grouped = nodes.join(smallest, "root").select(doc_id, "n_shingles", "component_id")
-    return grouped.unionByName(members.where("n_shingles = 0").select(doc_id, "n_shingles", F.col(doc_id).alias("component_id")))
+    grouped = nodes.join(smallest, "root").select(doc_id, "n_shingles", "component_id", *carry)
+    return grouped.unionByName(members.where("n_shingles = 0").select(doc_id, "n_shingles", F.col(doc_id).alias("component_id"), *carry))
 
 
-def near_duplicate_links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, least_frequent: int = 16, most_frequent: int = 2_000_000, range_tokens: int = 1_000_000) -> DataFrame:
+def near_duplicate_links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, least_frequent: int = 16, most_frequent: int = 2_000_000, range_tokens: int = 1_000_000, split: int = SPLIT) -> DataFrame:
     """All links between different sets, one row each: id_a and id_b, the smallest ids that have the sets, id_a <= id_b (null where no row has an id).
 
     The second round of near_duplicates with each node a component of its own,
     so the rows within a group of near copies grow with the square of its size.
     """
-    source, members, found, keys, parts, _ = _prepared(docs, doc_id, text, k, percent, least_frequent, most_frequent, range_tokens)
+    source, members, found, keys, parts, _ = _prepared(docs, doc_id, text, k, percent, least_frequent, most_frequent, range_tokens, split, [])
     alone = keys.select("node", F.col("node").alias("root"))
     entry, lists = _entries(found, alone)
     lists = lists.withColumn("size", F.lit(0))  # none is hot: their pairs are what is asked for

@@ -58,10 +58,9 @@ def test_components_match_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard, "HOT", (100, 3, 8)[seed - 1])
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", (1 << 20, 2000, 9000)[seed - 1])
     monkeypatch.setattr(jaccard, "FEW", (200_000, 0, 5)[seed - 1])
-    monkeypatch.setattr(jaccard, "SPLIT", (20_000, 5, 8)[seed - 1])
     docs = cases(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = near_duplicates(df, least_frequent=(64, 3, 6)[seed - 1], most_frequent=(10**6, 10**6, 20)[seed - 1])
+    got = near_duplicates(df, least_frequent=(64, 3, 6)[seed - 1], most_frequent=(10**6, 10**6, 20)[seed - 1], split=(20_000, 5, 8)[seed - 1])
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs)
 
 
@@ -79,12 +78,11 @@ def test_large_group_of_near_copies(spark, rate, monkeypatch):
     """Some of them similar, many not quite: their lists are hot."""
     monkeypatch.setattr(jaccard, "HOT", 20)
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", 20_000)
-    monkeypatch.setattr(jaccard, "SPLIT", 40)
     r = random.Random(int(rate * 100))
     base = [f"w{i}" for i in range(90)]
     docs = [(i, " ".join(edit(r, base, rate)[: r.randrange(60, 91)])) for i in range(250)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    assert sorted((tuple(x) for x in near_duplicates(df, least_frequent=4).collect()), key=str) == brute(docs)
+    assert sorted((tuple(x) for x in near_duplicates(df, least_frequent=4, split=40).collect()), key=str) == brute(docs)
 
 
 def test_empty_table_and_extra_columns(spark):
@@ -107,3 +105,23 @@ def test_links_match_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     for more in ({}, {"least_frequent": 3, "most_frequent": 20}):
         assert sorted(tuple(x) for x in near_duplicate_links(df, **more).collect()) == want and len(want) > 200
+
+
+def test_long_lists_are_dealt_out(spark, monkeypatch):
+    """Workers get the bound as an argument: parts of lists and their leaders are there, and change nothing."""
+    seen, links = [], jaccard._entries
+    monkeypatch.setattr(jaccard, "_entries", lambda found, roots: (seen.append({r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}), links(found, roots))[1])
+    r = random.Random(31)
+    base, common = [f"w{i}" for i in range(40)], [f"c{i}" for i in range(60)]
+    docs = [(i, " ".join(edit(r, base, 0.03))) for i in range(60)] + [(100 + i, " ".join([f"x{i}y{j}" for j in range(30)] + common[: 20 + i % 40])) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    got = near_duplicates(df, least_frequent=3, split=10, range_tokens=300)
+    assert sorted((tuple(x) for x in got.collect()), key=str) == brute(docs)
+    assert seen[0].get(3, 0) > 10
+    links_of = lambda **more: sorted(tuple(x) for x in near_duplicate_links(df, least_frequent=3, **more).collect())
+    assert links_of(split=10, range_tokens=300) == links_of() != []
+
+
+def test_carried_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "x"), (5, "a b", "y"), (5, "c", "z"), (6, None, "n")], "doc_id long, text string, mark string")
+    assert sorted(tuple(r) for r in near_duplicates(df, carry=("mark",)).collect()) == [(1, 1, 1, "x"), (5, 1, 1, "y"), (5, 1, 5, "z"), (6, 0, 6, "n")]
