@@ -6,8 +6,9 @@ each piece of a text and the bin that it is packed into.
 
 Rows with a null or empty text are rejected by the first stage; a later stage
 that meets them keeps them as they are, and packing gives them no piece. Rows
-that repeat a document whole count as that document and stay or go together. A
-row with a null id counts as having no id: it is not removed as a duplicate. Ties
+that repeat a document whole count as that document and stay or go together.
+Rows that repeat an id with another text are judged by their own text, and what
+one loses leaves the others as they are. A row with a null id counts as having no id: it is not removed as a duplicate. Ties
 in the similarity of copies don't matter, as the smallest id of a group stays.
 Columns other than those of documents are left out, whatever their names. Texts
 of any length are read whole. An empty table gives an empty result.
@@ -44,9 +45,10 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    doomed = saved(near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(hint(doomed, 1_000_000), "doc_id", "left_anti").select(*COLUMNS)
+    """The document with the smallest id of each group of near duplicates; rows go by their id and text."""
+    marked = docs.select(*COLUMNS).withColumn("__digest", F.md5("text"))
+    doomed = saved(near_duplicates(marked, carry=("__digest",)).where("component_id <> doc_id").select("doc_id", "__digest").distinct())
+    return marked.join(hint(doomed, 1_000_000), ["doc_id", "__digest"], "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
