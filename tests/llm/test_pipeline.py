@@ -82,3 +82,29 @@ def test_repeated_rows_clashing_columns_and_long_texts(spark):
         assert got.columns == corpus_pipeline.COLUMNS and sorted(r.doc_id for r in got.select("doc_id").collect()) == want
     packed = corpus_pipeline.STAGES[4][1](spark, odd, SF)
     assert sorted((r.doc_id, r.n) for r in packed.groupBy("doc_id").sum("n_tokens").toDF("doc_id", "n").collect()) == [(1, 2 * len(long.split())), (2, len(long.split()) + 1), (3, 11)]
+
+
+def test_rows_that_repeat_an_id_with_another_text(spark):
+    """Each stage judges a row by its own text, against brute force."""
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    one, two = "the of and to in was that it for on are with as be this", "on with for it that was in to and of the so far away then"
+    lines = "\n".join(["the of and", "to in was", "that it for", "on are with"])
+    rows = [(1, one), (5, one), (5, two), (7, lines), (8, lines + "\nthis is the last"), (8, "only this and that"), (9, f"the of and {items[0][1]} to in"), (9, "clean text of the day and of the night"), (None, one)]
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    found = lambda k, where="true": sorted(((r.doc_id, r.text) for r in corpus_pipeline.STAGES[k][1](spark, odd.where(where), SF).collect()), key=str)
+    assert found(0) == sorted(rows, key=str)
+    kept = [(i, t) for i, t, _, n in brute_lines([x for x in rows if x[0] is not None]) if not n or t.strip()]
+    assert found(1, "doc_id is not null") == sorted(kept, key=str)
+    # brute_groups gives no texts: an id's rows come in order
+    texts, groups = sorted(rows, key=str), brute_groups(rows)
+    assert {c for i, _, c in groups if i == 5} == {1, 5}
+    near = {(i, t): c for i, t in texts for j, _, c in brute_groups([*[x for x in rows if x[0] != i], (i, t)]) if j == i}
+    assert [x for x in texts if x[0] is None or near[x] == x[0]] == found(2)
+    assert (5, two) in found(2) and (5, one) not in found(2)
+    clean = [(h[0], t) for t, h in ((t, brute_hits([(i, t)], items)[0]) for i, t in rows) if not h[-1]]
+    assert found(3) == sorted(clean, key=str)
+    packed = corpus_pipeline.STAGES[4][1](spark, odd, SF).groupBy("doc_id").sum("n_tokens").collect()
+    size = Counter()
+    for i, t in rows:
+        size[i] += len(t.split())
+    assert {r[0]: r[1] for r in packed} == size
