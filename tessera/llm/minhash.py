@@ -149,7 +149,7 @@ def near_duplicates_by_sketch(docs: DataFrame, *, doc_id: str = "doc_id", text:
         return known[-1].select("node", "root")
 
     def link(some: DataFrame) -> DataFrame:
-        return join_in(verify(source, keys, some, text, k, percent, parts))
+        return join_in(verify(source, keys, some, text, k, percent, parts, group=128))
 
     best = saved(pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select("x.a", "b"))
     roots = link(best)
