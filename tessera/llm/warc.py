@@ -14,7 +14,14 @@ them piece by piece and cuts records by their Content-Length, so payloads may
 hold any bytes.
 
 Assembly joins the records of a transaction through their concurrent-to
-identifiers, given on either side, and yields one nested row for each capture, with its request and an array of metadata.
+identifiers, given on either side, and yields one nested row for each capture,
+with its request and an array of its different metadata records.
+
+Damaged archives: what can be read is given, and then one row that has the file,
+the offset of the record in the inflated stream and an error instead of a type:
+a length that is no number, a record or a gzip stream that ends early, data that is no gzip, a record
+without a WARC header, or bytes behind the last record. Reading of that file ends
+there; assembly takes no notice of such rows.
 
 Nulls and odd input: null html is an empty payload, a null url an empty target,
 a null id an absent one. Line breaks and spaces in a url are percent-encoded.
@@ -42,7 +49,7 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import hint, map_rows
 
 HEADER = "WARC/1.1\r\n"
-RECORDS = "record_id string, type string, concurrent_to array<string>, refers_to string, uri string, date string, digest string, digest_ok boolean, http_status string, payload_bytes long, payload binary, fields map<string,string>"
+RECORDS = "record_id string, type string, concurrent_to array<string>, refers_to string, uri string, date string, digest string, digest_ok boolean, http_status string, payload_bytes long, payload binary, fields map<string,string>, file string, at long, error string"
 READ = 1 << 16
 
 
@@ -100,21 +107,35 @@ def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: st
     records.write.partitionBy("file").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
+class Damaged(Exception):
+    """What is wrong with an archive from some place on."""
+
+
 class _Stream:
     """Bytes of a gzip file, or of a plain one, inflated as they are asked for."""
 
     def __init__(self, data: bytes) -> None:
-        self.data, self.at, self.have = data, 0, bytearray()
+        self.data, self.at, self.have, self.given = data, 0, bytearray(), 0
         self.gz = zlib.decompressobj(31) if data[:2] == b"\x1f\x8b" else None
+        self.within, self.damage = False, ""  # within a gzip member that hasn't ended
 
     def more(self) -> bool:
+        """Whether there is more; what stands before damage is given first."""
+        if self.damage:
+            raise Damaged(self.damage)
         if self.at >= len(self.data):
+            if self.within:
+                raise Damaged("the gzip stream ends early")
             return False
         chunk = self.data[self.at : self.at + READ]
         self.at += len(chunk)
         while self.gz and chunk:
-            self.have += self.gz.decompress(chunk)
-            chunk = self.gz.unused_data
+            try:
+                self.have += self.gz.decompress(chunk)
+            except zlib.error as error:
+                self.damage = f"no gzip data: {error}"
+                return True
+            chunk, self.within = self.gz.unused_data, not self.gz.eof
             if self.gz.eof:
                 self.gz = zlib.decompressobj(31)  # records may be members of their own
         self.have += chunk
@@ -126,40 +147,61 @@ class _Stream:
             seen = len(self.have)
             if not self.more():
                 return None
-        out = bytes(self.have[: p + len(mark)])
-        del self.have[: p + len(mark)]
-        return out
+        return self._give(p + len(mark))
 
     def take(self, n: int) -> bytes:
         while len(self.have) < n and self.more():
             pass
+        return self._give(n)
+
+    def _give(self, n: int) -> bytes:
         out = bytes(self.have[:n])
         del self.have[:n]
+        self.given += len(out)
         return out
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
-    """(lower-case header fields, block) of each record."""
-    stream = _Stream(data)
-    while (head := stream.until(b"\r\n\r\n")) is not None:
-        fields: dict[str, list[str]] = {}
-        for line in head.decode("utf-8", "replace").lstrip("\r\n").split("\r\n")[1:]:
-            if line:
-                name, _, value = line.partition(":")
-                fields.setdefault(name.strip().lower(), []).append(value.strip())
-        yield fields, stream.take(int(fields.get("content-length", ["0"])[0]))
-        stream.take(4)
+def parse(data: bytes) -> Iterator[tuple[dict[str, list[str]], bytes, int, str | None]]:
+    """(lower-case header fields, block, offset of the inflated record, None) of each whole record; where the archive is damaged, a last item with no fields and what is wrong."""
+    stream, at = _Stream(data), 0
+    try:
+        while True:
+            at = stream.given
+            head = stream.until(b"\r\n\r\n")
+            if head is None:
+                if bytes(stream.have).strip():
+                    raise Damaged("bytes behind the last record")
+                return
+            lines = head.decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
+            if not lines[0]:
+                continue  # blank lines between records
+            if not lines[0].startswith("WARC/"):
+                raise Damaged("a record has no WARC header")
+            fields: dict[str, list[str]] = {}
+            for line in lines[1:]:
+                if line:
+                    name, _, value = line.partition(":")
+                    fields.setdefault(name.strip().lower(), []).append(value.strip())
+            length = fields.get("content-length", ["0"])[0]
+            if not (length.isascii() and length.isdigit()):
+                raise Damaged("Content-Length is no number")
+            block = stream.take(int(length))
+            if len(block) < int(length):
+                raise Damaged("a record ends early")
+            yield fields, block, at, None
+    except Damaged as damage:
+        yield {}, b"", at, str(damage)
 
 
 def read_warc(session, path: str, *, payload: bool = True) -> DataFrame:
-    """One row for each record under path; payload is null unless asked for."""
+    """One row for each record under path, with its file and offset; payload is null unless asked for. A damaged archive gives its whole records and a row with an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for i in range(len(batch)):
                 out: list[tuple] = []
-                size = 0
-                for f, block in parse(batch.column("content")[i].as_py()):
+                size, file = 0, batch.column("path")[i].as_py()
+                for f, block, at, error in parse(batch.column("content")[i].as_py()):
                     one = lambda k, f=f: f.get(k, [None])[0]
                     kind = one("warc-type")
                     status, length, body, fields = None, len(block), block, []
@@ -172,7 +214,7 @@ def read_warc(session, path: str, *, payload: bool = True) -> DataFrame:
                         fields = [tuple(x.strip() for x in line.split(":", 1)) for line in block.decode("utf-8", "replace").split("\r\n") if ":" in line]
                     said = (one("warc-payload-digest") or "").removeprefix("sha1:") or None
                     digest = hashlib.sha1(body, usedforsecurity=False).hexdigest() if kind == "response" else said
-                    out.append((one("warc-record-id"), kind, f.get("warc-concurrent-to", []), one("warc-refers-to"), one("warc-target-uri"), one("warc-date"), digest, None if said is None else said == digest, status, length, body if payload else None, fields))
+                    out.append((one("warc-record-id"), kind, f.get("warc-concurrent-to", []), one("warc-refers-to"), one("warc-target-uri"), one("warc-date"), digest, None if said is None else said == digest, status, length, body if payload and not error else None, fields, file, at, error))
                     size += len(block)
                     if size > 8 << 20 or len(out) >= 5000:
                         yield dict(zip(NAMES, zip(*out, strict=True), strict=True))
@@ -180,7 +222,7 @@ def read_warc(session, path: str, *, payload: bool = True) -> DataFrame:
                 if out:
                     yield dict(zip(NAMES, zip(*out, strict=True), strict=True))
 
-    files = session.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(~F.col("path").rlike(r"/[_.][^/]*$")).select("content")
+    files = session.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(~F.col("path").rlike(r"/[_.][^/]*$")).select("path", "content")
     return map_rows(files, RECORDS, run)
 
 
@@ -196,6 +238,9 @@ def assemble(records: DataFrame) -> DataFrame:
     back = side.join(asked, "record_id").select("capture_id", F.struct("type", "record_id", "payload", "fields").alias("part"))
     of = lambda kind: F.when(F.col("part.type") == kind, F.col("part"))
     request = F.min_by(of("request"), F.when(F.col("part.type") == "request", F.col("part.record_id")))
-    parts = named.unionByName(back).groupBy("capture_id").agg(request.alias("request"), F.collect_list(of("metadata")).alias("metadata"))
+    # equal captures share their id, so each of their equal records counts once
+    every = named.unionByName(back).withColumn("same", F.xxhash64("part.type", "part.record_id", "part.payload", F.to_json("part.fields")))
+    every = every.groupBy("capture_id", "same").agg(F.first("part").alias("part"))
+    parts = every.groupBy("capture_id").agg(request.alias("request"), F.collect_list(of("metadata")).alias("metadata"))
     capture = main.withColumnRenamed("record_id", "capture_id").join(parts, "capture_id", "left")
     return capture.select("capture_id", "type", "uri", "date", "refers_to", F.struct("http_status", "payload_bytes", "payload", "digest", "digest_ok").alias("response"), "request", "metadata")

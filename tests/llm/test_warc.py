@@ -58,3 +58,52 @@ def test_files_are_bounded_and_ties_and_other_columns_are_harmless(spark, tmp_pa
     assert got.count() == len(pages)
     (tmp_path / "none").mkdir()
     assert read_warc(spark, f"file://{tmp_path}/none").collect() == []
+
+
+def record(kind, i, block=b"", length=None, **more):
+    head = {"WARC-Type": kind, "WARC-Record-ID": i, **{k.replace("_", "-"): v for k, v in more.items()}, "Content-Length": len(block) if length is None else length}
+    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_damaged_archives_give_what_can_be_read_and_say_what_is_wrong(spark, tmp_path):
+    good = [record("resource", f"<{i}>", b"x" * 50_000 + bytes(str(i), "ascii")) for i in range(10)]
+    noise = hashlib.sha512(b"n").digest() * 3000
+    whole, members = gzip.compress(b"".join(good)), b"".join(map(gzip.compress, good))
+    files = {
+        "whole.gz": (whole, 10, None), "members.gz": (members, 10, None), "plain.warc": (b"".join(good), 10, None), "empty.warc": (b"", 0, None),
+        "length.gz": (gzip.compress(good[0] + record("resource", "<bad>", b"x", "12a") + good[1]), 1, "Content-Length is no number"),
+        "negative.warc": (good[0] + record("resource", "<bad>", b"x", "-1"), 1, "Content-Length is no number"),
+        "cut.gz": (gzip.compress(b"".join(good[:3]) + record("resource", "<n>", noise))[:-200], 3, "the gzip stream ends early"),
+        "cut.warc": (b"".join(good)[:-5000], 9, "a record ends early"),
+        "tail.gz": (members + b"no gzip at all" * 20, 10, "no gzip data"),
+        "tail.warc": (b"".join(good) + b"rest", 10, "bytes behind the last record"),
+        "header.warc": (good[0] + b"HTTP/1.1 200 OK\r\n\r\n" + good[1], 1, "a record has no WARC header"),
+        "trailer.gz": (whole[:-4], 10, "the gzip stream ends early"),
+    }
+    for name, (data, _, _) in files.items():
+        (tmp_path / name).write_bytes(data)
+    rows = {}
+    for r in read_warc(spark, f"file://{tmp_path}").collect():
+        rows.setdefault(r.file.rsplit("/", 1)[1], []).append(r)
+    for name, (_, n, error) in files.items():
+        own = rows.get(name, [])
+        assert sum(r.type == "resource" for r in own) == n, name
+        assert [r.error and r.error.startswith(error) and r.type is None and r.at >= 0 for r in own if r.error] == ([True] if error else []), name
+    at = {r.record_id: r.at for r in rows["length.gz"]}
+    assert at == {"<0>": 0, None: len(good[0])}
+    assert assemble(read_warc(spark, f"file://{tmp_path}")).collect() == []
+
+
+def test_equal_rows_have_one_metadata_record_each(spark):
+    pages = [(4, "http://u", "y" * 10)] * 1000 + [(5, "http://u", "z" * 2000)] * 3 + [(6, "http://u", "z" * 2000)] * 2
+    got, _ = captures(spark, pages)
+    rows = got.selectExpr("metadata[0].fields['page-id'] as page", "size(metadata) as n", "request is not null as asked").groupBy("page", "n", "asked").count().collect()
+    assert sorted(tuple(r) for r in rows) == [("4", 1, True, 1000), ("5", 1, True, 3), ("6", 1, True, 2)]
+
+
+def test_metadata_records_that_differ_all_stay(spark, tmp_path):
+    fields = {"Content_Type": "application/warc-fields", "WARC_Concurrent_To": "<c>"}
+    body = [record("response", "<c>", b"HTTP/1.1 200 OK\r\n\r\nhi", Content_Type="application/http")] + [record("metadata", i, b"k: " + v + b"\r\n", **fields) for i, v in (("<m1>", b"a"), ("<m2>", b"a"), ("<m1>", b"a"), ("<m1>", b"b"))]
+    (tmp_path / "x.warc").write_bytes(b"".join(body))
+    (row,) = assemble(read_warc(spark, f"file://{tmp_path}")).collect()
+    assert sorted((m.record_id, m.fields["k"]) for m in row.metadata) == [("<m1>", "a"), ("<m1>", "b"), ("<m2>", "a")]
