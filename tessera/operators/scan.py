@@ -106,3 +106,17 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, righ
     both = a.unionByName(b).withColumn("__n", F.when(F.col("__side") == 1, F.monotonically_increasing_id()))
     found = Ordered.of(both, keys, ["__at", "__side", "__n"], parts=parts).scan("__found", "last", F.when(F.col("__at").isNotNull(), F.col("__right"))).rows
     return found.where("__side = 1").select(*keys, *[F.col(f"__left.{c}").alias(c) for c in own], *[F.when(F.col("__at").isNotNull(), F.col(f"__found.{c}")).alias(c) for c in other])
+
+
+def density(points: DataFrame, keys: list[str], at: str, width: int, *, parts: int | None = None) -> DataFrame:
+    """(keys, at, n, within): for each time of a key its points and those from `width` before it up to it, both inclusive.
+
+    Times are whole numbers. A point opens at its time and closes once it is out of
+    reach; a running sum over these differences is the count, so rows don't grow with the overlap
+    of windows: at most two for each distinct time.
+    """
+    own = points.where(F.col(at).isNotNull()).select(*keys, F.col(at).cast("long").alias(at))
+    n = own.groupBy(*keys, at).agg(F.count("*").alias("n"))
+    turns = n.select(*keys, at, "n", F.col("n").alias("__d")).unionByName(n.select(*keys, (F.col(at) + width + 1).alias(at), F.lit(0).cast("long").alias("n"), (-F.col("n")).alias("__d")))
+    turns = turns.groupBy(*keys, at).agg(F.sum("n").alias("n"), F.sum("__d").alias("__d"))
+    return Ordered.of(turns, keys, [at], parts=parts).scan("within", "sum", F.col("__d")).rows.where("n > 0").select(*keys, at, "n", "within")
