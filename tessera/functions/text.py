@@ -54,12 +54,12 @@ def parse_time(text: Column) -> Column:
 
 
 def size(n: Column) -> Column:
-    """Bytes in steps of 1024: no decimals for B, else one."""
+    """Bytes in steps of 1024: no decimals for B, else one, halves to even."""
     n, out = n.cast("double"), None
     for power, unit in enumerate(("B", "KB", "MB", "GB")):
-        text = F.format_string("%.0f B" if power == 0 else f"%.1f {unit}", n / 1024**power)
+        text = F.format_string("%.0f B" if power == 0 else f"%.1f {unit}", F.bround(n / 1024**power, 1))
         out = F.when(n < 1024 ** (power + 1), text) if out is None else out.when(n < 1024 ** (power + 1), text)
-    return out.otherwise(F.format_string("%.1f TB", n / 1024**4))
+    return out.otherwise(F.format_string("%.1f TB", F.bround(n / 1024**4, 1)))
 
 
 def stem(name: Column) -> Column:

@@ -107,7 +107,8 @@ _LINES = ", ".join(f"({i + 1}, '{x}')" for i, x in enumerate(LEXICON))
 @query(
     "lexicon_parse",
     rf"""
-    WITH lines(line_no, line) AS (VALUES {_LINES}),
+    WITH lines AS (SELECT * FROM (VALUES {_LINES}) AS t(line_no, line) UNION ALL SELECT 100 + doc_id, CASE doc_id % 9 WHEN 0 THEN w[1] WHEN 1 THEN '=' || w[1] WHEN 2 THEN w[1] || '*' WHEN 3 THEN '*' || w[1] || '*' WHEN 4 THEN '# ' || w[1] WHEN 5 THEN '  ' || w[1] || '   ' || w[2] || ' ' WHEN 6 THEN '*' || w[1] WHEN 7 THEN '=' || w[1] || ' ' || w[2] || '*' ELSE ' = ' END
+        FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w FROM documents) WHERE len(w) > 1),
     a AS (SELECT line_no, trim(line) AS raw FROM lines WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')),
     b AS (SELECT *, starts_with(raw, '=') AS cs, CASE WHEN starts_with(raw, '=') THEN raw[2:] ELSE raw END AS s FROM a),
     c AS (SELECT *, starts_with(s, '*') AS lead, CASE WHEN starts_with(s, '*') THEN s[2:] ELSE s END AS u FROM b),
@@ -119,7 +120,12 @@ _LINES = ", ".join(f"({i + 1}, '{x}')" for i, x in enumerate(LEXICON))
     """,
 )
 def lexicon_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fl.parse_lexicon(lexicon_lines(spark)).withColumn("tokens", F.array_join("tokens", "|"))
+    w, i = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), F.col("doc_id")
+    d = table(spark, sf_dir, "documents").withColumn("w", w).where("size(w) > 1")
+    one, two, star = F.get("w", F.lit(0)), F.get("w", F.lit(1)), F.lit("*")
+    line = F.when(i % 9 == 0, one).when(i % 9 == 1, F.concat(F.lit("="), one)).when(i % 9 == 2, F.concat(one, star)).when(i % 9 == 3, F.concat(star, one, star)).when(i % 9 == 4, F.concat(F.lit("# "), one)).when(i % 9 == 5, F.concat(F.lit("  "), one, F.lit("   "), two, F.lit(" "))).when(i % 9 == 6, F.concat(star, one)).when(i % 9 == 7, F.concat(F.lit("="), one, F.lit(" "), two, star)).otherwise(" = ")
+    lines = lexicon_lines(spark).withColumn("line_no", F.col("line_no").cast("long")).unionByName(d.select((i + 100).cast("long").alias("line_no"), line.alias("line")))
+    return fl.parse_lexicon(lines).withColumn("tokens", F.array_join("tokens", "|"))
 
 
 @query("skip_anti", f"WITH {OVERRIDES} SELECT m.job_id, m.word_index, m.line_no FROM matches m ANTI JOIN skips s ON s.job_id = m.job_id AND s.word_index = m.word_index")
