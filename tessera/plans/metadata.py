@@ -11,7 +11,7 @@ from tessera.operators import audio, jobs
 from tessera.operators import resolve as rs
 from tessera.plans.fixtures import OVERRIDES, WORDS, words
 from tessera.plans.registry import query, table
-from tessera.plans.transcript import log, merged, turns
+from tessera.plans.transcript import muted, turns
 from tessera.sources import readers
 from tessera.streaming.progress import progress, session_intervals
 
@@ -306,7 +306,7 @@ def eta_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {OVERRIDES} SELECT job_id, string_agg(printf('between(t,%.4f,%.4f)', s / 1000, e / 1000), '+' ORDER BY s, e) AS expression FROM merged GROUP BY job_id""",
 )
 def interval_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = merged(log(spark, sf_dir)[2]).select("job_id", (F.col("start") / 1000).alias("start"), (F.col("end") / 1000).alias("end"))
+    m = muted(spark, sf_dir).select("job_id", (F.col("start") / 1000).alias("start"), (F.col("end") / 1000).alias("end"))
     return m.groupBy("job_id").agg(tx.interval_expression(F.array_sort(F.collect_list(F.struct("start", "end")))).alias("expression"))
 
 
@@ -316,7 +316,7 @@ def interval_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT w.job_id, count(*) AS n, count(h.word_index) AS muted FROM words w LEFT JOIN h ON h.job_id = w.job_id AND h.word_index = w.word_index GROUP BY w.job_id""",
 )
 def covered_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = rs.mark_covered(words(spark, sf_dir), merged(log(spark, sf_dir)[2]), 60_000)
+    marked = rs.mark_covered(words(spark, sf_dir), muted(spark, sf_dir), 60_000)
     return marked.groupBy("job_id").agg(F.count("*").alias("n"), F.count_if("covered").alias("muted"))
 
 

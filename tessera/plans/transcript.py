@@ -30,6 +30,13 @@ def log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFra
     return m, o, rs.redaction_log(m, o, PAD_MS)
 
 
+def fractions(m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Matches and their overrides in seconds, with more decimals than are stored."""
+    o = overrides_of(m).withColumn("start", F.col("start") / 1000).withColumn("end", F.col("end") / 1000)
+    shift = lambda c, k, d: F.col(c) / 1000 + F.col("word_index") % k * F.lit(d)
+    return m.withColumn("start", shift("start", 7, 0.000013)).withColumn("end", shift("end", 5, 0.000017)), o
+
+
 @query(
     "seconds_log",
     f"""WITH {OVERRIDES},
@@ -41,15 +48,30 @@ def log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFra
 )
 def seconds_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of transcripts with fractions of seconds, on the grid of four decimals."""
-    m = kept_matches(spark, sf_dir)
-    o = overrides_of(m).withColumn("start", F.col("start") / 1000).withColumn("end", F.col("end") / 1000)
-    shift = lambda c, k, d: F.col(c) / 1000 + F.col("word_index") % k * F.lit(d)
-    fine = m.withColumn("start", shift("start", 7, 0.000013)).withColumn("end", shift("end", 5, 0.000017))
+    fine, o = fractions(kept_matches(spark, sf_dir))
     return rs.redaction_log(fine, o, 0.25).select("job_id", "source", "entry", "word_index", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "padded_start", "padded_end", "log_rank")
 
 
-def merged(log_rows: DataFrame) -> DataFrame:
-    return rs.merge_intervals(log_rows.select("job_id", F.col("padded_start").alias("start"), F.col("padded_end").alias("end")), ["job_id"])
+def muted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is muted: intervals merged from bounds that aren't rounded, unlike those of the log."""
+    m = kept_matches(spark, sf_dir)
+    return rs.muted_intervals(m, overrides_of(m), PAD_MS)
+
+
+@query(
+    "seconds_muted",
+    f"""WITH {OVERRIDES},
+    r AS (SELECT job_id, greatest(st / 1000 + (word_index % 7) * 0.000013::DOUBLE - 0.25::DOUBLE, 0) AS s, en / 1000 + (word_index % 5) * 0.000017::DOUBLE + 0.25::DOUBLE AS e FROM matches m
+        WHERE NOT EXISTS (SELECT 1 FROM skips s WHERE s.job_id = m.job_id AND s.word_index = m.word_index)
+        UNION ALL SELECT job_id, greatest(st / 1000 - 0.25::DOUBLE, 0), en / 1000 + 0.25::DOUBLE FROM adds),
+    o2 AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY job_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM r),
+    g AS (SELECT *, sum(o) OVER (PARTITION BY job_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM o2)
+    SELECT job_id, min(s) AS start_s, max(e) AS end_s, count(*) AS n FROM g GROUP BY job_id, g.g""",
+)
+def seconds_muted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The muted intervals of transcripts with fractions of seconds."""
+    fine, o = fractions(kept_matches(spark, sf_dir))
+    return rs.muted_intervals(fine, o, 0.25).withColumnsRenamed({"start": "start_s", "end": "end_s"})
 
 
 @query("tokens_stats", f"WITH {WORDS} SELECT job_id, count(*) AS n, count_if(tok = '') AS n_empty, CAST(sum(length(tok)) AS BIGINT) AS tok_chars, count(DISTINCT lower(tok)) AS n_distinct FROM words GROUP BY job_id")
@@ -160,7 +182,7 @@ def redaction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("merged_intervals_docs", f"WITH {OVERRIDES} SELECT job_id, s AS start_ms, e AS end_ms, n FROM merged")
 def merged_intervals_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ms(merged(log(spark, sf_dir)[2]))
+    return _ms(muted(spark, sf_dir))
 
 
 @query(
@@ -182,13 +204,14 @@ def merged_intervals_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     (SELECT count(*) FROM adds a WHERE a.job_id = j.job_id) AS added, (SELECT count(*) FROM merged g WHERE g.job_id = j.job_id) AS muted_intervals FROM jobs j""",
 )
 def redaction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, o, rows = log(spark, sf_dir)
-    return rs.statistics(m, o, merged(rows))
+    m = kept_matches(spark, sf_dir)
+    o = overrides_of(m)
+    return rs.statistics(m, o, rs.muted_intervals(m, o, PAD_MS))
 
 
 @query("muted_words", f"WITH {OVERRIDES} SELECT w.job_id, count(*) AS n, CAST(sum(w.word_index) AS BIGINT) AS index_sum FROM words w SEMI JOIN merged g ON g.job_id = w.job_id AND w.st BETWEEN g.s AND g.e GROUP BY w.job_id")
 def muted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = rs.covered_words(words(spark, sf_dir), merged(log(spark, sf_dir)[2]), 60_000)
+    hit = rs.covered_words(words(spark, sf_dir), muted(spark, sf_dir), 60_000)
     return hit.groupBy("job_id").agg(F.count("*").alias("n"), F.sum("word_index").alias("index_sum"))
 
 
