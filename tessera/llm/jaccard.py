@@ -602,7 +602,7 @@ def _compare(percent: int):
     return run
 
 
-def verify(docs: DataFrame, keys: DataFrame, pairs: DataFrame, text: str, k: int, percent: int, parts: int, group: int = 500, broadcast_rows: int = 100_000) -> DataFrame:
+def verify(docs: DataFrame, keys: DataFrame, pairs: DataFrame, text: str, k: int, percent: int, parts: int, group: int = 128, broadcast_rows: int = 100_000) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough; repeated rows may repeat pairs. keys: node to the key of a row that has it."""
     few = pairs.count() * 48 <= 8 << 20
     pairs = F.broadcast(pairs) if few else pairs
