@@ -181,3 +181,20 @@ def term_search(words: DataFrame, query: str) -> DataFrame:
     timed = words.withColumn("end", F.coalesce("end", "start"))
     rule = Rule(query, tokens, "exact", False, 1)
     return (single_matches if len(tokens) == 1 else phrase_matches)(timed, [rule]).drop("entry", "line_no")
+
+
+def keep_by_context(matches: DataFrame, words: DataFrame, rules: DataFrame) -> DataFrame:
+    """matches without those whose context says that they are meant otherwise.
+
+    A rule (entry, near, before, after) drops an entry's match if the word `near`
+    (any case, without punctuation around) is among the `before` words ahead of it or the
+    `after` words behind it. Words that are near a place are joined with the
+    matches there by (job, index, entry), so the cost follows the words that some rule
+    names. A phrase's context lies around the whole phrase. Rules for other entries, and null widths, do nothing.
+    """
+    named = words.withColumn("__near", F.lower(strip_punctuation(F.col("word")))).join(F.broadcast(rules.select("entry", F.lower("near").alias("__near"), "before", "after")), "__near")
+    # ahead of a match that starts at index + d, or behind one whose last word is at index - d
+    ahead = named.where("before > 0").select("job_id", "entry", F.explode(F.expr("sequence(1, before)")).alias("__d"), "word_index").select("job_id", "entry", (F.col("word_index") + F.col("__d")).alias("__first"))
+    behind = named.where("after > 0").select("job_id", "entry", F.explode(F.expr("sequence(1, after)")).alias("__d"), "word_index").select("job_id", "entry", (F.col("word_index") - F.col("__d")).alias("__last"))
+    own = matches.withColumn("__first", F.col("word_index")).withColumn("__last", F.col("word_index") + F.col("span") - 1)
+    return own.join(ahead, ["job_id", "entry", "__first"], "left_anti").join(behind, ["job_id", "entry", "__last"], "left_anti").select(matches.columns)

@@ -377,4 +377,16 @@ def last_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sg.last_language(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("job_id"), (F.col("turn") + 1).alias("segment_index"), named.alias("language")))
 
 
+#: Rules for what is meant otherwise: entry, a word near it, how many words ahead and behind count.
+CONTEXT = (("the", "in", 2, 0), ("the", "and", 0, 3), ("of the", "to", 4, 4), ("=The", "to", 1, 5), ("*tion*", "the", 1, 1))
 
+
+@query(
+    "context_rules",
+    f"""WITH {MATCHES}, c(entry, near, b, a) AS (VALUES {", ".join(map(str, CONTEXT))})
+    SELECT m.job_id, m.word_index, m.span, m.entry FROM matches m WHERE NOT EXISTS (SELECT 1 FROM c JOIN words w ON lower(w.tok) = c.near
+        WHERE c.entry = m.entry AND w.job_id = m.job_id AND (w.word_index BETWEEN m.word_index - c.b AND m.word_index - 1 OR w.word_index BETWEEN m.word_index + m.span AND m.word_index + m.span - 1 + c.a))""",
+)
+def context_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(CONTEXT), "entry string, near string, before int, after int")
+    return fl.keep_by_context(kept_matches(spark, sf_dir), words(spark, sf_dir), rules).select("job_id", "word_index", "span", "entry")

@@ -231,3 +231,16 @@ def test_text_examples(spark):
 def test_sessions_touch(spark):
     e = spark.sql("select 1 k, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,m,0) t from values (0),(20),(41) v(m)")
     assert session_intervals(e, "k", "t", 600).count() == 2
+
+
+def test_context_rules_agree_with_a_loop(spark):
+    r = random.Random(14)
+    text = [(j, i, r.choice(["God", "thank", "Praise,", "oh", "dear", "my", "x", "god!"])) for j in range(6) for i in range(80)]
+    matches = [(j, i, r.choice([1, 2]), r.choice(["god", "my god"])) for j in range(6) for i in range(0, 78, 3)]
+    rules = [("god", "thank", 3, 0), ("god", "PRAISE", 1, 2), ("my god", "oh", 0, 1), ("none", "x", 9, 9), ("god", "dear", None, None)]
+    at = {(j, i): w.strip("!,").lower() for j, i, w in text}
+    near = lambda m, e: any(at.get((m[0], k)) == word.lower() for entry, word, b, a in rules if entry == e and a is not None for k in (*range(m[1] - b, m[1]), *range(m[1] + m[2], m[1] + m[2] + a)))
+    want = sorted(m for m in matches if not near(m, m[3]))
+    frame = spark.createDataFrame
+    got = fl.keep_by_context(frame(matches, "job_id long, word_index int, span int, entry string"), frame(text, "job_id long, word_index int, word string"), frame(rules, "entry string, near string, before int, after int"))
+    assert sorted(tuple(x) for x in got.collect()) == want and 0 < len(want) < len(matches)
