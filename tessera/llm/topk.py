@@ -9,13 +9,13 @@ Partition selection (introselect) then keeps each query's k best rows of the
 block. What blocks have kept is cut to k again in each task, and Spark merges
 the tasks' lists with a ranked window that also ranks before its shuffle.
 
-Queries are the set that the caller states. They are read in batches of
-`batch` vectors. Each batch goes to all tasks and makes one pass over the
+Queries are the set that the caller states. They are read in batches of about
+`batch_bytes` of vectors and what is kept for them. Each batch goes to all tasks and makes one pass over the
 candidates, whose results are saved before the next batch is read, so neither
 side is ever held whole. In a task the queries are scored TILE at a time.
 
 Nulls and odd input: vectors that are null or hold a null or non-finite
-component, and rows without an id, take no part; vectors of unequal length
+component, and rows without an id or with one that is no number, take no part; vectors of unequal length
 meet in their common terms; ties go to the smaller id; rows with the query's
 own id are not its candidates, so rows that repeat an id never find each
 other, and as queries they count once for each row; an empty table, or one
@@ -44,7 +44,7 @@ def integer_vectors(df: DataFrame, vec_id: str, vector: str, scale: int) -> Data
     """id and floor(scale * component) of the rows that take part."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     weights = F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
-    return df.where(F.col(vector).isNotNull() & F.col(vec_id).isNotNull() & ~bad).select(F.col(vec_id).cast("long").alias("vec_id"), weights.alias("w"))
+    return df.where(F.col(vector).isNotNull() & F.col(vec_id).isNotNull() & ~bad).select(F.col(vec_id).try_cast("long").alias("vec_id"), weights.alias("w")).where("vec_id is not null")
 
 
 def integer_matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
@@ -139,16 +139,17 @@ def _search(query_ids: np.ndarray, queries: np.ndarray, k: int):
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 64, k: int = 20, batch: int = 16_384) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 64, k: int = 20, batch_bytes: int = 16 << 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows for each row where is_query holds."""
     session = vectors.sparkSession
     rows = integer_vectors(vectors, vec_id, vector, scale)
     asked = integer_vectors(vectors.where(is_query), vec_id, vector, scale)
-    parts = max(1, -(-asked.count() // batch))
+    size = asked.agg(F.sum(F.size("w") * 8 + k * 16 + 100)).first()[0] or 0
+    parts = max(1, -(-size // batch_bytes))
     part = F.pmod(F.xxhash64("vec_id"), F.lit(parts))
     by, done = Window.partitionBy("q", "query_id").orderBy(F.desc("score"), "vec_id"), []
     for p in range(parts):
-        got = asked.where(part == p).toArrow()  # about `batch` of the stated queries
+        got = asked.where(part == p).toArrow()  # about `batch_bytes` of the stated queries
         ids, matrix = np.asarray(got.column("vec_id"), dtype=np.int64), integer_matrix(got.column("w"))
         shared = session.sparkContext.broadcast((ids, matrix))
         found = map_rows(rows, RESULT, lambda batches, shared=shared: _search(*shared.value, k)(batches))
