@@ -244,3 +244,17 @@ def test_context_rules_agree_with_a_loop(spark):
     frame = spark.createDataFrame
     got = fl.keep_by_context(frame(matches, "job_id long, word_index int, span int, entry string"), frame(text, "job_id long, word_index int, word string"), frame(rules, "entry string, near string, before int, after int"))
     assert sorted(tuple(x) for x in got.collect()) == want and 0 < len(want) < len(matches)
+
+
+def test_yaml_configuration_under_the_environment(tmp_path):
+    pytest.importorskip("yaml")
+    path = tmp_path / "config.yaml"
+    path.write_text("output:\n  log_level: INFO\n  keep_intermediates: false\naudio:\n  segment_size_sec: 1800\nsrt:\n  strategy: srt_primary\n  fuzzy_threshold: 85\n")
+    got = config.load(path, {"AC_SEGMENT_SIZE": "60", "AC_KEEP_INTERMEDIATES": "1", "AC_INTERACTIVE": "", "AC_KEEP_CORRECTION_ARTIFACTS": "0"})
+    assert got == {"output": {"log_level": "INFO", "keep_intermediates": True, "keep_correction_artifacts": False}, "audio": {"segment_size_sec": 60}, "srt": {"strategy": "srt_primary", "fuzzy_threshold": 85}}
+    assert config.get(got, "srt", "strategy") == "srt_primary" and config.get(got, "srt", "none", default=3) == 3
+    path.write_text("")
+    assert config.load(path, {}) == {} == config.load(tmp_path / "none.yaml", {})
+    path.write_text("a: [1")
+    with pytest.raises(Exception, match="flow sequence"):
+        config.load(path, {})
