@@ -197,4 +197,5 @@ def keep_by_context(matches: DataFrame, words: DataFrame, rules: DataFrame) -> D
     ahead = named.where("before > 0").select("job_id", "entry", F.explode(F.expr("sequence(1, before)")).alias("__d"), "word_index").select("job_id", "entry", (F.col("word_index") + F.col("__d")).alias("__first"))
     behind = named.where("after > 0").select("job_id", "entry", F.explode(F.expr("sequence(1, after)")).alias("__d"), "word_index").select("job_id", "entry", (F.col("word_index") - F.col("__d")).alias("__last"))
     own = matches.withColumn("__first", F.col("word_index")).withColumn("__last", F.col("word_index") + F.col("span") - 1)
-    return own.join(ahead, ["job_id", "entry", "__first"], "left_anti").join(behind, ["job_id", "entry", "__last"], "left_anti").select(matches.columns)
+    # places are several times the words that the size of a table shows, so they are not broadcast
+    return own.join(ahead.hint("merge"), ["job_id", "entry", "__first"], "left_anti").join(behind.hint("merge"), ["job_id", "entry", "__last"], "left_anti").select(matches.columns)

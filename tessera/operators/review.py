@@ -10,13 +10,15 @@ def context(matches: DataFrame, words: DataFrame, k: int) -> DataFrame:
     """matches with context: the words from k before to k after, quoted; clipped at the job's ends.
 
     Each match names the indices that it wants, so this is an equi-join on
-    (job_id, word_index) and not a range join.
+    (job_id, word_index) and not a range join. The wanted indices are several
+    times the matches, which the size of their table doesn't show, so neither
+    they nor the lines may be broadcast.
     """
     keys = ["job_id", "word_index", "span", "line_no"]
     want = matches.select(*keys, F.explode(F.sequence(F.greatest(F.lit(0), F.col("word_index") - k), F.col("word_index") + F.col("span") + (k - 1))).alias("at"))
     own = words.select("job_id", F.col("word_index").alias("at"), "word")
-    lines = want.join(own, ["job_id", "at"]).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("text"))
-    return matches.join(lines, keys, "left").withColumn("context", F.concat(F.lit('"...'), F.coalesce("text", F.lit("")), F.lit('..."'))).drop("text")
+    lines = want.hint("merge").join(own, ["job_id", "at"]).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("text"))
+    return matches.join(lines.hint("merge"), keys, "left").withColumn("context", F.concat(F.lit('"...'), F.coalesce("text", F.lit("")), F.lit('..."'))).drop("text")
 
 
 def replay(matches: DataFrame, decisions: DataFrame, least_score: float) -> DataFrame:

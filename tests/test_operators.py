@@ -258,3 +258,20 @@ def test_yaml_configuration_under_the_environment(tmp_path):
     path.write_text("a: [1")
     with pytest.raises(Exception, match="flow sequence"):
         config.load(path, {})
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_matches_are_exploded_to_is_not_broadcast(spark, tmp_path):
+    """A table of matches that is small on disk gives several times its rows, which a driver could not hold."""
+    spark.range(200).selectExpr("id AS job_id", "CAST(id AS INT) AS word_index", "1 AS span", "2 AS line_no", "'the' AS entry").write.parquet(f"{tmp_path}/m")
+    spark.range(200).selectExpr("id AS job_id", "CAST(id AS INT) AS word_index", "'the' AS word", "1 AS start", "2 AS end").write.parquet(f"{tmp_path}/w")
+    m, w = spark.read.parquet(f"{tmp_path}/m"), spark.read.parquet(f"{tmp_path}/w")
+    assert "Broadcast" not in plan_of(rv.context(m, w, 3))
+    intervals = m.selectExpr("job_id", "word_index AS start", "word_index + 9 AS end")
+    assert "Broadcast" not in plan_of(rs.covered_words(w, intervals, 5)) + plan_of(rs.mark_covered(w, intervals, 5))
+    rules = spark.createDataFrame([("the", "in", 2, 1)], "entry string, near string, before int, after int")
+    plan = plan_of(fl.keep_by_context(m, w, rules))
+    assert plan.count("SortMergeJoin") == 2 and plan.count("BroadcastHashJoin") == 2  # that of the rules, on each side
