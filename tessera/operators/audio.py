@@ -61,10 +61,16 @@ def downmix_block(samples: Column, channels: int) -> Column:
     """
     if channels not in MIX:
         raise ValueError(f"no downmix for {channels} channels")
-    sides, frames = MIX[channels], F.sequence(F.lit(0), F.floor(F.size(samples) / channels).cast("int") - 1)
+    sides = MIX[channels]
     scale = max(1.0, *(sum(side) for side in sides))
-    frame = lambda i: F.array(*[F.round(sum((F.get(samples, i * channels + c) * (w / scale) for c, w in enumerate(side) if w), F.lit(0.0))).cast("smallint") for side in sides])
-    return F.when(F.size(samples) < channels, F.array().cast("array<smallint>")).otherwise(F.flatten(F.transform(frames, frame)))
+
+    def mixed(own: Column) -> Column:
+        frames = F.sequence(F.lit(0), F.floor(F.size(own) / channels).cast("int") - 1)
+        frame = lambda i: F.array(*[F.round(sum((F.get(own, i * channels + c) * (w / scale) for c, w in enumerate(side) if w), F.lit(0.0))).cast("smallint") for side in sides])
+        return F.when(F.size(own) < channels, F.array().cast("array<smallint>")).otherwise(F.flatten(F.transform(frames, frame)))
+
+    # as the variable of a function samples are worked out once, and not once for each sample that is looked at
+    return F.get(F.transform(F.array(samples), mixed), F.lit(0))
 
 
 def check_method(method: str, n_intervals: int) -> None:
