@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip, strip_punctuation
+from tessera.sources.tables import saved
 
 MATCHES = ["job_id", "word_index", "span", "matched_text", "entry", "line_no", "start", "end", "score"]
 #: Up to this many single-word rules stay one expression.
@@ -67,16 +68,16 @@ def rules(lexicon: DataFrame, most: int = 100_000) -> list[Rule]:
     return [Rule(r.raw, tuple(r.tokens), r.match_type, r.case_sensitive, r.line_no) for r in got]
 
 
-def _test(rule: Rule, token: Column) -> Column:
-    own, root = (token, rule.tokens[0]) if rule.case_sensitive else (F.lower(token), rule.tokens[0].lower())
+def _test(rule: Rule, token: Column, low: Column) -> Column:
+    own, root = (token, rule.tokens[0]) if rule.case_sensitive else (low, rule.tokens[0].lower())
     return {"exact": own == root, "startswith": own.startswith(root), "contains": own.contains(F.lit(root))}[rule.match_type]
 
 
-def first_rule(token: Column, single: list[Rule]) -> Column:
-    """Line number of the rule that takes a token, by precedence and then file order; null if none does."""
+def first_rule(token: Column, low: Column, single: list[Rule]) -> Column:
+    """Line number of the rule that takes a token (low: in lower case), by precedence and then file order; null if none does."""
     out = None
     for rule in sorted(single, key=lambda r: (r.rank, r.line_no)):
-        out = F.when(_test(rule, token), rule.line_no) if out is None else out.when(_test(rule, token), rule.line_no)
+        out = F.when(_test(rule, token, low), rule.line_no) if out is None else out.when(_test(rule, token, low), rule.line_no)
     return (out if out is not None else F.lit(None)).cast("int")
 
 
@@ -108,14 +109,21 @@ def _names(spark: SparkSession, found: list[Rule]) -> DataFrame:
 
 
 def _timed(words: DataFrame) -> DataFrame:
-    """Words that can match: timed, with something left of them as tok."""
-    return words.where(F.col("start").isNotNull() & F.col("end").isNotNull()).withColumn("tok", strip_punctuation(F.col("word"))).where("tok <> ''")
+    """Words that can match: timed, with something left of them as tok, and low, that in lower case.
+
+    Both are worked out once for each word: as columns of a projection, filters
+    on them and on what is made of them would repeat them for each mention.
+    """
+    timed = words.where(F.col("start").isNotNull() & F.col("end").isNotNull())
+    for name, text in (("tok", strip_punctuation(F.col("word"))), ("low", F.lower("tok"))):
+        timed = timed.select("*", F.explode(F.array(text)).alias(name))
+    return timed.where("tok <> ''")
 
 
 def _with_rule(timed: DataFrame, single: list[Rule]) -> DataFrame:
     """timed with the line number of the single-word rule that takes each, null for none."""
     if len(single) <= EXPRESSION_RULES:
-        return timed.withColumn("line_no", first_rule(F.col("tok"), single))
+        return timed.withColumn("line_no", first_rule(F.col("tok"), F.col("low"), single))
     return timed.join(token_dictionary(timed, single), "tok", "left")
 
 
@@ -133,10 +141,10 @@ def _hits(words: DataFrame, found: list[Rule], with_single: bool) -> DataFrame:
     timed, parts = _with_rule(_timed(words), single), sorted({t.lower() for r in phrases for t in r.tokens})
     in_phrase = F.lit(False)
     if 0 < len(parts) <= EXPRESSION_RULES:
-        in_phrase = F.lower("tok").isin(parts)
+        in_phrase = F.col("low").isin(parts)
     elif parts:
         some = F.broadcast(spark.createDataFrame([(t,) for t in parts], "__part string"))
-        timed, in_phrase = timed.join(some, F.lower("tok") == F.col("__part"), "left"), F.col("__part").isNotNull()
+        timed, in_phrase = timed.join(some, F.col("low") == F.col("__part"), "left"), F.col("__part").isNotNull()
     rows = timed.where(F.col("line_no").isNotNull() | in_phrase)
     own = F.struct("word_index", "word", "tok", "end", F.coalesce("score", F.lit(0)).alias("score"))
     by = Window.partitionBy("job_id").orderBy("word_index")
@@ -192,7 +200,8 @@ def keep_by_context(matches: DataFrame, words: DataFrame, rules: DataFrame) -> D
     matches there by (job, index, entry), so the cost follows the words that some rule
     names. A phrase's context lies around the whole phrase. Rules for other entries, and null widths, do nothing.
     """
-    named = words.withColumn("__near", F.lower(strip_punctuation(F.col("word")))).join(F.broadcast(rules.select("entry", F.lower("near").alias("__near"), "before", "after")), "__near")
+    # saved, as it is read twice and far smaller than the words
+    named = saved(words.withColumn("__near", F.lower(strip_punctuation(F.col("word")))).join(F.broadcast(rules.select("entry", F.lower("near").alias("__near"), "before", "after")), "__near").where("before > 0 or after > 0").select("job_id", "entry", "word_index", "before", "after"))
     # ahead of a match that starts at index + d, or behind one whose last word is at index - d
     ahead = named.where("before > 0").select("job_id", "entry", F.explode(F.expr("sequence(1, before)")).alias("__d"), "word_index").select("job_id", "entry", (F.col("word_index") + F.col("__d")).alias("__first"))
     behind = named.where("after > 0").select("job_id", "entry", F.explode(F.expr("sequence(1, after)")).alias("__d"), "word_index").select("job_id", "entry", (F.col("word_index") - F.col("__d")).alias("__last"))

@@ -29,7 +29,7 @@ def lexicon_rules(spark: SparkSession) -> list[Rule]:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents; every 37th can't be aligned and has no times, every 41st no score."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), each=16 << 20)
     rows = docs.select(F.col("doc_id").alias("job_id"), F.posexplode(tokens(F.col("text"))).alias("word_index", "word"))
     both = F.col("job_id") + F.col("word_index")
     timed = both % 37 != 36

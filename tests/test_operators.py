@@ -15,6 +15,7 @@ from tessera.operators import resolve as rs
 from tessera.operators import review as rv
 from tessera.operators import segments as sg
 from tessera.sources import readers, writers
+from tessera.sources.tables import spread
 from tessera.streaming.progress import session_intervals
 
 WORDS = "job_id long, word_index int, word string, start int, end int, score int"
@@ -274,4 +275,32 @@ def test_what_matches_are_exploded_to_is_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in plan_of(rs.covered_words(w, intervals, 5)) + plan_of(rs.mark_covered(w, intervals, 5))
     rules = spark.createDataFrame([("the", "in", 2, 1)], "entry string, near string, before int, after int")
     plan = plan_of(fl.keep_by_context(m, w, rules))
-    assert plan.count("SortMergeJoin") == 2 and plan.count("BroadcastHashJoin") == 2  # that of the rules, on each side
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+
+
+def test_tokens_are_worked_out_once_for_each_word(spark, tmp_path):
+    """As plain columns they would stand in a filter once for each rule that mentions them."""
+    spark.range(50).selectExpr("id AS job_id", "CAST(id AS INT) AS word_index", "'the' AS word", "1 AS start", "2 AS end", "3 AS score").write.parquet(f"{tmp_path}/w")
+    some = [fl.Rule(w, (w,), "exact", False, i) for i, w in enumerate(["a", "b", "c", "d", "the"])] + [fl.Rule("of the", ("of", "the"), "exact", False, 9)]
+    for found in (fl.flag, fl.single_matches, fl.phrase_matches):
+        plan = plan_of(found(spark.read.parquet(f"{tmp_path}/w"), some))
+        assert plan.count("trim(") == 1 and plan.count("lower(tok") == 1
+    assert fl.flag(spark.read.parquet(f"{tmp_path}/w"), some).count() == 50
+
+
+def test_large_tables_are_dealt_out_too(spark, tmp_path):
+    """One file with one row group was one task, if it had more than 128 MB."""
+    spark.range(3000).selectExpr("id", "sha2(CAST(id AS STRING), 512) AS text").coalesce(1).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert spread(table, most=1, each=size // 9).rdd.getNumPartitions() >= 9
+    assert spread(table, most=1).rdd.getNumPartitions() == table.rdd.getNumPartitions()
+    assert spread(table).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(table, most=1, each=size // 9).count() == 3000
+
+
+def test_samples_are_worked_out_once_for_a_downmix(spark):
+    """Samples that are made by an expression were made again for each sample that was looked at."""
+    made = F.transform(F.sequence(F.lit(0), F.col("id") * 6 + 5), lambda i: (i + 777_777).cast("int"))
+    plan = spark.range(1).select(audio.downmix_block(made, 6).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("777777") == 1
