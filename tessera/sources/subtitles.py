@@ -1,8 +1,9 @@
 """Subtitle files: blocks of a number, a line of two times and lines of text, with blank lines between them.
 
-The reader takes a blank line as the end of a record, so Spark splits large
-files between blocks; what a file separates in another way (carriage returns,
-blanks on empty lines) is split once more by column functions. A block that
+The reader takes lines as records, so Spark splits large files anywhere, and
+counts blank lines along each file to put lines together to blocks again. (With
+two line feeds as the end of a record, a split that ends behind a single one
+would read the record behind it too, as does the next split.) A block that
 can't be read becomes a row with an error and its raw text, and nothing is
 dropped. Files may begin with a byte order mark, numbers may be missing or
 wrong, hours may have more than two digits, fractions one to three digits after
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.scan import Ordered
+
 #: What a line of times looks like.
 TIMES = r"^\s*(\d+):(\d\d):(\d\d)(?:[,.](\d{1,3}))?\s*-->\s*(\d+):(\d\d):(\d\d)(?:[,.](\d{1,3}))?(?:\s+(\S.*?))?\s*$"
 BLANK = r"\n(?:[ \t]*\n)+"
@@ -49,11 +52,16 @@ def parse_blocks(blocks: DataFrame, block: str = "block") -> DataFrame:
 
 def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     """One row for each block: file, the columns of folders like job_id=7, split_start and at (which order a file's blocks), and those of parse_blocks."""
-    records = spark.read.option("lineSep", "\n\n").text(path)
+    records = spark.read.text(path)
+    folders = [c for c in records.columns if c != "value"]
     own = records.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split_start"), F.monotonically_increasing_id().alias("at"))
-    plain = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r\n?", "\n")
-    blocks = own.withColumn("block", F.explode(F.split(plain, BLANK))).drop("value").where(F.trim(F.btrim("block", F.lit("\n \t"))) != "")
-    return parse_blocks(blocks)
+    blank = F.btrim("value", F.lit(" \t")) == ""
+    lines = Ordered.of(own, ["file"], ["split_start", "at"]).scan("__block", "sum", blank.cast("long")).rows.where(~blank)
+    line = F.struct("split_start", "at", "value")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = lines.repartition(parts, "file", *folders, "__block").groupBy("file", *folders, "__block").agg(F.array_sort(F.collect_list(line)).alias("__lines"))  # of one block
+    text = F.regexp_replace(F.array_join(F.transform("__lines", lambda x: x["value"]), "\n"), "^﻿", "")
+    return parse_blocks(blocks.select(*folders, "file", F.col("__lines")[0]["split_start"].alias("split_start"), F.col("__lines")[0]["at"].alias("at"), text.alias("block")))
 
 
 def clock(ms: Column) -> Column:

@@ -48,6 +48,22 @@ def test_large_files_are_split_between_blocks(spark, tmp_path):
     assert [r.cue_index for r in rows] == list(range(1, 3001)) and all(r.error is None for r in rows)
 
 
+@pytest.mark.parametrize("size", [1000, 1009, 1013, 1021])
+def test_files_may_be_split_anywhere(spark, tmp_path, size):
+    """Behind each line feed too, and within the three that follow an empty text."""
+    (tmp_path / "a.srt").write_text("\n\n".join(f"{i}\n00:00:01,000 --> 00:01:00,000\n{'' if i % 4 == 0 else 'a' * (i % 3)}" for i in range(1, 1501)))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = read_subtitles(spark, str(tmp_path)).orderBy("split_start", "at").collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert [(r.cue_index, r.error) for r in rows] == [(i, None) for i in range(1, 1501)]
+    assert len({r.split_start for r in rows}) > 40
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
