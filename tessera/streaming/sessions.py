@@ -42,7 +42,7 @@ def merged(sessions: list[tuple[int, int, int]], gap: int) -> list[tuple[int, in
 
 
 class Sessions(StatefulProcessor):
-    """Open sessions of a key, in a list state; a timer for the end of each."""
+    """Open sessions of a key, in a list state; one timer, for the end of that which ends first."""
 
     def __init__(self, gap: int) -> None:
         self.gap = gap  # microseconds
@@ -60,8 +60,7 @@ class Sessions(StatefulProcessor):
         if fresh:
             every = merged(known + fresh, self.gap)
             self.open.put(every)
-            for _, last, _ in set(every) - set(known):
-                self.handle.registerTimer(self.expiry(last))
+            self.wake(every, min((self.expiry(s[1]) for s in known), default=None))
         if late:
             yield self.rows("late", key, late)
 
@@ -75,8 +74,19 @@ class Sessions(StatefulProcessor):
                 self.open.put(left)
             else:
                 self.open.clear()
+        else:
+            left = known  # what it was for has grown since
+        if left:
+            self.wake(left)
+        if done:
             yield self.rows("session", key, done)
 
+    def wake(self, every: list[tuple[int, int, int]], set_for: int | None = None) -> None:
+        """A timer for the end of the session that ends first, unless there is one. One for each session would be a call for each of them, twice."""
+        first = min(self.expiry(s[1]) for s in every)
+        if first != set_for:
+            self.handle.registerTimer(first)
+
     def expiry(self, last: int) -> int:
         """The watermark, in milliseconds, from which on no row can be near enough."""
         return (last + self.gap) // 1000 + 1000

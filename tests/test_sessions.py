@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,59 @@ def test_rows_of_a_second_are_one():
     batch = pa.RecordBatch.from_pylist([{"key": k, "at": t} for k, t in [(1, 999_999), (1, 5), (1, 1_000_000), (2, 7), (1, 6)]])
     rows = [r for b in ss._by_second(iter([batch])) for r in b.to_pylist()]
     assert sorted(tuple(r.values()) for r in rows) == [(1, 5, 999_999, 3), (1, 1_000_000, 1_000_000, 1), (2, 7, 7, 1)]
+
+
+class Handle:
+    """What a key's sessions ask of Spark, counted."""
+
+    def __init__(self):
+        self.held, self.timers, self.calls = [], set(), 0
+
+    def getListState(self, *_):
+        return self
+
+    def get(self):
+        return iter(self.held)
+
+    def put(self, rows):
+        self.held = list(rows)
+
+    def clear(self):
+        self.held = []
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class Now:
+    def __init__(self, mark):
+        self.mark = mark
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_a_key_has_one_timer_however_many_sessions(seed):
+    r, handle, mark, want, got, fired = random.Random(seed), Handle(), 0, [], [], 0
+    one = ss.Sessions(GAP * 10**6)
+    one.init(handle)
+
+    def fire():
+        nonlocal fired
+        while due := sorted(t for t in handle.timers if t <= mark):
+            handle.timers.discard(due[0])
+            fired += 1
+            got.extend(x for b in one.handleExpiredTimer((1,), Now(mark), None) for x in b[["first", "last", "n"]].itertuples(index=False, name=None))
+
+    for part in range(4):
+        times = [mark * 1000 + r.randrange(8_000) * 10**6 for _ in range(60)]
+        want += times
+        list(one.handleInputRows((1,), iter([pd.DataFrame({"first": times, "last": times, "n": 1})]), Now(mark)))
+        mark = max(mark, max(want) // 1000 - DELAY * 1000)
+        fire()
+    mark = max(want) // 1000 + 10**9
+    fire()
+    assert sorted(map(tuple, got)) == merged([(t, t, 1) for t in want], GAP * 10**6) and not handle.held
+    assert handle.calls <= 2 * 4 + 2 + fired and len(got) > 5 * fired
