@@ -103,12 +103,29 @@ class Transcriber(Protocol):
     def __call__(self, audio: bytes) -> list[tuple[str, float | None, float | None, float | None]]: ...
 
 
+#: Bytes of audio that a batch for a tool holds, or one row, and words that a batch of rows holds, or those of one segment.
+BATCH_BYTES, BATCH_WORDS = 4 << 20, 20_000
+
+
+def _bounded(batches: Iterator[pd.DataFrame], audio: str) -> Iterator[pd.DataFrame]:
+    """Batches of at most BATCH_BYTES of audio, or of one row: what a tool gives for a batch is held at once."""
+    for batch in batches:
+        at, held = 0, 0
+        for i, size in enumerate(batch[audio].map(len)):
+            if held and held + size > BATCH_BYTES:
+                yield batch.iloc[at:i]
+                at, held = i, 0
+            held += size
+        if len(batch) > at:
+            yield batch.iloc[at:]
+
+
 def separate(segments: DataFrame, make: Callable[[], Separator]) -> DataFrame:
     """(job_id, segment_index, dialogue, background) of segments (job_id, segment_index, audio); one model for each task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
-        for batch in batches:
+        for batch in _bounded(batches, "audio"):
             parts = [model(bytes(a)) for a in batch["audio"]]
             yield batch[["job_id", "segment_index"]].assign(dialogue=[p[0] for p in parts], background=[p[1] for p in parts])
 
@@ -120,7 +137,7 @@ def downmix(tracks: DataFrame, make: Callable[[], Downmixer]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = make()
-        for batch in batches:
+        for batch in _bounded(batches, "audio"):
             yield batch[["job_id"]].assign(stereo=[tool(bytes(a), int(c)) for a, c in zip(batch["audio"], batch["channels"], strict=True)])
 
     return tracks.select("job_id", "audio", "channels").mapInPandas(run, "job_id long, stereo binary")
@@ -134,7 +151,7 @@ def encode(tracks: DataFrame, make: Callable[[], Encoder]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = make()
-        for batch in batches:
+        for batch in _bounded(batches, "audio"):
             done = [tool(bytes(a), e, int(b), s) for a, e, b, s in zip(batch["audio"], batch["encoder"], batch["bitrate"], batch["layout"], strict=True)]
             yield batch[["job_id", "encoder", "bitrate", "reason"]].assign(encoded=done)
 
@@ -145,10 +162,16 @@ def transcribe(segments: DataFrame, make: Callable[[], Transcriber]) -> DataFram
     """Word rows (job_id, segment_index, pos, word, start, end, score); empty words are dropped and a segment may have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make()
+        model, columns = make(), ["job_id", "segment_index", "pos", "word", "start", "end", "score"]
         for batch in batches:
-            rows = [(j, s, *w) for j, s, a in zip(batch["job_id"], batch["segment_index"], batch["dialogue"], strict=True) for w in enumerate_words(model(bytes(a)))]
-            yield pd.DataFrame(rows, columns=["job_id", "segment_index", "pos", "word", "start", "end", "score"])
+            rows = []
+            for j, s, a in zip(batch["job_id"], batch["segment_index"], batch["dialogue"], strict=True):
+                own = [(j, s, *w) for w in enumerate_words(model(bytes(a)))]
+                if rows and len(rows) + len(own) > BATCH_WORDS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+                rows += own
+            yield pd.DataFrame(rows, columns=columns)
 
     return segments.select("job_id", "segment_index", "dialogue").mapInPandas(run, "job_id long, segment_index int, pos int, word string, start double, end double, score double")
 

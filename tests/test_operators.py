@@ -4,6 +4,7 @@ import json
 import random
 import string
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,3 +305,24 @@ def test_samples_are_worked_out_once_for_a_downmix(spark):
     made = F.transform(F.sequence(F.lit(0), F.col("id") * 6 + 5), lambda i: (i + 777_777).cast("int"))
     plan = spark.range(1).select(audio.downmix_block(made, 6).alias("x"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("777777") == 1
+
+
+def test_words_of_many_segments_come_in_bounded_batches(spark):
+    """All words of 10,000 segments were one table of a worker."""
+    rows = spark.range(900).selectExpr("id AS job_id", "1 AS segment_index", "CAST(repeat('ab ', 100) AS BINARY) AS dialogue").coalesce(1)
+    batches = list(audio._bounded(iter([pd.DataFrame({"audio": [b"x" * (3 << 20), b"", b"y" * (2 << 20), b"z" * (9 << 20), b"w"]})]), "audio"))
+    assert [list(b.index) for b in batches] == [[0, 1], [2], [3], [4]]
+    whole = audio.transcribe(rows, audio.TextTranscriber)
+    assert whole.count() == 90_000 and whole.where("pos = 99").count() == 900
+    run = {}
+
+    class Rows:
+        def mapInPandas(self, f, schema):
+            run["f"] = f
+
+        def select(self, *_):
+            return self
+
+    audio.transcribe(Rows(), audio.TextTranscriber)
+    held = [len(b) for b in run["f"](iter([pd.DataFrame({"job_id": range(900), "segment_index": 1, "dialogue": [b"ab " * 100] * 900})]))]
+    assert sum(held) == 90_000 and max(held) <= audio.BATCH_WORDS
