@@ -77,7 +77,8 @@ def _binned(words: DataFrame, intervals: DataFrame, width: int, how: str) -> Dat
     bins = bins.select(F.col(JOB).alias("__hit"), F.col("bin").alias("__bin"), "a", "b")
     own = words.withColumn("bin", F.floor(F.col("start") / width))
     hit = (F.col(JOB) == F.col("__hit")) & (F.col("bin") == F.col("__bin")) & F.col("start").between(F.col("a"), F.col("b"))
-    return own.join(bins.hint("merge"), hit, how)  # how many bins there are isn't seen in the size of the intervals' table.drop("bin", "__bin", "a", "b")
+    # how many bins there are isn't seen in the size of the intervals' table
+    return own.join(bins.hint("merge"), hit, how).drop("bin", "__bin", "a", "b")
 
 
 def statistics(matches: DataFrame, overrides: DataFrame, merged: DataFrame) -> DataFrame:

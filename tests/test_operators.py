@@ -274,6 +274,7 @@ def test_what_matches_are_exploded_to_is_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in plan_of(rv.context(m, w, 3))
     intervals = m.selectExpr("job_id", "word_index AS start", "word_index + 9 AS end")
     assert "Broadcast" not in plan_of(rs.covered_words(w, intervals, 5)) + plan_of(rs.mark_covered(w, intervals, 5))
+    assert rs.covered_words(w, intervals, 5).columns == w.columns and rs.mark_covered(w, intervals, 5).columns == [*w.columns, "covered"]
     rules = spark.createDataFrame([("the", "in", 2, 1)], "entry string, near string, before int, after int")
     plan = plan_of(fl.keep_by_context(m, w, rules))
     assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
