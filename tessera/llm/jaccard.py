@@ -68,7 +68,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import give_back, hint, map_rows, map_texts, partitions, saved, small, spent
+from tessera.llm.shared import give_back, map_rows, map_texts, partitions, saved, small, spent
 from tessera.llm.text import NOT_SPACE, Words, grams, mix, pieces, rows
 
 LEVELS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64])
@@ -200,9 +200,20 @@ def count_frequent(docs: DataFrame, text: str, k: int, ranges: int, parts: int,
 
     blobs = map_rows(docs.select(text), "r int, blob binary", spread)
     hot = map_rows(blobs.repartition(parts, "r").sortWithinPartitions("r"), "w long, c long", gather)
-    got = saved(hot.orderBy(F.desc("c"), "w").limit(most)).toArrow()
-    frequent = Frequent(np.asarray(got.column("w")).astype(np.uint64), np.asarray(got.column("c")).astype(np.int64))
-    del got
+    kept = saved(hot.orderBy(F.desc("c"), "w").limit(most))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            yield {"w": [np.asarray(batch.column("w")).tobytes()], "c": [np.asarray(batch.column("c")).tobytes()]}
+
+    # as blobs, a part at a time: the driver holds the arrays once, and Spark's side of it a part of them
+    w, c = [], []
+    for row in map_rows(kept.repartition(16), "w binary, c binary", packed).toLocalIterator():
+        w.append(np.frombuffer(row.w, np.uint64))
+        c.append(np.frombuffer(row.c, np.int64))
+    frequent = Frequent(np.concatenate([np.zeros(0, np.uint64), *w]), np.concatenate([np.zeros(0, np.int64), *c]))
+    del w, c
+    spent(kept)
     give_back()
     return frequent
 
@@ -602,16 +613,17 @@ def _compare(percent: int):
     return run
 
 
-def verify(docs: DataFrame, keys: DataFrame, pairs: DataFrame, text: str, k: int, percent: int, parts: int, group: int = 128, broadcast_rows: int = 100_000) -> DataFrame:
+def verify(docs: DataFrame, keys: DataFrame, pairs: DataFrame, text: str, k: int, percent: int, parts: int, group: int = 128, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough; repeated rows may repeat pairs. keys: node to the key of a row that has it."""
-    few = pairs.count() * 48 <= 8 << 20
-    pairs = F.broadcast(pairs) if few else pairs
+    n = pairs.count()
+    few = n * 200 <= 8 << 20  # what nodes need: two nodes for each pair at most, some 100 bytes each
+    pairs = F.broadcast(pairs) if n * 48 <= 8 << 20 else pairs
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / group).cast("int").alias("salts"))
     members = pairs.join(salts, "a").select(F.col("b").alias("node"), F.struct(F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role")).alias("x"))
     leads = salts.select(F.col("a").alias("node"), F.explode(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda s: F.struct(F.col("a").alias("lead"), s.alias("salt"), F.lit(0).alias("role")))).alias("x"))
     need = members.unionByName(leads).groupBy("node").agg(F.collect_list("x").alias("need"))
-    wanted = saved((F.broadcast(need) if few else need).join(keys, "node").select(F.col("key").alias("__key"), "node", "need"))
-    sent = docs.select(F.col("__key"), F.col(text).alias("text")).join(hint(wanted, broadcast_rows), "__key").select("text", "node", "need")
+    wanted = saved((F.broadcast(need) if few else need.hint("merge")).join(keys, "node").select(F.col("key").alias("__key"), "node", "need"))
+    sent = docs.select(F.col("__key"), F.col(text).alias("text")).join(small(wanted, 64 + 100 * F.size("need"), broadcast_bytes), "__key").select("text", "node", "need")
     sets = map_rows(sent, "lead binary, salt int, role int, node binary, tokens binary", _send(k))
     dealt = sets.repartition(parts, "lead", "salt").sortWithinPartitions("lead", "salt", "role")
     links = saved(map_rows(dealt, "a binary, b binary", _compare(percent)))

@@ -137,6 +137,10 @@ def hint(df: DataFrame, rows: int) -> DataFrame:
 
 
 def small(df: DataFrame, weight: Column | int, limit: int = 8 << 20) -> DataFrame:
-    """df, a computed table, marked for broadcast if its rows' weights in bytes add up to at most the limit."""
+    """df, a computed table, marked for broadcast if its rows' weights in bytes add up to at most the limit, and else against it.
+
+    Left alone, Spark would broadcast tables of up to 10 MB on disk, which are
+    many times that in the driver's memory.
+    """
     size = df.count() * weight if isinstance(weight, int) else df.agg(F.sum(weight)).first()[0] or 0
-    return F.broadcast(df) if size <= limit else df
+    return F.broadcast(df) if size <= limit else df.hint("merge")

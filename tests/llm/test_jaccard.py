@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import jaccard
 from tessera.llm.jaccard import near_duplicate_links, near_duplicates
@@ -125,3 +126,14 @@ def test_long_lists_are_dealt_out(spark, monkeypatch):
 def test_carried_columns(spark):
     df = spark.createDataFrame([(1, "a b", "x"), (5, "a b", "y"), (5, "c", "z"), (6, None, "n")], "doc_id long, text string, mark string")
     assert sorted(tuple(r) for r in near_duplicates(df, carry=("mark",)).collect()) == [(1, 1, 1, "x"), (5, 1, 1, "y"), (5, 1, 5, "z"), (6, 0, 6, "n")]
+
+
+def test_tables_beyond_the_bound_are_not_broadcast(spark, tmp_path):
+    """A table is small on disk long after it is too large for a driver; Spark alone looks at its files."""
+    from tessera.llm.shared import small
+
+    spark.range(2000).selectExpr("id % 7 AS node", "1 AS x").write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    plan = lambda limit: spark.range(10).withColumnRenamed("id", "node").join(small(table, 64, limit), "node", "left")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan(1 << 20) and "Broadcast" not in plan(1 << 10)
+    assert "Broadcast" not in spark.range(10).withColumnRenamed("id", "node").join(small(table, F.lit(64), 1 << 10).select("node"), "node", "left_anti")._jdf.queryExecution().executedPlan().toString()
