@@ -31,7 +31,7 @@ Lists of more than HOT postings, as of a large group of near copies that are not
 all similar, would give the square of their size in candidates. They are
 verified where they are: the first shared shingle of two similar sets lies in
 both of their shortest prefixes, so of a hot list only those postings count, and
-whole sets meet in pairs of blocks of bounded bytes. A task multiplies the
+whole sets meet in pairs of blocks of bounded bytes, once for all lists with one largest component. A task multiplies the
 blocks' membership matrices and gives only links that join two components, a
 forest of them, so its output grows with the nodes and not with their pairs.
 
@@ -490,10 +490,10 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _blocks(percent: int):
-    """Links that join components, a forest of them, of each pair of blocks (tok, x, y) of a hot list."""
+    """Links that join components, a forest of them, of each pair of blocks (unit, x, y)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        stream = ((key, row) for batch in batches for key, row in zip(zip(*(batch.column(c).to_pylist() for c in ("tok", "x", "y")), strict=True), zip(*(batch.column(c) for c in ("own", "node", "root", "tokens")), strict=True), strict=True))
+        stream = ((key, row) for batch in batches for key, row in zip(zip(*(batch.column(c).to_pylist() for c in ("unit", "x", "y")), strict=True), zip(*(batch.column(c) for c in ("own", "node", "root", "tokens")), strict=True), strict=True))
         for (_, x, y), group in groupby(stream, key=lambda r: r[0]):
             sides = {x: [], y: []}
             for _, (own, node, root, tokens) in group:
@@ -551,19 +551,52 @@ def node_sets(docs: DataFrame, keys: DataFrame, nodes: DataFrame, text: str, k:
     return sets
 
 
+def units(member: DataFrame) -> DataFrame:
+    """(unit, main, node, root, n): what is compared with each other, from members (tok, node, root, n) of lists that hold several components.
+
+    A group of near copies shares nearly the same lists, so lists with the same
+    largest component (main) are one unit, whose nodes come once however many
+    lists they are in. Where that would compare more pairs than the lists do, each list stays a unit.
+    """
+    size = member.groupBy("tok", "root").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
+    lists = saved(size.groupBy("tok").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("m").alias("m")))
+    of_main = member.join(small(lists.select("tok", "main"), 40), "tok")
+    every = saved(of_main.select("main", "node", "root", "n").distinct())
+    pairs = lists.groupBy("main").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
+    merged = saved(every.groupBy("main").agg(F.count("*").alias("m")).join(pairs, "main").where("m * m <= pairs").select("main"))
+    together = every.join(small(merged, 32), "main").withColumn("unit", F.col("main"))
+    alone = of_main.join(small(merged, 32), "main", "left_anti").withColumn("unit", F.unhex(F.hex("tok")))
+    columns = ["unit", "main", "node", "root", "n"]
+    out = saved(together.select(columns).unionByName(alone.select(columns)))
+    spent(lists, every, merged)
+    return out
+
+
 def hot_links(docs: DataFrame, keys: DataFrame, entry: DataFrame, hot: DataFrame, text: str, k: int, percent: int, parts: int) -> DataFrame:
-    """Links (a, b) between components among the members of hot lists."""
+    """Links (a, b) between components among the members of hot lists.
+
+    Members meet in blocks. Those of a unit's largest component are in blocks of their own,
+    which are not paired with each other: only the others are sent to many.
+    """
     least = F.floor((F.col("n") * percent + 99) / 100)
-    near = entry.join(small(hot.select("tok"), 16), "tok").where(F.col("place") <= F.col("n") - least)
-    lists = near.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("blocks")).where("lo <> hi")
-    lists = small(saved(lists), 24)
-    member = saved(near.join(lists.select("tok", "blocks"), "tok").select("tok", "blocks", "node", "root"))
+    near = entry.join(small(hot.select("tok"), 16), "tok").where(F.col("place") <= F.col("n") - least).select("tok", "node", "root", "n")
+    mixed = saved(near.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok"))
+    member = saved(near.join(small(mixed, 16), "tok"))
     sets = node_sets(docs, keys, member.select("node").distinct(), text, k)
-    split = member.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("z", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = split.select("tok", F.least("own", "z").alias("x"), F.greatest("own", "z").alias("y"), "own", "node", "root").join(sets, "node")
-    dealt = dealt.repartition(parts, "tok", "x", "y").sortWithinPartitions("tok", "x", "y")
-    links = saved(map_rows(dealt.select("tok", "x", "y", "own", "node", "root", "tokens"), "a binary, b binary", _blocks(percent)))
-    spent(member, sets)
+    every = units(member)
+    main = F.col("root") == F.col("main")
+    blocks = lambda n: F.ceil(n * 8 / BLOCK_BYTES).cast("int")
+    size = every.groupBy("unit").agg(F.sum("n").alias("n"), F.sum(F.when(main, F.col("n")).otherwise(0)).alias("most"))
+    fits = blocks(F.col("n")) <= 1
+    size = saved(size.select("unit", F.when(fits, 1).otherwise(blocks(F.col("n") - F.col("most"))).alias("others"), F.when(fits, 0).otherwise(blocks(F.col("most"))).alias("mains")))
+    aside = main & (F.col("mains") > 0)
+    number = F.pmod(F.xxhash64("node"), F.when(aside, F.col("mains")).otherwise(F.col("others"))).cast("int")
+    split = every.join(small(size, 40), "unit").withColumn("own", number + F.when(aside, F.col("others")).otherwise(0))
+    split = split.withColumn("z", F.explode(F.sequence(F.lit(0), F.col("others") + F.when(aside, 0).otherwise(F.col("mains")) - 1)))
+    dealt = split.select("unit", F.least("own", "z").alias("x"), F.greatest("own", "z").alias("y"), "own", "node", "root").join(sets, "node")
+    dealt = dealt.repartition(parts, "unit", "x", "y").sortWithinPartitions("unit", "x", "y")
+    links = saved(map_rows(dealt.select("unit", "x", "y", "own", "node", "root", "tokens"), "a binary, b binary", _blocks(percent)))
+    spent(mixed, member, sets, every, size)
     return links
 
 

@@ -20,7 +20,8 @@ set, before anything is paired. A key of two nodes is a pair. A key of more
 links each of its nodes with one leader, which is linear; a node is compared
 with the leader that it shares most keys with, then with its others as far as
 they are still in another component. Keys that then still hold several
-components are settled whole: their nodes' sets meet in pairs of blocks of
+components are settled whole, those with the same largest component at once, as
+near copies share most of their keys: their nodes' sets meet in pairs of blocks of
 bounded bytes, and only links that join components leave a block. Every link
 that counts is confirmed on whole sets, and none between components is left
 out that shares a key.

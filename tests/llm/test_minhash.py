@@ -83,6 +83,29 @@ def test_large_group_of_which_many_are_not_quite_similar(spark, monkeypatch):
     assert 2 < len({c for _, _, c, _ in want}) < 200
 
 
+@pytest.mark.parametrize("size", [100, 200])
+def test_sets_of_a_large_group_are_sent_once_and_not_for_each_key(spark, monkeypatch, size):
+    """Near copies share most of their keys, so what is sent for each key grows faster than the group."""
+    sent, rows = [], jaccard.map_rows
+    monkeypatch.setattr(jaccard, "map_rows", lambda df, *a: (sent.append(df.count() if "own" in df.columns else 0), rows(df, *a))[1])
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(90)]
+    docs = [(i, " ".join(edit(r, base, r.choice([0.02, 0.06, 0.09])))) for i in range(size)]
+    assert found(spark, docs) == brute(docs)
+    assert 0 < sum(sent) <= 6 * size
+
+
+def test_lists_are_merged_only_if_that_compares_no_more_pairs(spark):
+    node = lambda x: x.to_bytes(16, "big")
+    # one list of a component and others, twice; and a component whose nodes each are in a list with another one
+    member = [(tok, node(i), node(1 if i < 6 else i), 10) for tok in (1, 2) for i in range(1, 9)]
+    member += [(tok, node(i), node(r), n) for tok in range(10, 15) for i, r, n in ((tok * 10, 100, 20), (tok * 10 + 1, tok, 10))]
+    got = [(bytes(u), bytes(m), bytes(x)) for u, m, x, _, _ in jaccard.units(spark.createDataFrame(member, "tok long, node binary, root binary, n long")).collect()]
+    want = [(node(1), node(1), node(i)) for i in range(1, 9)]
+    want += [(tok.to_bytes(8, "big").lstrip(b"\0"), node(100), node(tok * 10 + k)) for tok in range(10, 15) for k in (0, 1)]
+    assert sorted(got) == sorted(want)
+
+
 def test_odd_texts_and_repeated_rows(spark):
     docs = [(i, "same old text of six words") for i in range(1000, 1150)]
     docs += [(500, None), (501, ""), (502, " \t\n"), (503, "one"), (504, "ONE"), (505, "one two"), (None, "one two"), (None, "alone here"), (506, "a " * 5000), (507, "A " * 4000), (508, "x" * 200_000 + " b c d e"), (509, "X" * 200_000 + " b c d e"), (3, "another text with the same id"), (3, "another text with the same id"), (3, "same id but not at all the same words")]
