@@ -57,11 +57,18 @@ def plain_tokens(text: Column) -> Column:
     return F.transform(tokens(text), normal)
 
 
-def fuzzy_score(want: Column, own: Column, least: int) -> Column:
-    """The best similarity of words with as many of a cue's own words in a row (arrays of plain words); null where none reaches `least`."""
-    n, phrase = F.size(want), F.array_join(want, " ")
+def fuzzy_score(want: Column, own: Column, least: int, phrase: Column | None = None) -> Column:
+    """The best similarity of words with as many of a cue's own words in a row (arrays of plain words); null where none reaches `least`.
+
+    phrase, the words in one text, is given where it is at hand, as it is looked at for each run. Edits are
+    counted only where no run is the phrase itself.
+    """
+    n, phrase = F.size(want), F.array_join(want, " ") if phrase is None else phrase
     runs = F.when(n == 1, own).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(own) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(own, i, n), " ")))
-    return F.when((n > 0) & (F.size(own) >= n), F.array_max(F.transform(runs, lambda run: similarity(phrase, run, least))))
+    equal = F.lit(least <= 100) & (F.length(phrase) > 0) & F.array_contains(runs, phrase)
+    likely = F.filter(runs, lambda run: F.abs(F.length(run) - F.length(phrase)) * 100 <= F.greatest(F.length(run), F.length(phrase)) * (100 - least))  # at least so many edits
+    near = F.array_max(F.transform(likely, lambda run: similarity(phrase, run, least)))
+    return F.when((n > 0) & (F.size(own) >= n), F.when(equal, 100).otherwise(near))
 
 
 def confirmations(spans: DataFrame, cues: DataFrame, *, threshold: int = 85, text: str = "matched_text", key: tuple[str, ...] = ("job_id", "word_index"), width: int = 10_000) -> DataFrame:
@@ -70,9 +77,9 @@ def confirmations(spans: DataFrame, cues: DataFrame, *, threshold: int = 85, tex
     A cue confirms a span if it covers it and has text like it: of several the
     one with the best score, then the earliest. Rows that repeat a key are one span.
     """
-    want = spans.select(*key, "start", "end", plain_tokens(F.col(text)).alias("__want"))
+    want = spans.select(*key, "start", "end", plain_tokens(F.col(text)).alias("__want")).withColumn("__phrase", F.array_join("__want", " "))
     own = cues.select("job_id", "cue_index", "start", "end", plain_tokens(F.col("text")).alias("text"))
-    scored = covering(want, own, width).withColumn("fuzzy", fuzzy_score(F.col("__want"), F.col("cue_text"), threshold)).where("fuzzy is not null")
+    scored = covering(want, own, width).withColumn("fuzzy", fuzzy_score(F.col("__want"), F.col("cue_text"), threshold, F.col("__phrase"))).where("fuzzy is not null")
     return scored.groupBy(*key).agg(F.min_by(F.struct("cue_index", "fuzzy", "cue_start", "cue_end"), F.struct(-F.col("fuzzy"), "cue_start", "cue_index")).alias("cue"))
 
 

@@ -286,3 +286,10 @@ def test_reconciliation(spark):
     assert rows("auto", confidence=0)[1, 2][:2] == ("replace", "quite soon") and rows("report", divergence=50)[1, 3][0] == "keep"
     with pytest.raises(ValueError):
         st.reconcile(c, w, mode="other")
+
+
+def test_words_that_a_cue_has_need_no_edits(spark, monkeypatch):
+    rows = spark.createDataFrame([(["the"], ["them", "the"]), (["in", "the"], ["x", "in", "the"]), (["quite"], ["the", "of"]), ([], ["a"]), (["a"], [])], "want array<string>, own array<string>")
+    monkeypatch.setattr(st, "similarity", lambda a, b, least: F.raise_error(F.lit("edits counted")).cast("int"))
+    got = rows.select(st.fuzzy_score(F.col("want"), F.col("own"), 85)).collect()
+    assert [r[0] for r in got] == [100, 100, None, None, None]
