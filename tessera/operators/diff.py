@@ -1,7 +1,8 @@
 """Differences of two sequences of words, exact and in linear memory.
 
 The kernel is divide and conquer over rows of the table of common
-subsequences, of which only single rows are ever held. A row is one whole
+subsequences, of which only single rows are held until a part's whole table
+has at most HELD bits, which are held and traced back. A row is one whole
 number with a bit for each word of the other side, so a step covers all its
 words at once. What both sides begin and end with is cut off first. The script has
 as few deleted and inserted words as there can be.
@@ -26,6 +27,7 @@ from pyspark.sql import types as T
 from tessera.operators.scan import Ordered
 from tessera.sources.tables import saved
 
+HELD = 1 << 24  # bits of the table that are held at once
 PLACES = ("a_start", "a_end", "b_start", "b_end")
 
 
@@ -42,6 +44,29 @@ def common_lengths(a: Sequence, b: Sequence) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))  # a zero is a step up
 
 
+def _traced(a: list, b: list) -> list[tuple[int, int]]:
+    """The pairs of places of a longest common subsequence, from all rows of the table."""
+    places: dict = {}
+    for j, word in enumerate(b):
+        places[word] = places.get(word, 0) | 1 << j
+    full = row = (1 << len(b)) - 1
+    rows, width = [], len(b) // 8 + 1
+    for word in a:
+        hit = row & places.get(word, 0)
+        row = (row + hit | row - hit) & full
+        rows.append(row.to_bytes(width, "little"))
+    pairs, i, j = [], len(a) - 1, len(b) - 1
+    while i >= 0 and j >= 0:
+        if a[i] == b[j]:
+            pairs.append((i, j))
+            i, j = i - 1, j - 1
+        elif rows[i][j >> 3] >> (j & 7) & 1:  # no step up: the word of b isn't needed
+            j -= 1
+        else:
+            i -= 1
+    return pairs[::-1]
+
+
 def _matches(a: list, b: list, i: int, j: int, out: list[tuple[int, int]]) -> None:
     """Appends the pairs of places that a longest common subsequence takes."""
     lo = 0
@@ -57,13 +82,15 @@ def _matches(a: list, b: list, i: int, j: int, out: list[tuple[int, int]]) -> No
         if one[0] in many:
             at = many.index(one[0])
             out.append((i + lo, j + lo + at) if one is inner_a else (i + lo + at, j + lo))
-    elif inner_a and inner_b:
+    elif len(inner_a) * len(inner_b) > HELD:
         half = len(inner_a) // 2
         ahead = common_lengths(inner_a[:half], inner_b)
         behind = common_lengths(inner_a[half:][::-1], inner_b[::-1])[::-1]
         cut = int(np.argmax(ahead + behind))
         _matches(inner_a[:half], inner_b[:cut], i + lo, j + lo, out)
         _matches(inner_a[half:], inner_b[cut:], i + lo + half, j + lo + cut, out)
+    elif inner_a and inner_b:
+        out += [(i + lo + x, j + lo + y) for x, y in _traced(inner_a, inner_b)]
     out += [(i + len(a) - x, j + len(b) - x) for x in range(hi, 0, -1)]
 
 

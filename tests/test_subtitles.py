@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import subtitles as st
+from tessera.operators import diff
 from tessera.operators.diff import edit_script, sequence_diff
 from tessera.sources.subtitles import read_subtitles, subtitle_block, write_subtitles
 
@@ -293,3 +294,18 @@ def test_words_that_a_cue_has_need_no_edits(spark, monkeypatch):
     monkeypatch.setattr(st, "similarity", lambda a, b, least: F.raise_error(F.lit("edits counted")).cast("int"))
     got = rows.select(st.fuzzy_score(F.col("want"), F.col("own"), 85)).collect()
     assert [r[0] for r in got] == [100, 100, None, None, None]
+
+
+@pytest.mark.parametrize("held", [1 << 24, 40])
+def test_scripts_are_minimal_whether_tables_are_held_or_not(monkeypatch, held):
+    monkeypatch.setattr(diff, "HELD", held)
+    r = random.Random(5)
+    for _ in range(300):
+        a, b = ([r.choice("abcd") for _ in range(r.randrange(30))] for _ in range(2))
+        same = [(a[x:y], b[z:w]) for op, x, y, z, w in edit_script(a, b) if op == "equal"]
+        assert all(x == y for x, y in same) and sum(len(x) for x, _ in same) == diff.common_lengths(a, b)[-1]
+
+
+def test_small_sides_are_gone_through_once(monkeypatch):
+    monkeypatch.setattr(diff, "common_lengths", None)
+    assert edit_script(list("abcabba"), list("cbabac"))
