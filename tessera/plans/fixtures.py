@@ -27,15 +27,22 @@ def lexicon_rules(spark: SparkSession) -> list[Rule]:
     return rules(parse_lexicon(lexicon_lines(spark)))
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of documents; every 37th can't be aligned and has no times, every 41st no score."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), each=16 << 20)
-    rows = docs.select(F.col("doc_id").alias("job_id"), F.posexplode(tokens(F.col("text"))).alias("word_index", "word"))
+def words(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Words of documents; every 37th can't be aligned and has no times, every 41st no score.
+
+    columns are those of the documents with a word's id. Texts meet them before they are
+    split, so rows of words go through no exchange for it.
+    """
+    docs = table(spark, sf_dir, "documents")
+    texts = spread(docs.select("doc_id", "text"), each=16 << 20, by=("doc_id",) if columns else ())
+    if columns:
+        texts = texts.join(docs.select("doc_id", *columns), "doc_id")
+    rows = texts.select(F.col("doc_id").alias("job_id"), F.posexplode(tokens(F.col("text"))).alias("word_index", "word"), *columns)
     both = F.col("job_id") + F.col("word_index")
     timed = both % 37 != 36
     start = F.when(timed, F.col("word_index") * 400)
     score = F.when(timed & (both % 41 != 40), ((F.col("job_id") * 31 + F.col("word_index") * 17) % 101).cast("int"))
-    return rows.select("job_id", "word_index", "word", start.alias("start"), (start + 300).alias("end"), score.alias("score"))
+    return rows.select("job_id", "word_index", "word", start.alias("start"), (start + 300).alias("end"), score.alias("score"), *columns)
 
 
 def overrides_of(matches: DataFrame) -> DataFrame:

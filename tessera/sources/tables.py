@@ -31,16 +31,16 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, most: int = 128 << 20, each: int | None = None) -> DataFrame:
+def spread(df: DataFrame, most: int = 128 << 20, each: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """df, dealt out to all cores if it is a table of at most `most` bytes in fewer files than there are cores.
 
     A small file often is a single row group, which one core would have to read
     and process alone. Larger tables are left as they lie, unless `each` is given:
     then they are dealt out to tasks of at most that many of the table's bytes,
-    for texts from which many times their bytes are made.
+    for texts from which many times their bytes are made. by names columns to deal out by, for a join that follows.
     """
     cores, size = df.sparkSession.sparkContext.defaultParallelism, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     parts = cores if size <= most or not each else max(cores, -(-size // each))
     if (size > most and not each) or len(df.inputFiles()) >= parts:
         return df
-    return df.repartition(parts)
+    return df.repartition(parts, *by)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.operators import relations as rl
 from tessera.operators import sketches as sk
 from tessera.operators.scan import RANGE, Ordered, as_of_join, density, interval_union
+from tessera.plans import fixtures, scans
 
 
 def rows_of(seed, one_key, n=600):
@@ -130,3 +131,20 @@ def test_sketches_merge_and_err_little(spark):
                 assert abs(bisect.bisect(vs, value) / len(vs) - q) < 0.03
         assert merged[g].distinct_estimate == once[g].distinct_estimate  # registers are maxima, so merging loses nothing
     assert (merged["nulls"].rows, merged["nulls"].distinct_estimate, merged["nulls"].q50) == (1, 0, None)
+
+
+def test_words_meet_columns_of_documents_before_texts_are_split(spark, tmp_path):
+    rows = [(1, "a b, c", "en", "x"), (1, "d", None, "y"), (2, "e e", "de", None), (3, None, "en", "x"), (None, "f", "en", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("doc_id as job_id", "lang", "source")
+    got, want = fixtures.words(spark, str(tmp_path), "lang", "source"), fixtures.words(spark, str(tmp_path)).join(docs, "job_id")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect())) and got.count() == 10
+
+
+@pytest.mark.parametrize("name", ["sketched_scores", "top_terms"])
+def test_rows_of_words_are_not_joined(spark, name, monkeypatch):
+    seen, keep = [], scans.saved
+    monkeypatch.setattr(scans, "saved", lambda df: (seen.append(df), keep(df))[1])
+    last = getattr(scans, name)(spark, "/root/testdata/sf0.001")
+    plan = (seen or [last])[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Generate posexplode") < plan.index("Join Inner")
