@@ -7,16 +7,19 @@ number with a bit for each word of the other side, so a step covers all its
 words at once. What both sides begin and end with is cut off first. The script has
 as few deleted and inserted words as there can be.
 
-Sides of more than `longest` words are cut first, by Spark: runs of `anchor`
-words that occur once on each side are anchors, those that cross no other anchor
-stay, and one is a cut in about every `longest` words. Cuts are found by joins
-and two-level scans, so a long job is never in one task. Between cuts the
-script is minimal; a stretch without anchors stays whole.
+Jobs with a side of more than `longest` words are compared in tiles of `longest`
+words on each side, which Spark deals out: a tile needs of the tile above it a bit
+for each word of b, of the tile to its left one for each word of a, and only these borders are kept. Tiles
+that don't need each other are worked out at once; then one path is traced back
+through at most two tiles for each strip. So a job of any length has a minimal script, a
+task holds one tile of it, and the work is the product of its sides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +27,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.scan import Ordered
 from tessera.sources.tables import saved
 
 HELD = 1 << 24  # bits of the table that are held at once
 PLACES = ("a_start", "a_end", "b_start", "b_end")
+#: What tiles are made of (their words, the borders they get, the place where a path enters) and what they give.
+PIECE = (("row", pa.int32()), ("col", pa.int32()), ("kind", pa.string()), ("tokens", pa.list_(pa.string())), ("bits", pa.binary()), ("i", pa.int64()), ("j", pa.int64()), ("n", pa.int64()))
 
 
-def common_lengths(a: Sequence, b: Sequence) -> np.ndarray:
-    """Lengths of the longest common subsequences of a and the first 0, 1, ..., len(b) words of b."""
+def _bits_of(words: list) -> dict:
     places: dict = {}
-    for j, word in enumerate(b):
+    for j, word in enumerate(words):
         places[word] = places.get(word, 0) | 1 << j
+    return places
+
+
+def common_lengths(a: Sequence, b: Sequence) -> np.ndarray:
+    """Lengths of the longest common subsequences of a and the first 0, 1, ..., len(b) words of b."""
+    places = _bits_of(b)
     full = row = (1 << len(b)) - 1
     for word in a:
         hit = row & places.get(word, 0)
@@ -46,9 +55,7 @@ def common_lengths(a: Sequence, b: Sequence) -> np.ndarray:
 
 def _traced(a: list, b: list) -> list[tuple[int, int]]:
     """The pairs of places of a longest common subsequence, from all rows of the table."""
-    places: dict = {}
-    for j, word in enumerate(b):
-        places[word] = places.get(word, 0) | 1 << j
+    places = _bits_of(b)
     full = row = (1 << len(b)) - 1
     rows, width = [], len(b) // 8 + 1
     for word in a:
@@ -123,48 +130,156 @@ def _diff(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
     return pa.table({name: pa.array(c, kind) for name, c, kind in zip(("job_id", "op", *PLACES), columns, kinds, strict=True)})
 
 
-def _grams(side: DataFrame, n: int, block: int = 4096) -> DataFrame:
-    """(job_id, gram, at) of runs of n words that occur once. Words are dealt out in blocks of places, each with the words that follow it."""
-    own = side.withColumn("block", F.explode(F.array_distinct(F.array(F.floor(F.col("at") / block), F.floor((F.col("at") - (n - 1)) / block)))))
-    by = Window.partitionBy("job_id", "block").orderBy("at")
-    run = F.array(*[F.lead("token", k).over(by) for k in range(n)])
-    rows = own.withColumn("run", run).where((F.floor(F.col("at") / block) == F.col("block")) & F.element_at("run", n).isNotNull())
-    once = rows.groupBy("job_id", F.md5(F.to_json("run")).alias("gram")).agg(F.count("*").alias("n"), F.min("at").alias("at"))
-    return once.where("n = 1").drop("n")
+class _Tile:
+    """Words of a strip of a and of b, with the row above them (a zero is a step up) and, for each word of a, whether the column to their left steps up."""
 
+    def __init__(self, pieces: pa.Table) -> None:
+        self.of = {x["kind"]: x for x in pieces.to_pylist()}
+        if self.whole:
+            self.a, self.b = self.of["a"]["tokens"], self.of["b"]["tokens"]
+            self.full = (1 << len(self.b)) - 1
+            self.top = int.from_bytes(self.of["top"]["bits"], "little") if "top" in self.of else self.full
+            self.left = np.unpackbits(np.frombuffer(self.of["left"]["bits"], np.uint8), count=len(self.a), bitorder="little").tolist() if "left" in self.of else [0] * len(self.a)
+            self.places = _bits_of(self.b)
+
+    @property
+    def whole(self) -> bool:
+        return "a" in self.of and "b" in self.of
+
+    def rows(self, row: int, begin: int, end: int):
+        """(row, whether its last column steps up) after each of a's words from begin to end, given the row before them."""
+        for i in range(begin, end):
+            hit = row & self.places.get(self.a[i], 0)
+            total = row + hit + self.left[i]
+            row = total & self.full | row - hit
+            yield row, total >> len(self.b)
+
+    def borders(self) -> tuple[bytes, bytes]:
+        """What the tile below and the tile to the right get."""
+        row, right = self.top, np.zeros(len(self.a), np.uint8)
+        for i, (row, up) in enumerate(self.rows(self.top, 0, len(self.a))):
+            right[i] = up
+        return row.to_bytes(len(self.b) // 8 + 1, "little"), np.packbits(right, bitorder="little").tobytes()
+
+    def traced(self, i: int, j: int) -> tuple[list[tuple[int, int]], int, int]:
+        """The pairs on a path from (i, j), the last first, and where it leaves: above the tile i is -1, to its left j is. Rows are kept in about every sqrt(i), and others worked out again."""
+        step = isqrt(i) + 1
+        kept, pairs = [self.top], []
+        for x, (row, _) in enumerate(self.rows(self.top, 0, i + 1), 1):
+            if x % step == 0:
+                kept.append(row)
+        while i >= 0 and j >= 0:
+            begin = i // step * step
+            rows = [row.to_bytes(len(self.b) // 8 + 1, "little") for row, _ in self.rows(kept[i // step], begin, i + 1)]
+            while i >= begin and j >= 0:
+                if self.a[i] == self.b[j]:
+                    pairs.append((i, j))
+                    i, j = i - 1, j - 1
+                elif rows[i - begin][j >> 3] >> (j & 7) & 1:
+                    j -= 1
+                else:
+                    i -= 1
+        return pairs, i, j
+
+
+def _pieces(key: tuple, rows: list[dict]) -> pa.Table:
+    return pa.table({"job_id": pa.array([key[0].as_py()] * len(rows), key[0].type)} | {name: pa.array([r.get(name) for r in rows], kind) for name, kind in PIECE})
 
-def _cuts(a: DataFrame, b: DataFrame, longest: int, anchor: int) -> DataFrame:
-    """A saved table of (job_id, i, j): places where both sides of long jobs are cut, in the same order on both."""
-    size = a.unionByName(b).groupBy("job_id", "side").agg(F.count("*").alias("n"))
-    long = saved(size.groupBy("job_id").agg(F.max("n").alias("n")).where(F.col("n") > longest).select("job_id"))
-    if long.isEmpty():
-        return a.sparkSession.createDataFrame([], T.StructType([a.schema["job_id"], T.StructField("i", T.LongType()), T.StructField("j", T.LongType())]))
-    one, two = (_grams(side.join(long, "job_id", "left_semi"), anchor) for side in (a, b))
-    pairs = one.withColumnRenamed("at", "i").join(two.withColumnRenamed("at", "j"), ["job_id", "gram"]).drop("gram")
-    ahead = Ordered.of(pairs, ["job_id"], ["i"]).scan("most", "max", F.col("j"), before=True).rows.where("most is null or j > most").select("job_id", "i", "j")
-    both = Ordered.of(pairs, ["job_id"], ["i"], descending=True).scan("least", "min", F.col("j"), before=True).rows.where("least is null or j < least").select("job_id", "i")
-    straight = ahead.join(both, ["job_id", "i"])
-    return saved(straight.groupBy("job_id", F.floor(F.col("i") / longest).alias("part")).agg(F.min("i").alias("i"), F.min_by("j", "i").alias("j")).where("i > 0").drop("part"))
-
-
-def _blocks(side: DataFrame, cuts: DataFrame, place: str, longest: int) -> DataFrame:
-    """side with block: the number of its job's cuts up to each word."""
-    numbered = cuts.select("job_id", F.col(place).alias("lo"), F.row_number().over(Window.partitionBy("job_id").orderBy(place)).alias("k"))
-    spans = numbered.withColumn("hi", F.lead("lo").over(Window.partitionBy("job_id").orderBy("lo")))
-    ends = side.join(cuts.select("job_id").distinct(), "job_id", "left_semi").groupBy("job_id").agg((F.max("at") + 1).alias("last"))
-    spans = spans.join(ends, "job_id").withColumn("hi", F.coalesce("hi", "last"))
-    bins = spans.select(F.col("job_id").alias("__job"), "lo", "hi", "k", F.explode(F.sequence(F.floor(F.col("lo") / longest), F.floor((F.col("hi") - 1) / longest))).alias("__bin"))
-    inside = (F.col("job_id") == F.col("__job")) & (F.floor(F.col("at") / longest) == F.col("__bin")) & (F.col("lo") <= F.col("at")) & (F.col("at") < F.col("hi"))
-    return side.join(bins, inside, "left").select("job_id", F.coalesce("k", F.lit(0)).alias("block"), "at", "token")
+
+def _across(key: tuple, pieces: pa.Table) -> pa.Table:
+    """The borders that a tile gives, as pieces of the tiles that get them."""
+    tile, row, col = _Tile(pieces), key[1].as_py(), key[2].as_py()
+    if not tile.whole:
+        return _pieces(key, [])
+    down, right = tile.borders()
+    return _pieces(key, [{"row": row + 1, "col": col, "kind": "top", "bits": down}, {"row": row, "col": col + 1, "kind": "left", "bits": right}])
+
+
+def _back(longest: int):
+    def back(key: tuple, pieces: pa.Table) -> pa.Table:
+        """The runs of equal words on the path through a tile, and where it enters the next one."""
+        tile, row, col = _Tile(pieces), key[1].as_py(), key[2].as_py()
+        enter = tile.of["path"]
+        pairs, i, j = tile.traced(min(enter["i"], len(tile.a) - 1), min(enter["j"], len(tile.b) - 1))
+        runs: list[list[int]] = []
+        for x, y in reversed(pairs):
+            if runs and runs[-1][0] + runs[-1][2] == x and runs[-1][1] + runs[-1][2] == y:
+                runs[-1][2] += 1
+            else:
+                runs.append([x, y, 1])
+        out = [{"kind": "run", "i": row * longest + x, "j": col * longest + y, "n": n} for x, y, n in runs]
+        next_ = {"row": row - (i < 0), "col": col - (j < 0), "kind": "path", "i": i if i >= 0 else longest - 1, "j": j if j >= 0 else longest - 1}
+        return _pieces(key, out + [next_] * (next_["row"] >= 0 and next_["col"] >= 0))
+
+    return back
+
+
+def _tiled(a: DataFrame, b: DataFrame, long: DataFrame, longest: int) -> DataFrame:
+    """The scripts of long jobs (job_id, a_words, b_words), by tiles."""
+    tile = ["job_id", "row", "col"]
+    kinds = dict(zip([n for n, _ in PIECE], ["int", "int", "string", "array<string>", "binary", "long", "long", "long"], strict=True))
+    schema = T.StructType([a.schema["job_id"], *T._parse_datatype_string(", ".join(f"{n} {k}" for n, k in kinds.items()))])
+    strips = lambda c: F.ceil(F.col(c) / longest).cast("int")
+
+    def piece(rows: DataFrame, kind: str) -> DataFrame:
+        return rows.withColumn("kind", F.lit(kind)).select("job_id", *[(F.col(n) if n in (*rows.columns, "kind") else F.lit(None)).cast(k).alias(n) for n, k in kinds.items()])
+
+    def strip(side: DataFrame, others: str) -> DataFrame:
+        own = side.join(long.select("job_id", strips(others).alias("others")), "job_id").groupBy("job_id", F.floor(F.col("at") / longest).cast("int").alias("own"), "others")
+        return saved(own.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("tokens")))
+
+    strips_a, strips_b = strip(a, "b_words"), strip(b, "a_words")
+
+    def words_of(d: int) -> DataFrame:
+        """The words of the tiles with row + col = d, which don't need each other."""
+        own, other = F.col("own").alias("own"), (F.lit(d) - F.col("own"))
+        inside = other.between(0, F.col("others") - 1)
+        return piece(strips_a.where(inside).select("job_id", own.alias("row"), other.alias("col"), "tokens"), "a").unionByName(piece(strips_b.where(inside).select("job_id", other.alias("row"), own.alias("col"), "tokens"), "b"))
+
+    whole = long.where("a_words > 0 and b_words > 0")
+    last, jobs = whole.select(F.max(strips("a_words") + strips("b_words") - 2), F.count("*")).first()
+    most = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(pieces: DataFrame, tiles: int):
+        """Pieces by tiles; a number of tasks is given, as tiles are much work for their bytes."""
+        return pieces.repartition(max(min(tiles, most), 1), *tile).groupBy(*tile)
+
+    borders: list[DataFrame] = []  # those that the tiles with row + col = 1, 2, ... get
+    for d in range(last or 0):
+        borders.append(saved(dealt(reduce(DataFrame.unionByName, [words_of(d), *borders[-1:]]), jobs * (d + 1)).applyInArrow(_across, schema)))
+    paths = [piece(whole.select("job_id", (strips("a_words") - 1).alias("row"), (strips("b_words") - 1).alias("col"), F.lit(longest - 1).alias("i"), F.lit(longest - 1).alias("j")), "path")]
+    for d in range(last if last is not None else -1, -1, -1):
+        enter = reduce(DataFrame.unionByName, paths[:1] + paths[1:][-2:]).where((F.col("kind") == "path") & (F.col("row") + F.col("col") == d))
+        own = reduce(DataFrame.unionByName, [words_of(d), *borders[d - 1 : d]]) if d else words_of(0)
+        on_path = own.join(enter.select(*tile), tile, "left_semi").unionByName(enter)
+        paths.append(saved(dealt(on_path, jobs).applyInArrow(_back(longest), schema)))
+    # what lies between runs differs; a run that begins where another ends goes on
+    runs = reduce(DataFrame.unionByName, paths).where("kind = 'run'").select("job_id", "i", "j", "n").unionByName(long.select("job_id", F.col("a_words").alias("i"), F.col("b_words").alias("j"), F.lit(0).cast("long").alias("n")))
+    by = Window.partitionBy("job_id").orderBy("i", "j")
+    before = lambda c: F.coalesce(F.lag(F.col(c) + F.col("n")).over(by), F.lit(0))
+    runs = runs.select("*", before("i").alias("a_start"), before("j").alias("b_start")).withColumn("apart", (F.col("i") > F.col("a_start")) | (F.col("j") > F.col("b_start")))
+    runs = runs.withColumn("run", F.sum(F.col("apart").cast("int")).over(by))
+    op = F.when((F.col("i") > F.col("a_start")) & (F.col("j") > F.col("b_start")), "replace").when(F.col("i") > F.col("a_start"), "delete").otherwise("insert")
+    differ = runs.where("apart").select("job_id", op.alias("op"), "a_start", F.col("i").alias("a_end"), "b_start", F.col("j").alias("b_end"))
+    end = lambda c: F.max(F.col(c) + F.col("n"))
+    equal = runs.where("n > 0").groupBy("job_id", "run").agg(F.min("i").alias("a_start"), end("i").alias("a_end"), F.min("j").alias("b_start"), end("j").alias("b_end"))
+    return differ.unionByName(equal.select("job_id", F.lit("equal").alias("op"), *PLACES))
 
 
 def sequence_diff(a: DataFrame, b: DataFrame, *, longest: int = 50_000, anchor: int = 8) -> DataFrame:
     """The edit script of each job from a to b (job_id, at, token; places dense from 0): runs as in edit_script.
 
-    Jobs that one side lacks are deleted or inserted whole; null tokens equal each other.
+    Jobs that one side lacks are deleted or inserted whole; null tokens equal each
+    other. longest says which jobs are dealt out in tiles and how long a tile's sides are; a script is minimal with
+    any. anchor has no effect: runs of words that occur once on each side are no places where
+    a script may be cut, as a minimal one need not hold them.
     """
     a, b = (side.select("job_id", F.col("at").cast("long").alias("at"), F.coalesce("token", F.lit("\0")).alias("token"), F.lit(n).alias("side")) for side, n in ((a, "a"), (b, "b")))
     script = T.StructType([a.schema["job_id"], T.StructField("op", T.StringType()), *[T.StructField(c, T.LongType()) for c in PLACES]])
-    cuts = _cuts(a, b, longest, anchor)
-    left, right = _blocks(a, cuts, "i", longest), _blocks(b, cuts, "j", longest)
-    return left.groupBy("job_id", "block").cogroup(right.groupBy("job_id", "block")).applyInArrow(_diff, script)
+    size = a.unionByName(b).groupBy("job_id").agg(F.count_if(F.col("side") == "a").alias("a_words"), F.count_if(F.col("side") == "b").alias("b_words"))
+    long = saved(size.where((F.greatest("a_words", "b_words") > longest) & F.col("job_id").isNotNull()))
+    if long.isEmpty():
+        return a.groupBy("job_id").cogroup(b.groupBy("job_id")).applyInArrow(_diff, script)
+    left, right = (side.join(long, "job_id", "left_anti") for side in (a, b))
+    short = left.groupBy("job_id").cogroup(right.groupBy("job_id")).applyInArrow(_diff, script)
+    return short.unionByName(_tiled(a, b, long, longest))

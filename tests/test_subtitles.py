@@ -309,3 +309,18 @@ def test_scripts_are_minimal_whether_tables_are_held_or_not(monkeypatch, held):
 def test_small_sides_are_gone_through_once(monkeypatch):
     monkeypatch.setattr(diff, "common_lengths", None)
     assert edit_script(list("abcabba"), list("cbabac"))
+
+
+@pytest.mark.parametrize("longest", [50_000, 30])
+def test_scripts_are_minimal_however_long_jobs_are(spark, longest):
+    """Runs that occur once on each side need not be in a minimal script, so long jobs can't be cut there."""
+    once, r = ["u1", "u2", "u3"], random.Random(8)
+    sides = {1: (["s"] * 5 + once + ["s"] * 60, ["s"] * 60 + once + ["s"] * 5), 2: ([r.choice("abc") for _ in range(100)], [r.choice("abc") for _ in range(70)]), 3: (["x"] * 61, ["y", "x"])}
+    frames = [spark.createDataFrame([(f"j{j}", i, w) for j, pair in sides.items() for i, w in enumerate(pair[k])], "job_id string, at int, token string") for k in (0, 1)]
+    rows = [tuple(x) for x in sequence_diff(*frames, longest=longest, anchor=3).collect()]
+    for job, (a, b) in sides.items():
+        script = sorted((x[1:] for x in rows if x[0] == f"j{job}"), key=lambda s: s[1:])
+        same = [(a[x:y], b[z:w]) for op, x, y, z, w in script if op == "equal"]
+        assert all(x == y for x, y in same) and applied(script, a, b) == b
+        assert cost(script) == len(a) + len(b) - 2 * common(a, b), job
+        assert not any(x[0] == y[0] == "equal" for x, y in zip(script, script[1:], strict=False))
