@@ -146,16 +146,19 @@ def _hits(words: DataFrame, found: list[Rule], with_single: bool) -> DataFrame:
         some = F.broadcast(spark.createDataFrame([(t,) for t in parts], "__part string"))
         timed, in_phrase = timed.join(some, F.col("low") == F.col("__part"), "left"), F.col("__part").isNotNull()
     rows = timed.where(F.col("line_no").isNotNull() | in_phrase)
-    own = F.struct("word_index", "word", "tok", "end", F.coalesce("score", F.lit(0)).alias("score"))
+    own = ["word_index", "word", "tok", "end", "score"]
     by = Window.partitionBy("job_id").orderBy("word_index")
     lengths = sorted({len(r.tokens) for r in phrases})
-    ahead = rows.withColumn("w0", own)
-    for j in range(1, max(lengths, default=1)):
-        ahead = ahead.withColumn(f"w{j}", F.lead(own, j).over(by))
+    # columns, as structs would be exchanged beside what they are made of
+    ahead = rows.select("*", *[F.lead(c, j).over(by).alias(f"__{c}{j}") for j in range(1, max(lengths, default=1)) for c in own])
+
+    def word(j: int) -> dict[str, Column]:
+        of = {c: F.col(f"__{c}{j}" if j else c) for c in own}
+        return of | {"score": F.coalesce(of["score"], F.lit(0))}
 
     def found_at(n: int) -> Column:
         """What a phrase of n words here would match; null unless the words follow each other."""
-        at = [F.col(f"w{j}") for j in range(n)]
+        at = [word(j) for j in range(n)]
         text = F.concat_ws(" ", *[w["tok"] for w in at])
         what = F.struct(F.lit(n).alias("span"), F.lit(None).cast("int").alias("line_no"), F.concat_ws(" ", *[w["word"] for w in at]).alias("matched_text"), at[-1]["end"].alias("end"), F.least(*[w["score"] for w in at]).alias("score"), text.alias("text"))
         return F.when(at[-1]["word_index"] == F.col("word_index") + (n - 1), what)

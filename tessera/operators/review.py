@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import tokens
+
 
 def context(matches: DataFrame, words: DataFrame, k: int) -> DataFrame:
     """matches with context: the words from k before to k after, quoted; clipped at the job's ends.
@@ -21,6 +23,26 @@ def context(matches: DataFrame, words: DataFrame, k: int) -> DataFrame:
     return matches.join(lines.hint("merge"), keys, "left").withColumn("context", F.concat(F.lit('"...'), F.coalesce("text", F.lit("")), F.lit('..."'))).drop("text")
 
 
+def context_in_texts(matches: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """What context gives, where the words of a job are the tokens of one text (job_id, text); matches of jobs without a text are left out.
+
+    A job's matches meet its text, and each takes its words from it by their places, so neither words nor
+    the indices that matches want are rows of an exchange. A job's matches are one row of a task.
+    """
+    own = [c for c in matches.columns if c != "job_id"]
+    of_job = matches.groupBy("job_id").agg(F.collect_list(F.struct(*own)).alias("__found"))
+    # how large they are isn't seen in the sizes of tables, so neither side is broadcast; words are worked out once for each job
+    both = of_job.hint("merge").join(texts.select("job_id", "text").hint("merge"), "job_id").select("job_id", "__found", F.explode(F.array(tokens(F.col("text")))).alias("__words"))
+
+    def line(m: Column) -> Column:
+        # by place, as a slice would copy all words for each match; places behind the end are null, which array_join leaves out
+        at = F.sequence(F.greatest(F.lit(0), m["word_index"] - k), m["word_index"] + m["span"] + (k - 1))
+        return F.concat(F.lit('"...'), F.array_join(F.transform(at, lambda i: F.get("__words", i)), " "), F.lit('..."'))
+
+    lines = F.transform("__found", lambda m: F.struct(*[m[c].alias(c) for c in own], line(m).alias("context")))
+    return both.select("job_id", F.inline(lines))
+
+
 def replay(matches: DataFrame, decisions: DataFrame, least_score: float) -> DataFrame:
     """The outcome of a review from a table of answers (job_id, match_rank, answer y/n/s/q; y where absent).
 

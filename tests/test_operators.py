@@ -15,8 +15,9 @@ from tessera.operators import flag as fl
 from tessera.operators import resolve as rs
 from tessera.operators import review as rv
 from tessera.operators import segments as sg
+from tessera.plans import QUERIES, transcript
 from tessera.sources import readers, writers
-from tessera.sources.tables import spread
+from tessera.sources.tables import saved, spread
 from tessera.streaming.progress import session_intervals
 
 WORDS = "job_id long, word_index int, word string, start int, end int, score int"
@@ -327,3 +328,31 @@ def test_words_of_many_segments_come_in_bounded_batches(spark):
     audio.transcribe(Rows(), audio.TextTranscriber)
     held = [len(b) for b in run["f"](iter([pd.DataFrame({"job_id": range(900), "segment_index": 1, "dialogue": [b"ab " * 100] * 900})]))]
     assert sum(held) == 90_000 and max(held) <= audio.BATCH_WORDS
+
+
+def test_contexts_in_texts_agree_with_those_in_words(spark):
+    texts = [(1, " a b\tc d  e f g "), (2, "one"), (3, "x y z"), (4, None), (5, "p q")]
+    found = [(1, 0, 1, 7), (1, 3, 2, 8), (1, 3, 1, 8), (1, 6, 1, 7), (2, 0, 1, 7), (3, 1, 2, 9)]
+    m = spark.createDataFrame(found, "job_id long, word_index int, span int, line_no int")
+    t = spark.createDataFrame(texts, "job_id long, text string")
+    w = spark.createDataFrame([(j, i, x) for j, text in texts for i, x in enumerate((text or "").split())], "job_id long, word_index int, word string")
+    for k in (0, 1, 3):
+        one, other = rv.context_in_texts(m, t, k), rv.context(m, w, k)
+        assert sorted(map(tuple, one.select(other.columns).collect())) == sorted(map(tuple, other.collect())) and one.count() == len(found)
+    assert "Broadcast" not in plan_of(rv.context_in_texts(m, t, 3))
+
+
+def test_words_around_matches_go_through_no_exchange(spark, monkeypatch):
+    """Every word and every index that a match wants was a row of an exchange, beside a saved table of matches."""
+    kept = []
+    monkeypatch.setattr(transcript, "saved", lambda df: (kept.append(df), saved(df))[1])
+    plan = plan_of(QUERIES["match_context"](spark, "/root/testdata/sf0.001"))
+    assert not kept and plan.count("Exchange hashpartitioning(") == 2 and "sequence(" not in plan.split("Exchange hashpartitioning(", 1)[1]
+
+
+def test_words_are_exchanged_once_for_phrases(spark, tmp_path):
+    """As structs that a window looks ahead to, each word was exchanged several times."""
+    spark.range(50).selectExpr("id DIV 10 AS job_id", "CAST(id % 10 AS INT) AS word_index", "IF(id % 2 = 0, 'of', 'the') AS word", "1 AS start", "2 AS end", "CAST(NULLIF(id % 3, 0) AS INT) AS score").write.parquet(f"{tmp_path}/w")
+    found = fl.flag(spark.read.parquet(f"{tmp_path}/w"), [fl.Rule("of the", ("of", "the"), "exact", False, 1), fl.Rule("the of the", ("the", "of", "the"), "exact", False, 2)])
+    assert "struct(" not in plan_of(found).split("Exchange hashpartitioning(", 1)[1].split("BroadcastExchange", 1)[0]
+    assert sorted((r.job_id, r.word_index, r.span, r.score) for r in found.collect()) == sorted((j, i, n, min((10 * j + i + x) % 3 for x in range(n))) for j in range(5) for i in range(10) for n in (2, 3) if i % 2 == n - 2 and i + n <= 10)
